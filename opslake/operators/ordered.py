@@ -34,19 +34,16 @@ def by_range(number: ColumnLike, width: int = 1_000_000) -> Column:
     return F.floor(_col(number) / F.lit(width)).cast("long")
 
 
-def _match(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def attach(df: DataFrame, summary: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a summary onto ``df`` by null-safe equality and drop the summary's copy of the names.
+    """Join a summary onto ``df`` by null-safe equality on ``names``.
 
     Pass a staged summary: Catalyst then knows its size and broadcasts it only if it is small.
     """
     if not names:
-        return df.crossJoin(summary) if how == "inner" else df.join(summary, F.lit(True), how)
-    joined = df.join(summary, _match(df, summary, names), how)
-    return joined if how in ("leftsemi", "leftanti") else joined.drop(*[summary[n] for n in names])
+        return df.join(summary, F.lit(True), how)
+    other = summary.withColumnsRenamed({n: f"_r_{n}" for n in names})
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names])
+    return df.join(other, same, how).drop(*[f"_r_{n}" for n in names])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
@@ -115,38 +112,63 @@ def value_band(value: Column, per_octave: int = 256) -> Column:
     return F.when(value == 0, F.lit(0)).when(value < 0, -code).otherwise(code).cast("long")
 
 
+def _ranks(total: Column, q: float, kind: str) -> list[Column]:
+    """1-based ranks that decide the quantile: one, or two neighbours for interpolation."""
+    if kind == "disc":
+        wanted = [F.greatest(F.ceil(total * F.lit(q)), F.lit(1))]
+    elif kind == "desc":
+        wanted = [total - F.floor(total * F.lit(1 - q))]
+    elif kind == "cont":
+        wanted = [F.floor((total - 1) * F.lit(q)) + 1, F.ceil((total - 1) * F.lit(q)) + 1]
+    else:
+        raise ValueError(f"unknown quantile kind {kind!r}")
+    return [r.cast("long") for r in wanted]
+
+
+def _quantile(total: Column, q: float, values: list[Column]) -> Column:
+    if len(values) == 1:
+        return values[0]
+    position = (total - 1) * F.lit(q)
+    return values[0] + (values[1] - values[0]) * (position - F.floor(position))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quantiles: dict[str, tuple],
-                    per_octave: int = 256) -> DataFrame:
-    """Exact quantiles per key, without bringing a key's values together.
+                    small_group: int = 100_000, per_octave: int = 256) -> DataFrame:
+    """Exact quantiles per key.
 
     ``quantiles`` maps an output column to ``(q, kind)``; kind is ``"disc"`` (smallest value whose
     share is at least q), ``"desc"`` (element at floor(n * (1 - q)) of the descending values) or
-    ``"cont"`` (linear interpolation). First a histogram over value bands finds the band that holds
-    each wanted rank; then only the rows of those bands are counted by value and ordered.
-    Null values are ignored; a key with no values gets no row.
+    ``"cont"`` (linear interpolation). Null values are ignored; a key with no values gets no row.
+
+    The largest group is counted first. Up to ``small_group`` values are sorted as one array per key;
+    beyond that the groups stay spread over the cluster, see :func:`_banded_quantiles`.
     """
     keys = list(keys)
     base = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest > small_group:
+        return _banded_quantiles(base, keys, quantiles, per_octave)
+    sorted_values = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    total = F.size("_all").cast("long")
+    return sorted_values.filter(total > 0).select(*keys, *[
+        _quantile(total, q, [F.element_at("_all", r.cast("int")) for r in _ranks(total, q, kind)]).alias(name)
+        for name, (q, kind) in quantiles.items()])
+
+
+def _banded_quantiles(base: DataFrame, keys: list[str], quantiles: dict[str, tuple], per_octave: int) -> DataFrame:
+    """Exact quantiles without bringing a key's values together.
+
+    A histogram over value bands finds the band that holds each wanted rank; then only the rows of
+    those bands are counted by value and ordered.
+    """
     base = base.withColumn("_band", value_band(F.col("_v"), per_octave))
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     histogram = base.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, "_band", "_n", F.sum("_n").over(running).alias("_cum"), F.sum("_n").over(per_key).alias("_total"))
-
-    total = F.col("_total")
-    wanted = []
-    for name, (q, kind) in quantiles.items():
-        if kind == "disc":
-            ranks = [F.greatest(F.ceil(total * F.lit(q)), F.lit(1))]
-        elif kind == "desc":
-            ranks = [total - F.floor(total * F.lit(1 - q))]
-        elif kind == "cont":
-            ranks = [F.floor((total - 1) * F.lit(q)) + 1, F.ceil((total - 1) * F.lit(q)) + 1]
-        else:
-            raise ValueError(f"unknown quantile kind {kind!r}")
-        wanted += [F.struct(F.lit(f"{name}#{i}").alias("slot"), r.cast("long").alias("rank"))
-                   for i, r in enumerate(ranks)]
-    before = F.col("_cum") - F.col("_n")
+    total, before = F.col("_total"), F.col("_cum") - F.col("_n")
+    wanted = [F.struct(F.lit(f"{name}#{i}").alias("slot"), r.alias("rank"))
+              for name, (q, kind) in quantiles.items() for i, r in enumerate(_ranks(total, q, kind))]
     targets = staged(
         histogram.select(*keys, "_band", before.alias("_before"), "_total", F.filter(
             F.array(*wanted), lambda s: (s["rank"] > before) & (s["rank"] <= F.col("_cum"))).alias("_slots"))
@@ -158,24 +180,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quant
         .groupBy(*keys, "_band", "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(near))
     )
+    at = F.col("_before") + F.col("_upto")
     found = (
         attach(counted, targets, [*keys, "_band"], "inner")
-        .select(*keys, "_v", "_c", (F.col("_before") + F.col("_upto")).alias("_at"), "_total",
-                F.explode("_slots").alias("_slot"))
+        .select(*keys, "_v", "_c", at.alias("_at"), "_total", F.explode("_slots").alias("_slot"))
         .filter((F.col("_slot.rank") > F.col("_at") - F.col("_c")) & (F.col("_slot.rank") <= F.col("_at")))
     )
-    slots = [f"{n}#{i}" for n, (_, kind) in quantiles.items() for i in range(2 if kind == "cont" else 1)]
+    slots = {name: [f"{name}#{i}" for i in range(len(_ranks(total, q, kind)))] for name, (q, kind) in quantiles.items()}
     wide = found.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
-        *[F.max(F.when(F.col("_slot.slot") == s, F.col("_v"))).alias(s) for s in slots])
-    out = []
-    for name, (q, kind) in quantiles.items():
-        low = F.col(f"`{name}#0`")
-        if kind == "cont":
-            position = (F.col("_total") - 1) * F.lit(q)
-            low = low + (F.col(f"`{name}#1`") - low) * (position - F.floor(position))
-        out.append(low.alias(name))
-    return wide.select(*keys, *out)
+        *[F.max(F.when(F.col("_slot.slot") == s, F.col("_v"))).alias(s) for names in slots.values() for s in names])
+    return wide.filter(total > 0).select(*keys, *[
+        _quantile(total, q, [F.col(f"`{s}`") for s in slots[name]]).alias(name)
+        for name, (q, _) in quantiles.items()])
 
 
 def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
