@@ -48,7 +48,7 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
     fields = df.schema
     work = (
         df.withColumn("_at", F.unix_micros(ts)).withColumn("_ok", F.coalesce(eligible, F.lit(False)))
-        .withColumn("_wait", (wait_s * 1_000_000).cast("long"))
+        .withColumn("_wait", (wait_s.cast("double") * 1_000_000).cast("long"))
     )
 
     def actors(pdf):

@@ -131,7 +131,7 @@ def ttl_live(df: DataFrame, as_of: dt.datetime, saved_at: str = "saved_at", ttl_
     """Rows whose time to live has not passed at ``as_of``; a null time to live never ends."""
     if isinstance(ttl_s, int):
         return df.filter(F.col(saved_at) > F.lit(as_of - dt.timedelta(seconds=ttl_s)))
-    ends = F.unix_micros(saved_at) + F.col(ttl_s) * 1_000_000
+    ends = F.unix_micros(saved_at) + F.col(ttl_s).cast("long") * 1_000_000
     return df.filter(F.col(ttl_s).isNull() | (ends > F.unix_micros(F.lit(as_of))))
 
 
@@ -187,13 +187,12 @@ def one_of(column: str, values: Sequence[str]) -> Column:
 
 def json_patch(df: DataFrame, body: str, updates: dict[str, Column]) -> DataFrame:
     """Set top-level fields of a JSON object column; other fields keep their value and type."""
+    if not updates:
+        return df
     doc = F.try_variant_get(F.parse_json(body), "$", "map<string,variant>")
     kept = F.map_filter(doc, lambda k, v: ~k.isin(list(updates)))
-    added = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), F.parse_json(F.to_json(F.array(v)))
-                                                                  )]) if updates else None
-    if added is None:
-        return df
-    added = F.transform_values(added, lambda k, v: F.variant_get(v, "$[0]", "variant"))
+    wrapped = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), F.parse_json(F.to_json(F.array(v))))])
+    added = F.transform_values(wrapped, lambda k, v: F.variant_get(v, "$[0]", "variant"))
     return df.withColumn(body, F.to_json(F.map_concat(kept, added)))
 
 

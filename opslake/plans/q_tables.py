@@ -220,9 +220,10 @@ def _(t):
     return tables.purge(agents, agents.filter("status = 'unknown'"), "id").select("id")
 
 
-@query("delete_by_ids", "SELECT agent_id, version FROM v_state_current WHERE agent_id NOT IN (SELECT agent_id FROM v_state_incoming)")
+@query("delete_by_ids", "SELECT agent_id, version FROM v_state_current WHERE agent_id NOT IN (SELECT agent_id FROM v_state_incoming WHERE status = 'P')")
 def _(t):
-    return tables.delete_by_ids(t("v_state_current"), t("v_state_incoming"), "agent_id").select("agent_id", "version")
+    gone = t("v_state_incoming").filter("status = 'P'")
+    return tables.delete_by_ids(t("v_state_current"), gone, "agent_id").select("agent_id", "version")
 
 
 @query("audit_diff", """WITH n AS (SELECT id, status, CASE WHEN score < 0 THEN 'low' ELSE name END AS name,
