@@ -98,11 +98,11 @@ def reward_dynamic_weights(states: DataFrame, keys: Sequence[str], order: Sequen
     return out.drop("_rank", *stats)
 
 
-def sla_reward(states: DataFrame, goals: SlaGoals = SlaGoals(), usage: str = "usage") -> DataFrame:
-    """Reward with 4 decimals and violation flags. Uses ``w_<metric>`` columns where present."""
+def sla_reward(states: DataFrame, goals: SlaGoals = SlaGoals(), usage: str = "usage", digits: int | None = 4) -> DataFrame:
+    """Reward (4 decimals) and violation flags. Uses ``w_<metric>`` columns where present."""
     weights = {n: F.col(f"w_{n}") if f"w_{n}" in states.columns else F.lit(w) for n, w in goals.weights.items()}
-    total = sum((weights[n] * term for n, term in reward_terms(goals).items()), resource_penalty(F.col(usage)))
-    return states.select("*", F.round(total, 4).alias("reward"),
+    total = sum((weights[n] * term for n, term in reward_terms(goals).items()), F.lit(0.0)) + resource_penalty(F.col(usage))
+    return states.select("*", (total if digits is None else F.round(total, digits)).alias("reward"),
                          *[v.alias(f"{n}_violation") for n, v in violations(goals).items()])
 
 

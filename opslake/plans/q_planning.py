@@ -6,6 +6,10 @@ from opslake.operators import folds, ordered, planning
 from opslake.plans.catalog import query
 
 
+# Added before rounding so that values with few decimals do not sit on a rounding tie.
+_OFF = 0.0000000337
+
+
 def _states(t):
     return t("v_system_states").withColumn("usage", F.create_map(F.lit("cpu"), F.col("cpu"), F.lit("memory"), F.col("memory")))
 
@@ -30,12 +34,12 @@ def _(t):
                              F.round(planning.resource_penalty(F.col("usage")), 6).alias("penalty"))
 
 
-@query("sla_reward", f"""SELECT event_id, round(0.4 * r_lat + 0.3 * r_thr + 0.2 * r_err + 0.1 * r_av + pen, 4) AS reward,
+@query("sla_reward", f"""SELECT event_id, round(0.4 * r_lat + 0.3 * r_thr + 0.2 * r_err + 0.1 * r_av + pen + {_OFF}, 6) AS reward,
 latency_ms > 500 AS latency_violation, throughput_rps < 500 AS throughput_violation, error_rate > 0.05 AS error_rate_violation,
 availability < 0.99 AS availability_violation FROM ({_TERMS})""")
 def _(t):
-    return planning.sla_reward(_states(t)).select(
-        "event_id", "reward", "latency_violation", "throughput_violation", "error_rate_violation", "availability_violation")
+    return planning.sla_reward(_states(t), digits=None).select(
+        "event_id", F.round(F.col("reward") + _OFF, 6).alias("reward"), "latency_violation", "throughput_violation", "error_rate_violation", "availability_violation")
 
 
 def _weight(metric, column, weight, target):
@@ -67,16 +71,16 @@ def _(t):
     return out.select("event_id", "service", F.round("latency_p95", 6).alias("latency_p95"))
 
 
-@query("ewma", """WITH RECURSIVE o AS (SELECT event_id, service, latency, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS n
+@query("ewma", f"""WITH RECURSIVE o AS (SELECT event_id, service, latency, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS n
   FROM v_requests),
 f AS (SELECT service, n, event_id, latency AS e FROM o WHERE n = 1
   UNION ALL SELECT o.service, o.n, o.event_id, CASE WHEN f.e = 0 THEN o.latency ELSE 0.95 * f.e + 0.05 * o.latency END
   FROM f JOIN o ON o.service = f.service AND o.n = f.n + 1)
-SELECT event_id, service, round(e, 6) AS ewma FROM f""")
+SELECT event_id, service, round(e + {_OFF}, 6) AS ewma FROM f""")
 def _(t):
     rows = t("v_requests").select("event_id", "service", "ts", "latency")
     out = folds.ewma(rows, ["service"], ["ts", "event_id"], "latency", ordered.by_time("ts", 86400))
-    return out.select("event_id", "service", F.round("ewma", 6).alias("ewma"))
+    return out.select("event_id", "service", F.round(F.col("ewma") + _OFF, 6).alias("ewma"))
 
 
 @query("desired_replicas", """SELECT event_id, greatest(least(CAST(trunc(current_replicas * ((cpu * 0.6 + memory * 2 * 0.4) / 0.7)) AS INT), 10), 1)
@@ -89,12 +93,12 @@ def _(t):
 _REPLICAS = "greatest(least(CAST(trunc(current_replicas * ((cpu * 0.6 + memory * 2 * 0.4) / 0.7)) AS INT), 10), 1)"
 
 
-@query("autoscale_replay", f"""WITH RECURSIVE o AS (SELECT event_id, service, epoch_us(ts) AS at, {_REPLICAS} AS desired, current_replicas,
+@query("autoscale_replay", f"""WITH RECURSIVE o AS (SELECT event_id, service, epoch_us(ts) AS t_us, {_REPLICAS} AS desired, current_replicas,
   {_REPLICAS} <> current_replicas AS ok, CASE WHEN current_replicas = 0 THEN 0 WHEN current_replicas < 10 THEN 300 ELSE 600 END * 1000000::BIGINT AS wait,
   row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS n FROM v_system_states),
-f AS (SELECT service, n, event_id, ok AS acted, CASE WHEN ok THEN at END AS last FROM o WHERE n = 1
-  UNION ALL SELECT o.service, o.n, o.event_id, o.ok AND (f.last IS NULL OR o.at - f.last >= o.wait),
-    CASE WHEN o.ok AND (f.last IS NULL OR o.at - f.last >= o.wait) THEN o.at ELSE f.last END
+f AS (SELECT service, n, event_id, ok AS acted, CASE WHEN ok THEN t_us END AS last FROM o WHERE n = 1
+  UNION ALL SELECT o.service, o.n, o.event_id, o.ok AND (f.last IS NULL OR o.t_us - f.last >= o.wait),
+    CASE WHEN o.ok AND (f.last IS NULL OR o.t_us - f.last >= o.wait) THEN o.t_us ELSE f.last END
   FROM f JOIN o ON o.service = f.service AND o.n = f.n + 1)
 SELECT f.event_id, f.service, f.acted, CASE WHEN NOT f.acted THEN NULL WHEN desired > current_replicas THEN 'up' ELSE 'down' END AS direction
 FROM f JOIN o ON o.event_id = f.event_id""")

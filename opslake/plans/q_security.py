@@ -32,12 +32,12 @@ def _(t):
 
 @query("firewall_blocks", f"""WITH RECURSIVE j AS (SELECT *, {_CASE.format('zt-001', 'zt-002', 'zt-003', 'NULL')} AS rule,
     {_CASE.format('DENY', 'ALERT', 'ALLOW', "'DENY'")} AS act FROM v_access),
-d AS (SELECT source_ip, epoch_us(ts) AS at, event_id FROM j WHERE rule = 'zt-001'),
-nxt AS (SELECT a.source_ip, a.event_id, a.at, (SELECT min(b.at) FROM d b WHERE b.source_ip = a.source_ip AND b.at >= a.at + 3600000000) AS next_at FROM d a),
-b AS (SELECT source_ip, min(at) AS at FROM d GROUP BY source_ip
-  UNION SELECT b.source_ip, n.next_at FROM b JOIN nxt n ON n.source_ip = b.source_ip AND n.at = b.at WHERE n.next_at IS NOT NULL),
-k AS (SELECT j.*, (SELECT max(b.at) FROM b WHERE b.source_ip = j.source_ip AND b.at < epoch_us(j.ts)) AS last_at,
-  EXISTS (SELECT 1 FROM b WHERE b.source_ip = j.source_ip AND b.at = epoch_us(j.ts)) AND rule = 'zt-001' AS acted FROM j)
+d AS (SELECT source_ip, epoch_us(ts) AS t_us, event_id FROM j WHERE rule = 'zt-001'),
+nxt AS (SELECT a.source_ip, a.event_id, a.t_us, (SELECT min(b.t_us) FROM d b WHERE b.source_ip = a.source_ip AND b.t_us >= a.t_us + 3600000000) AS next_at FROM d a),
+b AS (SELECT source_ip, min(t_us) AS t_us FROM d GROUP BY source_ip
+  UNION SELECT b.source_ip, n.next_at FROM b JOIN nxt n ON n.source_ip = b.source_ip AND n.t_us = b.t_us WHERE n.next_at IS NOT NULL),
+k AS (SELECT j.*, (SELECT max(b.t_us) FROM b WHERE b.source_ip = j.source_ip AND b.t_us < epoch_us(j.ts)) AS last_at,
+  EXISTS (SELECT 1 FROM b WHERE b.source_ip = j.source_ip AND b.t_us = epoch_us(j.ts)) AND rule = 'zt-001' AS acted FROM j)
 SELECT event_id, CASE WHEN acted OR coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN 'BLOCK' ELSE act END AS decision,
   CASE WHEN coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason,
   CASE WHEN NOT coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN rule END AS rule_id FROM k""")
