@@ -83,6 +83,13 @@ def time_features(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
+def json_timestamp(doc: Column, name: str = "timestamp") -> Column:
+    """Time field of a parsed JSON value, as epoch seconds or as text; null when it is neither."""
+    seconds = F.try_variant_get(doc, f"$.{name}", "double")
+    return F.coalesce(F.timestamp_micros((seconds * 1_000_000).try_cast("long")),
+                      F.try_variant_get(doc, f"$.{name}", "timestamp"))
+
+
 def topic_to_path(topic: Column) -> Column:
     """Path segments of a topic; a colon also separates segments. ``$SYS`` topics give null."""
     return F.when(~topic.startswith("$SYS"), F.split(F.translate(topic, "/", ":"), ":"))
@@ -99,7 +106,7 @@ def semver_valid(version: Column) -> Column:
 def semver_key(version: Column) -> Column:
     """Numeric sort key [major, minor, patch]; null if the version is not valid."""
     main = F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\.")
-    return F.when(semver_valid(version), main.cast("array<int>"))
+    return F.when(semver_valid(version), F.transform(main, lambda x: x.try_cast("long")))
 
 
 def semver_release(version: Column) -> Column:
@@ -123,7 +130,7 @@ def semver_matches(version: Column, constraint: str) -> Column:
     for part in constraint.split():
         number = part.lstrip("<>=!")
         op = part[: len(part) - len(number)] or ">="
-        bound = F.array(*[F.lit(int(x)) for x in number.split(".")[:3]])
+        bound = F.array(*[F.lit(int(x)).cast("long") for x in number.split(".")[:3]])
         ok = ok & {">=": k >= bound, ">": k > bound, "<=": k <= bound, "<": k < bound,
                    "==": k == bound, "=": k == bound, "!=": k != bound}[op]
     return ok
@@ -136,7 +143,7 @@ def semver_matches_column(version: Column, constraint: Column) -> Column:
 
     def holds(p):
         op = F.regexp_extract(p, r"^([<>=!]*)", 1)
-        bound = F.split(F.regexp_extract(p, r"(\d+\.\d+\.\d+)", 1), r"\.").cast("array<int>")
+        bound = F.split(F.regexp_extract(p, r"(\d+\.\d+\.\d+)", 1), r"\.").cast("array<long>")
         return (F.when(op.isin("", ">="), k >= bound).when(op == ">", k > bound).when(op == "<=", k <= bound)
                 .when(op == "<", k < bound).when(op == "!=", k != bound).otherwise(k == bound))
 

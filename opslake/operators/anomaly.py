@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _average_path(n) -> np.ndarray:
@@ -131,7 +132,7 @@ def reconstruction_anomaly(df: DataFrame, features: Sequence[str], components: i
 
 
 def batch_predict(df: DataFrame, inputs: Sequence[str], load_model: Callable[[], Callable], output: str = "prediction",
-                  returns: str = "double", batch_size: int = 32, shapes=None) -> DataFrame:
+                  returns: T.DataType = T.DoubleType(), batch_size: int = 32, shapes=None) -> DataFrame:
     """Add model predictions. ``load_model`` runs once per Python worker and returns the batch function."""
     from pyspark.ml.functions import predict_batch_udf
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.scalars import log_signature
+from opslake.functions.scalars import json_timestamp, log_signature
 
 # Common log format, level codes.
 CLF = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+)'
@@ -24,8 +24,7 @@ def log_parse(df: DataFrame, raw: str = "raw", arrived: str = "ts") -> DataFrame
     doc = F.try_parse_json(text)
     is_json = doc.isNotNull()
     message = F.try_variant_get(doc, "$.message", "string")
-    stamp = F.coalesce(F.timestamp_micros((F.try_variant_get(doc, "$.timestamp", "double") * 1_000_000).cast("long")),
-                       F.try_variant_get(doc, "$.timestamp", "timestamp"), F.col(arrived))
+    stamp = F.coalesce(json_timestamp(doc), F.col(arrived))
     is_clf = text.rlike(CLF)
     empty = F.create_map().cast("map<string,string>")
     clf = {g: F.regexp_extract(text, CLF, g) for g in (1, 5, 6, 8)}
