@@ -140,7 +140,7 @@ def batch_predict(df: DataFrame, inputs: Sequence[str], load_model: Callable[[],
     return df.withColumn(output, predict(*[F.col(c) for c in inputs]))
 
 
-def inference_metrics(batches: DataFrame, keys: Sequence[str], order: Sequence[str], bucket) -> DataFrame:
+def inference_metrics(batches: DataFrame, keys: Sequence[str], order: Sequence[str], bucket=None) -> DataFrame:
     """Per served batch (size, latency_ms): running mean latency (0.9 / 0.1, from zero) and items per second."""
     from opslake.operators.folds import ewma
 

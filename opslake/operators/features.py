@@ -150,12 +150,14 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, stratum: str | None, row_key: Sequence[str], test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(train, test): in every stratum the first round(n * share) rows by hash of the row key are test rows.
 
-    Rows are ranked inside slices of the hash range, so a large stratum is spread over the cluster.
+    Rows are ranked inside slices of the hash range; the slices get finer as the strata grow.
     """
     keys = [stratum] if stratum else []
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])))
     sizes = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
-    slice_no = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("long")
+    largest = sizes.agg(F.max("_size")).first()[0] or 1
+    digits = next((d for d in range(1, 8) if largest / 16 ** d <= 100_000), 8)
+    slice_no = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("long")
     placed = ranked(hashed, keys, [F.col("_hash"), *[F.col(c) for c in row_key]], slice_no, "_rank")
     judged = attach(placed, sizes, keys).withColumn("_test", F.col("_rank") <= F.round(F.col("_size") * test_share))
     judged = judged.drop("_hash", "_rank", "_size")
@@ -185,10 +187,9 @@ def encode_text(df: DataFrame, encoders: Sequence[str]) -> DataFrame:
 def prepare(df: DataFrame, encoders: Sequence[str] = ()) -> DataFrame:
     """Clean, scale, encode, add time features, check for nulls and narrow the types.
 
-    The cleaned rows are staged: the statistics of the later steps read them instead of repeating the
-    duplicate removal.
+    The rows are staged after duplicate removal and after encoding; the steps between are projections
+    and filters with literal bounds, so their statistics read the staged rows.
     """
-    clean = staged(iqr_filter(staged(impute(staged(dedupe_exact(df))))))
-    scaled, _ = zscore(clean)
+    scaled, _ = zscore(iqr_filter(impute(staged(dedupe_exact(df)))))
     encoded = time_features(encode_text(scaled, encoders), *datetime_columns(scaled))
     return narrow_types(require_no_nulls(staged(encoded)))

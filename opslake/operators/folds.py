@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.operators.ordered import chunked_fold
+from opslake.operators.ordered import chunked_fold, fit_time
 
 _NEVER = np.iinfo(np.int64).min // 2
 
@@ -39,13 +39,14 @@ def _entry_steps(at: np.ndarray, wait: np.ndarray):
 
 
 def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligible: Column, wait_s: Column,
-                    bucket: Column) -> DataFrame:
+                    bucket: Column | None = None) -> DataFrame:
     """Replay "act, then wait" per key.
 
     An ``eligible`` row acts when at least ``wait_s`` seconds (of that row) have passed since the
     key's last action. Adds ``acted`` and ``last_action`` (the action before this row, or null).
     """
     fields = df.schema
+    bucket = fit_time(df, keys, ts) if bucket is None else bucket
     work = (
         df.withColumn("_at", F.unix_micros(ts)).withColumn("_ok", F.coalesce(eligible, F.lit(False)))
         .withColumn("_wait", (wait_s.cast("double") * 1_000_000).cast("long"))
@@ -117,14 +118,15 @@ def _decayed(x: np.ndarray, decay: float, start: float) -> np.ndarray:
     return out
 
 
-def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column,
+def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, bucket: Column | None = None,
          decay: float = 0.95, seed_with_first: bool = True, name: str = "ewma") -> DataFrame:
-    """Exponentially weighted average per key after every row.
+    """Exponentially weighted average per key after every row; ``order`` starts with a timestamp.
 
     With ``seed_with_first`` an average of zero takes the next value as it is; otherwise it starts
     from zero. Values are expected not to be negative (latencies).
     """
     fields = df.schema
+    bucket = fit_time(df, keys, order[0]) if bucket is None else bucket
 
     def run(x, start):
         if seed_with_first and start == 0:

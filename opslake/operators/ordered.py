@@ -24,6 +24,11 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Widths tried by fit_time (seconds) and fit_range, widest first.
+TIME_WIDTHS = (315_360_000, 2_592_000, 86_400, 3_600, 60, 1)
+RANGE_WIDTHS = (10 ** 12, 10 ** 9, 10 ** 8, 10 ** 7, 10 ** 6, 10 ** 5, 10 ** 4, 10 ** 3)
+
+
 def by_time(ts: ColumnLike, seconds: int = 3600) -> Column:
     """Bucket of neighbouring rows for data ordered by a timestamp."""
     return F.floor(F.unix_seconds(_col(ts)) / F.lit(seconds)).cast("long")
@@ -34,6 +39,33 @@ def by_range(number: ColumnLike, width: int = 1_000_000) -> Column:
     return F.floor(_col(number) / F.lit(width)).cast("long")
 
 
+def _widest(df: DataFrame, keys: Sequence[str], number: Column, widths: Sequence[int], max_rows: int) -> int:
+    """The widest bucket that holds at most ``max_rows`` rows of any key; one counting job per step."""
+    for tried in (widths[:-1], widths[-1:]):
+        cells = df.groupBy(*keys, F.floor(number / F.lit(tried[-1])).cast("long").alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        wider = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.floor(F.col("_cell") * tried[-1] / F.lit(w)).alias("b"))
+                          for w in tried])
+        fullest = (
+            cells.select(*keys, "_n", F.inline(wider)).groupBy(*keys, "w", "b").agg(F.sum("_n").alias("_n"))
+            .groupBy("w").agg(F.max("_n").alias("_n"))
+        )
+        fitting = [r["w"] for r in fullest.collect() if r["_n"] <= max_rows]
+        if fitting:
+            return max(fitting)
+    return widths[-1]
+
+
+def fit_time(df: DataFrame, keys: Sequence[str], ts: ColumnLike, max_rows: int = 1_000_000) -> Column:
+    """Time bucket wide enough to be worth a task and narrow enough for the busiest key."""
+    return by_time(ts, _widest(df, keys, F.unix_seconds(_col(ts)), TIME_WIDTHS, max_rows))
+
+
+def fit_range(df: DataFrame, keys: Sequence[str], number: ColumnLike, max_rows: int = 1_000_000) -> Column:
+    """Like :func:`fit_time` for data ordered by a number."""
+    return by_range(number, _widest(df, keys, _col(number), RANGE_WIDTHS, max_rows))
+
+
 def attach(df: DataFrame, summary: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
     """Join a summary onto ``df`` by null-safe equality on ``names``.
 
@@ -46,24 +78,29 @@ def attach(df: DataFrame, summary: DataFrame, names: Sequence[str], how: str = "
     return df.join(other, same, how).drop(*[f"_r_{n}" for n in names])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-           name: str = "rank") -> DataFrame:
-    """Exact 1-based row number per key. ``bucket`` must not decrease along ``order``."""
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, amount: Column,
+                  name: str) -> DataFrame:
+    """Exact running sum per key, this row included. ``bucket`` must not decrease along ``order``."""
     keys = list(keys)
     tagged = df.withColumn("_bucket", bucket)
     per_key = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged(
-        tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        tagged.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_n"))
         .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(per_key), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         attach(tagged, offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
+        .withColumn(name, F.col("_before") + F.sum(amount).over(inside))
         .drop("_bucket", "_before")
     )
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "rank") -> DataFrame:
+    """Exact 1-based row number per key. ``bucket`` must not decrease along ``order``."""
+    return running_total(df, keys, order, bucket, F.lit(1), name)
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                   columns: dict[str, str]) -> DataFrame:
     """Add the previous row's values per key; ``columns`` maps source column to new column."""
@@ -82,22 +119,28 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         "_bucket", "_carry", "_prev")
 
 
-def rolling(df: DataFrame, keys: Sequence[str], rank: str, rows: int, aggregates: dict[str, Callable],
-            chunk: int = 100_000) -> DataFrame:
-    """Aggregates over the last ``rows`` rows, given an exact ``rank`` per key (see :func:`ranked`).
+def overlapping(df: DataFrame, rank: str, rows: int, chunk: int = 100_000) -> DataFrame:
+    """Cut keys into chunks of consecutive ranks (``_chunk``), given an exact ``rank`` per key.
 
-    Keys are cut into chunks of consecutive ranks; the last ``rows - 1`` rows of a chunk are also
-    sent to the next one, so every frame is complete inside its chunk. ``aggregates`` maps an output
-    name to a function that takes the window and returns a Column.
+    The last ``rows - 1`` rows of a chunk are also sent to the next one, so a frame of ``rows`` rows is
+    complete inside each chunk; a copy is recognised by ``_home`` differing from ``_chunk``.
     """
     chunk = max(chunk, rows)
     position = (F.col(rank) - 1) % F.lit(chunk)
     home = F.floor((F.col(rank) - 1) / F.lit(chunk)).cast("long")
     copies = F.when(position >= chunk - rows + 1, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
+    return df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
+
+
+def rolling(df: DataFrame, keys: Sequence[str], rank: str, rows: int, aggregates: dict[str, Callable],
+            chunk: int = 100_000) -> DataFrame:
+    """Aggregates over the last ``rows`` rows, given an exact ``rank`` per key (see :func:`ranked`).
+
+    ``aggregates`` maps an output name to a function that takes the window and returns a Column.
+    """
     w = Window.partitionBy(*keys, "_chunk").orderBy(rank).rowsBetween(-(rows - 1), 0)
     return (
-        spread.select("*", *[fn(w).alias(name) for name, fn in aggregates.items()])
+        overlapping(df, rank, rows, chunk).select("*", *[fn(w).alias(name) for name, fn in aggregates.items()])
         .filter(F.col("_chunk") == F.col("_home"))
         .drop("_chunk", "_home")
     )
@@ -133,19 +176,20 @@ def _quantile(total: Column, q: float, values: list[Column]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quantiles: dict[str, tuple],
-                    small_group: int = 100_000, per_octave: int = 256) -> DataFrame:
+                    small_group: int = 100_000, per_octave: int = 256, largest: int | None = None) -> DataFrame:
     """Exact quantiles per key.
 
     ``quantiles`` maps an output column to ``(q, kind)``; kind is ``"disc"`` (smallest value whose
     share is at least q), ``"desc"`` (element at floor(n * (1 - q)) of the descending values) or
     ``"cont"`` (linear interpolation). Null values are ignored; a key with no values gets no row.
 
-    The largest group is counted first. Up to ``small_group`` values are sorted as one array per key;
+    The largest group is counted first, unless the caller knows it (``largest``). Up to ``small_group`` values are sorted as one array per key;
     beyond that the groups stay spread over the cluster, see :func:`_banded_quantiles`.
     """
     keys = list(keys)
     base = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest > small_group:
         return _banded_quantiles(base, keys, quantiles, per_octave)
     sorted_values = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_all"))

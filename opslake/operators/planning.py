@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.operators.folds import cooldown_replay
-from opslake.operators.ordered import attach, exact_quantiles, ranked, rolling
+from opslake.operators.ordered import attach, exact_quantiles, fit_time, overlapping, ranked, rolling
 from opslake.session import staged
 
 
@@ -78,10 +79,11 @@ def resource_penalty(usage: Column) -> Column:
     return F.aggregate(F.map_values(usage), F.lit(0.0), step)
 
 
-def reward_dynamic_weights(states: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                           goals: SlaGoals = SlaGoals(), warmup: int = 300, recent: int = 100) -> DataFrame:
+def reward_dynamic_weights(states: DataFrame, keys: Sequence[str], order: Sequence[str], goals: SlaGoals = SlaGoals(),
+                           warmup: int = 300, recent: int = 100, bucket: Column | None = None) -> DataFrame:
     """Add ``w_<metric>``: weights raised by 1 + tanh((mean - target) / std) of the last ``recent`` rows,
     then normalised. Until ``warmup`` rows exist the configured weights apply."""
+    bucket = fit_time(states, keys, order[0]) if bucket is None else bucket
     placed = ranked(states, keys, [F.col(c) for c in order], bucket, "_rank")
     stats = {}
     for name, column in STATE_COLUMNS.items():
@@ -106,19 +108,16 @@ def sla_reward(states: DataFrame, goals: SlaGoals = SlaGoals(), usage: str = "us
                          *[v.alias(f"{n}_violation") for n, v in violations(goals).items()])
 
 
-def latency_p95(states: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str = "latency_ms",
-                last: int = 1000, q: float = 0.95, chunk: int = 100_000) -> DataFrame:
+def latency_p95(states: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "latency_ms", last: int = 1000,
+                q: float = 0.95, chunk: int = 100_000, bucket: Column | None = None) -> DataFrame:
     """Interpolated quantile over the last ``last`` rows after every row.
 
     Chunks of consecutive rows with the overlap of one frame are handled on their own, so a long
     history of one key is spread over tasks.
     """
+    bucket = fit_time(states, keys, order[0]) if bucket is None else bucket
     placed = ranked(states, keys, [F.col(c) for c in order], bucket, "_rank")
-    chunk = max(chunk, last)
-    position = (F.col("_rank") - 1) % chunk
-    home = F.floor((F.col("_rank") - 1) / chunk).cast("long")
-    spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(
-        F.when(position >= chunk - last + 1, F.array(home, home + 1)).otherwise(F.array(home))))
+    spread = overlapping(placed, "_rank", last, chunk)
     fields = states.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,8 +136,9 @@ def desired_replicas(current: Column, cpu: Column, queue: Column, target: float
     return F.greatest(F.least(wanted, F.lit(high)), F.lit(low))
 
 
-def autoscale_replay(states: DataFrame, keys: Sequence[str], ts: str, tie: str, bucket: Column, desired: str = "desired",
-                     current: str = "current_replicas", high: int = 10, up_wait: int = 300, down_wait: int = 600) -> DataFrame:
+def autoscale_replay(states: DataFrame, keys: Sequence[str], ts: str, tie: str, desired: str = "desired",
+                     current: str = "current_replicas", high: int = 10, up_wait: int = 300, down_wait: int = 600,
+                     bucket: Column | None = None) -> DataFrame:
     """Scaling decisions over time with cooldowns: none at zero replicas, ``up_wait`` below the maximum,
     else ``down_wait`` seconds. Adds ``acted``, ``last_action`` and ``direction``."""
     wait = F.when(F.col(current) == 0, 0).when(F.col(current) < high, up_wait).otherwise(down_wait)
@@ -146,59 +146,54 @@ def autoscale_replay(states: DataFrame, keys: Sequence[str], ts: str, tie: str,
     return out.withColumn("direction", F.when(F.col("acted"), F.when(F.col(desired) > F.col(current), "up").otherwise("down")))
 
 
-def cost_plan(instances: DataFrame, scenarios: DataFrame, spot_below: float = 0.9) -> DataFrame:
+def cost_plan(instances: DataFrame, scenarios: DataFrame, spot_below: float = 0.9, at_once: int = 50) -> DataFrame:
     """Greedy purchase per scenario (scenario, max_budget, reliability, min_performance).
 
     Instance types go by price per vCPU, then name. The first one whose price is over the rest of the
-    budget ends the plan; otherwise as many as fit are bought, at spot price if the scenario allows
-    it. Only types that could be affordable at all enter, and among equals in price, spot price and
-    vCPUs nothing is merged, so the order stays the literal one.
-    """
-    catalogue = instances.select("instance_type", "price", "spot_price", "vcpus",
-                                 (F.col("price") / F.col("vcpus")).alias("_rate"))
-    return _greedy(catalogue, scenarios, spot_below)
-
-
-def _greedy(catalogue: DataFrame, scenarios: DataFrame, spot_below: float) -> DataFrame:
-    """Fold of :func:`cost_plan` in the order of the catalogue, as rounds of whole-table passes.
+    budget ends the plan; otherwise as many as fit are bought, at spot price if the scenario allows it.
 
-    After a purchase the rest of the budget is below the price just paid, so every later purchase
-    needs a lower price: a plan has few purchases, and each is found with one aggregation.
+    Scenarios are configuration and held on the driver. After a purchase less than its price is left,
+    so a plan has few purchases; each round finds the next one of every open scenario with a single
+    aggregation over the catalogue, ``at_once`` scenarios together.
     """
-    state = scenarios.select(
-        "scenario", "max_budget", "reliability", F.lit(0.0).alias("spent"), F.lit(0).cast("long").alias("vcpus"),
-        F.lit(-1.0).alias("_rate"), F.lit("").alias("_last"), F.array().cast(
-            "array<struct<instance_type:string,count:long,price:double>>").alias("plan"))
-    state = staged(state)
-    finished = []
-    while True:
-        left = F.col("max_budget") - F.col("spent")
-        later = (F.col("_c._rate") > F.col("_rate")) | ((F.col("_c._rate") == F.col("_rate")) & (F.col("_c.instance_type") > F.col("_last")))
-        offers = catalogue.select(F.struct("*").alias("_c"))
-        seen = F.broadcast(state).join(offers, later)
-        pays = F.when((F.col("_c.spot_price") > 0) & (F.col("reliability") < spot_below), F.col("_c.spot_price")).otherwise(F.col("_c.price"))
-        at = F.struct(F.col("_c._rate").alias("rate"), F.col("_c.instance_type").alias("name"))
-        first = seen.groupBy("scenario").agg(
-            F.min(F.when(F.col("spent") + F.col("_c.price") > F.col("max_budget"), at)).alias("_stop"),
-            F.min(F.when(F.floor(left / pays) >= 1, F.struct(at.alias("at"), pays.alias("price"), F.col("_c.vcpus").alias("v")))).alias("_buy"))
-        stepped = state.join(first, "scenario", "left")
-        buys = F.col("_buy").isNotNull() & (F.col("_stop").isNull() | (F.col("_buy.at") < F.col("_stop")))
-        stepped = staged(stepped.withColumn("_go", F.coalesce(buys, F.lit(False))))
-        finished.append(stepped.filter("NOT _go").drop("_stop", "_buy", "_go"))
-        count = F.floor(left / F.col("_buy.price")).cast("long")
-        state = staged(stepped.filter("_go").select(
-            "scenario", "max_budget", "reliability", (F.col("spent") + F.col("_buy.price") * count).alias("spent"),
-            (F.col("vcpus") + F.col("_buy.v") * count).alias("vcpus"), F.col("_buy.at.rate").alias("_rate"),
-            F.col("_buy.at.name").alias("_last"),
-            F.concat("plan", F.array(F.struct(F.col("_buy.at.name").alias("instance_type"), count.alias("count"),
-                                              F.col("_buy.price").alias("price")))).alias("plan")))
-        if state.isEmpty():
-            break
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out.drop("_rate", "_last").join(scenarios.select("scenario", "min_performance"), "scenario").withColumn(
-        "meets_performance", F.col("vcpus") >= F.col("min_performance"))
+    offers = instances.select("instance_type", "price", "spot_price", "vcpus", (F.col("price") / F.col("vcpus")).alias("rate"))
+    plans = [{**r.asDict(), "spent": 0.0, "vcpus": 0, "plan": [], "at": (-1.0, "")} for r in scenarios.select(
+        "scenario", "max_budget", "reliability", "min_performance").collect()]
+    still_open = list(plans)
+    while still_open:
+        following = []
+        for first in range(0, len(still_open), at_once):
+            group = still_open[first:first + at_once]
+            found = offers.agg(*[c for i, p in enumerate(group) for c in _next_purchase(p, i, spot_below)]).first()
+            for i, p in enumerate(group):
+                stop, buy = found[f"stop{i}"], found[f"buy{i}"]
+                if buy is None or (stop is not None and tuple(stop) <= tuple(buy["at"])):
+                    continue
+                count = math.floor((p["max_budget"] - p["spent"]) / buy["pays"])
+                p["plan"].append((buy["at"]["name"], count, buy["pays"]))
+                p["spent"] += buy["pays"] * count
+                p["vcpus"] += buy["vcpus"] * count
+                p["at"] = tuple(buy["at"])
+                following.append(p)
+        still_open = following
+    rows = [(p["scenario"], p["max_budget"], p["spent"], p["vcpus"], p["vcpus"] >= p["min_performance"], p["plan"]) for p in plans]
+    return instances.sparkSession.createDataFrame(
+        rows, "scenario string, max_budget double, spent double, vcpus long, meets_performance boolean, "
+              "plan array<struct<instance_type:string,count:long,price:double>>")
+
+
+def _next_purchase(plan: dict, number: int, spot_below: float) -> list[Column]:
+    """Aggregates over the catalogue: where the plan would stop, and what it would buy next."""
+    rate, name = plan["at"]
+    later = (F.col("rate") > rate) | ((F.col("rate") == rate) & (F.col("instance_type") > name))
+    pays = F.col("price")
+    if plan["reliability"] < spot_below:
+        pays = F.when(F.col("spot_price") > 0, F.col("spot_price")).otherwise(F.col("price"))
+    at = F.struct("rate", F.col("instance_type").alias("name"))
+    over = F.col("price") + plan["spent"] > plan["max_budget"]
+    fits = F.floor(F.lit(plan["max_budget"] - plan["spent"]) / pays) >= 1
+    return [F.min(F.when(later & over, at)).alias(f"stop{number}"),
+            F.min(F.when(later & fits, F.struct(at.alias("at"), pays.alias("pays"), "vcpus"))).alias(f"buy{number}")]
 
 
 def spot_price_summary(prices: DataFrame, keys: Sequence[str], price: str = "price", seen_at: str = "seen_at") -> DataFrame:

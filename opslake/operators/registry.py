@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslake.operators.ordered import fit_range, running_total
 from opslake.operators.tables import map_field, metadata_filter
 from opslake.session import staged
 
@@ -47,13 +48,12 @@ def least_loaded(nodes: DataFrame, keys: Sequence[str] = ("service",), panic: fl
 
 def wrr_slots(nodes: DataFrame, keys: Sequence[str] = ("service",), panic: float = 0.2) -> DataFrame:
     """(key, slot, node_id, total): a node takes as many consecutive slots as its weight."""
-    nodes = _candidates(nodes, keys, panic).filter("weight > 0")
-    per_key = Window.partitionBy(*keys)
-    running = per_key.orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = nodes.select(*keys, "node_id", "weight", F.sum("weight").over(running).alias("_end"),
-                          F.sum("weight").over(per_key).alias("total"))
-    return ranges.select(*keys, "node_id", "total",
-                         F.explode(F.sequence(F.col("_end") - F.col("weight"), F.col("_end") - 1)).alias("slot"))
+    keys = list(keys)
+    nodes = staged(_candidates(nodes, keys, panic).filter("weight > 0").select(*keys, "node_no", "node_id", "weight"))
+    ranges = running_total(nodes, keys, [F.col("node_no")], fit_range(nodes, keys, "node_no"), F.col("weight"), "_end")
+    totals = nodes.groupBy(*keys).agg(F.sum("weight").alias("total"))
+    return ranges.join(totals, keys).select(
+        *keys, "node_id", "total", F.explode(F.sequence(F.col("_end") - F.col("weight"), F.col("_end") - 1)).alias("slot"))
 
 
 def wrr_assign(requests: DataFrame, nodes: DataFrame, number: str, keys: Sequence[str] = ("service",),

@@ -29,8 +29,8 @@ def threat_sources(access: DataFrame, min_requests: int = 1000, min_endpoints: i
     return totals.filter((F.col("request_count") > min_requests) & (F.col("unique_endpoints") > min_endpoints))
 
 
-def firewall_blocks(access: DataFrame, policies: list[dict], bucket: Column, block_s: int = 3600,
-                    source: str = "source_ip", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def firewall_blocks(access: DataFrame, policies: list[dict], block_s: int = 3600, source: str = "source_ip",
+                    ts: str = "ts", tie: str = "event_id", bucket: Column | None = None) -> DataFrame:
     """Final decision per request.
 
     A denial by a policy blocks its source for ``block_s`` seconds; requests inside are blocked

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslake.operators.ordered import fit_range, with_previous
+
 
 def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_id", version: str = "version",
                      order: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -207,11 +209,10 @@ TRANSITIONS = [("CREATED", "INITIALIZED"), ("CREATED", "ERROR"), ("INITIALIZED",
                ("PAUSED", "STOPPED"), ("ERROR", "STOPPED")]
 
 
-def illegal_transitions(log: DataFrame, bucket: Column, key: str = "agent_id", order: str = "seq", state: str = "state",
-                        initial: str = "CREATED") -> DataFrame:
+def illegal_transitions(log: DataFrame, key: str = "agent_id", order: str = "seq", state: str = "state",
+                        initial: str = "CREATED", bucket: Column | None = None) -> DataFrame:
     """Moves in a lifecycle log that are not allowed; the first state follows ``initial``."""
-    from opslake.operators.ordered import with_previous
-
+    bucket = fit_range(log, [key], order) if bucket is None else bucket
     moves = with_previous(log, [key], [order], bucket, {state: "previous"}).withColumn(
         "previous", F.coalesce("previous", F.lit(initial)))
     legal = reduce(operator.or_, [(F.col("previous") == a) & (F.col(state) == b) for a, b in TRANSITIONS])

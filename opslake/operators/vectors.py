@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslake.session import staged
+
 RESULT = "query_id string, id string, distance double"
 
 
@@ -25,18 +27,25 @@ def prepare_vectors(df: DataFrame, dim: int, vec_id: str = "id", embedding: str
 
 def _nearest(ids: np.ndarray, dist: np.ndarray, k: int):
     """The k smallest distances, ties by id."""
+    near = np.arange(len(dist))
     if len(dist) > k:
-        cut = np.partition(dist, k - 1)[k - 1]
-        near = np.flatnonzero(dist <= cut)
-    else:
-        near = np.arange(len(dist))
+        near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
     order = np.lexsort((ids[near], dist[near]))[:k]
     return ids[near][order], dist[near][order]
 
 
+def _squares(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs by one matrix product; exact up to rounding."""
+    return (vectors ** 2).sum(1)[:, None] - 2 * vectors @ points.T + (points ** 2).sum(1)[None, :]
+
+
 def _search(base: DataFrame, rows: list, k: int, candidates) -> DataFrame:
     """Top k per query. Every task keeps k rows per query while it reads its vectors, so no pairs are
-    shuffled; ``candidates(vectors)(query_no)`` marks the vectors a query looks at."""
+    shuffled; ``candidates(matrix)(vectors)(query_no)`` gives the vectors a query looks at.
+
+    A matrix product rules out most vectors of a batch; the others get their distance from the
+    differences, so that results do not depend on the batches.
+    """
     names = [r["id"] for r in rows]
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     shared = base.sparkSession.sparkContext.broadcast((names, matrix, candidates(matrix) if candidates else None))
@@ -48,15 +57,19 @@ def _search(base: DataFrame, rows: list, k: int, candidates) -> DataFrame:
             if not len(pdf):
                 continue
             ids = pdf["id"].to_numpy(dtype=object)
-            vectors = np.array(pdf["embedding"].tolist(), dtype=np.float64)
+            vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             chosen = candidates(vectors) if candidates else None
+            rough = _squares(vectors, matrix)
+            slack = 1e-9 * (1 + (vectors ** 2).sum(1).max() + (matrix ** 2).sum(1).max())
             for q, query in enumerate(matrix):
-                rows = slice(None) if chosen is None else np.flatnonzero(chosen(q))
-                part, part_ids = vectors[rows], ids[rows]
-                if not len(part_ids):
-                    continue
-                dist = np.sqrt(((part - query) ** 2).sum(axis=1))
-                best[q] = _nearest(np.r_[best[q][0], part_ids], np.r_[best[q][1], dist], k)
+                look = np.arange(len(ids)) if chosen is None else chosen(q)
+                if len(best[q][1]) == k:
+                    look = look[rough[look, q] <= best[q][1][-1] ** 2 + slack]
+                if len(look) > k:
+                    look = look[rough[look, q] <= np.partition(rough[look, q], k - 1)[k - 1] + 2 * slack]
+                if len(look):
+                    dist = np.sqrt(((vectors[look] - query) ** 2).sum(axis=1))
+                    best[q] = _nearest(np.r_[best[q][0], ids[look]], np.r_[best[q][1], dist], k)
         for name, (ids, dist) in zip(names, best):
             if len(ids):
                 yield pd.DataFrame({"query_id": name, "id": ids, "distance": dist})
@@ -70,11 +83,16 @@ def _search(base: DataFrame, rows: list, k: int, candidates) -> DataFrame:
 
 def _in_blocks(base: DataFrame, queries: DataFrame, k: int, candidates, max_queries: int) -> DataFrame:
     """Run the search for blocks of about ``max_queries`` queries, so what is broadcast stays bounded."""
-    blocks = max(1, math.ceil(queries.count() / max_queries))
+    queries = queries.select("id", "embedding")
+    rows = queries.limit(max_queries + 1).collect()
+    if len(rows) <= max_queries:
+        return _search(base, rows, k, candidates)
+    queries = staged(queries)
+    blocks = math.ceil(queries.count() / max_queries)
     out = None
     for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        found = _search(base, part.select("id", "embedding").collect(), k, candidates)
+        part = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        found = _search(base, part.collect(), k, candidates)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -89,10 +107,6 @@ def knn_exact(base: DataFrame, queries: DataFrame, k: int = 10, keep: Column | N
     return _in_blocks(base, queries, k, None, max_queries)
 
 
-def _closest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((vectors ** 2).sum(1)[:, None] - 2 * vectors @ centres.T + (centres ** 2).sum(1)[None, :])
-
-
 def ivf_centres(base: DataFrame, nlist: int = 16_384, seed: int = 1, max_iter: int = 10) -> np.ndarray:
     """Cluster centres of the collection; ``nlist`` is scaled down to the square root of its size."""
     from pyspark.ml.clustering import KMeans
@@ -113,11 +127,11 @@ class _IvfLists:
 
     def __init__(self, centres, queries, nprobe):
         self.centres = centres
-        self.probes = np.argsort(_closest(queries, centres), axis=1, kind="stable")[:, :nprobe]
+        self.probes = np.argsort(_squares(queries, centres), axis=1, kind="stable")[:, :nprobe]
 
     def __call__(self, vectors):
-        home = _closest(vectors, self.centres).argmin(axis=1)
-        return lambda q: np.isin(home, self.probes[q])
+        home = _squares(vectors, self.centres).argmin(axis=1)
+        return lambda q: np.flatnonzero(np.isin(home, self.probes[q]))
 
 
 class _LshTables:
@@ -135,7 +149,7 @@ class _LshTables:
 
     def __call__(self, vectors):
         mine = self.codes(vectors)
-        return lambda q: (mine == self.queries[q]).all(axis=2).any(axis=1)
+        return lambda q: np.flatnonzero((mine == self.queries[q]).all(axis=2).any(axis=1))
 
 
 def knn_ivf(base: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 128, nlist: int = 16_384, seed: int = 1,

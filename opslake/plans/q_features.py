@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opslake.functions.scalars import time_features
-from opslake.operators import anomaly, features, logs, ordered, vectors
+from opslake.operators import anomaly, features, logs, vectors
 from opslake.plans.catalog import query
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -183,5 +183,5 @@ SELECT f.event_id, round(e + 0.0000000337, 6) AS avg_latency, round(32 / (latenc
 def _(t):
     served = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit("model").alias("model"),
                                 F.lit(32).alias("size"), F.col("value").alias("latency_ms"))
-    out = anomaly.inference_metrics(served, ["model"], ["ts", "event_id"], ordered.by_time("ts", 86400))
+    out = anomaly.inference_metrics(served, ["model"], ["ts", "event_id"])
     return out.select("event_id", F.round(F.col("avg_latency") + 0.0000000337, 6).alias("avg_latency"), _r("throughput", 4))

@@ -205,8 +205,9 @@ def _(t):
 q AS (SELECT event_id, service, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) AS k FROM v_requests)
 SELECT event_id, q.service, k, node_id FROM q JOIN r ON r.service = q.service AND k % total >= hi - weight AND k % total < hi""")
 def _(t):
-    numbered = ordered.ranked(t("v_requests").select("event_id", "service", "ts"), ["service"],
-                              [F.col("ts"), F.col("event_id")], ordered.by_time("ts", 86400), "k")
+    requests = t("v_requests").select("event_id", "service", "ts")
+    numbered = ordered.ranked(requests, ["service"], [F.col("ts"), F.col("event_id")],
+                              ordered.fit_time(requests, ["service"], "ts"), "k")
     return registry.wrr_assign(numbered, t("v_nodes"), "k").select("event_id", "service", "k", "node_id")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opslake.operators import folds, ordered, planning
+from opslake.operators import folds, planning
 from opslake.plans.catalog import query
 
 
@@ -60,14 +60,14 @@ def _(t):
     states = t("v_system_states").withColumns({"latency_ms": F.least("latency_ms", F.lit(250.0)),
                                                "throughput_rps": F.col("throughput_rps") / 1000})
     goals = planning.SlaGoals(throughput_rps=(1, 0.5))
-    out = planning.reward_dynamic_weights(states, ["service"], ["ts", "event_id"], ordered.by_time("ts", 86400), goals, warmup=60)
+    out = planning.reward_dynamic_weights(states, ["service"], ["ts", "event_id"], goals, warmup=60)
     return out.select("event_id", *[F.round(f"w_{n}", 6).alias(f"w_{n}") for n in goals.weights])
 
 
 @query("latency_p95", """SELECT event_id, service, round(quantile_cont(latency_ms, 0.95) OVER (PARTITION BY service
 ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6) AS latency_p95 FROM v_system_states""")
 def _(t):
-    out = planning.latency_p95(t("v_system_states"), ["service"], ["ts", "event_id"], ordered.by_time("ts", 86400))
+    out = planning.latency_p95(t("v_system_states"), ["service"], ["ts", "event_id"])
     return out.select("event_id", "service", F.round("latency_p95", 6).alias("latency_p95"))
 
 
@@ -79,7 +79,7 @@ f AS (SELECT service, n, event_id, latency AS e FROM o WHERE n = 1
 SELECT event_id, service, round(e + {_OFF}, 6) AS ewma FROM f""")
 def _(t):
     rows = t("v_requests").select("event_id", "service", "ts", "latency")
-    out = folds.ewma(rows, ["service"], ["ts", "event_id"], "latency", ordered.by_time("ts", 86400))
+    out = folds.ewma(rows, ["service"], ["ts", "event_id"], "latency")
     return out.select("event_id", "service", F.round(F.col("ewma") + _OFF, 6).alias("ewma"))
 
 
@@ -105,7 +105,7 @@ FROM f JOIN o ON o.event_id = f.event_id""")
 def _(t):
     states = t("v_system_states").withColumn("desired", planning.desired_replicas(
         F.col("current_replicas"), F.col("cpu"), F.col("memory") * 2))
-    out = planning.autoscale_replay(states, ["service"], "ts", "event_id", ordered.by_time("ts", 86400))
+    out = planning.autoscale_replay(states, ["service"], "ts", "event_id")
     return out.select("event_id", "service", "acted", "direction")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions import scalars as S
 from opslake.functions import tokens
-from opslake.operators import ordered, rules, security
+from opslake.operators import rules, security
 from opslake.plans.catalog import query
 
 EPOCH = 1706659200
@@ -42,7 +42,7 @@ SELECT event_id, CASE WHEN acted OR coalesce(epoch_us(ts) - last_at < 3600000000
   CASE WHEN coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason,
   CASE WHEN NOT coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN rule END AS rule_id FROM k""")
 def _(t):
-    out = security.firewall_blocks(t("v_access"), POLICIES, ordered.by_time("ts", 86400))
+    out = security.firewall_blocks(t("v_access"), POLICIES)
     return out.select("event_id", "decision", "reason", "rule_id")
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opslake.functions import scalars as S
-from opslake.operators import ordered, queues, tables
+from opslake.operators import queues, tables
 from opslake.plans.catalog import query
 
 AS_OF = dt.datetime(2001, 8, 2)
@@ -198,7 +198,7 @@ SELECT agent_id, seq, previous, state FROM m WHERE previous || '>' || state NOT
  'INITIALIZED>RUNNING', 'INITIALIZED>STOPPED', 'RUNNING>PAUSED', 'RUNNING>STOPPED', 'RUNNING>ERROR', 'PAUSED>RUNNING',
  'PAUSED>STOPPED', 'ERROR>STOPPED')""")
 def _(t):
-    out = tables.illegal_transitions(t("v_lifecycle"), ordered.by_range("seq", 1000))
+    out = tables.illegal_transitions(t("v_lifecycle"))
     return out.select("agent_id", "seq", "previous", "state")
 
 
