@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,57 +52,58 @@ def defined_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(known, ["dag_id", "depends_on"], "left_semi").select("dag_id", "node_id", "depends_on").distinct()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Topological level of every node (0 without dependencies); null for nodes on or behind a cycle.
 
-    All workflows advance together, one round per level: the edges of the nodes settled last are
-    removed, and nodes without remaining edges are settled next. Every round shrinks the edge table.
+    All workflows advance together, one round per level. The table of open nodes with their number of
+    open dependencies shrinks from round to round and is the only thing written.
     """
-    ids = nodes.select("dag_id", "node_id").distinct()
-    remaining = staged(defined_edges(nodes, edges))
-    settled = staged(ids.join(remaining, ["dag_id", "node_id"], "left_anti").withColumn("level", F.lit(0)))
-    done = [settled]
-    for level in range(1, max_rounds + 1):
-        if settled.isEmpty():
-            break
-        last = settled.select("dag_id", F.col("node_id").alias("depends_on"))
-        touched = remaining.join(last, ["dag_id", "depends_on"], "left_semi").select("dag_id", "node_id").distinct()
-        left = staged(remaining.join(last, ["dag_id", "depends_on"], "left_anti"))
-        settled = staged(touched.join(left, ["dag_id", "node_id"], "left_anti").withColumn("level", F.lit(level)))
-        done.append(settled)
-        remaining = left
-    else:
-        if not settled.isEmpty():
-            raise TooManyRounds(f"more than {max_rounds} levels")
-    levels = done[0]
-    for part in done[1:]:
-        levels = levels.unionByName(part)
-    return ids.join(levels, ["dag_id", "node_id"], "left")
+    names = ["dag_id", "node_id"]
+    needs = staged(defined_edges(nodes, edges))
+    counts = needs.groupBy(*names).agg(F.count(F.lit(1)).alias("_open"))
+    state = staged(nodes.select(*names).distinct().join(counts, names, "left").withColumn("_open", F.coalesce("_open", F.lit(0))))
+    done: list[DataFrame] = []
+    for level in range(max_rounds + 1):
+        ready = state.filter("_open = 0")
+        if ready.isEmpty():
+            stuck = state.select(*names, F.lit(None).cast("int").alias("level"))
+            return _union([*done, stuck])
+        done.append(ready.select(*names, F.lit(level).alias("level")))
+        if len(done) > 50:
+            done = [staged(_union(done))]
+        closed = (
+            needs.join(ready.select("dag_id", F.col("node_id").alias("depends_on")), ["dag_id", "depends_on"])
+            .groupBy(*names).agg(F.count(F.lit(1)).alias("_closed"))
+        )
+        state = staged(state.filter("_open > 0").join(closed, names, "left").select(
+            *names, (F.col("_open") - F.coalesce("_closed", F.lit(0))).alias("_open")))
+    raise TooManyRounds(f"more than {max_rounds} levels")
 
 
 def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",), max_rounds: int = 64) -> DataFrame:
     """Every direct and indirect dependency (group, node_id, depends_on).
 
-    Path lengths double each round, so a chain of n edges takes about log2(n) rounds; only pairs that
-    are new in a round are extended.
+    Path lengths double each round, so a chain of n edges takes about log2(n) rounds: the pairs found
+    last are extended by all known ones.
     """
     group = list(group)
-    known = staged(edges.select(*group, "node_id", "depends_on").distinct())
-    fresh = known
+    pair = [*group, "node_id", "depends_on"]
+    fresh = staged(edges.select(*pair).distinct())
+    parts = [fresh]
     for _ in range(max_rounds):
+        known = _union(parts)
         longer = (
             fresh.withColumnRenamed("depends_on", "_via")
-            .join(known.withColumnRenamed("node_id", "_via"), [*group, "_via"])
-            .select(*group, "node_id", "depends_on")
-            .unionByName(known.withColumnRenamed("depends_on", "_via")
-                         .join(fresh.withColumnRenamed("node_id", "_via"), [*group, "_via"])
-                         .select(*group, "node_id", "depends_on"))
-            .distinct()
+            .join(known.withColumnRenamed("node_id", "_via"), [*group, "_via"]).select(*pair).distinct()
         )
-        fresh = staged(longer.join(known, [*group, "node_id", "depends_on"], "left_anti"))
+        fresh = staged(longer.join(known, pair, "left_anti"))
         if fresh.isEmpty():
             return known
-        known = staged(known.unionByName(fresh))
+        parts.append(fresh)
     raise TooManyRounds(f"no fixpoint in {max_rounds} rounds")
 
 

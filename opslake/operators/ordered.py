@@ -119,31 +119,38 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         "_bucket", "_carry", "_prev")
 
 
-def overlapping(df: DataFrame, rank: str, rows: int, chunk: int = 100_000) -> DataFrame:
+def overlapping(df: DataFrame, rank: str, rows: int, chunk: int | None = None) -> DataFrame:
     """Cut keys into chunks of consecutive ranks (``_chunk``), given an exact ``rank`` per key.
 
     The last ``rows - 1`` rows of a chunk are also sent to the next one, so a frame of ``rows`` rows is
-    complete inside each chunk; a copy is recognised by ``_home`` differing from ``_chunk``.
+    complete inside each chunk (50 frames long by default); a copy is recognised by ``_home`` differing from ``_chunk``.
     """
-    chunk = max(chunk, rows)
+    chunk = max(chunk or 50 * rows, rows)
     position = (F.col(rank) - 1) % F.lit(chunk)
     home = F.floor((F.col(rank) - 1) / F.lit(chunk)).cast("long")
     copies = F.when(position >= chunk - rows + 1, F.array(home, home + 1)).otherwise(F.array(home))
     return df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
 
 
-def rolling(df: DataFrame, keys: Sequence[str], rank: str, rows: int, aggregates: dict[str, Callable],
-            chunk: int = 100_000) -> DataFrame:
-    """Aggregates over the last ``rows`` rows, given an exact ``rank`` per key (see :func:`ranked`).
+def rolling(df: DataFrame, keys: Sequence[str], rank: str, rows: int, outputs: dict[str, Callable],
+            chunk: int | None = None) -> DataFrame:
+    """Numbers over the last ``rows`` rows after every row, given an exact ``rank`` per key (see :func:`ranked`).
 
-    ``aggregates`` maps an output name to a function that takes the window and returns a Column.
+    ``outputs`` maps a name to a function of the pandas rolling frame. Each chunk is one pandas group,
+    updated in one pass; a SQL row frame would visit ``rows`` rows again for every row.
     """
-    w = Window.partitionBy(*keys, "_chunk").orderBy(rank).rowsBetween(-(rows - 1), 0)
-    return (
-        overlapping(df, rank, rows, chunk).select("*", *[fn(w).alias(name) for name, fn in aggregates.items()])
-        .filter(F.col("_chunk") == F.col("_home"))
-        .drop("_chunk", "_home")
-    )
+    fields = df.schema
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def run(pdf):
+        pdf = pdf.sort_values(rank, ignore_index=True)
+        frame = pdf.rolling(rows, min_periods=1)
+        for name, fn in outputs.items():
+            pdf[name] = fn(frame)
+        return pdf.loc[pdf["_chunk"] == pdf["_home"], [*fields.names, *outputs]]
+
+    return overlapping(df, rank, rows, chunk).groupBy(*keys, "_chunk").applyInPandas(
+        run, ", ".join([shape, *[f"`{n}` double" for n in outputs]]))
 
 
 def value_band(value: Column, per_octave: int = 256) -> Column:

@@ -6,12 +6,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.operators.folds import cooldown_replay
-from opslake.operators.ordered import attach, exact_quantiles, fit_time, overlapping, ranked, rolling
+from opslake.operators.ordered import attach, exact_quantiles, fit_time, ranked, rolling
 from opslake.session import staged
 
 
@@ -87,8 +86,8 @@ def reward_dynamic_weights(states: DataFrame, keys: Sequence[str], order: Sequen
     placed = ranked(states, keys, [F.col(c) for c in order], bucket, "_rank")
     stats = {}
     for name, column in STATE_COLUMNS.items():
-        stats[f"_mean_{name}"] = lambda w, c=column: F.avg(c).over(w)
-        stats[f"_std_{name}"] = lambda w, c=column: F.stddev_samp(c).over(w)
+        stats[f"_mean_{name}"] = lambda frame, c=column: frame[c].mean()
+        stats[f"_std_{name}"] = lambda frame, c=column: frame[c].std()
     framed = rolling(placed, keys, "_rank", recent, stats)
     raw = {}
     for name, column in STATE_COLUMNS.items():
@@ -109,24 +108,15 @@ def sla_reward(states: DataFrame, goals: SlaGoals = SlaGoals(), usage: str = "us
 
 
 def latency_p95(states: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "latency_ms", last: int = 1000,
-                q: float = 0.95, chunk: int = 100_000, bucket: Column | None = None) -> DataFrame:
+                q: float = 0.95, chunk: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Interpolated quantile over the last ``last`` rows after every row.
 
-    Chunks of consecutive rows with the overlap of one frame are handled on their own, so a long
-    history of one key is spread over tasks.
+    Chunks of consecutive rows are handled on their own, so a long history of one key is spread out.
     """
     bucket = fit_time(states, keys, order[0]) if bucket is None else bucket
     placed = ranked(states, keys, [F.col(c) for c in order], bucket, "_rank")
-    spread = overlapping(placed, "_rank", last, chunk)
-    fields = states.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        pdf["latency_p95"] = pdf[value].rolling(last, min_periods=1).quantile(q, interpolation="linear")
-        return pdf[pdf["_chunk"] == pdf["_home"]][[*fields.names, "latency_p95"]]
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return spread.groupBy(*keys, "_chunk").applyInPandas(run, f"{shape}, latency_p95 double")
+    found = {"latency_p95": lambda frame: frame[value].quantile(q, interpolation="linear")}
+    return rolling(placed, keys, "_rank", last, found, chunk).drop("_rank")
 
 
 def desired_replicas(current: Column, cpu: Column, queue: Column, target: float = 0.7, low: int = 1, high: int = 10,

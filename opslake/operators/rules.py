@@ -105,9 +105,10 @@ def infer_forward(facts: DataFrame, rules: list[dict], max_rounds: int = 100) ->
     only on subjects that gained a fact in the round before.
     """
     columns = ["relation", "subject", "value"]
-    known = staged(facts.select(*columns).distinct())
-    fresh = known
+    fresh = staged(facts.select(*columns).distinct())
+    parts = [fresh]
     for _ in range(max_rounds):
+        known = reduce(DataFrame.unionByName, parts)
         derived = None
         for rule in rules:
             subjects = None
@@ -127,7 +128,7 @@ def infer_forward(facts: DataFrame, rules: list[dict], max_rounds: int = 100) ->
         fresh = staged(derived.distinct().join(known, columns, "left_anti"))
         if fresh.isEmpty():
             return known
-        known = staged(known.unionByName(fresh))
+        parts.append(fresh)
     raise RuntimeError(f"inference did not end in {max_rounds} rounds")
 
 
