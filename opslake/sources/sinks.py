@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_log = logging.getLogger(__name__)
+
 
 def write_partitioned(df: DataFrame, root: str, processing_date: str, by: str = "source_system",
                       max_records: int = 1_000_000) -> None:
@@ -65,7 +68,7 @@ def failover_write(df: DataFrame, sinks: Sequence[tuple[str, Callable[[DataFrame
             write(df)
             return name
         except Exception as error:  # any sink error moves on to the next sink
-            print(f"sink {name} failed: {error}")
+            _log.warning("sink %s failed: %s", name, str(error).split("\n")[0])
     failed(df)
     return "failed"
 
