@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslake.functions.scalars import time_features
 from opslake.operators.etl import dedupe_exact
-from opslake.operators.ordered import attach, exact_quantiles, ranked
+from opslake.operators.ordered import attach, exact_quantiles
 from opslake.session import staged
 
 
@@ -150,18 +150,30 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def stratified_split(df: DataFrame, stratum: str | None, row_key: Sequence[str], test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(train, test): in every stratum the first round(n * share) rows by hash of the row key are test rows.
 
-    Rows are ranked inside slices of the hash range; the slices get finer as the strata grow.
+    The row at the cut is found from counts per hash prefix and then only among the rows of one
+    prefix; the split itself is a filter against one cut per stratum, without moving the rows.
     """
     keys = [stratum] if stratum else []
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])))
-    sizes = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")))
-    largest = sizes.agg(F.max("_size")).first()[0] or 1
-    digits = next((d for d in range(1, 8) if largest / 16 ** d <= 100_000), 8)
-    slice_no = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("long")
-    placed = ranked(hashed, keys, [F.col("_hash"), *[F.col(c) for c in row_key]], slice_no, "_rank")
-    judged = attach(placed, sizes, keys).withColumn("_test", F.col("_rank") <= F.round(F.col("_size") * test_share))
-    judged = judged.drop("_hash", "_rank", "_size")
-    return judged.filter("NOT _test").drop("_test"), judged.filter("_test").drop("_test")
+    hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, 4))
+    place = F.struct("_hash", *row_key)
+    per_key = Window.partitionBy(*keys)
+    running = per_key.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    wanted, upto, count = F.round(F.col("_size") * test_share), F.col("_upto"), F.col("_n")
+    target = staged(
+        hashed.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_prefix", "_n", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(per_key).alias("_size"))
+        .filter((upto - count < wanted) & (wanted <= upto))
+        .select(*keys, "_prefix", (wanted - upto + count).cast("long").alias("_nth"))
+    )
+    inside = Window.partitionBy(*keys).orderBy(place)
+    cuts = staged(
+        attach(hashed.select(*dict.fromkeys([*keys, "_prefix", "_hash", *row_key])), target, [*keys, "_prefix"], "inner")
+        .withColumn("_at", F.row_number().over(inside)).filter(F.col("_at") == F.col("_nth"))
+        .select(*keys, place.alias("_cut"))
+    )
+    judged = attach(hashed, cuts, keys).withColumn("_test", F.coalesce(place <= F.col("_cut"), F.lit(False)))
+    return tuple(judged.filter(F.col("_test") == wants).select(*df.columns) for wants in (False, True))
 
 
 def require_no_nulls(df: DataFrame) -> DataFrame:

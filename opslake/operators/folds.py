@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslake.operators.ordered import chunked_fold, fit_time
+from opslake.operators.ordered import attach, entry_states, fit_time
+from opslake.session import staged
 
 _NEVER = np.iinfo(np.int64).min // 2
 
@@ -44,22 +45,24 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
 
     An ``eligible`` row acts when at least ``wait_s`` seconds (of that row) have passed since the
     key's last action. Adds ``acted`` and ``last_action`` (the action before this row, or null).
+    (``ts``, ``tie``) identifies a row of a key. Only the eligible rows' times go through Python.
     """
-    fields = df.schema
+    keys = list(keys)
+    names = [*keys, "_bucket"]
     bucket = fit_time(df, keys, ts) if bucket is None else bucket
     work = (
-        df.withColumn("_at", F.unix_micros(ts)).withColumn("_ok", F.coalesce(eligible, F.lit(False)))
+        df.withColumn("_bucket", bucket).withColumn("_at", F.unix_micros(ts))
+        .withColumn("_ok", F.coalesce(eligible, F.lit(False)))
         .withColumn("_wait", (wait_s.cast("double") * 1_000_000).cast("long"))
     )
+    lean = work.filter("_ok").select(*names, "_at", "_wait", tie)
 
-    def actors(pdf):
-        ok = pdf["_ok"].to_numpy(bool)
-        return np.flatnonzero(ok), pdf["_at"].to_numpy(np.int64)[ok], pdf["_wait"].to_numpy(np.int64)[ok]
+    def ordered(pdf):
+        pdf = pdf.sort_values(["_at", tie])
+        return pdf, pdf["_at"].to_numpy(np.int64), pdf["_wait"].to_numpy(np.int64)
 
     def summarise(pdf):
-        _, at, wait = actors(pdf)
-        if not len(at):
-            return {"limits": [], "ends": []}
+        _, at, wait = ordered(pdf)
         jump = np.append(_next_actor(at, wait), len(at))
         end = np.append(np.arange(len(at)), len(at))
         while (jump[:-1] < len(at)).any():
@@ -74,36 +77,32 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
         states, last = [], _NEVER
         for row in rows:
             states.append({"_entry": last})
-            step = np.searchsorted(np.asarray(row["limits"], dtype=np.int64), last, side="left")
-            if step < len(row["limits"]):
-                last = int(row["ends"][step])
+            if row["limits"] is not None:
+                step = np.searchsorted(np.asarray(row["limits"], dtype=np.int64), last, side="left")
+                last = int(row["ends"][step]) if step < len(row["limits"]) else last
         return states
 
-    def apply(pdf, state):
-        rows, at, wait = actors(pdf)
-        entry, acted, acts = int(state["_entry"]), np.zeros(len(pdf), bool), []
-        if len(at):
-            limits, first = _entry_steps(at, wait)
-            step = np.searchsorted(limits, entry, side="left")
-            following = _next_actor(at, wait)
-            i = int(first[step]) if step < len(limits) else len(at)
-            while i < len(at):
-                acts.append(i)
-                i = int(following[i])
-            acted[rows[acts]] = True
-        times = np.r_[entry, at[acts]] if acts else np.array([entry])
-        seen = np.searchsorted(rows[acts], np.arange(len(pdf)), side="left") if acts else np.zeros(len(pdf), int)
-        last = times[seen]
-        out = pdf.drop(columns=["_at", "_ok", "_wait", "_bucket", "_entry"])
-        out["acted"] = acted
-        out["_last"] = last
-        out["_last"] = out["_last"].astype("Int64").mask(last == _NEVER)
-        return out
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    replayed = chunked_fold(work, keys, ["_at", tie], bucket, summarise, "limits array<long>, ends array<long>",
-                            carry, "_entry long", apply, f"{shape}, acted boolean, _last long")
-    return replayed.withColumn("last_action", F.timestamp_micros("_last")).drop("_last")
+    def act(pdf):
+        pdf, at, wait = ordered(pdf)
+        limits, first = _entry_steps(at, wait)
+        step = np.searchsorted(limits, int(pdf["_entry"].iloc[0]), side="left")
+        following, acts = _next_actor(at, wait), []
+        i = int(first[step]) if step < len(limits) else len(at)
+        while i < len(at):
+            acts.append(i)
+            i = int(following[i])
+        return pdf.iloc[acts][[*keys, "_at", tie]]
+
+    states = entry_states(work, keys, lean, summarise, "limits array<long>, ends array<long>", carry, "_entry long")
+    row_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys, "_at", tie).schema)
+    acts = staged(attach(lean, states, names).groupBy(*names).applyInPandas(act, row_fields))
+    marked = attach(attach(work, states, names), acts.withColumn("_acted", F.lit(True)), [*keys, "_at", tie])
+    before = Window.partitionBy(*names).orderBy("_at", tie).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last(F.when(F.col("_acted"), F.col("_at")), ignorenulls=True).over(before)
+    entry = F.when(F.col("_entry") != F.lit(_NEVER), F.col("_entry"))
+    return marked.select(
+        *df.columns, F.coalesce("_acted", F.lit(False)).alias("acted"),
+        F.timestamp_micros(F.coalesce(inside, entry)).alias("last_action"))
 
 
 def _decayed(x: np.ndarray, decay: float, start: float) -> np.ndarray:
@@ -125,8 +124,10 @@ def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, b
     With ``seed_with_first`` an average of zero takes the next value as it is; otherwise it starts
     from zero. Values are expected not to be negative (latencies).
     """
+    keys = list(keys)
+    names = [*keys, "_bucket"]
     fields = df.schema
-    bucket = fit_time(df, keys, order[0]) if bucket is None else bucket
+    work = df.withColumn("_bucket", fit_time(df, keys, order[0]) if bucket is None else bucket)
 
     def run(x, start):
         if seed_with_first and start == 0:
@@ -138,7 +139,7 @@ def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, b
         return _decayed(x, decay, start)
 
     def summarise(pdf):
-        x = pdf[value].to_numpy(float)
+        x = pdf.sort_values(list(order))[value].to_numpy(float)
         return {"_shrink": float(decay) ** len(x), "_from_zero": float(run(x, 0.0)[-1]),
                 "_added": float(_decayed(x, decay, 0.0)[-1])}
 
@@ -149,11 +150,12 @@ def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, b
             s = row["_from_zero"] if s == 0 else row["_shrink"] * s + row["_added"]
         return states
 
-    def apply(pdf, state):
-        out = pdf.drop(columns=["_bucket", "_entry"])
-        out[name] = run(pdf[value].to_numpy(float), float(state["_entry"]))
-        return out
+    def apply(pdf):
+        pdf = pdf.sort_values(list(order))
+        pdf[name] = run(pdf[value].to_numpy(float), float(pdf["_entry"].iloc[0]))
+        return pdf[[*fields.names, name]]
 
+    lean = work.select(*dict.fromkeys([*names, *order, value]))
+    states = entry_states(work, keys, lean, summarise, "_shrink double, _from_zero double, _added double", carry, "_entry double")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return chunked_fold(df, keys, order, bucket, summarise, "_shrink double, _from_zero double, _added double",
-                        carry, "_entry double", apply, f"{shape}, {name} double")
+    return attach(work, states, names).groupBy(*names).applyInPandas(apply, f"{shape}, {name} double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +70,12 @@ def fit_range(df: DataFrame, keys: Sequence[str], number: ColumnLike, max_rows:
 def attach(df: DataFrame, summary: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
     """Join a summary onto ``df`` by null-safe equality on ``names``.
 
-    Pass a staged summary: Catalyst then knows its size and broadcasts it only if it is small.
+    Pass a staged summary: Catalyst then knows its size and broadcasts it only if it is small. Without
+    names the summary is a single row, whose values are added as literals.
     """
     if not names:
-        return df.join(summary, F.lit(True), how)
+        row = summary.first()
+        return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in summary.schema})
     other = summary.withColumnsRenamed({n: f"_r_{n}" for n in names})
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names])
     return df.join(other, same, how).drop(*[f"_r_{n}" for n in names])
@@ -246,37 +249,24 @@ def _banded_quantiles(base: DataFrame, keys: list[str], quantiles: dict[str, tup
         for name, (q, _) in quantiles.items()])
 
 
-def chunked_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                 summarise: Callable, summary_fields: str, carry: Callable, state_fields: str,
-                 apply: Callable, output: T.StructType | str) -> DataFrame:
-    """A sequential fold per key that runs in parallel over (key, bucket).
+def entry_states(tagged: DataFrame, keys: Sequence[str], lean: DataFrame, summarise: Callable, summary_fields: str,
+                 carry: Callable, state_fields: str) -> DataFrame:
+    """State in which a sequential fold enters each (key, ``_bucket``), staged.
 
-    1. ``summarise(pdf) -> dict`` turns one bucket's rows into a small description of how the bucket
-       changes any entry state. 2. ``carry(list of dicts) -> list of dicts`` walks one key's summaries
-       in order and gives each bucket its entry state. 3. ``apply(pdf, state) -> pdf`` replays a bucket
-       from its entry state. Only step 2 sees a whole key, as one row per bucket.
+    ``summarise(pdf) -> dict`` describes how a bucket's rows change any entry state; ``lean`` holds just
+    the rows and columns that needs. ``carry(list of dicts) -> list of dicts`` walks one key's
+    summaries in order, one row per bucket; a bucket without lean rows has a missing summary.
     """
-    import pandas as pd
-
-    keys = list(keys)
-    order = list(order)
-    tagged = df.withColumn("_bucket", bucket)
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.select(*keys, "_bucket").schema)
     names = [*keys, "_bucket"]
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.select(*names).schema)
 
     def first_pass(pdf):
-        row = {n: pdf[n].iloc[0] for n in names}
-        row.update(summarise(pdf.sort_values(order, kind="stable")))
-        return pd.DataFrame([row])
+        return pd.DataFrame([{**{n: pdf[n].iloc[0] for n in names}, **summarise(pdf)}])
 
     def second_pass(pdf):
-        pdf = pdf.sort_values("_bucket")
-        states = carry(pdf.to_dict("records"))
-        return pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(states)], axis=1)
-
-    def third_pass(pdf):
-        return apply(pdf.sort_values(order, kind="stable"), pdf.iloc[0])
+        pdf = pdf.sort_values("_bucket", ignore_index=True)
+        return pd.concat([pdf[names], pd.DataFrame(carry(pdf.to_dict("records")))], axis=1)
 
-    summaries = tagged.groupBy(*names).applyInPandas(first_pass, f"{key_fields}, {summary_fields}")
-    states = staged(summaries.groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_fields}"))
-    return attach(tagged, states, names).groupBy(*names).applyInPandas(third_pass, output)
+    summaries = lean.groupBy(*names).applyInPandas(first_pass, f"{key_fields}, {summary_fields}")
+    every = attach(tagged.select(*names).distinct(), summaries, names)
+    return staged(every.groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_fields}"))

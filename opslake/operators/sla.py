@@ -31,7 +31,7 @@ def latency_quantile(df: DataFrame, keys: Sequence[str] = (), q: float = 0.99, l
     out = exact_quantiles(df, keys, latency, {name: (q, "desc")})
     if keys:
         return out
-    return df.sparkSession.range(1).join(out, F.lit(True), "left").select(F.coalesce(name, F.lit(0.0)).alias(name))
+    return out.agg(F.coalesce(F.max(name), F.lit(0.0)).alias(name))
 
 
 def throughput(df: DataFrame, window_s: float, keys: Sequence[str] = ()) -> DataFrame:

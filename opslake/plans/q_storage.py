@@ -56,8 +56,7 @@ def _(t):
     out = etl_job.daily_run(t.spark, config, AS_OF, validate=lambda s: not s.read.parquet(config.input_paths).isEmpty(),
                             compliance=lambda s: s.read.parquet(config.output_path).agg((F.count_if(
                                 F.length("hashed_user_id") != 64) == 0).alias("compliant")))
-    metrics = t.spark.createDataFrame([out["metrics"]]).select("row_count", "null_user_ids", "negative_values")
-    return metrics.join(out["compliance"], F.lit(True))
+    return out["compliance"].select("compliant", *[F.lit(v).cast("long").alias(k) for k, v in out["metrics"].items()])
 
 
 @query("failover_sink", "SELECT event_id, event_type FROM events")

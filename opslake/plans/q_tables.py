@@ -119,12 +119,16 @@ def _(t):
     return t("v_tasks").select("task_id", queues.dynamic_priority(AS_OF).alias("adjusted_priority"))
 
 
-@query("deadline_misses", f"""SELECT count(*) FILTER (deadline < {_AT}) AS misses, count(*) AS open,
-  (SELECT round(sum(priority * 0.3 + CASE WHEN {_AT} > deadline THEN -1 ELSE 0 END), 4) FROM v_tasks WHERE status = 'completed') AS score
+@query("deadline_misses", f"""SELECT count(*) FILTER (deadline < {_AT}) AS misses, count(*) AS open
 FROM v_tasks WHERE status IN ('pending', 'processing')""")
 def _(t):
-    score = queues.completion_score(t("v_tasks"), AS_OF).select(F.round("score", 4).alias("score"))
-    return queues.deadline_misses(t("v_tasks"), AS_OF).join(score, F.lit(True))
+    return queues.deadline_misses(t("v_tasks"), AS_OF)
+
+
+@query("completion_score", f"""SELECT round(sum(priority * 0.3 + CASE WHEN {_AT} > deadline THEN -1 ELSE 0 END), 4) AS score
+FROM v_tasks WHERE status = 'completed'""")
+def _(t):
+    return queues.completion_score(t("v_tasks"), AS_OF).select(F.round("score", 4).alias("score"))
 
 
 @query("live_rows", "SELECT id, tenant_id, status FROM v_agents WHERE NOT is_deleted AND tenant_id = 7")
@@ -164,12 +168,14 @@ def _(t):
     return tables.list_agents(t("v_agents"), "status=BUSY", 25, "a2").select("id", "status")
 
 
-@query("page", """SELECT id, score, (SELECT count(*) FROM v_agents) AS total,
-(SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM v_agents) AS pages FROM v_agents ORDER BY score DESC, id LIMIT 20 OFFSET 40""")
+@query("page", "SELECT id, score FROM v_agents ORDER BY score DESC, id LIMIT 20 OFFSET 40")
 def _(t):
-    agents = t("v_agents")
-    rows = tables.page(agents, [F.col("score").desc(), F.col("id")], 3, 20).select("id", "score")
-    return rows.join(tables.page_info(agents, 20), F.lit(True))
+    return tables.page(t("v_agents"), [F.col("score").desc(), F.col("id")], 3, 20).select("id", "score")
+
+
+@query("page_info", "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM v_agents")
+def _(t):
+    return tables.page_info(t("v_agents"), 20)
 
 
 @query("keyset_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")
