@@ -28,9 +28,9 @@ def require_fields(df: DataFrame, body: str = "value", fields: Sequence[str] = R
 
 def parse_device_event(df: DataFrame, body: str = "value") -> DataFrame:
     """The required fields as columns, and the whole object as a map of texts."""
-    doc = F.try_parse_json(body)
-    return df.select(
-        "*", F.try_variant_get(doc, "$.event_id", "string").alias("event_id"), json_timestamp(doc).alias("timestamp"),
+    doc = F.col("_doc")
+    return df.withColumn("_doc", F.try_parse_json(body)).select(
+        *df.columns, F.try_variant_get(doc, "$.event_id", "string").alias("event_id"), json_timestamp(doc).alias("timestamp"),
         F.try_variant_get(doc, "$.device_id", "string").alias("device_id"),
         F.try_variant_get(doc, "$", "map<string,string>").alias("fields"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from opslake.functions.scalars import json_timestamp, log_signature
 
 # Common log format, level codes.
+# Text that can be a JSON value at all; saves parsing (and failing on) plain text lines.
+MAYBE_JSON = r'^\s*([\[{"]|(-?[0-9][0-9.eE+-]*|true|false|null)\s*$)'
 CLF = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+)'
 LEVEL_CODES = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3}
 
@@ -21,21 +23,21 @@ def log_parse(df: DataFrame, raw: str = "raw", arrived: str = "ts") -> DataFrame
     status; anything else is the message itself. JSON without a message is flagged.
     """
     text = F.col(raw)
-    doc = F.try_parse_json(text)
-    is_json = doc.isNotNull()
+    parsed = df.withColumns({
+        "_doc": F.when(text.rlike(MAYBE_JSON), F.try_parse_json(text)),
+        "_clf": F.when(text.rlike(CLF), F.split(F.regexp_replace(text, f"(?s){CLF}.*", "$1\u0001$5 $6\u0001$8"), "\u0001")),
+    })
+    doc, clf = F.col("_doc"), F.col("_clf")
+    is_json, is_clf = doc.isNotNull(), clf.isNotNull()
     message = F.try_variant_get(doc, "$.message", "string")
-    stamp = F.coalesce(json_timestamp(doc), F.col(arrived))
-    is_clf = text.rlike(CLF)
     empty = F.create_map().cast("map<string,string>")
-    clf = {g: F.regexp_extract(text, CLF, g) for g in (1, 5, 6, 8)}
-    return df.select(
-        "*",
-        F.when(is_json, stamp).otherwise(F.col(arrived)).alias("timestamp"),
+    return parsed.select(
+        *df.columns,
+        F.coalesce(json_timestamp(doc), F.col(arrived)).alias("timestamp"),
         F.coalesce(F.try_variant_get(doc, "$.level", "string"), F.lit("INFO")).alias("level"),
-        F.when(is_json & message.isNotNull(), message)
-        .when(~is_json & is_clf, F.concat_ws(" ", clf[5], clf[6])).otherwise(text).alias("message"),
+        F.when(is_json & message.isNotNull(), message).when(~is_json & is_clf, clf[1]).otherwise(text).alias("message"),
         F.when(is_json, F.coalesce(F.try_variant_get(doc, "$.context", "map<string,string>"), empty))
-        .when(is_clf, F.create_map(F.lit("client"), clf[1], F.lit("status"), clf[8]))
+        .when(is_clf, F.create_map(F.lit("client"), clf[0], F.lit("status"), clf[2]))
         .otherwise(empty).alias("context"),
         (is_json & message.isNull()).alias("parse_error"),
     )

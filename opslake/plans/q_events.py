@@ -57,7 +57,7 @@ def _(t):
     return events.enrich_metadata(rows, _metadata(t))
 
 
-_HISTORY = """SELECT device_id, list(event_id ORDER BY n DESC) AS history FROM (SELECT 'd' || user_id AS device_id, 'e' || event_id AS event_id,
+_HISTORY = """SELECT device_id, string_agg(event_id, ',' ORDER BY n DESC) AS history FROM (SELECT 'd' || user_id AS device_id, 'e' || event_id AS event_id,
 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 100 GROUP BY device_id"""
 
 
@@ -69,7 +69,7 @@ def _device_events(df):
 @query("bounded_history", _HISTORY)
 def _(t):
     rows = _device_events(t("events")).withColumnRenamed("event_id", "eid")
-    return events.bounded_history(rows, "device_id", ["ts", "no"], "eid", 100)
+    return events.bounded_history(rows, "device_id", ["ts", "no"], "eid", 100).withColumn("history", F.array_join("history", ","))
 
 
 @query("stream_etl", f"""SELECT 'e' || event_id AS event_id, CASE WHEN event_type <> 'signup' THEN 'd' || user_id END AS device_id,
@@ -103,7 +103,7 @@ def _(t):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
     jobs.start(out, f"{root}/offsets", keep, mode="update", once=True).awaitTermination()
-    return jobs.read_written(t.spark, f"{root}/out").select("device_id", "history")
+    return jobs.read_written(t.spark, f"{root}/out").select("device_id", F.array_join("history", ",").alias("history"))
 
 
 @query("stream_sla", """SELECT service, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us,

@@ -74,9 +74,20 @@ def _(t):
     return time_features(t("v_features").select("l_orderkey", "l_linenumber", "shipped"), "shipped")
 
 
-@query("narrow_types", "SELECT l_orderkey, l_linenumber, l_partkey, quantity FROM v_features")
+def _narrow(column):
+    return " ".join(["CASE", *[f"WHEN min({column}) >= -{2 ** b} AND max({column}) < {2 ** b} THEN '{t}'" for t, b in
+                               (("tinyint", 7), ("smallint", 15), ("int", 31))], "ELSE 'bigint' END"])
+
+
+@query("narrow_types", f"""WITH k AS (SELECT {_narrow('l_orderkey')} AS t1, {_narrow('l_linenumber')} AS t2, {_narrow('l_partkey')} AS t3 FROM v_features)
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, quantity,
+t1 || ',' || t2 || ',' || t3 || ',float' AS types FROM v_features, k""")
 def _(t):
-    return features.narrow_types(t("v_features").select("l_orderkey", "l_linenumber", "l_partkey", "quantity"))
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "quantity"]
+    out = features.narrow_types(t("v_features").select(*names))
+    types = F.concat_ws(",", *[F.typeof(c) for c in names])
+    return out.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"),
+                      F.col("quantity").cast("double").alias("quantity"), types.alias("types"))
 
 
 @query("stratified_split", """WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority

@@ -83,14 +83,14 @@ def _(t):
 
 @query("semver_parse", """WITH v AS (SELECT row_id, version, string_split(version, '.') AS p,
   regexp_full_match(version, '[0-9]+\\.[0-9]+\\.[0-9]+(-[a-zA-Z0-9.]+)?(\\+[a-zA-Z0-9.]+)?') AS valid FROM v_skill_versions)
-SELECT row_id, valid, CASE WHEN valid THEN [TRY_CAST(p[1] AS INT), TRY_CAST(p[2] AS INT), TRY_CAST(p[3] AS INT)] END AS key,
+SELECT row_id, valid, CASE WHEN valid THEN concat_ws('.', TRY_CAST(p[1] AS INT), TRY_CAST(p[2] AS INT), TRY_CAST(p[3] AS INT)) END AS key,
 CASE WHEN valid AND p[3] = '0' THEN p[1] || '.' || (TRY_CAST(p[2] AS INT) + 1) || '.0'
   WHEN valid THEN p[1] || '.' || p[2] || '.' || (TRY_CAST(p[3] AS INT) + 1) END AS bumped,
 valid AND (TRY_CAST(p[1] AS INT) > 1 OR TRY_CAST(p[1] AS INT) = 1 AND TRY_CAST(p[2] AS INT) >= 5) AS matches FROM v""")
 def _(t):
     v = F.col("version")
     return t("v_skill_versions").select(
-        "row_id", S.semver_valid(v).alias("valid"), S.semver_key(v).alias("key"),
+        "row_id", S.semver_valid(v).alias("valid"), F.array_join(S.semver_key(v).cast("array<string>"), ".").alias("key"),
         F.when(S.semver_valid(v), S.semver_bump(v)).alias("bumped"),
         F.coalesce(S.semver_matches(v, ">=1.5.0"), F.lit(False)).alias("matches"))
 
@@ -128,10 +128,10 @@ def _(t):
                                     S.rule_violation(c, S.FORBIDDEN_RULE_CALL).alias("load_violation"))
 
 
-@query("topic_bridge", """SELECT event_id, string_split(topic, '/') AS path, topic AS back FROM v_topics""")
+@query("topic_bridge", """SELECT event_id, array_to_string(string_split(topic, '/'), '|') AS path, topic AS back FROM v_topics""")
 def _(t):
     out = t("v_topics").select("event_id", S.topic_to_path(F.col("topic")).alias("path"))
-    return out.select("event_id", "path", S.path_to_topic(F.col("path")).alias("back"))
+    return out.select("event_id", F.array_join("path", "|").alias("path"), S.path_to_topic(F.col("path")).alias("back"))
 
 
 @query("topic_route", """SELECT event_id, topic, pattern, priority, qos,
@@ -228,11 +228,12 @@ def _(t):
     return registry.utilization(_resource_nodes(t)).select(F.round("utilization", 9).alias("utilization"))
 
 
-@query("utilization_vector", """SELECT node_id, list(round(allocated / capacity, 9) ORDER BY resource) AS utilization
+@query("utilization_vector", """SELECT node_id, round(max(allocated / capacity) FILTER (resource = 'cpu'), 9) AS cpu,
+round(max(allocated / capacity) FILTER (resource = 'gpu'), 9) AS gpu, round(max(allocated / capacity) FILTER (resource = 'memory'), 9) AS memory
 FROM v_node_resources GROUP BY node_id""")
 def _(t):
     out = registry.utilization_vector(_resource_nodes(t), ["cpu", "gpu", "memory"])
-    return out.select("node_id", F.transform("utilization", lambda x: F.round(x, 9)).alias("utilization"))
+    return out.select("node_id", *[F.round(F.col("utilization")[i], 9).alias(n) for i, n in enumerate(["cpu", "gpu", "memory"])])
 
 
 def _demand():
@@ -249,7 +250,7 @@ def _(t):
 
 
 @query("task_features", """SELECT task_id, priority / 10 AS priority_norm,
-round((epoch_us(deadline) - epoch_us(TIMESTAMP '2001-08-02 00:00:00')) / 3.6e9, 6) AS hours_left, round(retries + 0.5, 6) AS total_demand
+round((epoch_us(deadline) - epoch_us(TIMESTAMP '2001-08-02 00:00:00')) / 3.6e9, 6) AS hours_left, CAST(retries + 0.5 AS DOUBLE) AS total_demand
 FROM v_tasks""")
 def _(t):
     tasks = t("v_tasks").withColumn("demand", F.create_map(F.lit("cpu"), F.col("retries").cast("double"), F.lit("gpu"), F.lit(0.5)))

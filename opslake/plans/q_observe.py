@@ -39,7 +39,7 @@ def _(t):
 
 @query("sla_compliance", f"""WITH m AS (SELECT service, {_AVAIL} AS availability, {_P99} AS latency_p99,
   count(*) / 604800.0 AS throughput FROM v_requests WHERE {_SINCE} GROUP BY service)
-SELECT service, 'availability' AS metric, round(availability, 6) AS actual, 99.95 AS target, availability >= 99.95 AS ok FROM m
+SELECT service, 'availability' AS metric, round(availability, 6) AS actual, 99.95::DOUBLE AS target, availability >= 99.95 AS ok FROM m
 UNION ALL SELECT service, 'latency_p99', round(latency_p99, 6), 0.5, latency_p99 <= 0.5 FROM m
 UNION ALL SELECT service, 'throughput', round(throughput, 6), 1000, throughput >= 1000 FROM m""")
 def _(t):
@@ -96,7 +96,7 @@ def _(t):
 
 
 @query("log_error_rate", f"""SELECT round(count(*) FILTER (level = 'ERROR' AND {_SINCE}) / count(*), 9) AS error_rate,
-0.02 AS threshold, count(*) FILTER (level = 'ERROR' AND {_SINCE}) / count(*) > 0.02 AS anomaly FROM v_logs""")
+0.02::DOUBLE AS threshold, count(*) FILTER (level = 'ERROR' AND {_SINCE}) / count(*) > 0.02 AS anomaly FROM v_logs""")
 def _(t):
     parsed = logs.log_parse(t("v_logs").select("event_id", "ts", "raw"))
     return logs.log_error_rate(parsed, AS_OF, _WEEK, 0.02).select(_r("error_rate", 9), "threshold", "anomaly")

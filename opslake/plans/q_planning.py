@@ -27,7 +27,7 @@ _TERMS = f"""SELECT *, CASE WHEN latency_ms <= 100 THEN 1.0 WHEN latency_ms > 50
 
 
 @query("reward_terms", f"""SELECT event_id, round(r_lat, 6) AS latency, round(r_thr, 6) AS throughput, round(r_err, 6) AS error_rate,
-round(r_av, 6) AS availability, round(pen, 6) AS penalty FROM ({_TERMS})""")
+CAST(r_av AS DOUBLE) AS availability, round(pen, 6) AS penalty FROM ({_TERMS})""")
 def _(t):
     terms = planning.reward_terms()
     return _states(t).select("event_id", *[F.round(c, 6).alias(n) for n, c in terms.items()],
@@ -121,7 +121,7 @@ f AS (SELECT scenario, 0::BIGINT AS n, 0.0::DOUBLE AS spent, 0::BIGINT AS vcpus,
     CASE WHEN f.done OR spent + price > budget OR floor((budget - spent) / pays) = 0 THEN plan
       ELSE list_append(plan, instance_type || ':' || CAST(floor((budget - spent) / pays) AS BIGINT)) END
   FROM f JOIN o ON o.scenario = f.scenario AND o.n = f.n + 1)
-SELECT f.scenario, round(spent, 6) AS spent, vcpus, vcpus >= need AS meets_performance, plan FROM f JOIN s ON s.scenario = f.scenario
+SELECT f.scenario, round(spent, 6) AS spent, vcpus, vcpus >= need AS meets_performance, array_to_string(plan, ',') AS plan FROM f JOIN s ON s.scenario = f.scenario
 WHERE n = (SELECT max(n) FROM o)""")
 def _(t):
     scenarios = t("region").select(
@@ -130,7 +130,7 @@ def _(t):
         (F.col("r_regionkey") * 40 + 100).alias("min_performance"))
     out = planning.cost_plan(t("v_instances"), scenarios)
     return out.select("scenario", F.round("spent", 6).alias("spent"), "vcpus", "meets_performance",
-                      F.transform("plan", lambda p: F.concat_ws(":", p["instance_type"], p["count"].cast("string"))).alias("plan"))
+                      F.array_join(F.transform("plan", lambda p: F.concat_ws(":", p["instance_type"], p["count"].cast("string"))), ",").alias("plan"))
 
 
 @query("spot_price_summary", """SELECT family, zone, round(min(price), 6) AS min_price, round(median(price), 6) AS median_price,

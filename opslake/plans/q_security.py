@@ -69,7 +69,7 @@ def _token(t):
     return t("v_tokens").select("row_id", F.concat_ws(".", part(head), part(body), F.lit("sig")).alias("token"))
 
 
-@query("jwt_claims", "SELECT row_id, 'RS256' AS alg, sub, exp, iat, iss, aud, CAST(row_id AS VARCHAR) AS jti, scopes FROM v_tokens")
+@query("jwt_claims", "SELECT row_id, 'RS256' AS alg, sub, exp, CAST(iat AS BIGINT) AS iat, iss, aud, CAST(row_id AS VARCHAR) AS jti, scopes FROM v_tokens")
 def _(t):
     out = _token(t).select("row_id", tokens.jwt_claims(F.col("token")).alias("c"))
     return out.select("row_id", "c.alg", "c.sub", "c.exp", "c.iat", "c.iss", "c.aud", "c.jti", "c.scopes")
@@ -154,11 +154,11 @@ def _(t):
     return security.gdpr_minimization(_entries(t))
 
 
-@query("hipaa_encryption", """SELECT key_id, list_filter([CASE WHEN provider <> 'aws' THEN 'Insufficient encryption standard' END,
-CASE WHEN age_days > 90 THEN 'Key rotation period exceeds 90 days' END], lambda x: x IS NOT NULL) AS issues FROM v_keys
+@query("hipaa_encryption", """SELECT key_id, array_to_string(list_filter([CASE WHEN provider <> 'aws' THEN 'Insufficient encryption standard' END,
+CASE WHEN age_days > 90 THEN 'Key rotation period exceeds 90 days' END], lambda x: x IS NOT NULL), '; ') AS issues FROM v_keys
 WHERE provider <> 'aws' OR age_days > 90""")
 def _(t):
-    return security.hipaa_encryption(_configs(t)).select("key_id", "issues")
+    return security.hipaa_encryption(_configs(t)).select("key_id", F.array_join("issues", "; ").alias("issues"))
 
 
 @query("compliance_report", f"""WITH h AS (SELECT sha256(count(*) || ':' || CAST(sum(('0x' || substr(md5(doc_id || '|' || n_chars), 1, 8))::BIGINT) AS VARCHAR)) AS a FROM documents),
@@ -173,8 +173,8 @@ def _(t):
     return out.drop("assessment_date")
 
 
-@query("message_validate", """SELECT event_id, CASE event_type WHEN 'view' THEN ['priority: type', 'payload: required']
-  WHEN 'click' THEN ['extra: unexpected'] WHEN 'error' THEN ['body: not an object'] WHEN 'signup' THEN ['metrics: type'] ELSE [] END AS errors,
+@query("message_validate", """SELECT event_id, CASE event_type WHEN 'view' THEN 'priority: type, payload: required'
+  WHEN 'click' THEN 'extra: unexpected' WHEN 'error' THEN 'body: not an object' WHEN 'signup' THEN 'metrics: type' ELSE '' END AS errors,
 event_type = 'purchase' AS valid FROM events""")
 def _(t):
     kind = F.when(F.col("event_type") == "view", "task").when(F.col("event_type") == "click", "broadcast").otherwise("heartbeat")
@@ -189,4 +189,4 @@ def _(t):
                               F.struct("value").alias("content"), F.lit(1).alias("extra")))
     body = F.when(kind == "task", task).when(kind == "broadcast", cast).when(F.col("event_type") == "error", "[1, 2]").otherwise(beat_json)
     out = security.message_validate(t("events").select("event_id", kind.alias("kind"), body.alias("body")))
-    return out.select("event_id", F.reverse(F.array_sort("errors")).alias("errors"), "valid")
+    return out.select("event_id", F.array_join(F.reverse(F.array_sort("errors")), ", ").alias("errors"), "valid")

@@ -125,7 +125,7 @@ def _(t):
     return queues.deadline_misses(t("v_tasks"), AS_OF)
 
 
-@query("completion_score", f"""SELECT round(sum(priority * 0.3 + CASE WHEN {_AT} > deadline THEN -1 ELSE 0 END), 4) AS score
+@query("completion_score", f"""SELECT round(sum(priority * 0.3 + CASE WHEN {_AT} > deadline THEN -1 ELSE 0 END)::DOUBLE, 4) AS score
 FROM v_tasks WHERE status = 'completed'""")
 def _(t):
     return queues.completion_score(t("v_tasks"), AS_OF).select(F.round("score", 4).alias("score"))

@@ -10,6 +10,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9)
@@ -60,9 +63,9 @@ def difference(spark, con, folder, fn, sql):
             return f"first difference {a} != {b}"
     if not got:
         return "both empty"
-    kinds = {n: {type(x).__name__ for x in c if x is not None} for n, c in zip(names, zip(*got))}
-    want_kinds = {n: {type(x).__name__ for x in c if x is not None} for n, c in zip(names, zip(*want))}
-    return None if kinds == want_kinds else f"types {kinds} != {want_kinds}"
+    types = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    want_types = {d[0]: str(d[1]) for d in cur.description}
+    return None if types == want_types else f"types {types} != {want_types}"
 
 
 if __name__ == "__main__":
