@@ -45,6 +45,17 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
     return tree
 
 
+def _lowest(hashed: DataFrame, pool: int) -> DataFrame:
+    """Rows that can be among the ``pool`` smallest hashes, a few times as many as asked for."""
+    share = 4.0 * pool / max(hashed.count(), 1)
+    while share < 1:
+        low = hashed.filter(F.col("_h") < int(-(2 ** 63) + share * 2 ** 64))
+        if low.count() >= pool:
+            return low
+        share *= 4
+    return hashed
+
+
 def fit_forest(df: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 1,
                pool: int = 8192) -> list[dict]:
     """Isolation trees, each grown in its own task from ``sample`` rows.
@@ -53,8 +64,8 @@ def fit_forest(df: DataFrame, features: Sequence[str], row_id: str, trees: int =
     pool nor a tree's rows grow with the table, and the same data gives the same trees.
     """
     features = list(features)
-    picked = df.select(F.xxhash64(F.lit(seed), row_id).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features]
-                       ).orderBy("_h", *features).limit(pool)
+    hashed = df.select(F.xxhash64(F.lit(seed), row_id).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
+    picked = _lowest(hashed, pool).orderBy("_h", *features).limit(pool)
     spread = picked.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     w = Window.partitionBy("_tree").orderBy(F.xxhash64("_h", "_tree"), "_h")
     chosen = spread.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sample)

@@ -158,7 +158,7 @@ def rolling(df: DataFrame, keys: Sequence[str], rank: str, rows: int, outputs: d
 
 def value_band(value: Column, per_octave: int = 256) -> Column:
     """A number that never decreases as ``value`` grows: linear steps inside powers of two."""
-    size = F.abs(value)
+    size = F.least(F.abs(value), F.lit(1.7e308))
     octave = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
     code = (octave + 1100) * per_octave + step
@@ -191,13 +191,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quant
 
     ``quantiles`` maps an output column to ``(q, kind)``; kind is ``"disc"`` (smallest value whose
     share is at least q), ``"desc"`` (element at floor(n * (1 - q)) of the descending values) or
-    ``"cont"`` (linear interpolation). Null values are ignored; a key with no values gets no row.
+    ``"cont"`` (linear interpolation). Null and NaN are ignored; a key with no values gets no row.
 
     The largest group is counted first, unless the caller knows it (``largest``). Up to ``small_group`` values are sorted as one array per key;
     beyond that the groups stay spread over the cluster, see :func:`_banded_quantiles`.
     """
     keys = list(keys)
-    base = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if largest is None:
         largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest > small_group:

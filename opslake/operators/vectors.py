@@ -76,7 +76,7 @@ def _search(base: DataFrame, rows: list, k: int, candidates) -> DataFrame:
 
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
-        base.select("id", "embedding").mapInPandas(scan, RESULT)
+        base.select("id", "embedding").filter("embedding IS NOT NULL").mapInPandas(scan, RESULT)
         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     )
 
@@ -85,6 +85,8 @@ def _in_blocks(base: DataFrame, queries: DataFrame, k: int, candidates, max_quer
     """Run the search for blocks of about ``max_queries`` queries, so what is broadcast stays bounded."""
     queries = queries.select("id", "embedding")
     rows = queries.limit(max_queries + 1).collect()
+    if not rows:
+        return base.sparkSession.createDataFrame([], f"{RESULT}, rank int")
     if len(rows) <= max_queries:
         return _search(base, rows, k, candidates)
     queries = staged(queries)

@@ -32,9 +32,8 @@ def _(t):
 @query("evidence_since", """SELECT o_orderkey, epoch_us(o_orderdate) AS at_us FROM orders
 WHERE o_orderdate >= TIMESTAMP '2000-08-02 00:00:00' AND o_orderdate <= TIMESTAMP '2001-08-02 00:00:00'""")
 def _(t):
-    rows = readers.evidence_since(t("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")),
-                                  dt.datetime(2001, 8, 2), ts="o_orderdate")
-    return rows.select("o_orderkey", F.unix_micros("o_orderdate").alias("at_us"))
+    rows = readers.evidence_since(t("orders"), dt.datetime(2001, 8, 2), ts="o_orderdate")
+    return rows.select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at_us"))
 
 
 @query("etl_fill_defaults", """SELECT event_id, user_ip, source_system, coalesce(user_id, 'ANONYMOUS') AS user_id,

@@ -3,6 +3,7 @@
 import datetime as dt
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from opslake.operators import features
@@ -174,3 +175,46 @@ HAVING epoch_ms(max(ts)) + 3600000 < (SELECT epoch_ms(max(ts)) FROM v_lifecycle)
 def _(t):
     out = jobs.stream_heartbeats(jobs.watermarked(_streamed(t, "v_lifecycle"), "ts"), 3600)
     return _run(t, out).select("agent_id", "expired").distinct()
+
+
+@query("stream_microbatch", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS several_batches FROM events")
+def _(t):
+    folder = _folder(t)
+    t("events").select("event_id", "event_type").repartition(4).write.parquet(f"{folder}/in")
+    source = t.spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    jobs.stream_deliver(source, [("files", lambda df: df.write.mode("append").parquet(f"{folder}/out"))],
+                        lambda df: None, f"{folder}/offsets", once=True).awaitTermination()
+    named = t.spark.read.parquet(f"{folder}/out").select(F.input_file_name().alias("file"))
+    written = named.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("file").alias("_n"))
+    return written.select("rows", (F.col("_n") > 1).alias("several_batches"))
+
+
+@query("stream_watermark", """SELECT service, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us, count(*) AS n FROM v_requests
+WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM v_requests) GROUP BY ALL""")
+def _(t):
+    rows = jobs.watermarked(_streamed(t, "v_requests"), "ts")
+    counts = rows.groupBy(F.window("ts", "1 hour").alias("w"), "service").agg(F.count(F.lit(1)).alias("n"))
+    return _run(t, counts).select("service", F.unix_micros("w.start").alias("start_us"), "n")
+
+
+@query("at_least_once_dlq", "SELECT event_id, event_type FROM events")
+def _(t):
+    """The first attempt fails after writing; the restart from the same checkpoint repeats the batch."""
+    folder, attempts = _folder(t), []
+    t("events").select("event_id", "event_type").write.parquet(f"{folder}/in")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        attempts.append(batch_id)
+        if len(attempts) == 1:
+            raise OSError("lost after writing")
+
+    def attempt():
+        source = t.spark.readStream.schema("event_id long, event_type string").parquet(f"{folder}/in")
+        jobs.start(source, f"{folder}/offsets", write, once=True).awaitTermination()
+
+    try:
+        attempt()
+    except StreamingQueryException:
+        attempt()
+    return jobs.read_written(t.spark, f"{folder}/out")

@@ -141,5 +141,9 @@ def read_logs(spark: SparkSession, path: str, streaming: bool = False, max_files
 
 
 def evidence_since(df: DataFrame, as_of: dt.datetime, ts: str = "ts", days: int = 365) -> DataFrame:
-    """Audit rows of the last ``days`` days before ``as_of``; the bounds are literals and reach the scan."""
-    return df.filter((F.col(ts) >= F.lit(as_of - dt.timedelta(days=days))) & (F.col(ts) <= F.lit(as_of)))
+    """Audit rows of the last ``days`` days before ``as_of``.
+
+    The bounds are literals of the column's own type, so the filter reaches the scan.
+    """
+    kind = df.schema[ts].dataType
+    return df.filter(F.col(ts).between(F.lit(as_of - dt.timedelta(days=days)).cast(kind), F.lit(as_of).cast(kind)))

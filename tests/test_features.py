@@ -209,3 +209,19 @@ def test_throughput_anomalies_need_thirty_samples(spark):
     rows = [("a", 1.0)] * 40 + [("a", 50.0)] + [("b", 1.0)] * 20 + [("b", 50.0)] + [("c", 2.0)] * 50
     out = sla.throughput_anomalies(spark.createDataFrame(rows, "service string, rps double"), ["service"]).collect()
     assert [(r.service, r.rps, r.status) for r in out] == [("a", 50.0, "high")]
+
+
+def test_pool_of_smallest_hashes_is_exact(spark):
+    hashed = spark.range(50_000).select(F.xxhash64("id").alias("_h"))
+    want = [r[0] for r in hashed.orderBy("_h").limit(100).collect()]
+    low = anomaly._lowest(hashed, 100)
+    assert low.count() < 2000 and [r[0] for r in low.orderBy("_h").limit(100).collect()] == want
+    assert anomaly._lowest(hashed.limit(50), 100).count() == 50
+
+
+def test_search_without_queries_or_vectors(space, spark):
+    base, queries, _ = space
+    assert vectors.knn_exact(base, queries.limit(0)).count() == 0
+    assert vectors.knn_exact(base.limit(0), queries, 3).count() == 0
+    holes = base.limit(5).unionByName(spark.createDataFrame([("none", None)], "id string, embedding array<float>"))
+    assert vectors.knn_exact(holes, queries.limit(1), 10).count() == 5

@@ -139,3 +139,40 @@ def test_ewma(skewed, seed_with_first, seconds):
 def test_timestamps_are_utc(spark):
     got = spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:00' AS t").select(F.unix_seconds("t")).first()[0]
     assert got == int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+
+
+@pytest.mark.parametrize("small_group", [0, 10 ** 6])
+def test_quantiles_with_infinite_and_missing_numbers(spark, small_group):
+    values = [1.0, float("inf"), float("nan"), -2.0, float("-inf"), 0.0, 1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ordered.exact_quantiles(df, [], "v", {"lo": (0.01, "disc"), "mid": (0.5, "disc"), "hi": (1.0, "disc")}, small_group).first()
+    assert tuple(got) == (float("-inf"), 0.0, float("inf"))
+
+
+def test_staged_needs_a_shared_folder_off_local_mode():
+    from opslake import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
+
+
+def test_staged_uses_the_configured_folder(spark):
+    from opslake import session
+
+    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    df = session.staged(spark.range(3).withColumn("x", F.lit(None).cast("string")))
+    assert df.inputFiles()[0].startswith("file:" + spark.conf.get("spark.checkpoint.dir"))
+    assert df.count() == 3 and session.staged(spark.range(0)).count() == 0
