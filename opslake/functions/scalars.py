@@ -136,18 +136,33 @@ def semver_matches(version: Column, constraint: str) -> Column:
     return ok
 
 
-def semver_matches_column(version: Column, constraint: Column) -> Column:
-    """:func:`semver_matches` for a column of constraints, with a list separated by spaces or commas."""
-    k = semver_key(version)
+def semver_bucket(key: Column) -> Column:
+    """A number that never decreases along version keys: one per major and minor number."""
+    return F.least(key[0], F.lit(10 ** 9)) * 1_000_000 + F.least(key[1], F.lit(999_999))
+
+
+def semver_bounds(constraint: Column) -> Column:
+    """Struct (low, high) of a constraint column: a version fits when low <= its key with 0 appended < high.
+
+    The constraint is ``*`` or parts separated by spaces or commas, each with >=, >, <=, <, = or ==; a
+    bare version is a minimum. Null when a part cannot be read.
+    """
     parts = F.filter(F.split(F.trim(constraint), r"[ ,]+"), lambda p: (p != "") & (p != "*"))
+    readable = F.forall(parts, lambda p: p.rlike(r"^(>=|>|<=|<|==?)?\d+\.\d+\.\d+$"))
+
+    def bound(p, edge):
+        number = F.transform(F.split(F.regexp_extract(p, r"(\d+\.\d+\.\d+)$", 1), r"\."), lambda x: x.try_cast("long"))
+        return F.concat(number, F.array(F.lit(edge).cast("long")))
 
-    def holds(p):
-        op = F.regexp_extract(p, r"^([<>=!]*)", 1)
-        bound = F.split(F.regexp_extract(p, r"(\d+\.\d+\.\d+)", 1), r"\.").cast("array<long>")
-        return (F.when(op.isin("", ">="), k >= bound).when(op == ">", k > bound).when(op == "<=", k <= bound)
-                .when(op == "<", k < bound).when(op == "!=", k != bound).otherwise(k == bound))
+    def op(p):
+        return F.regexp_extract(p, r"^([<>=]*)", 1)
 
-    return F.coalesce(k.isNotNull() & F.forall(parts, holds), F.lit(False))
+    lows = F.transform(parts, lambda p: F.when(op(p).isin("", ">=", "=", "=="), bound(p, 0)).when(op(p) == ">", bound(p, 1)))
+    highs = F.transform(parts, lambda p: F.when(op(p).isin("<=", "=", "=="), bound(p, 1)).when(op(p) == "<", bound(p, 0)))
+    lowest = F.array(*[F.lit(0).cast("long")] * 4)
+    highest = F.array(*[F.lit(2 ** 62).cast("long")] * 4)
+    return F.when(readable, F.struct(F.coalesce(F.array_max(lows), lowest).alias("low"),
+                                     F.coalesce(F.array_min(highs), highest).alias("high")))
 
 
 def rule_violation(content: Column, pattern: str = FORBIDDEN_CALL) -> Column:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.scalars import semver_matches_column
+from opslake.functions.scalars import semver_bounds, semver_bucket, semver_key
+from opslake.operators.ordered import last_seen
 from opslake.session import staged
 
 # Task type pattern and limits of a workflow.
@@ -131,19 +132,29 @@ def _cyclic_core(edges: DataFrame, group: Sequence[str], max_rounds: int) -> Dat
 
 
 def dependency_check(needs: DataFrame, available: DataFrame) -> DataFrame:
-    """Unsatisfied requirements (name, needs, version_range, problem).
+    """Unsatisfied requirements with their ``problem``: ``missing`` when the needed name has no valid
+    version, ``range`` when the range cannot be read, ``version`` when no version fits.
 
-    ``missing`` when no version of the needed name exists, ``version`` when none fits the range. The
-    requirements are grouped first, so each distinct one meets each version of its name once.
+    A range fits when the highest version below its upper bound is not below its lower bound. That
+    version is the last one seen in version order, so requirements never meet all versions.
     """
-    wanted = needs.select("needs", "version_range").distinct()
-    versions = available.select(F.col("name").alias("needs"), "version").distinct()
-    judged = wanted.join(versions, "needs", "left").groupBy("needs", "version_range").agg(
-        F.max(F.col("version").isNotNull()).alias("_any"),
-        F.max(semver_matches_column(F.col("version"), F.col("version_range"))).alias("_fits"))
-    bad = judged.filter(~F.col("_fits")).select(
-        "needs", "version_range", F.when(F.col("_any"), "version").otherwise("missing").alias("problem"))
-    return needs.join(bad, ["needs", "version_range"])
+    valid = available.select(F.col("name").alias("needs"), semver_key(F.col("version")).alias("_key")).filter(
+        F.col("_key").isNotNull()).distinct()
+    versions = valid.select("needs", F.lit(None).cast("string").alias("version_range"),
+                            F.concat("_key", F.array(F.lit(0).cast("long"))).alias("_at"), F.lit(1).alias("_kind"),
+                            F.lit(None).cast("array<bigint>").alias("_low"))
+    limits = semver_bounds(F.col("version_range"))
+    wanted = needs.select("needs", "version_range").distinct().withColumn("_limits", limits)
+    asked = wanted.filter(F.col("_limits").isNotNull()).select(
+        "needs", "version_range", F.col("_limits.high").alias("_at"), F.lit(0).alias("_kind"), F.col("_limits.low").alias("_low"))
+    # At equal places the requirement comes first: its upper bound is exclusive.
+    placed = last_seen(versions.unionByName(asked), ["needs"], ["_at", "_kind", "version_range"], semver_bucket(F.col("_at")),
+                       F.when(F.col("_kind") == 1, F.col("_at")), "_best")
+    fits = placed.filter((F.col("_kind") == 0) & (F.col("_best") >= F.col("_low"))).select("needs", "version_range")
+    bad = wanted.join(fits, ["needs", "version_range"], "left_anti").join(
+        valid.select("needs").distinct().withColumn("_known", F.lit(True)), "needs", "left")
+    problem = F.when(F.col("_known").isNull(), "missing").when(F.col("_limits").isNull(), "range").otherwise("version")
+    return needs.join(bad.select("needs", "version_range", problem.alias("problem")), ["needs", "version_range"])
 
 
 def dependency_drift(required: DataFrame, environment: DataFrame) -> DataFrame:

@@ -122,6 +122,24 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         "_bucket", "_carry", "_prev")
 
 
+def last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """The last non-null ``value`` per key up to and including each row."""
+    keys = list(keys)
+    tagged = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    place = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = staged(
+        tagged.groupBy(*keys, "_bucket").agg(F.max_by("_value", place).alias("_last"))
+        .select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        attach(tagged, carry, [*keys, "_bucket"])
+        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carry")))
+        .drop("_bucket", "_value", "_carry")
+    )
+
+
 def overlapping(df: DataFrame, rank: str, rows: int, chunk: int | None = None) -> DataFrame:
     """Cut keys into chunks of consecutive ranks (``_chunk``), given an exact ``rank`` per key.
 

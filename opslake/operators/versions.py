@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslake.functions.scalars import semver_key, semver_matches, semver_release
+from opslake.functions.scalars import semver_bucket, semver_key, semver_matches, semver_release
 from opslake.operators.ordered import ranked, with_previous
 
 
@@ -21,7 +21,7 @@ def version_history(df: DataFrame, keys: Sequence[str], version: str = "version"
         df.select(*keys, version).distinct().withColumn("_key", semver_key(F.col(version)))
         .filter(F.col("_key").isNotNull()).withColumn("_release", semver_release(F.col(version)))
     )
-    bucket = F.col("_key")[0].cast("long") * 1_000_000 + F.col("_key")[1]
+    bucket = semver_bucket(F.col("_key"))
     order = ["_key", "_release", version]
     placed = ranked(distinct, keys, [F.col(c) for c in order], bucket, "position")
     return with_previous(placed, keys, order, bucket, {version: "previous"}).drop("_key", "_release")

@@ -59,7 +59,7 @@ n AS (SELECT *, CAST(regexp_extract(version_range, '>=([0-9]+)', 1) AS INT) * 10
   + CAST(regexp_extract(version_range, '>=[0-9]+\\.([0-9]+)', 1) AS INT) * 1000 AS lo FROM v_skill_needs),
 j AS (SELECT n.row_id, any_value(n.name) AS name, any_value(n.needs) AS needs, any_value(n.version_range) AS version_range,
   count(*) FILTER (v.k >= n.lo AND v.k < 3000000) AS fits FROM n LEFT JOIN v ON v.name = n.needs GROUP BY n.row_id)
-SELECT row_id, name, needs, version_range, CASE WHEN EXISTS (SELECT 1 FROM v_skill_versions s WHERE s.name = j.needs)
+SELECT row_id, name, needs, version_range, CASE WHEN EXISTS (SELECT 1 FROM num s WHERE s.name = j.needs)
   THEN 'version' ELSE 'missing' END AS problem FROM j WHERE fits = 0""")
 def _(t):
     return graph.dependency_check(t("v_skill_needs"), t("v_skill_versions"))

@@ -137,6 +137,16 @@ def test_versions_order_by_number(spark):
     assert versions.latest_version(df, ["name"]).first().version == "2.0.0"
 
 
+def test_dependency_ranges(spark):
+    have = spark.createDataFrame([("a", v) for v in ("1.0.0", "1.2.0", "2.10.0")] + [("junk", "one")], "name string, version string")
+    cases = {"*": None, "1.0.0": None, ">=1.0.0 <2.0.0": None, ">=1.2.1,<2.10.0": "version", ">2.10.0": "version", "<=1.0.0": None,
+             "<1.0.0": "version", "==1.2.0": None, "=1.2.1": "version", ">=2.9.0": None, ">=2.1.x <3.0.0": "range", ">1.0.0 <1.2.0": "version"}
+    needs = spark.createDataFrame([("a", r) for r in cases] + [("junk", "*"), ("none", ">=0.0.1")], "needs string, version_range string")
+    got = {(r.needs, r.version_range): r.problem for r in graph.dependency_check(needs, have).collect()}
+    want = {("a", r): p for r, p in cases.items() if p} | {("junk", "*"): "missing", ("none", ">=0.0.1"): "missing"}
+    assert got == want
+
+
 def test_bump(spark):
     df = spark.createDataFrame([("1.2.0",), ("1.2.3",)], "v string")
     assert [r[0] for r in df.select(S.semver_bump(F.col("v"))).collect()] == ["1.3.0", "1.2.4"]
