@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,24 +60,27 @@ def fit_forest(df: DataFrame, features: Sequence[str], row_id: str, trees: int =
                pool: int = 8192) -> list[dict]:
     """Isolation trees, each grown in its own task from ``sample`` rows.
 
-    The rows come from a pool of fixed size with the smallest hashes of the row id, so neither the
-    pool nor a tree's rows grow with the table, and the same data gives the same trees.
+    The rows come from a pool of fixed size with the smallest hashes of the row id, so what is sent to
+    the tasks does not grow with the table, and the same data gives the same trees.
     """
     features = list(features)
     hashed = df.select(F.xxhash64(F.lit(seed), row_id).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
-    picked = _lowest(hashed, pool).orderBy("_h", *features).limit(pool)
-    spread = picked.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    w = Window.partitionBy("_tree").orderBy(F.xxhash64("_h", "_tree"), "_h")
-    chosen = spread.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= sample)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["_tree"].iloc[0])
-        x = pdf.sort_values("_n")[features].to_numpy(float)
-        tree = _grow(x, np.random.default_rng([seed, number]), math.ceil(math.log2(max(len(x), 2))))
-        return pd.DataFrame({"tree": [number], "size": [len(x)], "body": [json.dumps(tree)]})
-
-    rows = chosen.groupBy("_tree").applyInPandas(grow, "tree int, size int, body string").collect()
-    return [json.loads(r["body"]) | {"size": r["size"]} for r in sorted(rows, key=lambda r: r["tree"])]
+    rows = _lowest(hashed, pool).orderBy("_h", *features).limit(pool).collect()
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(np.array([[r[c] for c in features] for r in rows], dtype=np.float64))
+
+    def grow(batches):
+        x = shared.value
+        for pdf in batches:
+            for number in pdf["id"]:
+                rng = np.random.default_rng([seed, int(number)])
+                part = x[rng.choice(len(x), min(sample, len(x)), replace=False)] if len(x) else x
+                tree = _grow(part, rng, math.ceil(math.log2(max(len(part), 2))))
+                yield pd.DataFrame({"tree": [number], "size": [len(part)], "body": [json.dumps(tree)]})
+
+    grown = spark.range(trees).repartition(min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(
+        grow, "tree long, size int, body string").collect()
+    return [json.loads(r["body"]) | {"size": r["size"]} for r in sorted(grown, key=lambda r: r["tree"])]
 
 
 def score_forest(df: DataFrame, features: Sequence[str], forest: list[dict], threshold: float = -0.5) -> DataFrame:

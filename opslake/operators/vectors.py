@@ -109,14 +109,20 @@ def knn_exact(base: DataFrame, queries: DataFrame, k: int = 10, keep: Column | N
     return _in_blocks(base, queries, k, None, max_queries)
 
 
-def ivf_centres(base: DataFrame, nlist: int = 16_384, seed: int = 1, max_iter: int = 10) -> np.ndarray:
-    """Cluster centres of the collection; ``nlist`` is scaled down to the square root of its size."""
+def ivf_centres(base: DataFrame, nlist: int = 16_384, seed: int = 1, max_iter: int = 10,
+                train_share: float = 1.0) -> np.ndarray:
+    """Cluster centres of the collection; ``nlist`` is scaled down to the square root of its size.
+
+    ``train_share`` trains them on a part of a very large collection; the search still reads every
+    vector of the lists it visits.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = base.count()
     lists = max(1, min(nlist, int(math.sqrt(n))))
-    data = base.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    rows = base if train_share >= 1 else base.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(train_share * 1_000_000))
+    data = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     if lists == 1:
         model_centres = [np.array(base.select("embedding").first()[0], dtype=np.float64)]
     else:

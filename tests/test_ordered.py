@@ -184,3 +184,20 @@ def test_staged_uses_the_configured_folder(spark):
     df = session.staged(spark.range(3).withColumn("x", F.lit(None).cast("string")))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
     assert df.count() == 3 and session.staged(spark.range(0)).count() == 0
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """One key with all rows: no task gets more than a few buckets of it."""
+    rows = spark.range(20_000).select(F.lit("hot").alias("k"), "id", F.timestamp_seconds(F.col("id") * 7).alias("ts"),
+                                      (F.col("id") % 97).cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bucket = ordered.fit_time(rows, ["k"], "ts", max_rows=600)
+        for out in (ordered.ranked(rows, ["k"], [F.col("ts")], bucket),
+                    folds.cooldown_replay(rows, ["k"], "ts", "id", F.col("v") > 90, F.lit(60), bucket),
+                    ordered.rolling(ordered.ranked(rows, ["k"], [F.col("ts")], bucket), ["k"], "rank", 10, {"m": lambda f: f["v"].mean()})):
+            tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in tasks) == 20_000
+            assert len(tasks) > 4 and max(r["count"] for r in tasks) < 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
