@@ -1,6 +1,8 @@
 """Input shapes for the registered queries, as SQL that Spark and an ANSI engine both run.
 
-``@table`` stands for a given table. Every view keeps all rows of its table.
+``@table`` stands for a given table. Views derive every row of their table. Two of them state
+conditions that belong to the shape: ``v_state_current`` holds the agents known so far (so that others
+arrive as new ones), and the conditions of ``v_dag_edges`` say which dependencies a node has.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ from opslake.operators import logs
 from opslake.operators.events import DEFAULT_METADATA, enrich_metadata, has_fields, parse_device_event
 from opslake.operators.rules import policy_match
 from opslake.operators.sla import availability_expr
+from opslake.operators.tables import versioned_upsert
 from opslake.sources.sinks import dlq_envelope, failover_write
 
 
@@ -85,7 +86,11 @@ def stream_history(events: DataFrame, last: int = 1000, key: str = "device_id",
 
 def stream_blocks(access: DataFrame, policies: list[dict], block_s: int = 3600, source: str = "source_ip", ts: str = "ts",
                   tie: str = "event_id") -> DataFrame:
-    """Access decisions with blocks kept as state that ends with the block. Needs a watermark on ``ts``."""
+    """Access decisions with blocks kept as state that ends with the block.
+
+    Needs a watermark on ``ts`` with a delay no shorter than the disorder of the requests, since rows
+    behind the watermark are dropped.
+    """
     judged = policy_match(access, policies, ts)
     length = pd.Timedelta(seconds=block_s)
 
@@ -172,6 +177,20 @@ def stream_deliver(events: DataFrame, sinks: Sequence[tuple[str, Callable[[DataF
     return start(events, checkpoint, lambda batch, batch_id: failover_write(batch, sinks, failed) and None, **options)
 
 
+def stream_upsert(incoming: DataFrame, table: str, conflicts: str, checkpoint: str, key: str = "agent_id",
+                  version: str = "version", order: str = "seq", **options) -> StreamingQuery:
+    """Versioned upsert of every batch. Batch n reads ``table/state=n`` and writes ``table/state=n+1``, so a
+    repeated batch starts from the same state; ``state=0`` is the table to begin with."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        current = batch.sparkSession.read.parquet(f"{table}/state={batch_id}")
+        merged, rejected = versioned_upsert(current, batch, key, version, order)
+        merged.write.mode("overwrite").parquet(f"{table}/state={batch_id + 1}")
+        rejected.write.mode("overwrite").parquet(_batch_folder(conflicts, batch_id))
+
+    return start(incoming, checkpoint, merge, **options)
+
+
 def dedupe_stream(events: DataFrame, key: str = "event_id", ts: str = "event_time", delay: str = "1 hour") -> DataFrame:
     """First row of every id; ids are remembered only as long as the watermark allows."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

@@ -146,3 +146,16 @@ def test_failed_batch_is_repeated_without_loss(spark, tmp_path):
     state["fail"] = False
     jobs.start(stream(spark, source, "n int"), str(tmp_path / "offsets"), write, once=True).awaitTermination()
     assert sorted(r.n for r in jobs.read_written(spark, out).collect()) == list(range(10))
+
+
+def test_upsert_over_batches(spark, tmp_path):
+    shape = "agent_id string, status string, version int, seq long"
+    source, table, offsets = (str(tmp_path / n) for n in ("in", "table", "offsets"))
+    spark.createDataFrame([("a", "old", 1)], "agent_id string, status string, version int").write.parquet(f"{table}/state=0")
+    for part, rows in enumerate([[("a", "x", 1, 1), ("b", "new", 0, 2)], [("a", "y", 1, 3), ("a", "z", 2, 4), ("b", "n2", 1, 5)]]):
+        put(spark, source, f"p{part}", rows, shape)
+        jobs.stream_upsert(stream(spark, source, shape), table, str(tmp_path / "conflicts"), offsets, once=True).awaitTermination()
+    got = {r.agent_id: (r.status, r.version) for r in spark.read.parquet(f"{table}/state=2").collect()}
+    assert got == {"a": ("z", 3), "b": ("n2", 2)}
+    rejected = jobs.read_written(spark, str(tmp_path / "conflicts")).collect()
+    assert [(r.agent_id, r.status, r.stored_version) for r in rejected] == [("a", "y", 2)]
