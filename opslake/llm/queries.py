@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
-from opslake.llm import line_crf
+from pyspark.sql import functions as F
+
+from opslake.llm import line_crf, packing, rules, secrets, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def _remainder():
+    return F.crc32(F.col("doc_id").cast("string")) % 5
+
+
+@query("op1_rule_ensemble")
+def op1_rule_ensemble(spark, sf_dir):
+    scored = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=_remainder() != 0)
+    return scored.select("doc_id", F.coalesce(_remainder() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op2_secret_ownership")
+def op2_secret_ownership(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"), owner=F.col("source"),
+                        repository=F.concat_ws("/", "source", "lang"))
+
+
+@query("op5_segment_topk", _TOP_K_SQL)
+def op5_segment_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query("op7_vector_packing")
+def op7_vector_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_warc_zstd")
+def op8_warc_zstd(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
 
 @query("op9_line_crf")
 def op9_line_crf(spark, sf_dir):
