@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import line_crf, packing, rules, secrets, topk, warc
+from opslake.llm import bpe, line_crf, packing, rules, secrets, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -41,6 +41,17 @@ def op2_secret_ownership(spark, sf_dir):
                         repository=F.concat_ws("/", "source", "lang"))
 
 
+@query("op3_duckdb_bpe")
+def op3_duckdb_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op5_segment_topk", _TOP_K_SQL)
 def op5_segment_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
