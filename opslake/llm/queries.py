@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, line_crf, packing, rules, secrets, topk, warc
+from opslake.llm import bpe, line_crf, ngram_join, packing, rules, secrets, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -75,3 +75,8 @@ def op9_line_crf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.report(docs, model)
+
+
+@query("op10_set_relations")
+def op10_set_relations(spark, sf_dir):
+    return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
