@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, line_crf, ngram_join, packing, rules, secrets, topk, warc
+from opslake.llm import bpe, fuzzy_lines, line_crf, ngram_join, packing, rules, secrets, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -80,3 +80,10 @@ def op9_line_crf(spark, sf_dir):
 @query("op10_set_relations")
 def op10_set_relations(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query("op6_fuzzy_lines")
+def op6_fuzzy_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.dedup(docs, counts=("n_lines", "n_dropped")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
