@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, fuzzy_lines, line_crf, ngram_join, packing, rules, secrets, topk, warc
+from opslake.llm import bpe, fuzzy_lines, line_crf, mixing, ngram_join, packing, rules, secrets, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -87,3 +87,64 @@ def op6_fuzzy_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fuzzy_lines.dedup(docs, counts=("n_lines", "n_dropped")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+MIX_WEIGHTS = {"domain": {"d0": 20, "d1": 50, "d2": 30}, "lang": {"en": 40, "de": 20, "fr": 20, "es": 20}}
+
+
+def mix_levels():
+    """Domain, language and source; the tables name no domain, so the number of the source gives one."""
+    number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0))
+    return {"domain": F.concat(F.lit("d"), (number % 3).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def _split_sql(name, given, parents, label, weight):
+    over = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    ratio = f"ORDER BY CAST(capacity AS DOUBLE) / weight, {label} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    keys = ", ".join([*parents, label])
+    source = (f"SELECT l.*, g.budget AS available FROM n_{name} l JOIN {given} g USING ({', '.join(parents)})" if parents
+              else f"SELECT *, (SELECT CAST(sum(tokens) * 0.5 AS BIGINT) - CASE WHEN CAST(sum(tokens) AS BIGINT) % 2 = 1 "
+                   f"AND CAST(sum(tokens) * 0.5 AS BIGINT) * 2 > sum(tokens) THEN 1 ELSE 0 END FROM leaves) AS available "
+                   f"FROM n_{name}")
+    return f"""
+n_{name} AS (SELECT {keys}, CAST(sum(capacity) AS HUGEINT) AS capacity, {weight} AS weight FROM leaves GROUP BY {keys}),
+a_{name} AS (SELECT *, sum(weight) OVER ({over}) AS w_all, coalesce(sum(weight) OVER ({over} {ratio}), 0) AS w_before,
+  coalesce(sum(capacity) OVER ({over} {ratio}), 0) AS c_before FROM ({source}) WHERE weight > 0),
+f_{name} AS (SELECT *, capacity * (w_all - w_before) <= (available - c_before) * weight AS is_full FROM a_{name}),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN capacity ELSE
+  ((available - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({over})) * weight)
+  // nullif(w_all - sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER ({over}), 0) END AS budget FROM f_{name})"""
+
+
+_MIX_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    'd' || CAST(coalesce(try_cast(regexp_extract(source, '[0-9]+') AS INTEGER), 0) % 3 AS VARCHAR) AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * 2 AS capacity FROM docs WHERE tokens > 0
+  GROUP BY ALL),
+{_split_sql("by_domain", "", [], "domain", "CASE domain WHEN 'd0' THEN 20 WHEN 'd1' THEN 50 WHEN 'd2' THEN 30 ELSE 0 END")},
+{_split_sql("by_lang", "by_domain", ["domain"], "lang",
+            "CASE lang WHEN 'en' THEN 40 WHEN 'de' THEN 20 WHEN 'fr' THEN 20 WHEN 'es' THEN 20 ELSE 0 END")},
+{_split_sql("by_source", "by_lang", ["domain", "lang"], "source", "1")},
+plan AS (SELECT domain, lang, source, CAST(budget // tokens AS BIGINT) AS epochs, budget % tokens AS rest
+  FROM by_source JOIN leaves USING (domain, lang, source)),
+keyed AS (
+  SELECT d.*, p.epochs, p.rest,
+    md5('1:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) || ':' || coalesce(CAST(doc_id AS VARCHAR), '') AS key
+  FROM docs d LEFT JOIN plan p USING (domain, lang, source)),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens,
+  CASE WHEN tokens = 0 THEN 0 ELSE coalesce(epochs, 0) + CASE WHEN upto <= rest THEN 1 ELSE 0 END END AS copies
+FROM summed
+"""
+
+
+@query("op4_hierarchical_mix", _MIX_SQL)
+def op4_hierarchical_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=0.5, max_epochs=2, seed=1)
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long")
+    return mixed.select("doc_id", mix_levels()["domain"].alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"),
+                        F.coalesce("source", F.lit("")).alias("source"), words.alias("n_tokens"), "copies")
