@@ -1,7 +1,7 @@
 """N-gram Jaccard join with set-relation skipping: exact links between texts, reported as components.
 
 A text's set holds its distinct word shingles as 64-bit hashes. Two sets link when 100 * |intersection| >=
-percent * |union|. Equal sets form one class, and only classes are joined.
+percent * |union|. Equal sets are one node, known by a 64-bit hash, and only nodes are joined.
 
 1. Order. A count sketch of bounded size ranks shingles from rare to frequent. Any common order gives exact
    results; a good one keeps frequent shingles out of the prefixes.
@@ -14,7 +14,7 @@ percent * |union|. Equal sets form one class, and only classes are joined.
    distances to the same hub differ by more than the threshold allows (Jaccard distance is a metric), and the
    pairs that remain are compared.
 
-No list, class or component is ever held by one task: minima and ranges are combined before the shuffle and
+No list, node or component is ever held by one task: minima and ranges are combined before the shuffle and
 joins on list keys are left to skew handling. Compared sets travel as 48-bit hashes.
 
 Defined results: a text that is null, empty or without words has an empty set and links with nothing; fewer words
@@ -109,10 +109,10 @@ def _in_groups(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, l
         yield at, group
 
 
-def _fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set's hashes, mixed in two ways."""
-    one, two = _mix(s + _ODD).sum(), _mix(s ^ np.uint64(0xD1B54A32D192ED03)).sum()
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+def _fingerprint(s: np.ndarray) -> int:
+    """A 64-bit name of a set: the sum of its hashes, mixed again."""
+    total = np.append(_mix(s + _ODD), np.uint64(len(s))).sum(dtype=np.uint64)
+    return int(_mix(total[None]).astype(np.int64)[0])
 
 
 def _sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -123,9 +123,8 @@ def _sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         for batch in batches:
             for _, texts in _in_groups(batch.column(0)):
                 for s in maker.sets(texts):
-                    if len(s) and (mark := _fingerprint(s)[0]) not in seen:
-                        if len(seen) < 1_000_000:  # copies within a task count once; only the order depends on it
-                            seen.add(mark)
+                    if len(s) and (mark := _fingerprint(s)) not in seen:
+                        seen.add(mark)  # copies within a task count once
                         np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = [(i, pack(x.tobytes())) for i, x in enumerate(np.split(total, SLICES)) if x.any()]
@@ -162,53 +161,60 @@ def _unpack(raw: bytes, most: int | None = None) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (row, id, n, f1, f2, hashes): hashes from rare to frequent, 48 bits each. Written once."""
+    """Rows (id, n, node, hashes), written once: node names the set, hashes (48 bits each) run from rare to frequent.
+
+    Of equal sets only the first that a task meets carries its hashes.
+    """
     levels = _sketch(docs, text_col, width)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Shingles(width)
+        maker, seen = Shingles(width), set()
         for batch in batches:
             for at, texts in _in_groups(batch.column(1)):
                 sets = maker.sets(texts)
-                marks = [_fingerprint(s) for s in sets]
-                packed = []
-                for s in sets:
+                nodes, packed = [_fingerprint(s) for s in sets], []
+                for s, node in zip(sets, nodes, strict=True):
+                    if not len(s) or node in seen:
+                        packed.append(None)
+                        continue
+                    seen.add(node)
                     order = np.lexsort((s, levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     packed.append(_pack(s[order] & np.uint64((1 << 48) - 1)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array([a for a, _ in marks], type=pa.int64()), pa.array([b for _, b in marks], type=pa.int64()),
-                    pa.array(packed, type=pa.binary())], ["id", "n", "f1", "f2", "hashes"])
+                    pa.array(nodes, type=pa.int64()), pa.array(packed, type=pa.binary())], ["id", "n", "node", "hashes"])
 
-    made = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(
-        run, f"id {kind}, n long, f1 long, f2 long, hashes binary")
-    return staged(made.withColumn("row", F.monotonically_increasing_id()))
+    made = docs.select(F.col(id_col).alias("id"), text_col)
+    return staged(made.mapInArrow(run, f"id {kind}, n long, node long, hashes binary"))
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, row, n, pos, indexed) of each set's prefix; indexed: the part that a set not smaller can meet."""
+    """Rows (token, node, n, pos, indexed) of each set's prefix; indexed: the part that a set not smaller can meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sizes = batch.column("row").to_numpy(), batch.column("n").to_numpy()
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             probe = sizes - -(-percent * sizes // 100) + 1
             index = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
             tokens = [_unpack(h.as_py(), p) for h, p in zip(batch.column("hashes"), probe.tolist(), strict=True)]
             lengths = np.array([len(t) for t in tokens], dtype=np.int64)
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).astype(np.int64)), pa.array(np.repeat(rows, lengths)),
+                pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).astype(np.int64)), pa.array(np.repeat(nodes, lengths)),
                 pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(pos.astype(np.int32)),
-                pa.array(pos < np.repeat(index, lengths))], ["token", "row", "n", "pos", "indexed"])
+                pa.array(pos < np.repeat(index, lengths))], ["token", "node", "n", "pos", "indexed"])
 
-    return sets.select("row", "n", "hashes").mapInArrow(run, "token long, row long, n int, pos int, indexed boolean")
+    return sets.select("node", "n", "hashes").where(F.col("hashes").isNotNull()).mapInArrow(
+        run, "token long, node long, n int, pos int, indexed boolean")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows (x, y, shared, linked, distance) of distinct pairs (x, y)."""
-    one = sets.select(F.col("row").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
-    two = sets.select(F.col("row").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
+    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    held = staged(sets.where(F.col("hashes").isNotNull()).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    one = held.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
+    two = held.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,42 +231,38 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                                  (1 - F.col("shared") / union).alias("distance")))
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-    return rows.join(labels.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(
-        name, F.coalesce(name, node))
+def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    return rows.join(labels.select("node", F.col("root").alias(name)), "node", "left").withColumn(
+        name, F.coalesce(name, "node"))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Rows (id, n_shingles, component_id), one per input row."""
     sets = _sets(docs, id_col, text_col, width)
-    classes = sets.where(F.col("n") > 0).groupBy("f1", "f2", "n").agg(
-        F.min("row").alias("class"), F.min("id").alias("least"))
-    classes = staged(classes)
-    firsts = sets.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
-    postings = _postings(firsts, percent)
+    postings = _postings(sets, percent)
 
     # The hub of a list is its indexed member with the smallest hash, so the same sets are hubs of many lists.
-    key = F.struct(F.xxhash64("row").alias("h"), F.col("row").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    key = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
     hubs = postings.where("indexed").groupBy("token").agg(F.min(key).alias("k")).select("token", "k.hub", "k.hub_n", "k.hub_pos")
-    live = staged(postings.join(hubs, "token").where(F.col("row") != F.col("hub")))
+    live = staged(postings.join(hubs, "token").where(F.col("node") != F.col("hub")))
 
     def fits(n1: str, p1: str, n2: str, p2: str):
         most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
         return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
                 & ((100 + percent) * most >= percent * (F.col(n1) + F.col(n2))))
 
-    stars = live.where(fits("n", "pos", "hub_n", "hub_pos")).select(F.col("row").alias("x"), F.col("hub").alias("y")).distinct()
-    tested = _compare(stars, sets, percent)
+    stars = live.where(fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+    tested = _compare(staged(stars), sets, percent)
     edges = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = staged(components(edges))
 
     # Members of each list with their component; a list is finished when it holds only one.
     members = (
-        live.select("token", "row", "n", "pos", "indexed", "hub")
-        .unionByName(live.select("token", F.col("hub").alias("row"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"),
+        live.select("token", "node", "n", "pos", "indexed", "hub")
+        .unionByName(live.select("token", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"),
                                  F.lit(True).alias("indexed"), "hub").distinct())
     )
-    members = _labelled(members, labels, "row", "comp")
+    members = _labelled(members, labels, "comp")
     blocks = members.groupBy("token", "comp").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
     open_lists = blocks.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
@@ -275,17 +277,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     if block_pairs.isEmpty():
         final = labels
     else:
-        known = tested.select(F.col("x").alias("row"), F.col("y").alias("hub"), "distance")
+        known = tested.select(F.col("x").alias("node"), F.col("y").alias("hub"), "distance")
         held = (
             members.join(block_pairs.select("token", F.explode(F.array("comp", "comp2")).alias("comp")).distinct(),
                          ["token", "comp"], "left_semi")
-            .join(known, ["row", "hub"], "left")
-            .withColumn("distance", F.when(F.col("row") == F.col("hub"), 0.0).otherwise(F.col("distance")))
+            .join(known, ["node", "hub"], "left")
+            .withColumn("distance", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")))
         )
         held = staged(held)
-        left = held.select("token", "comp", F.col("row").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"),
+        left = held.select("token", "comp", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"),
                            F.col("indexed").alias("ix"), F.col("distance").alias("dx"))
-        right = held.select("token", F.col("comp").alias("comp2"), F.col("row").alias("y"), F.col("n").alias("ny"),
+        right = held.select("token", F.col("comp").alias("comp2"), F.col("node").alias("y"), F.col("n").alias("ny"),
                             F.col("pos").alias("py"), F.col("indexed").alias("iy"), F.col("distance").alias("dy"))
         apart = F.abs(F.col("dx") - F.col("dy")) > 1 - percent / 100 + 1e-9
         rest = (
@@ -299,9 +301,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         more = _compare(staged(rest.join(done, ["x", "y"], "left_anti")), sets, percent)
         final = components(edges.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
-    rooted = _labelled(classes, final, "class", "root")
+    named = sets.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))
+    rooted = staged(_labelled(named, final, "root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = staged(rooted.join(least, "root").select("f1", "f2", "n", "component_id"))
-    return sets.select("id", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left").select(
+    found = rooted.join(least, "root").select("node", "component_id")
+    return sets.select("id", "n", "node").join(found, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
