@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, max_bytes: int = 64 << 20, dic
             trained = train(first, dictionary_bytes)
             options = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
             packer, n, size = zstandard.ZstdCompressor(level=level, **options), 0, 0
-            with disk.open_output_stream(name) as out:
+            with disk.open_output_stream(name, compression=None) as out:
                 if trained:
                     out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(trained).to_bytes(4, "little") + trained)
                 for part in (first, rest):
@@ -224,7 +224,7 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True, stric
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
         def rows(path: str) -> Iterator[tuple]:
-            with disk.open_input_stream(path) as source:
+            with disk.open_input_stream(path, compression=None) as source:
                 content = frames(source)
                 while True:
                     try:
