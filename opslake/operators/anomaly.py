@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,46 +45,36 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:
     return tree
 
 
-def _lowest(hashed: DataFrame, pool: int) -> DataFrame:
-    """Rows that can be among the ``pool`` smallest hashes, a few times as many as asked for."""
-    share = 4.0 * pool / max(hashed.count(), 1)
-    while share < 1:
-        low = hashed.filter(F.col("_h") < int(-(2 ** 63) + share * 2 ** 64))
-        if low.count() >= pool:
-            return low
-        share *= 4
-    return hashed
+def fit_forest(df: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256,
+               seed: int = 1) -> list[dict]:
+    """Isolation trees, each grown in a task of its own from ``sample`` rows of the whole table.
 
-
-def fit_forest(df: DataFrame, features: Sequence[str], row_id: str, trees: int = 100, sample: int = 256, seed: int = 1,
-               pool: int = 8192) -> list[dict]:
-    """Isolation trees, each grown in its own task from ``sample`` rows.
-
-    The rows come from a pool of fixed size with the smallest hashes of the row id, so what is sent to
-    the tasks does not grow with the table, and the same data gives the same trees.
+    A tree's rows are those with the smallest hashes of (seed, tree, row id). Only rows below a cut at four times
+    that share leave the scan, so what is shuffled doesn't grow with the table; the same data gives the same trees.
     """
     features = list(features)
-    hashed = df.select(F.xxhash64(F.lit(seed), row_id).alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
-    rows = _lowest(hashed, pool).orderBy("_h", *features).limit(pool).collect()
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(np.array([[r[c] for c in features] for r in rows], dtype=np.float64))
-
-    def grow(batches):
-        x = shared.value
-        for pdf in batches:
-            for number in pdf["id"]:
-                rng = np.random.default_rng([seed, int(number)])
-                part = x[rng.choice(len(x), min(sample, len(x)), replace=False)] if len(x) else x
-                tree = _grow(part, rng, math.ceil(math.log2(max(len(part), 2))))
-                yield pd.DataFrame({"tree": [number], "size": [len(part)], "body": [json.dumps(tree)]})
-
-    grown = spark.range(trees).repartition(min(trees, spark.sparkContext.defaultParallelism)).mapInPandas(
-        grow, "tree long, size int, body string").collect()
+    rows = df.select(F.col(row_id).alias("_id"), *[F.col(c).cast("double").alias(c) for c in features])
+    share = 4.0 * sample / max(df.count(), 1)
+    drawn = rows.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+        "_h", F.xxhash64(F.lit(seed), "_tree", "_id"))
+    if share < 1:
+        drawn = drawn.filter(F.col("_h") < int(-(2 ** 63) + share * 2 ** 64))
+    by_tree = Window.partitionBy("_tree").orderBy("_h", *features)
+    drawn = drawn.withColumn("_n", F.row_number().over(by_tree)).filter(F.col("_n") <= sample)
+
+    def grow(key, pdf):
+        part = pdf.sort_values("_n")[features].to_numpy(np.float64)
+        tree = _grow(part, np.random.default_rng([seed, int(key[0])]), math.ceil(math.log2(max(len(part), 2))))
+        return pd.DataFrame({"tree": [int(key[0])], "size": [len(part)], "body": [json.dumps(tree)]})
+
+    grown = drawn.groupBy("_tree").applyInPandas(grow, "tree long, size int, body string").collect()
     return [json.loads(r["body"]) | {"size": r["size"]} for r in sorted(grown, key=lambda r: r["tree"])]
 
 
 def score_forest(df: DataFrame, features: Sequence[str], forest: list[dict], threshold: float = -0.5) -> DataFrame:
     """Add ``score`` (minus the isolation score, from -1 to 0) and ``anomaly`` (score below the threshold)."""
+    if not forest:  # fitted on no rows
+        return df.withColumn("score", F.lit(None).cast("double")).withColumn("anomaly", F.lit(None).cast("boolean"))
     arrays = [{k: np.asarray(t[k]) for k in ("feature", "cut", "left", "right", "path")} for t in forest]
     norm = float(_average_path(max(t["size"] for t in forest))) or 1.0
 

@@ -18,10 +18,6 @@ class DataValidationError(ValueError):
     """Null values are left after cleaning."""
 
 
-class TooManyLevels(ValueError):
-    """A column has more levels than one-hot columns are wanted."""
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
@@ -114,26 +110,55 @@ def freq_encode(df: DataFrame, column: str, output: str | None = None) -> DataFr
     return joined.withColumn(target, F.col("_share")).drop("_share")
 
 
-def onehot(df: DataFrame, column: str, max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per level but the first (in sorted order); null gives zeros."""
-    levels = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
-              .limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise TooManyLevels(f"{column} has more than {max_levels} levels; use hash_encode or freq_encode")
+def onehot(df: DataFrame, column: str) -> DataFrame:
+    """One 0/1 column per level but the first (in sorted order); null gives zeros.
+
+    The levels become the schema, so they come to the driver; see :func:`onehot_sparse` for columns of many levels.
+    """
+    levels = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}")
                             for v in levels[1:]]).drop(column)
 
 
+def onehot_sparse(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
+    """The same encoding as one long column for any number of levels: the number of the level's 0/1 column, from 1.
+
+    Null and the first level have no column of their own: null and 0. Levels are numbered in a table by value
+    range and joined, nothing is collected.
+    """
+    levels = staged(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
+    head = F.substring(F.col(column).cast("string"), 1, 2)
+    before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = levels.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_head").orderBy(F.col(column).cast("string"))
+    numbered = levels.withColumn("_head", head).withColumn("_at", F.row_number().over(inside)).join(heads, "_head").select(
+        column, (F.col("_before") + F.col("_at") - 1).alias("_code"))
+    joined = attach(df, numbered, [column])
+    return joined.withColumn(output or column, F.col("_code")).drop("_code")
+
+
+# Fixed value: the largest change by which a double still counts as a float.
+FLOAT_TOLERANCE = 5e-4
 _INTEGERS = [(T.ByteType(), 7), (T.ShortType(), 15), (T.IntegerType(), 31), (T.LongType(), 63)]
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
-    """Smallest integer or float type that holds each numeric column's range."""
+    """Smallest integer or float type that holds each numeric column's values.
+
+    Doubles become floats where no value changes by more than ``FLOAT_TOLERANCE``.
+    """
     ints = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
     floats = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     if not ints and not floats:
         return df
-    ranges = df.agg(*[fn(c).alias(f"{c}#{n}") for c in ints + floats for n, fn in (("lo", F.min), ("hi", F.max))]).first()
+
+    def finite(c: str) -> Column:
+        return F.abs(c) <= 3.4028234e38
+
+    ranges = df.agg(*[fn(c).alias(f"{c}#{n}") for c in ints + floats for n, fn in (("lo", F.min), ("hi", F.max))],
+                    *[F.max(F.abs(F.col(c) - F.when(finite(c), F.col(c)).cast("float").cast("double"))).alias(f"{c}#off")
+                      for c in floats]).first()
     out = {}
     for c in ints:
         lo, hi = ranges[f"{c}#lo"], ranges[f"{c}#hi"]
@@ -142,7 +167,7 @@ def narrow_types(df: DataFrame) -> DataFrame:
             out[c] = F.col(c).cast(kind)
     for c in floats:
         lo, hi = ranges[f"{c}#lo"], ranges[f"{c}#hi"]
-        if lo is not None and max(abs(lo), abs(hi)) <= 3.4028234e38:
+        if lo is not None and max(abs(lo), abs(hi)) <= 3.4028234e38 and ranges[f"{c}#off"] <= FLOAT_TOLERANCE:
             out[c] = F.col(c).cast("float")
     return df.withColumns(out) if out else df
 

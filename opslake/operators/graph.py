@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +19,17 @@ MAX_MEMORY = 1024
 MAX_TOTAL_TIMEOUT = 86_400
 
 
-class TooManyRounds(RuntimeError):
-    """A fixpoint was not reached within the allowed rounds."""
-
-
 def dag_validate(nodes: DataFrame, edges: DataFrame, strict: bool = True, max_memory: int = MAX_MEMORY,
                  max_total: int = MAX_TOTAL_TIMEOUT) -> DataFrame:
     """(dag_id, node_id, error) rows for many workflows at once; workflow-wide errors have no node.
 
-    With ``strict`` an undefined dependency is an error, else it is left to :func:`defined_edges`.
+    Id, task type and timeout must be there; retries and memory may be null. With ``strict`` an undefined dependency is an error, else it is left to :func:`defined_edges`.
     """
     checks = {
         "id": F.length("node_id") >= 1, "task_type": F.col("task_type").rlike(TASK_TYPE), "timeout": F.col("timeout") >= 1,
         "retries": F.col("retries") >= 0, "memory": F.col("memory") <= max_memory,
     }
-    wrong = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
+    wrong = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(name not in ("id", "task_type", "timeout"))), F.lit(name)) for name, ok in checks.items()]))
     errors = nodes.select("dag_id", "node_id", F.explode(wrong).alias("error"))
     total = nodes.groupBy("dag_id").agg(F.sum("timeout").alias("_total")).filter(F.col("_total") > max_total)
     errors = errors.unionByName(total.select("dag_id", F.lit(None).cast("string").alias("node_id"),
@@ -57,7 +54,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological level of every node (0 without dependencies); null for nodes on or behind a cycle.
 
     All workflows advance together, one round per level. The table of open nodes with their number of
@@ -68,7 +65,7 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> Da
     counts = needs.groupBy(*names).agg(F.count(F.lit(1)).alias("_open"))
     state = staged(nodes.select(*names).distinct().join(counts, names, "left").withColumn("_open", F.coalesce("_open", F.lit(0))))
     done: list[DataFrame] = []
-    for level in range(max_rounds + 1):
+    for level in count():
         ready = state.filter("_open = 0")
         if ready.isEmpty():
             stuck = state.select(*names, F.lit(None).cast("int").alias("level"))
@@ -82,10 +79,9 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> Da
         )
         state = staged(state.filter("_open > 0").join(closed, names, "left").select(
             *names, (F.col("_open") - F.coalesce("_closed", F.lit(0))).alias("_open")))
-    raise TooManyRounds(f"more than {max_rounds} levels")
 
 
-def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",), max_rounds: int = 64) -> DataFrame:
+def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Every direct and indirect dependency (group, node_id, depends_on).
 
     Path lengths double each round, so a chain of n edges takes about log2(n) rounds: the pairs found
@@ -95,7 +91,7 @@ def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",), max_rounds
     pair = [*group, "node_id", "depends_on"]
     fresh = staged(edges.select(*pair).distinct())
     parts = [fresh]
-    for _ in range(max_rounds):
+    while True:
         known = _union(parts)
         longer = (
             fresh.withColumnRenamed("depends_on", "_via")
@@ -105,22 +101,21 @@ def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",), max_rounds
         if fresh.isEmpty():
             return known
         parts.append(fresh)
-    raise TooManyRounds(f"no fixpoint in {max_rounds} rounds")
 
 
-def dep_cycles(edges: DataFrame, group: Sequence[str] = ("dag_id",), max_rounds: int = 64) -> DataFrame:
+def dep_cycles(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Nodes that depend on themselves, directly or not."""
-    trimmed = _cyclic_core(edges, group, max_rounds=1000)
-    return dep_closure(trimmed, group, max_rounds).filter(F.col("node_id") == F.col("depends_on")).select(
+    trimmed = _cyclic_core(edges, group)
+    return dep_closure(trimmed, group).filter(F.col("node_id") == F.col("depends_on")).select(
         *group, "node_id")
 
 
-def _cyclic_core(edges: DataFrame, group: Sequence[str], max_rounds: int) -> DataFrame:
+def _cyclic_core(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """Drop edges that cannot lie on a cycle: their dependency has none itself, or nobody needs their node."""
     group = list(group)
     core = staged(edges.select(*group, "node_id", "depends_on").distinct())
     size = core.count()
-    for _ in range(max_rounds):
+    while True:
         nodes = core.select(*group, F.col("node_id").alias("depends_on")).distinct()
         needed = core.select(*group, F.col("depends_on").alias("node_id")).distinct()
         core = staged(core.join(nodes, [*group, "depends_on"], "left_semi").join(needed, [*group, "node_id"], "left_semi"))
@@ -128,7 +123,6 @@ def _cyclic_core(edges: DataFrame, group: Sequence[str], max_rounds: int) -> Dat
         if left == size:
             return core
         size = left
-    raise TooManyRounds(f"no fixpoint in {max_rounds} rounds")
 
 
 def dependency_check(needs: DataFrame, available: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def level_code(level: Column) -> Column:
 
 
 def log_features(df: DataFrame, as_of: dt.datetime, window_s: int | None = None, last: int | None = None) -> DataFrame:
-    """Length, words, special characters, level code and seconds to ``as_of`` of every message.
+    """Length, words, special characters, level code and seconds from the log's own time to ``as_of`` of every message.
 
     With ``window_s`` only the logs of that window, with ``last`` only the newest ones are kept.
     """
@@ -82,7 +82,7 @@ def log_features(df: DataFrame, as_of: dt.datetime, window_s: int | None = None,
         "*", F.length(message).alias("length"), F.size(words).alias("words"),
         F.length(F.regexp_replace(message, r"[\p{L}\p{N}]", "")).alias("special"),
         level_code(F.col("level")).alias("level_code"),
-        ((F.unix_micros(F.lit(as_of)) - F.unix_micros("ts")) / 1e6).alias("age_s"))
+        ((F.unix_micros(F.lit(as_of)) - F.unix_micros("timestamp")) / 1e6).alias("age_s"))
 
 
 def error_alerts(rate: DataFrame, source: str = "log-processor") -> DataFrame:

@@ -86,8 +86,8 @@ def policy_match(requests: DataFrame, policies: list[dict], ts: str = "ts", sour
     Policies are configuration, so they become one CASE expression: no join and no shuffle.
     """
     found = F.lit(None).cast("struct<rule_id:string,action:string>")
-    active = sorted((p for p in policies if p.get("enabled", True)), key=lambda p: p["priority"], reverse=True)
-    for policy in active:
+    active = sorted((p for p in policies if p.get("enabled", True)), key=lambda p: p["priority"])
+    for policy in reversed(active):  # the outermost condition is met first; of equal priorities the first listed wins
         applies = reduce(operator.and_, [_condition(k, v, ts) for k, v in policy["conditions"].items()], F.lit(True))
         if policy.get("exceptions"):
             applies = applies & ~F.coalesce(F.col(source).isin(list(policy["exceptions"])), F.lit(False))
@@ -97,17 +97,17 @@ def policy_match(requests: DataFrame, policies: list[dict], ts: str = "ts", sour
         "*", F.col("_found.rule_id").alias("rule_id"), F.coalesce("_found.action", F.lit("DENY")).alias("action")).drop("_found")
 
 
-def infer_forward(facts: DataFrame, rules: list[dict], max_rounds: int = 100) -> DataFrame:
+def infer_forward(facts: DataFrame, rules: list[dict]) -> DataFrame:
     """Derive facts (relation, subject, value) until nothing new appears.
 
     A rule has ``if``: a list of {relation, value?} that must hold for the same subject, and ``then``:
     {relation, value?}. Without a value in ``then`` the subject itself is the value. Each round joins
-    only on subjects that gained a fact in the round before.
+    only on subjects that gained a fact in the round before. Rules and subjects are finite, so are the rounds.
     """
     columns = ["relation", "subject", "value"]
     fresh = staged(facts.select(*columns).distinct())
     parts = [fresh]
-    for _ in range(max_rounds):
+    while True:
         known = reduce(DataFrame.unionByName, parts)
         derived = None
         for rule in rules:
@@ -129,10 +129,11 @@ def infer_forward(facts: DataFrame, rules: list[dict], max_rounds: int = 100) ->
         if fresh.isEmpty():
             return known
         parts.append(fresh)
-    raise RuntimeError(f"inference did not end in {max_rounds} rounds")
+        if len(parts) > 50:
+            parts = [staged(reduce(DataFrame.unionByName, parts))]
 
 
-def infer_backward(facts: DataFrame, rules: list[dict], hypotheses: DataFrame, max_rounds: int = 100) -> DataFrame:
+def infer_backward(facts: DataFrame, rules: list[dict], hypotheses: DataFrame) -> DataFrame:
     """Hypotheses (relation, subject, value) that can be derived from the facts."""
     columns = ["relation", "subject", "value"]
-    return hypotheses.join(infer_forward(facts, rules, max_rounds), columns, "left_semi")
+    return hypotheses.join(infer_forward(facts, rules), columns, "left_semi")

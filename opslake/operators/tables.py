@@ -7,7 +7,7 @@ import operator
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.operators.ordered import fit_range, with_previous
@@ -19,7 +19,8 @@ def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_
 
     A new key is inserted, a known key is updated when the incoming version equals the stored one;
     the version then grows by one. One write per key and batch is accepted: the lowest version, then
-    the first by ``order``. Which row wins is decided on (key, version) groups, not on all rows.
+    the first by ``order``, then the smallest row. Which write wins is decided on (key, version) groups; only
+    writes that tie in all three are numbered.
     """
     stored = current.select(key, F.col(version).alias("_stored"))
     groups = incoming.groupBy(key, version).agg(F.min(order).alias("_first")).join(stored, key, "left")
@@ -27,9 +28,11 @@ def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_
     winners = groups.groupBy(key).agg(
         F.max("_stored").alias("_stored"),
         F.min(F.when(accepted, F.struct(F.col(version), F.col("_first")))).alias("_win"))
-    judged = incoming.join(winners, key, "left").withColumn(
-        "_wins", F.coalesce((F.col(version) == F.col(f"_win.{version}")) & (F.col(order) == F.col("_win._first")),
-                            F.lit(False)))
+    rest = [F.col(c) for c in incoming.columns if c not in (key, version, order)]
+    tied = Window.partitionBy(key, version, order).orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    judged = incoming.join(winners, key, "left").withColumn("_copy", F.row_number().over(tied)).withColumn(
+        "_wins", F.coalesce((F.col(version) == F.col(f"_win.{version}")) & (F.col(order) == F.col("_win._first"))
+                            & (F.col("_copy") == 1), F.lit(False))).drop("_copy")
     conflicts = judged.filter(~F.col("_wins")).drop("_win", "_wins").withColumnRenamed("_stored", "stored_version")
     fields = [c for c in current.columns if c != key]
     writes = judged.filter("_wins").select(key, F.struct(

@@ -46,8 +46,8 @@ SELECT event_id AS span_id, event_id - event_id % 4 AS trace_id,
 FROM @events""",
     "v_access": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, concat('10.0.0.', CAST(user_id % 20 AS STRING)) AS source_ip,
-       CASE WHEN event_id % 50 = 0 THEN 'breakglass-01' ELSE concat('user-', CAST(user_id AS STRING)) END AS source_id,
-       CASE WHEN event_type = 'error' THEN '/admin/dashboard' ELSE concat('/app/', event_type) END AS resource,
+       CASE WHEN event_id % 50 = 0 THEN 'on-call-7' ELSE concat('user-', CAST(user_id AS STRING)) END AS source_id,
+       CASE WHEN event_type = 'error' THEN '/vault/main' ELSE concat('/portal/', event_type) END AS resource,
        CAST(event_id % 4 AS INT) AS auth_level
 FROM @events""",
     "v_topics": """

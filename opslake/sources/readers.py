@@ -82,13 +82,16 @@ def read_auto(spark: SparkSession, path: str, types: dict[str, str] | None = Non
 
 def kafka_options(brokers: str, topics: str | Sequence[str], starting: str = "latest", user: str | None = None,
                   password: str | None = None, protocol: str = "SASL_SSL", mechanism: str = "PLAIN",
-                  group: str | None = None, max_per_trigger: int | None = None) -> dict[str, str]:
-    """Options of the Kafka source. ``starting`` is ``latest``, ``earliest`` or a JSON of offsets."""
+                  group: str | None = None, max_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of the Kafka source. ``starting`` is ``latest``, ``earliest`` or a JSON of offsets.
+
+    Offsets that are gone stop the query unless ``fail_on_data_loss`` is off.
+    """
     options = {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topics if isinstance(topics, str) else ",".join(topics),
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if group:
         options["kafka.group.id"] = group

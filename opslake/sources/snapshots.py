@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ChecksumMismatch(ValueError):
@@ -21,9 +22,13 @@ class SchemaDrift(ValueError):
 def content_checksum(df: DataFrame) -> tuple[int, str]:
     """(row count, checksum) of all rows and columns, whatever their order.
 
+    A row is hashed as text that keeps the place of every value and shows nulls; map entries are sorted first.
     The row hashes are summed, so equal rows do not cancel each other.
     """
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s")).first()
+    cells = [F.array_sort(F.map_entries(f.name)).alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+             for f in df.schema]
+    body = F.xxhash64(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(body.cast("decimal(38,0)")).alias("s")).first()
     return row["n"], str(row["s"] or 0)
 
 

@@ -1,13 +1,14 @@
 """Features, vectors, models and planning against pandas and numpy."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from opslake.operators import anomaly, features, planning, sla, vectors
+from opslake.operators import anomaly, features, logs, planning, sla, vectors
 
 
 @pytest.fixture(scope="module")
@@ -56,11 +57,17 @@ def test_nulls_after_cleaning_are_an_error(spark):
         features.require_no_nulls(spark.createDataFrame([(1, None)], "a int, b int"))
 
 
-def test_onehot_limits_levels(spark):
-    df = spark.range(20).select(F.col("id").cast("string").alias("s"))
-    with pytest.raises(features.TooManyLevels):
-        features.onehot(df, "s", max_levels=10)
-    assert len(features.onehot(df, "s").columns) == 19
+def test_onehot_of_many_levels(spark):
+    df = spark.range(2500).select(F.format_string("s%05d", "id").alias("s")).union(spark.createDataFrame([(None,)], "s string"))
+    assert len(features.onehot(df.limit(20), "s").columns) == 19
+    got = {r.s: r.code for r in features.onehot_sparse(df.union(df), "s", "code").collect()}
+    assert got == {f"s{i:05}": i for i in range(2500)} | {None: None}
+
+
+def test_doubles_that_change_stay_doubles(spark):
+    df = spark.createDataFrame([(0.5, 104949.5123456, 1e300), (None, 1.0, 0.0)], "a double, b double, c double")
+    assert [f.dataType.simpleString() for f in features.narrow_types(df).schema] == ["float", "double", "double"]
+    assert features.narrow_types(df).first().b == 104949.5123456
 
 
 def test_constant_column_is_not_scaled(spark):
@@ -211,12 +218,23 @@ def test_throughput_anomalies_need_thirty_samples(spark):
     assert [(r.service, r.rps, r.status) for r in out] == [("a", 50.0, "high")]
 
 
-def test_pool_of_smallest_hashes_is_exact(spark):
-    hashed = spark.range(50_000).select(F.xxhash64("id").alias("_h"))
-    want = [r[0] for r in hashed.orderBy("_h").limit(100).collect()]
-    low = anomaly._lowest(hashed, 100)
-    assert low.count() < 2000 and [r[0] for r in low.orderBy("_h").limit(100).collect()] == want
-    assert anomaly._lowest(hashed.limit(50), 100).count() == 50
+def test_forest_draws_from_the_whole_table(spark):
+    """Every tree's rows are those with its smallest hashes, so trees differ and no pool limits them."""
+    df = spark.range(20_000).select("id", F.col("id").cast("double").alias("x"))
+    forest = anomaly.fit_forest(df, ["x"], "id", trees=40, sample=64)
+    assert len(forest) == 40 and {t["size"] for t in forest} == {64}
+    cuts = [c for t in forest for f, c in zip(t["feature"], t["cut"]) if f >= 0]
+    assert len(set(cuts)) > 0.9 * len(cuts) and min(cuts) < 500 and max(cuts) > 19_500
+    assert forest == anomaly.fit_forest(df.repartition(5), ["x"], "id", trees=40, sample=64)
+    assert {t["size"] for t in anomaly.fit_forest(df.limit(10), ["x"], "id", trees=3, sample=64)} == {10}
+    assert anomaly.isolation_forest(df.limit(0), ["x"], "id").count() == 0
+
+
+def test_log_age_is_that_of_the_log(spark):
+    as_of = dt.datetime(2024, 1, 31)
+    rows = [(1, as_of, json.dumps({"message": "m", "timestamp": "2024-01-30T00:00:00"})), (2, as_of, "plain")]
+    parsed = logs.log_parse(spark.createDataFrame(rows, "event_id long, ts timestamp, raw string"))
+    assert {r.event_id: r.age_s for r in logs.log_features(parsed, as_of).collect()} == {1: 86400.0, 2: 0.0}
 
 
 def test_search_without_queries_or_vectors(space, spark):

@@ -159,6 +159,14 @@ def test_checksum_ignores_order_but_not_duplicates(spark):
     assert snapshots.content_checksum(df)[1] != snapshots.content_checksum(df.union(df))[1]
 
 
+def test_checksum_sees_nulls_move_and_reads_maps(spark):
+    shape = "a long, b long, m map<string,long>"
+    one, two = (spark.createDataFrame([(*ab, {"x": 1, "y": 2})], shape) for ab in ((1, None), (None, 1)))
+    assert snapshots.content_checksum(one) != snapshots.content_checksum(two)
+    turned = spark.createDataFrame([(1, None, {"y": 2, "x": 1})], shape)
+    assert snapshots.content_checksum(one) == snapshots.content_checksum(turned)
+
+
 def test_snapshot_retention(spark, tmp_path):
     root = str(tmp_path / "snap")
     for i in range(7):

@@ -33,6 +33,13 @@ def test_upsert_with_several_writes_of_one_key(spark):
     assert {(r.status, r.stored_version) for r in conflicts.collect()} == {("x", 3), ("z", 3), ("n2", None)}
 
 
+def test_upsert_accepts_one_of_equal_writes(spark):
+    new = incoming(spark, [("a", "y", 0), ("a", "x", 0), ("a", "x", 0)]).withColumn("seq", F.lit(1).cast("long"))
+    merged, conflicts = tables.versioned_upsert(states(spark, []), new)
+    assert [tuple(r) for r in merged.collect()] == [("a", "x", 1)]
+    assert sorted(r.status for r in conflicts.collect()) == ["x", "y"]
+
+
 row = st.tuples(st.sampled_from("abcd"), st.sampled_from(["x", "y"]), st.integers(0, 3))
 
 
