@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from opslake.llm.components import components
 from opslake.session import staged
 
-SKETCH_BITS, SLICES = 24, 64
+SKETCH_BITS, FILTER_BITS, SLICES = 23, 26, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -96,7 +96,7 @@ class Shingles:
         return out
 
 
-def _in_groups(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _in_groups(column: pa.Array, size: int = 250_000) -> Iterator[tuple[int, list[str | None]]]:
     """Texts of one batch in groups of bounded size, with the place of the first."""
     at, group, held = 0, [], 0
     for i, text in enumerate(column):
@@ -209,10 +209,36 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
         run, "token long, node long, n int, pos int, indexed boolean")
 
 
+def _hinted(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sets whose node can be among the wanted ones, by a bit filter of bounded size, before they are shuffled."""
+    low = FILTER_BITS - 6
+
+    def mark(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << low, dtype=bool)
+        for batch in batches:
+            bits[batch.column("node").to_numpy() & ((1 << low) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int64()), pa.array([np.packbits(bits).tobytes()])],
+                                         ["slice", "bits"])
+
+    part = F.shiftright(F.col("node"), low).bitwiseAND(F.lit(SLICES - 1)).cast("long")
+    marked = np.zeros((SLICES, 1 << low - 3), dtype=np.uint8)
+    for row in wanted.select("node", part.alias("slice")).groupBy("slice").applyInArrow(mark, "slice long, bits binary").collect():
+        marked[row["slice"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    marked = marked.ravel()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("node").to_numpy() & ((1 << FILTER_BITS) - 1)
+            yield batch.filter(pa.array((marked[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return sets.where(F.col("hashes").isNotNull()).select("node", "n", "hashes").mapInArrow(
+        keep, "node long, n long, hashes binary")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows (x, y, shared, linked, distance) of distinct pairs (x, y)."""
     wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
-    held = staged(sets.where(F.col("hashes").isNotNull()).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    held = staged(_hinted(sets, wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     one = held.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
     two = held.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
 
