@@ -204,62 +204,65 @@ def _quantile(total: Column, q: float, values: list[Column]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quantiles: dict[str, tuple],
-                    small_group: int = 100_000, per_octave: int = 256, largest: int | None = None) -> DataFrame:
-    """Exact quantiles per key.
+                    per_octave: int = 256, fine: int = 50_000) -> DataFrame:
+    """Exact quantiles per key, without bringing a key's values together.
 
     ``quantiles`` maps an output column to ``(q, kind)``; kind is ``"disc"`` (smallest value whose
     share is at least q), ``"desc"`` (element at floor(n * (1 - q)) of the descending values) or
     ``"cont"`` (linear interpolation). Null and NaN are ignored; a key with no values gets no row.
 
-    The largest group is counted first, unless the caller knows it (``largest``). Up to ``small_group`` values are sorted as one array per key;
-    beyond that the groups stay spread over the cluster, see :func:`_banded_quantiles`.
+    A histogram over value bands finds the band that holds each wanted rank. A band of more than ``fine``
+    rows with different values is cut again between its smallest and largest value, until none is left;
+    only then the rows of the wanted bands are counted by value and ordered, at most ``fine`` values to a band.
     """
     keys = list(keys)
-    base = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if largest is None:
-        largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest > small_group:
-        return _banded_quantiles(base, keys, quantiles, per_octave)
-    sorted_values = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_all"))
-    total = F.size("_all").cast("long")
-    return sorted_values.filter(total > 0).select(*keys, *[
-        _quantile(total, q, [F.element_at("_all", r.cast("int")) for r in _ranks(total, q, kind)]).alias(name)
-        for name, (q, kind) in quantiles.items()])
-
-
-def _banded_quantiles(base: DataFrame, keys: list[str], quantiles: dict[str, tuple], per_octave: int) -> DataFrame:
-    """Exact quantiles without bringing a key's values together.
-
-    A histogram over value bands finds the band that holds each wanted rank; then only the rows of
-    those bands are counted by value and ordered.
-    """
-    base = base.withColumn("_band", value_band(F.col("_v"), per_octave))
+    rows = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_band", value_band(F.col("_v"), per_octave))
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = base.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, "_band", "_n", F.sum("_n").over(running).alias("_cum"), F.sum("_n").over(per_key).alias("_total"))
+    held = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    histogram = rows.groupBy(*keys, "_band").agg(*held).select(
+        "*", F.sum("_n").over(running).alias("_cum"), F.sum("_n").over(per_key).alias("_total"))
     total, before = F.col("_total"), F.col("_cum") - F.col("_n")
-    wanted = [F.struct(F.lit(f"{name}#{i}").alias("slot"), r.alias("rank"))
-              for name, (q, kind) in quantiles.items() for i, r in enumerate(_ranks(total, q, kind))]
-    targets = staged(
-        histogram.select(*keys, "_band", before.alias("_before"), "_total", F.filter(
-            F.array(*wanted), lambda s: (s["rank"] > before) & (s["rank"] <= F.col("_cum"))).alias("_slots"))
-        .filter(F.size("_slots") > 0)
-    )
-    near = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*[F.struct(F.lit(f"{name}#{i}").alias("slot"), r.alias("rank"))
+                       for name, (q, kind) in quantiles.items() for i, r in enumerate(_ranks(total, q, kind))])
+
+    def targets(bands: DataFrame, path: list[str], slots: Column) -> DataFrame:
+        inside = F.filter(slots, lambda s: (s["rank"] > before) & (s["rank"] <= F.col("_cum")))
+        return staged(bands.select(*path, "_n", "_low", "_high", "_total", before.alias("_before"), inside.alias("_slots"))
+                      .filter(F.size("_slots") > 0))
+
+    path = [*keys, "_band"]
+    found = targets(histogram, path, wanted)
+
+    def finite(c: str) -> Column:
+        return F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308))
+
+    low, high = finite("_low"), finite("_high")
+    crowded = (F.col("_n") > fine) & (low < high)
+    while not found.filter(crowded).isEmpty():
+        cut = f"_cut{len(path)}"
+        step = F.when(crowded, F.floor((finite("_v") - low) / (high - low) * 4096)).otherwise(0).cast("long")
+        limits = found.select(*path, "_n", "_low", "_high")
+        rows = attach(rows, limits, path, "inner").withColumn(cut, step).select(*path, cut, "_v")
+        parent, path = path, [*path, cut]
+        inner = Window.partitionBy(*parent).orderBy(cut).rowsBetween(Window.unboundedPreceding, 0)
+        bands = rows.groupBy(*path).agg(*held).withColumn("_cum", F.sum("_n").over(inner))
+        bands = attach(bands, found.select(*parent, "_before", "_total", "_slots"), parent, "inner")
+        found = targets(bands.withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_before"), path, F.col("_slots"))
+    near = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        attach(base, targets.select(*keys, "_band"), [*keys, "_band"], "leftsemi")
-        .groupBy(*keys, "_band", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        attach(rows, found.select(*path), path, "leftsemi").groupBy(*path, "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_upto", F.sum("_c").over(near))
     )
     at = F.col("_before") + F.col("_upto")
-    found = (
-        attach(counted, targets, [*keys, "_band"], "inner")
+    hits = (
+        attach(counted, found, path, "inner")
         .select(*keys, "_v", "_c", at.alias("_at"), "_total", F.explode("_slots").alias("_slot"))
         .filter((F.col("_slot.rank") > F.col("_at") - F.col("_c")) & (F.col("_slot.rank") <= F.col("_at")))
     )
     slots = {name: [f"{name}#{i}" for i in range(len(_ranks(total, q, kind)))] for name, (q, kind) in quantiles.items()}
-    wide = found.groupBy(*keys).agg(
+    wide = hits.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
         *[F.max(F.when(F.col("_slot.slot") == s, F.col("_v"))).alias(s) for names in slots.values() for s in names])
     return wide.filter(total > 0).select(*keys, *[

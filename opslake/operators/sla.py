@@ -43,11 +43,9 @@ def sla_metrics(df: DataFrame, keys: Sequence[str], window_s: float) -> DataFram
     """Availability, p99 latency and throughput per key."""
     keys = list(keys)
     rates = staged(df.groupBy(*keys).agg(
-        availability_expr(F.col("success")).alias("availability"), (F.count(F.lit(1)) / F.lit(window_s)).alias("throughput"),
-        F.count("latency").alias("_n")))
-    largest = rates.agg(F.max("_n")).first()[0] or 0
-    slow = staged(exact_quantiles(df, keys, "latency", {"latency_p99": (0.99, "desc")}, largest=largest))
-    return attach(rates, slow, keys).drop("_n").withColumn("latency_p99", F.coalesce("latency_p99", F.lit(0.0)))
+        availability_expr(F.col("success")).alias("availability"), (F.count(F.lit(1)) / F.lit(window_s)).alias("throughput")))
+    slow = staged(exact_quantiles(df, keys, "latency", {"latency_p99": (0.99, "desc")}))
+    return attach(rates, slow, keys).withColumn("latency_p99", F.coalesce("latency_p99", F.lit(0.0)))
 
 
 def in_window(df: DataFrame, as_of: dt.datetime, seconds: float, ts: str = "ts") -> DataFrame:

@@ -75,11 +75,11 @@ def test_rolling(skewed, chunk):
     assert all(abs(got[i][0] - x) < 1e-9 for i, x in want.items())
 
 
-@pytest.mark.parametrize("small_group", [0, 10 ** 6])
-def test_exact_quantiles(skewed, small_group):
+@pytest.mark.parametrize("fine", [1, 50_000])
+def test_exact_quantiles(skewed, fine):
     df, pdf = skewed
     wanted = {"p99": (0.99, "desc"), "p90": (0.9, "desc"), "d": (0.5, "disc"), "q1": (0.25, "cont"), "q3": (0.75, "cont")}
-    got = {r["k"] or "~null": r for r in ordered.exact_quantiles(df, ["k"], "v", wanted, small_group, 4).collect()}
+    got = {r["k"] or "~null": r for r in ordered.exact_quantiles(df, ["k"], "v", wanted, per_octave=4, fine=fine).collect()}
     for k, part in pdf.groupby("k"):
         v = np.sort(part.v.to_numpy())
         assert got[k]["p99"] == v[::-1][int(len(v) * (1 - 0.99))]
@@ -89,13 +89,22 @@ def test_exact_quantiles(skewed, small_group):
         assert abs(got[k]["q3"] - np.quantile(v, 0.75)) < 1e-9
 
 
-@pytest.mark.parametrize("small_group", [0, 10 ** 6])
-def test_exact_quantiles_of_one_or_no_value(spark, small_group):
+@pytest.mark.parametrize("fine", [1, 50_000])
+def test_exact_quantiles_of_one_or_no_value(spark, fine):
     one = spark.createDataFrame([("a", 5.0), ("a", None), ("b", None)], "k string, v double")
-    got = ordered.exact_quantiles(one, ["k"], "v", {"x": (0.99, "desc"), "y": (0.5, "cont")}, small_group).collect()
+    got = ordered.exact_quantiles(one, ["k"], "v", {"x": (0.99, "desc"), "y": (0.5, "cont")}, fine=fine).collect()
     assert [tuple(r) for r in got] == [("a", 5.0, 5.0)]
 
 
+def test_neighbouring_values_of_one_key_never_meet(spark):
+    """All values fall into one band, which is cut until small parts are left."""
+    df = spark.range(200_000).select(F.lit("hot").alias("k"), (F.lit(1.7e9) + F.col("id")).alias("v"))
+    got = ordered.exact_quantiles(df, ["k"], "v", {"a": (0.25, "cont"), "b": (0.999, "disc")}, fine=500).first()
+    assert (got.a, got.b) == (1.7e9 + 49_999.75, 1.7e9 + 199_799)
+    same = df.select("k", F.lit(3.5).alias("v")).unionByName(df.limit(3))
+    assert ordered.exact_quantiles(same, ["k"], "v", {"a": (0.5, "disc")}, fine=10).first().a == 3.5
+
+
 def test_value_band_never_decreases(spark):
     rng = np.random.default_rng(3)
     x = np.sort(np.r_[rng.normal(0, 1e6, 2000), rng.normal(0, 1e-6, 2000), 2.0 ** np.arange(-60, 60), 0.0,
@@ -149,11 +158,11 @@ def test_timestamps_are_utc(spark):
     assert got == int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
 
 
-@pytest.mark.parametrize("small_group", [0, 10 ** 6])
-def test_quantiles_with_infinite_and_missing_numbers(spark, small_group):
+@pytest.mark.parametrize("fine", [1, 50_000])
+def test_quantiles_with_infinite_and_missing_numbers(spark, fine):
     values = [1.0, float("inf"), float("nan"), -2.0, float("-inf"), 0.0, 1e308]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = ordered.exact_quantiles(df, [], "v", {"lo": (0.01, "disc"), "mid": (0.5, "disc"), "hi": (1.0, "disc")}, small_group).first()
+    got = ordered.exact_quantiles(df, [], "v", {"lo": (0.01, "disc"), "mid": (0.5, "disc"), "hi": (1.0, "disc")}, fine=fine).first()
     assert tuple(got) == (float("-inf"), 0.0, float("inf"))
 
 
