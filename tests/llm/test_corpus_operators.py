@@ -250,8 +250,18 @@ def test_fuzzy_lines(spark, docs, no_docs):
     assert fuzzy_lines.dedup(no_docs).count() == 0
 
 
-def norm(line):
-    return re.sub(r"[\W_]+", " ", line.lower()).strip()
+def test_simhash_is_the_majority_of_the_longer_words(spark, monkeypatch):
+    rng = __import__("random").Random(3)
+    words = [[f"word{rng.randint(0, 99)}" if rng.random() < 0.8 else "the" for _ in range(n)] for n in (0, 3, 8, 100, 300, 5000)]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w array<string>")
+    hashes = {r["i"]: r["h"] for r in df.select("i", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).collect()}
+    got = {r["i"]: r["simhash"] for r in fuzzy_lines.simhashes(df, "w").collect()}
+    for i, ws in enumerate(words):
+        long = [h for h, x in zip(hashes[i], ws, strict=True) if len(x) >= 5]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in long) > len(long))
+        assert got[i] == (None if len(long) < 6 else want - (1 << 64 if want >> 63 else 0))
+    monkeypatch.setattr(fuzzy_lines, "MOST_COUNTED", 1000)
+    assert fuzzy_lines.simhashes(df, "w").count() == len(words)
 
 
 def test_fuzzy_lines_groups_by_hand(spark):
@@ -265,7 +275,7 @@ def test_fuzzy_lines_groups_by_hand(spark):
             v[rng.randrange(70)] += "x"
         lines.append(" ".join(v))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    hashed = fuzzy_lines.with_simhash(df.select("doc_id", F.split("text", " ").alias("w")), "w")
+    hashed = fuzzy_lines.simhashes(df.select("doc_id", F.split(F.lower("text"), " ").alias("w")), "w")
     sim = {r["doc_id"]: r["simhash"] for r in hashed.collect()}
     root = {}
 
