@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ class Codec:
     """The merge table and vocabulary in a DuckDB connection of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, rounds: int = 24, batch_words: int = 50_000,
-                 memory_words: int = 300_000):
+                 memory_words: int = 600_000):
         import duckdb
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
@@ -147,7 +148,7 @@ class Codec:
             for at in range(0, len(words), self.batch_words):
                 self.known.update(self._contract(words[at:at + self.batch_words], words is long))
         known = self.known
-        return [np.array([i for w in words for i in known[w]], dtype=np.int32) for words in split]
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int32) for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of token ids."""
