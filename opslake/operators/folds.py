@@ -46,6 +46,9 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
     An ``eligible`` row acts when at least ``wait_s`` seconds (of that row) have passed since the
     key's last action. Adds ``acted`` and ``last_action`` (the action before this row, or null).
     (``ts``, ``tie``) identifies a row of a key. Only the eligible rows' times go through Python.
+
+    A bucket's summary says, for any last action before it, which action is the last after it: one step for each row
+    that can act first, so only rows within one waiting time of its start count. Summaries are composed in a tree.
     """
     keys = list(keys)
     names = [*keys, "_bucket"]
@@ -73,15 +76,31 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
         keep = np.r_[ends[:-1] != ends[1:], True]
         return {"limits": limits[keep].tolist(), "ends": ends[keep].tolist()}
 
-    def carry(rows):
-        states, last = [], _NEVER
+    def steps(row):
+        empty = row["limits"] is None
+        return (np.array([] if empty else row[c], dtype=np.int64) for c in ("limits", "ends"))
+
+    def after(limits, ends, last):
+        at = np.searchsorted(limits, last, side="left")
+        return np.where(at < len(limits), np.append(ends, 0)[at], last)
+
+    def carry(rows, start):
+        states, last = [], _NEVER if start is None else int(start["_entry"])
         for row in rows:
             states.append({"_entry": last})
-            if row["limits"] is not None:
-                step = np.searchsorted(np.asarray(row["limits"], dtype=np.int64), last, side="left")
-                last = int(row["ends"][step]) if step < len(row["limits"]) else last
+            last = int(after(*steps(row), last))
         return states
 
+    def compose(rows):
+        limits, ends = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        for row in rows:
+            next_limits, next_ends = steps(row)
+            later = next_limits > (limits[-1] if len(limits) else _NEVER)
+            limits, ends = np.r_[limits, next_limits[later]], np.r_[after(next_limits, next_ends, ends), next_ends[later]]
+            keep = np.r_[ends[:-1] != ends[1:], np.ones(min(1, len(ends)), dtype=bool)]
+            limits, ends = limits[keep], ends[keep]
+        return {"limits": limits.tolist(), "ends": ends.tolist()}
+
     def act(pdf):
         pdf, at, wait = ordered(pdf)
         limits, first = _entry_steps(at, wait)
@@ -93,7 +112,8 @@ def cooldown_replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, eligi
             i = int(following[i])
         return pdf.iloc[acts][[*keys, "_at", tie]]
 
-    states = entry_states(work, keys, lean, summarise, "limits array<long>, ends array<long>", carry, "_entry long")
+    states = entry_states(work, keys, lean, summarise, "limits array<long>, ends array<long>", carry, "_entry long",
+                          compose)
     row_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keys, "_at", tie).schema)
     acts = staged(attach(lean, states, names).groupBy(*names).applyInPandas(act, row_fields))
     marked = attach(attach(work, states, names), acts.withColumn("_acted", F.lit(True)), [*keys, "_at", tie])
@@ -143,7 +163,7 @@ def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, b
         return {"_shrink": float(decay) ** len(x), "_from_zero": float(run(x, 0.0)[-1]),
                 "_added": float(_decayed(x, decay, 0.0)[-1])}
 
-    def carry(rows):
+    def carry(rows, start):
         states, s = [], 0.0
         for row in rows:
             states.append({"_entry": s})

@@ -26,13 +26,14 @@ def _col(c: ColumnLike) -> Column:
 
 
 # Widths tried by fit_time (seconds) and fit_range, widest first.
-TIME_WIDTHS = (315_360_000, 2_592_000, 86_400, 3_600, 60, 1)
-RANGE_WIDTHS = (10 ** 12, 10 ** 9, 10 ** 8, 10 ** 7, 10 ** 6, 10 ** 5, 10 ** 4, 10 ** 3)
+TIME_WIDTHS = (315_360_000, 2_592_000, 86_400, 3_600, 60, 1, 0.001, 0.000001)
+RANGE_WIDTHS = (10 ** 12, 10 ** 9, 10 ** 8, 10 ** 7, 10 ** 6, 10 ** 5, 10 ** 4, 10 ** 3, 32, 1)
 
 
-def by_time(ts: ColumnLike, seconds: int = 3600) -> Column:
+def by_time(ts: ColumnLike, seconds: float = 3600) -> Column:
     """Bucket of neighbouring rows for data ordered by a timestamp."""
-    return F.floor(F.unix_seconds(_col(ts)) / F.lit(seconds)).cast("long")
+    micros = F.unix_micros(_col(ts))
+    return ((micros - F.pmod(micros, F.lit(round(seconds * 1e6)))) / F.lit(round(seconds * 1e6))).cast("long")
 
 
 def by_range(number: ColumnLike, width: int = 1_000_000) -> Column:
@@ -42,7 +43,7 @@ def by_range(number: ColumnLike, width: int = 1_000_000) -> Column:
 
 def _widest(df: DataFrame, keys: Sequence[str], number: Column, widths: Sequence[int], max_rows: int) -> int:
     """The widest bucket that holds at most ``max_rows`` rows of any key; one counting job per step."""
-    for tried in (widths[:-1], widths[-1:]):
+    for tried in (widths[:-3], *[[w] for w in widths[-3:]]):
         cells = df.groupBy(*keys, F.floor(number / F.lit(tried[-1])).cast("long").alias("_cell")).agg(
             F.count(F.lit(1)).alias("_n"))
         wider = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.floor(F.col("_cell") * tried[-1] / F.lit(w)).alias("b"))
@@ -59,7 +60,8 @@ def _widest(df: DataFrame, keys: Sequence[str], number: Column, widths: Sequence
 
 def fit_time(df: DataFrame, keys: Sequence[str], ts: ColumnLike, max_rows: int = 1_000_000) -> Column:
     """Time bucket wide enough to be worth a task and narrow enough for the busiest key."""
-    return by_time(ts, _widest(df, keys, F.unix_seconds(_col(ts)), TIME_WIDTHS, max_rows))
+    widths = [round(w * 1e6) for w in TIME_WIDTHS]
+    return by_time(ts, _widest(df, keys, F.unix_micros(_col(ts)), widths, max_rows) / 1e6)
 
 
 def fit_range(df: DataFrame, keys: Sequence[str], number: ColumnLike, max_rows: int = 1_000_000) -> Column:
@@ -271,12 +273,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quant
 
 
 def entry_states(tagged: DataFrame, keys: Sequence[str], lean: DataFrame, summarise: Callable, summary_fields: str,
-                 carry: Callable, state_fields: str) -> DataFrame:
+                 carry: Callable, state_fields: str, compose: Callable | None = None, fan: int = 16) -> DataFrame:
     """State in which a sequential fold enters each (key, ``_bucket``), staged.
 
     ``summarise(pdf) -> dict`` describes how a bucket's rows change any entry state; ``lean`` holds just
-    the rows and columns that needs. ``carry(list of dicts) -> list of dicts`` walks one key's
-    summaries in order, one row per bucket; a bucket without lean rows has a missing summary.
+    the rows and columns that needs. ``carry(list of dicts, start) -> list of dicts`` walks summaries in order from
+    the state ``start`` (None at the beginning of a key), one row per bucket; a bucket without lean rows
+    has a missing summary.
+
+    Summaries of fixed size are walked per key. With ``compose(list of dicts) -> dict`` they may be larger:
+    ``fan`` neighbouring ones are composed into one, again and again, and the states come down the same
+    tree, so no task meets more than ``fan`` summaries.
     """
     names = [*keys, "_bucket"]
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.select(*names).schema)
@@ -284,10 +291,40 @@ def entry_states(tagged: DataFrame, keys: Sequence[str], lean: DataFrame, summar
     def first_pass(pdf):
         return pd.DataFrame([{**{n: pdf[n].iloc[0] for n in names}, **summarise(pdf)}])
 
-    def second_pass(pdf):
-        pdf = pdf.sort_values("_bucket", ignore_index=True)
-        return pd.concat([pdf[names], pd.DataFrame(carry(pdf.to_dict("records")))], axis=1)
-
     summaries = lean.groupBy(*names).applyInPandas(first_pass, f"{key_fields}, {summary_fields}")
-    every = attach(tagged.select(*names).distinct(), summaries, names)
-    return staged(every.groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_fields}"))
+    buckets = tagged.select(*names).distinct()
+    if compose is None:
+        def walk(pdf):
+            pdf = pdf.sort_values("_bucket", ignore_index=True)
+            return pd.concat([pdf[names], pd.DataFrame(carry(pdf.to_dict("records"), None))], axis=1)
+
+        return staged(attach(buckets, summaries, names).groupBy(*keys).applyInPandas(walk, f"{key_fields}, {state_fields}"))
+
+    tree_fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.select(*keys).schema], "_at long"])
+    state_names = [x.split()[0] for x in state_fields.split(", ")]
+    numbered = buckets.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_bucket")).cast("long") - 1)
+    level = staged(attach(numbered, summaries, names).drop("_bucket"))
+    levels, up = [level], F.floor(F.col("_at") / fan)
+
+    def group(pdf):
+        pdf = pdf.sort_values("_at", ignore_index=True)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "_at": pdf["_at"].iloc[0] // fan,
+                              **compose(pdf.to_dict("records"))}])
+
+    while (level.agg(F.max("_at")).first()[0] or 0) >= fan:
+        level = staged(level.withColumn("_up", up).groupBy(*keys, "_up").applyInPandas(group, f"{tree_fields}, {summary_fields}"))
+        levels.append(level)
+
+    def descend(pdf):
+        pdf = pdf.sort_values("_at", ignore_index=True)
+        start = {n: pdf[f"_start{n}"].iloc[0] for n in state_names} if f"_start{state_names[0]}" in pdf else None
+        return pd.concat([pdf[[*keys, "_at"]], pd.DataFrame(carry(pdf.to_dict("records"), start))], axis=1)
+
+    states = None
+    for level in reversed(levels):
+        level = level.withColumn("_up", up)
+        if states is not None:
+            above = states.select(*keys, F.col("_at").alias("_up"), *[F.col(n).alias(f"_start{n}") for n in state_names])
+            level = attach(level, above, [*keys, "_up"])
+        states = staged(level.groupBy(*keys, "_up").applyInPandas(descend, f"{tree_fields}, {state_fields}"))
+    return staged(attach(numbered, states, [*keys, "_at"]).select(*names, *state_names))

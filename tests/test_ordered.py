@@ -153,6 +153,40 @@ def test_ewma(skewed, seed_with_first, seconds):
             assert abs(got[r.id][0] - s) < 1e-9
 
 
+def test_cooldown_of_one_key_is_composed_in_a_tree(spark, monkeypatch):
+    """One key, buckets far shorter than the wait: no task meets more than a few neighbouring summaries."""
+    rng = np.random.default_rng(12)
+    at = np.sort(rng.integers(0, 40_000, 6000))
+    rows = spark.createDataFrame([("hot", i, int(t)) for i, t in enumerate(at)], "k string, id long, s long").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    met, staged = [], ordered.staged
+
+    def spy(df):
+        out = staged(df)
+        if {"limits", "_at"} <= set(out.columns):
+            met.append([r[0] for r in out.groupBy("k", F.floor(F.col("_at") / 16)).agg(F.sum(F.size("limits"))).select("sum(size(limits))").collect()])
+        return out
+
+    monkeypatch.setattr(ordered, "staged", spy)
+    out = folds.cooldown_replay(rows, ["k"], "ts", "id", F.lit(True), F.lit(3600), ordered.by_time("ts", 20))
+    got = {r.id for r in out.filter("acted").collect()}
+    want, last = set(), -10 ** 9
+    for i, t in enumerate(at.tolist()):
+        if t >= last + 3600:
+            want.add(i)
+            last = t
+    assert got == want
+    assert len(met) >= 3 and len(met[0]) > 100 and max(x or 0 for x in met[0]) < 200
+    assert max(x or 0 for m in met for x in m) <= 16 * 700  # a group times the rows of one waiting time
+
+
+def test_buckets_below_a_second_and_of_single_numbers(spark):
+    crowd = spark.range(4000).select(F.lit("a").alias("k"), "id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("ts"))
+    for bucket in (ordered.fit_time(crowd, ["k"], "ts", max_rows=1200), ordered.fit_range(crowd, ["k"], "id", max_rows=40)):
+        counts = [r["count"] for r in crowd.groupBy(bucket.alias("b")).count().collect()]
+        assert max(counts) <= 1200 and len(counts) > 3
+
+
 def test_timestamps_are_utc(spark):
     got = spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:00' AS t").select(F.unix_seconds("t")).first()[0]
     assert got == int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
