@@ -138,9 +138,32 @@ def _(t):
     return vectors.knn_ivf(_collection(t), _prototypes(t), nprobe=8)
 
 
-@query("knn_lsh")
+@query("knn_ivf_all", _KNN.format(""))
+def _(t):
+    """Every list is probed, so the answer is the exact one."""
+    return vectors.knn_ivf(_collection(t), _prototypes(t), nprobe=10 ** 6, nlist=20).select("query_id", "id", _r("distance"), "rank")
+
+
+def _lsh_sql(width, tables, projections):
+    """The same buckets in SQL: the directions are written out."""
+    directions, shifts = vectors.lsh_directions(64, width, tables, projections, 1)
+    code = ", ".join(
+        f"floor((list_dot_product(e, {directions[:, c].tolist()}::DOUBLE[]) + {float(shifts[c])!r}) / {width})" for c in range(tables * projections))
+    same = " OR ".join("(" + " AND ".join(f"x.code[{t * projections + c + 1}] = p.code[{t * projections + c + 1}]"
+                                          for c in range(projections)) + ")" for t in range(tables))
+    return f"""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
+u AS (SELECT label, unnest(e) AS y, generate_subscripts(e, 1) AS i FROM v),
+m AS (SELECT label, i, avg(y) AS m FROM u GROUP BY label, i),
+q AS (SELECT CAST(label AS VARCHAR) AS id, list(m ORDER BY i) AS e FROM m GROUP BY label),
+x AS (SELECT id, e, [{code}] AS code FROM v), p AS (SELECT id, e, [{code}] AS code FROM q),
+d AS (SELECT p.id AS query_id, x.id, list_distance(x.e, p.e) AS distance FROM x JOIN p ON {same}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
+
+
+@query("knn_lsh", _lsh_sql(0.5, 8, 2))
 def _(t):
-    return vectors.knn_lsh(_collection(t), _prototypes(t), width=0.5)
+    return vectors.knn_lsh(_collection(t), _prototypes(t), width=0.5).select("query_id", "id", _r("distance"), "rank")
 
 
 @query("vector_insert", """SELECT CAST(vec_id AS VARCHAR) AS id, '{}' AS metadata, len(embedding) = 64 AS valid, CAST(len(embedding) AS INT) AS dim FROM embeddings""")

@@ -103,11 +103,11 @@ def pairs(df):
     return {(r.query_id, r.id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("max_queries", [4096, 7])
-def test_knn_exact_is_brute_force(space, max_queries):
+@pytest.mark.parametrize("blocks", [(8192, 1024), (100, 7)])
+def test_knn_exact_is_brute_force(space, blocks):
     base, queries, points = space
     got = {}
-    for r in vectors.knn_exact(base, queries, 5, max_queries=max_queries).collect():
+    for r in vectors.knn_exact(base, queries, 5, None, *blocks).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.distance)
     x = points.astype("float64")
     for i, q in enumerate(queries.orderBy("id").collect()):
@@ -134,6 +134,20 @@ def test_approximate_recall(space):
     assert len(lsh & exact) / len(exact) > 0.8
 
 
+def test_stored_lists_are_read_only_where_probed(spark, space, tmp_path):
+    base, queries, _ = space
+    centres = vectors.ivf_centres(base, 12)
+    assert len(centres) == 12
+    vectors.ivf_build(base, str(tmp_path / "index"), centres)
+    one = queries.limit(1)
+    first = vectors.ivf_search(spark, str(tmp_path / "index"), centres, one, 5, nprobe=2)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and plan.count("list#") > 0
+    read = spark.read.parquet(str(tmp_path / "index")).groupBy("list").count().count()
+    assert read == 12 and first.count() == 5
+    assert pairs(vectors.ivf_search(spark, str(tmp_path / "index"), centres, queries, 10, 12)) == pairs(vectors.knn_exact(base, queries, 10))
+
+
 def test_vectors_of_wrong_size_are_marked(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0], None), ("b", [1.0], "{}"), ("c" * 65, [1.0, 2.0], None)], "id string, embedding array<float>, m string")
     got = [(r.valid, r.metadata) for r in vectors.prepare_vectors(df, 2, metadata="m").collect()]
