@@ -52,15 +52,15 @@ def _weight(metric, column, weight, target):
   {_weight('a', 'least(latency_ms, 250)', 0.4, 100)}, {_weight('b', 'throughput_rps / 1000', 0.3, 1)},
   {_weight('c', 'error_rate', 0.2, 0.01)}, {_weight('d', 'availability', 0.1, 0.999)}
   FROM v_system_states WINDOW w AS (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
-SELECT event_id, round(CASE WHEN n < 60 THEN 0.4 ELSE a / (a + b + c + d) END, 6) AS w_latency,
-  round(CASE WHEN n < 60 THEN 0.3 ELSE b / (a + b + c + d) END, 6) AS w_throughput,
-  round(CASE WHEN n < 60 THEN 0.2 ELSE c / (a + b + c + d) END, 6) AS w_error_rate,
-  round(CASE WHEN n < 60 THEN 0.1 ELSE d / (a + b + c + d) END, 6) AS w_availability FROM r""")
+SELECT event_id, round(CASE WHEN n < 300 THEN 0.4 ELSE a / (a + b + c + d) END, 6) AS w_latency,
+  round(CASE WHEN n < 300 THEN 0.3 ELSE b / (a + b + c + d) END, 6) AS w_throughput,
+  round(CASE WHEN n < 300 THEN 0.2 ELSE c / (a + b + c + d) END, 6) AS w_error_rate,
+  round(CASE WHEN n < 300 THEN 0.1 ELSE d / (a + b + c + d) END, 6) AS w_availability FROM r""")
 def _(t):
     states = t("v_system_states").withColumns({"latency_ms": F.least("latency_ms", F.lit(250.0)),
                                                "throughput_rps": F.col("throughput_rps") / 1000})
     goals = planning.SlaGoals(throughput_rps=(1, 0.5))
-    out = planning.reward_dynamic_weights(states, ["service"], ["ts", "event_id"], goals, warmup=60)
+    out = planning.reward_dynamic_weights(states, ["service"], ["ts", "event_id"], goals)
     return out.select("event_id", *[F.round(f"w_{n}", 6).alias(f"w_{n}") for n in goals.weights])
 
 

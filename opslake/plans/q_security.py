@@ -84,9 +84,10 @@ def _(t):
 
 
 @query("scope_check", """SELECT row_id, scopes FROM v_tokens WHERE scopes LIKE '%write%' AND client_id IN
-(SELECT 'client' || n_nationkey FROM nation WHERE n_regionkey <> 2)""")
+(SELECT CASE WHEN n_regionkey = 2 THEN 'other' ELSE 'client' END || n_nationkey FROM nation)""")
 def _(t):
-    clients = t("nation").filter("n_regionkey <> 2").select(F.concat(F.lit("client"), F.col("n_nationkey").cast("string")).alias("client_id"))
+    name = F.when(F.col("n_regionkey") == 2, "other").otherwise("client")
+    clients = t("nation").select(F.concat(name, F.col("n_nationkey").cast("string")).alias("client_id"))
     return security.scope_check(t("v_tokens"), clients, F.lit("write read")).select("row_id", "scopes")
 
 
@@ -137,8 +138,8 @@ def _(t):
 
 
 def _entries(t):
-    """Documents as data entries: one personal field per 200 characters, 24 at most."""
-    n = F.least(F.floor(F.col("n_chars") / 200), F.lit(24)).cast("int")
+    """Documents as data entries: one personal field per 200 characters."""
+    n = F.floor(F.col("n_chars") / 200).cast("int")
     return t("documents").select(F.col("doc_id").alias("id"), "source", "n_chars",
                                  F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("f"), i.cast("string"))).alias("personal_data_fields"))
 
@@ -148,7 +149,7 @@ def _configs(t):
                               F.col("age_days").alias("key_rotation_days"))
 
 
-_GDPR = "documents WHERE least(CAST(floor(n_chars / 200) AS INT), 24) + 1 > 15"
+_GDPR = "documents WHERE CAST(floor(n_chars / 200) AS INT) + 1 > 15"
 
 
 @query("gdpr_minimization", f"""SELECT doc_id AS id, 'Excessive personal data collection' AS reason, 'GDPR Article 5(1)(c)' AS article FROM {_GDPR}""")

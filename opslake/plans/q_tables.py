@@ -40,16 +40,22 @@ def _(t):
   coalesce(c.original_topic, i.original_topic) AS original_topic, coalesce(c.failure_reason, i.failure_reason) AS failure_reason,
   CASE WHEN i.message_id IS NULL THEN c.retries ELSE i.retries END AS retries,
   CASE WHEN i.message_id IS NULL THEN c.permanent_failure ELSE i.permanent_failure END AS permanent_failure
-FROM (SELECT * FROM v_dead_letters WHERE failure_reason <> 'P') c FULL JOIN
-  (SELECT message_id, 'new' AS original_topic, 'again' AS failure_reason, retries + 1 AS retries, true AS permanent_failure
-   FROM v_dead_letters WHERE failure_reason <> 'F') i ON c.message_id = i.message_id""")
+FROM (SELECT * REPLACE (CASE WHEN failure_reason = 'P' THEN 'old-' ELSE '' END || message_id AS message_id) FROM v_dead_letters) c FULL JOIN
+  (SELECT CASE WHEN failure_reason = 'F' THEN 'new-' ELSE '' END || message_id AS message_id, 'new' AS original_topic,
+   'again' AS failure_reason, retries + 1 AS retries, true AS permanent_failure FROM v_dead_letters) i ON c.message_id = i.message_id""")
 def _(t):
     letters = t("v_dead_letters").select("message_id", "original_topic", "failure_reason", "ts", "retries",
                                          "last_attempt", "permanent_failure")
-    incoming = letters.filter("failure_reason <> 'F'").withColumns({
+
+
+    def renamed(reason, mark):
+        return letters.withColumn("message_id", F.when(F.col("failure_reason") == reason, F.concat(F.lit(mark), "message_id"))
+                                  .otherwise(F.col("message_id")))
+
+    incoming = renamed("F", "new-").withColumns({
         "original_topic": F.lit("new"), "failure_reason": F.lit("again"), "retries": F.col("retries") + 1,
         "permanent_failure": F.lit(True)})
-    out = queues.dlq_upsert(letters.filter("failure_reason <> 'P'"), incoming, "ts")
+    out = queues.dlq_upsert(renamed("P", "old-"), incoming, "ts")
     return out.select("message_id", "original_topic", "failure_reason", "retries", "permanent_failure")
 
 
@@ -254,14 +260,15 @@ def _(t):
                       F.get_json_object("props", "$.score").cast("double").alias("score"))
 
 
-@query("sync_nodes", """WITH d AS (SELECT node_id, CASE WHEN connections > 6 THEN weight + 1 ELSE weight END AS weight, address
-  FROM v_nodes WHERE connections <> 3 UNION ALL SELECT 'x' || node_id, weight, address FROM v_nodes WHERE connections = 5)
+@query("sync_nodes", """WITH d AS (SELECT CASE WHEN connections = 3 THEN 'y' ELSE '' END || node_id AS node_id,
+  CASE WHEN connections > 6 THEN weight + 1 ELSE weight END AS weight, address FROM v_nodes UNION ALL SELECT 'x' || node_id, weight, address FROM v_nodes WHERE connections = 5)
 SELECT coalesce(c.node_id, d.node_id) AS node_id, CASE WHEN d.node_id IS NULL THEN 'remove' WHEN c.node_id IS NULL THEN 'add'
   WHEN c.weight = d.weight THEN 'keep' ELSE 'update' END AS action, coalesce(d.weight, c.weight) AS weight,
   coalesce(d.address, c.address) AS address FROM v_nodes c FULL JOIN d ON c.node_id = d.node_id""")
 def _(t):
     nodes = t("v_nodes")
-    changed = nodes.filter("connections <> 3").withColumn(
+    moved = F.when(F.col("connections") == 3, F.concat(F.lit("y"), "node_id")).otherwise(F.col("node_id"))
+    changed = nodes.withColumn("node_id", moved).withColumn(
         "weight", F.when(F.col("connections") > 6, F.col("weight") + 1).otherwise(F.col("weight")))
     added = nodes.filter("connections = 5").withColumn("node_id", F.concat(F.lit("x"), "node_id"))
     return tables.sync_nodes(nodes, changed.unionByName(added))

@@ -75,8 +75,9 @@ SELECT concat('m', CAST(o_orderkey AS STRING)) AS message_id, concat('topic', CA
        o_orderkey % 7 >= 5 AS permanent_failure
 FROM @orders""",
     "v_state_current": """
-SELECT concat('a', CAST(c_custkey AS STRING)) AS agent_id, c_mktsegment AS status, CAST(c_custkey % 4 AS INT) AS version
-FROM @customer WHERE c_acctbal >= 0""",
+SELECT concat(CASE WHEN c_acctbal >= 0 THEN 'a' ELSE 'z' END, CAST(c_custkey AS STRING)) AS agent_id, c_mktsegment AS status,
+       CAST(c_custkey % 4 AS INT) AS version
+FROM @customer""",
     "v_state_incoming": """
 SELECT concat('a', CAST(o_custkey AS STRING)) AS agent_id, o_orderstatus AS status,
        CAST(o_orderkey % 5 AS INT) AS version, o_orderkey AS seq
