@@ -157,15 +157,36 @@ def stream_sla(requests: DataFrame, window: str = "5 minutes", slide: str | None
 
 def stream_log_anomalies(lines: DataFrame, out: str, checkpoint: str, as_of: Callable[[], dt.datetime], window_s: int = 300,
                          error_rate: float = 0.05, frequency: int = 1000, **options) -> StreamingQuery:
-    """Evaluate error rate and pattern counts on every batch of logs and write the anomalies found."""
+    """Evaluate error rate and pattern counts of all logs so far after every batch and write the anomalies found.
+
+    The state is a table of counts: one row per pattern, one per time of an error inside the window, one total.
+    Batch n reads ``state=n`` and writes ``state=n+1``, so a repeated batch starts from the same state, and
+    results do not depend on how logs fall into batches. A frequent pattern is reported by the batches that it occurs in.
+    """
+    shape = "kind string, name string, n long"
 
     def detect(batch: DataFrame, batch_id: int) -> None:
-        parsed = logs.log_parse(batch)
-        rate = logs.log_error_rate(parsed, as_of(), window_s, error_rate).filter("anomaly").select(
-            F.lit("error_rate").alias("type"), F.lit(None).cast("string").alias("pattern"), F.col("error_rate").alias("value"))
-        often = logs.log_pattern_freq(parsed, frequency).select(
-            F.lit("frequency").alias("type"), "pattern", F.col("count").cast("double").alias("value"))
-        rate.unionByName(often).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        spark, now = batch.sparkSession, as_of()
+        first = int((now - dt.timedelta(seconds=window_s)).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+        parsed = logs.log_parse(batch).select("ts", "level", logs.log_signature(F.col("message")).alias("pattern"))
+        fresh = parsed.select(F.explode(F.array_compact(F.array(
+            F.struct(F.lit("pattern").alias("kind"), F.col("pattern").alias("name")),
+            F.struct(F.lit("total").alias("kind"), F.lit("").alias("name")),
+            F.when(F.col("level") == "ERROR", F.struct(F.lit("error").alias("kind"), F.unix_micros("ts").cast("string").alias("name")))))).alias("x"))
+        fresh = fresh.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+        state = spark.read.schema(shape).parquet(f"{out}-state/state={batch_id}") if batch_id else spark.createDataFrame([], shape)
+        kept = (F.col("kind") != "error") | (F.col("name").cast("long") >= first)
+        merged = state.withColumn("here", F.lit(False)).unionByName(fresh.withColumn("here", F.lit(True))).groupBy("kind", "name").agg(
+            F.sum("n").alias("n"), F.bool_or("here").alias("here")).filter(kept)
+        merged.write.mode("overwrite").parquet(f"{out}-state/state={batch_id + 1}")
+        merged = spark.read.parquet(f"{out}-state/state={batch_id + 1}")
+        errors = F.sum(F.when((F.col("kind") == "error") & (F.col("name").cast("long") <= first + window_s * 1_000_000), F.col("n")))
+        rate = F.coalesce(errors, F.lit(0)) / F.sum(F.when(F.col("kind") == "total", F.col("n")))
+        often = merged.filter((F.col("kind") == "pattern") & F.col("here") & (F.col("n") > frequency)).select(
+            F.lit("frequency").alias("type"), F.col("name").alias("pattern"), F.col("n").cast("double").alias("value"))
+        high = merged.agg(rate.alias("value")).filter(F.col("value") > error_rate).select(
+            F.lit("error_rate").alias("type"), F.lit(None).cast("string").alias("pattern"), "value")
+        high.unionByName(often).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return start(lines, checkpoint, detect, **options)
 

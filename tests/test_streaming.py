@@ -108,6 +108,18 @@ def test_log_anomalies_per_batch(spark, tmp_path):
     assert got == {("error_rate", None, round(3 / 9, 4)), ("frequency", "all fine <NUM>", 5.0)}
 
 
+def test_log_anomalies_count_across_batches(spark, tmp_path):
+    """1200 lines of one pattern over three batches are reported once they are more than a thousand."""
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        (tmp_path / "in" / f"{part}.log").write_text("\n".join([f"disk {part} full"] * 400 + ['{"level": "ERROR", "message": "e"}']))
+    source = readers.read_logs(spark, str(tmp_path / "in"), streaming=True, max_files=1).withColumn("ts", F.lit(DAY))
+    jobs.stream_log_anomalies(source, str(tmp_path / "out"), str(tmp_path / "offsets"), lambda: DAY, error_rate=0.002, once=True).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "type").collect()
+    assert [(r.batch, r.type, r.pattern, round(r.value, 6)) for r in rows] == [
+        *[(b, "error_rate", None, round(1 / 401, 6)) for b in range(3)], (2, "frequency", "disk <NUM> full", 1200.0)]
+
+
 def test_delivery_falls_over_and_batches_are_bounded(spark, tmp_path):
     source = str(tmp_path / "in")
     for part in range(3):
