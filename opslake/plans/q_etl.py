@@ -1,6 +1,7 @@
 """Event ETL queries."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from opslake.functions import scalars as S
 from opslake.operators import etl
 from opslake.plans.catalog import query
 from opslake.plans.etl_job import batch_etl
+from opslake.session import shared_folder
 from opslake.sources import readers, sinks
 
 DAY = "2024-01-05"
@@ -120,6 +122,14 @@ def _(t):
     return sinks.bulk_lines(t("orders").select("o_orderkey", "o_orderstatus"))
 
 
+@query("bulk_ndjson_files", """SELECT '{"index":{}}' AS value FROM orders
+UNION ALL SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' FROM orders""")
+def _(t):
+    folder = f"{shared_folder(t.spark)}/ndjson-{uuid.uuid4().hex}"
+    sinks.bulk_ndjson(t("orders").select("o_orderkey", "o_orderstatus"), folder)
+    return t.spark.read.text(folder)
+
+
 @query("dedupe_exact", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
 def _(t):
     return etl.dedupe_exact(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))

@@ -80,6 +80,20 @@ def _(t):
     return out.select("service", F.unix_micros("hour").alias("hour_us"), _r("rps", 9), _r("z_score"), "status")
 
 
+@query("log_context", """SELECT event_id, 'access /p' || event_id % 5 AS message, '10.1.0.' || user_id % 9 AS client, CAST(200 + event_id % 3 AS VARCHAR) AS status,
+  CAST(NULL AS VARCHAR) AS zone FROM events WHERE event_id % 2 = 0 UNION ALL
+SELECT event_id, 'm' || event_id, NULL, NULL, 'z' || user_id % 4 FROM events WHERE event_id % 2 = 1""")
+def _(t):
+    number = F.col("event_id").cast("string")
+    line = F.concat(F.lit("10.1.0."), (F.col("user_id") % 9).cast("string"), F.lit(" - - [01/Jan/2024:00:00:00 +0000] \"access /p"),
+                    (F.col("event_id") % 5).cast("string"), F.lit(" HTTP/1.1\" "), (200 + F.col("event_id") % 3).cast("string"), F.lit(" 12"))
+    body = F.concat(F.lit('{"message":"m'), number, F.lit('","context":{"zone":"z'), (F.col("user_id") % 4).cast("string"), F.lit('"}}'))
+    raw = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, line).otherwise(body).alias("raw"))
+    context = F.col("context")
+    return logs.log_parse(raw).select("event_id", "message", context["client"].alias("client"), context["status"].alias("status"),
+                                      context["zone"].alias("zone"))
+
+
 @query("log_parse", "SELECT event_id, level, message, epoch_us(ts) AS at_us, false AS parse_error FROM v_logs")
 def _(t):
     return logs.log_parse(t("v_logs").select("event_id", "ts", "raw")).select(
@@ -184,6 +198,10 @@ def _(t):
     return traces.service_topology(t("v_spans"))
 
 
+@query("topology_nodes", "SELECT service AS id, count(*) AS spans FROM v_spans GROUP BY service")
+def _(t):
+    return traces.topology_nodes(t("v_spans"))
+
 
 @query("attrs_sanitize", """SELECT event_id, '<REDACTED>' AS api_key, '<REDACTED>' AS password_hint, event_type AS kind,
 CAST(user_id AS VARCHAR) AS user_id FROM events""")

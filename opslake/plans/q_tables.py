@@ -103,6 +103,16 @@ def _(t):
     return queues.next_tasks(t("v_tasks"), 50).select("task_id", "priority", "retries")
 
 
+@query("task_life_cycle", f"""SELECT task_id, CASE WHEN retries % 2 = 0 AND status = 'pending' THEN 'completed'
+  WHEN status = 'pending' THEN 'processing' ELSE status END AS status,
+  CASE WHEN status = 'pending' THEN {_US} ELSE epoch_us(last_attempt) END AS attempt_us FROM v_tasks""")
+def _(t):
+    tasks = t("v_tasks")
+    picked = tasks.filter("status = 'pending'")
+    done = queues.complete_tasks(queues.start_tasks(tasks, picked, AS_OF), picked.filter("retries % 2 = 0"), AS_OF)
+    return done.select("task_id", "status", F.unix_micros("last_attempt").alias("attempt_us"))
+
+
 @query("task_fail_pass", f"""SELECT task_id, CASE WHEN retries >= 3 THEN 'failed' ELSE 'pending' END AS status,
   CASE WHEN retries >= 3 THEN retries ELSE retries + 1 END AS retries,
   CASE WHEN retries >= 3 THEN epoch_us(next_attempt) ELSE {_US} + CAST(pow(1.5, retries) * 1000000 AS BIGINT) END AS next_us,
