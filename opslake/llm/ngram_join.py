@@ -8,7 +8,8 @@ percent * |union|. Equal sets are one node, known by a 64-bit hash, and only nod
 2. Index lists. Linked sets share a shingle in their prefixes, whose lengths follow from the threshold. Each
    prefix shingle has a list of (set, size, position).
 3. Answers from a similar set. One member of a list is its hub. Members are compared with the hub; those that link
-   share its component, and no pair among them has to be looked at again, however many they are.
+   share its component, and no pair among them has to be looked at again, however many they are. While lists hold
+   many pairs of different components, other members take their turn as hubs.
 4. Block skipping. What a list holds falls into blocks, one for each component. Pairs of blocks are skipped by
    their ranges of size and position, without reading members. In the others, members are paired unless their known
    distances to the same hub differ by more than the threshold allows (Jaccard distance is a metric), and the
@@ -26,17 +27,19 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.llm.components import components
 from opslake.session import staged
 
-SKETCH_BITS, FILTER_BITS, SLICES = 23, 26, 64
+SKETCH_BITS, FILTER_BITS, SLICES = 25, 26, 64
+ROUND_HUBS, FEW_PAIRS = 8, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -118,8 +121,8 @@ def _fingerprint(s: np.ndarray) -> int:
 def _sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     """How frequent each range of hashes is, as ``2 ** SKETCH_BITS`` bytes: exact to 127, then on a log scale."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, maker, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), Shingles(width), set()
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, maker, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint16), Shingles(width), set()
         for batch in batches:
             for _, texts in _in_groups(batch.column(0)):
                 for s in maker.sets(texts):
@@ -136,13 +139,13 @@ def _sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for packed in batch.column("counts"):
-                total += np.frombuffer(unpack(packed.as_py()), dtype=np.uint32)
+                total += np.frombuffer(unpack(packed.as_py()), dtype=np.uint16)
         logs = 128 + np.minimum(127, 4 * (np.log2(np.maximum(total, 128)) - 7))
         level = np.where(total < 128, total, logs).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([level.tobytes()])],
                                          ["slice", "levels"])
 
-    counted = docs.select(text_col).mapInArrow(count, "slice int, counts binary")
+    counted = docs.select(text_col).mapInArrow(tally, "slice int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8).reshape(SLICES, -1)
     for row in counted.groupBy("slice").applyInArrow(add, "slice int, levels binary").collect():
         out[row["slice"]] = np.frombuffer(row["levels"], dtype=np.uint8)
@@ -283,15 +286,39 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     labels = staged(components(edges))
 
     # Members of each list with their component; a list is finished when it holds only one.
-    members = (
+    listed = (
         live.select("token", "node", "n", "pos", "indexed", "hub")
         .unionByName(live.select("token", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"),
-                                 F.lit(True).alias("indexed"), "hub").distinct())
+                                 F.lit(True).alias("indexed"), "hub")).distinct()
     )
-    members = _labelled(members, labels, "comp")
-    blocks = members.groupBy("token", "comp").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-    open_lists = blocks.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
+    pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
+    done = tested.select(*pair)
+    for turn in count(1):
+        members = staged(_labelled(listed, labels, "comp"))
+        blocks = members.groupBy("token", "comp").agg(
+            F.count(F.lit(1)).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
+        held = F.sum("held")
+        open_lists = staged(blocks.groupBy("token").agg(
+            held.alias("held"), ((held * held - F.sum(F.col("held") * F.col("held"))) / 2).alias("pairs")).where("pairs > 0"))
+        size = open_lists.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
+        if size["pairs"] <= FEW_PAIRS * size["held"]:
+            break
+        # Families of copies around the threshold: other members of their lists take their turn as hubs.
+        unfinished = members.join(open_lists.select("token"), "token", "left_semi")
+        chosen = unfinished.where("indexed").withColumn("turn", F.row_number().over(
+            Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "node"), "node"))).where(F.col("turn") <= ROUND_HUBS)
+        chosen = chosen.select("token", F.col("comp").alias("comp2"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+        asked = (
+            unfinished.select("token", "comp", F.col("node").alias("x"), "n", "pos").join(chosen, "token")
+            .where((F.col("comp") != F.col("comp2")) & fits("n", "pos", "ny", "py")).select(*pair).distinct()
+        )
+        found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), sets, percent)
+        done = done.unionByName(found.select(*pair))
+        new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if 10 * new.count() < found.count():
+            break
+        edges = edges.unionByName(new)
+        labels = staged(components(edges))
     blocks = staged(blocks.join(open_lists.select("token"), "token", "left_semi"))
     other = blocks.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "low", "high", "pos")])
     # Best case of a pair of blocks: sizes as close as the ranges allow, positions as early as any.
@@ -321,9 +348,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             .where(fits("nx", "px", "ny", "py") & ~F.coalesce(apart, F.lit(False)))
             .where(F.when(F.col("nx") <= F.col("ny"), F.col("ix")).otherwise(F.col("iy"))
                    | ((F.col("nx") == F.col("ny")) & F.col("iy")))
-            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+            .select(*pair).distinct()
         )
-        done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         more = _compare(staged(rest.join(done, ["x", "y"], "left_anti")), sets, percent)
         final = components(edges.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
