@@ -11,6 +11,7 @@ from opslake.plans import etl_job
 from opslake.plans.catalog import query
 from opslake.plans.q_etl import _DEDUPED
 from opslake.plans.q_security import _CASE, _RULES, POLICIES
+from opslake.plans.q_tables import MERGED
 from opslake.session import shared_folder
 from opslake.sources import readers, sinks, snapshots
 from opslake.streaming import jobs
@@ -126,6 +127,17 @@ def _streamed(t, view):
     return t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
+@query("stream_upsert", MERGED)
+def _(t):
+    folder = _folder(t)
+    t("v_state_current").write.parquet(f"{folder}/table/state=0")
+    job = jobs.stream_upsert(_streamed(t, "v_state_incoming"), f"{folder}/table", f"{folder}/conflicts", f"{folder}/offsets", once=True)
+    job.awaitTermination()
+    batches = t.spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table/state=*")
+    last = batches.agg(F.max("state")).first()[0]
+    return t.spark.read.parquet(f"{folder}/table/state={last}")
+
+
 @query("stream_blocks", f"""WITH RECURSIVE j AS (SELECT *, epoch_us(ts) AS t_us, {_CASE.format(*_RULES)} AS rule,
     {_CASE.format('DENY', 'ALERT', 'ALLOW', "'DENY'")} AS act, row_number() OVER (PARTITION BY source_ip ORDER BY ts, event_id) AS n FROM v_access),
 f AS (SELECT source_ip, n, event_id, rule = 'vault-hours' AS acted, false AS blocked, CASE WHEN rule = 'vault-hours' THEN t_us END AS since FROM j WHERE n = 1

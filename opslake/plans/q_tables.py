@@ -22,10 +22,13 @@ def _with(sql):
     return "WITH unused AS (SELECT 1)" + sql
 
 
-@query("versioned_upsert", _with(_UPSERT + """
+MERGED = _with(_UPSERT + """
 SELECT coalesce(c.agent_id, p.agent_id) AS agent_id, coalesce(p.status, c.status) AS status,
   CASE WHEN p.agent_id IS NULL THEN c.version ELSE p.version + 1 END AS version
-FROM v_state_current c FULL JOIN (SELECT * FROM picked WHERE wins) p ON c.agent_id = p.agent_id"""))
+FROM v_state_current c FULL JOIN (SELECT * FROM picked WHERE wins) p ON c.agent_id = p.agent_id""")
+
+
+@query("versioned_upsert", MERGED)
 def _(t):
     return tables.versioned_upsert(t("v_state_current"), t("v_state_incoming"))[0]
 
