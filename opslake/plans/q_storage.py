@@ -166,14 +166,14 @@ def _(t):
 def _(t):
     folder = _folder(t)
 
-    def broken(df):
+    def broken(df, batch_id):
         df.write.format("no-such-format").save()
 
     job = jobs.stream_deliver(_streamed(t, "v_requests").select("event_id", "service"),
-                              [("first", broken), ("second", lambda df: df.write.mode("append").parquet(f"{folder}/second"))],
-                              lambda df: df.write.mode("append").parquet(f"{folder}/failed"), f"{folder}/offsets", once=True)
+                              [("first", broken), ("second", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/second/batch={n}"))],
+                              lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/failed/batch={n}"), f"{folder}/offsets", once=True)
     job.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/second")
+    return jobs.read_written(t.spark, f"{folder}/second")
 
 
 @query("stream_dedupe", "SELECT DISTINCT event_id FROM v_raw_events WHERE event_time IS NOT NULL")
@@ -194,8 +194,8 @@ def _(t):
     folder = _folder(t)
     t("events").select("event_id", "event_type").repartition(4).write.parquet(f"{folder}/in")
     source = t.spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
-    jobs.stream_deliver(source, [("files", lambda df: df.write.mode("append").parquet(f"{folder}/out"))],
-                        lambda df: None, f"{folder}/offsets", once=True).awaitTermination()
+    jobs.stream_deliver(source, [("files", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))],
+                        lambda df, n: None, f"{folder}/offsets", once=True).awaitTermination()
     named = t.spark.read.parquet(f"{folder}/out").select(F.input_file_name().alias("file"))
     written = named.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("file").alias("_n"))
     return written.select("rows", (F.col("_n") > 1).alias("several_batches"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,14 @@ def failover_write(df: DataFrame, sinks: Sequence[tuple[str, Callable[[DataFrame
                    failed: Callable[[DataFrame], None]) -> str:
     """Try the sinks in order; the first success ends. If all fail, ``failed`` gets the rows.
 
-    Returns the name of the sink that took the rows, or ``"failed"``. Usable as a ``foreachBatch`` body.
+    Returns the name of the sink that took the rows, or ``"failed"``. Only errors of reading and writing move on to
+    the next sink. A sink that fails half-way must not show what it wrote: write to a folder of the batch.
     """
     for name, write in sinks:
         try:
             write(df)
             return name
-        except Exception as error:  # any sink error moves on to the next sink
+        except (PySparkException, Py4JError, OSError) as error:
             _log.warning("sink %s failed: %s", name, str(error).split("\n")[0])
     failed(df)
     return "failed"

@@ -191,11 +191,17 @@ def stream_log_anomalies(lines: DataFrame, out: str, checkpoint: str, as_of: Cal
     return start(lines, checkpoint, detect, **options)
 
 
-def stream_deliver(events: DataFrame, sinks: Sequence[tuple[str, Callable[[DataFrame], None]]], failed: Callable[[DataFrame], None],
+def stream_deliver(events: DataFrame, sinks: Sequence[tuple[str, Callable[[DataFrame, int], None]]], failed: Callable[[DataFrame, int], None],
                    checkpoint: str, **options) -> StreamingQuery:
     """Deliver batches through the first sink that works. Batch size is set by the source's
-    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger`` and the five second trigger."""
-    return start(events, checkpoint, lambda batch, batch_id: failover_write(batch, sinks, failed) and None, **options)
+    ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger`` and the five second trigger. Sinks get the batch and its number,
+    so that a repeated batch replaces what it wrote before."""
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        numbered = [(name, lambda rows, write=write: write(rows, batch_id)) for name, write in sinks]
+        failover_write(batch, numbered, lambda rows: failed(rows, batch_id))
+
+    return start(events, checkpoint, deliver, **options)
 
 
 def stream_upsert(incoming: DataFrame, table: str, conflicts: str, checkpoint: str, key: str = "agent_id",

@@ -126,11 +126,11 @@ def test_delivery_falls_over_and_batches_are_bounded(spark, tmp_path):
         put(spark, source, f"p{part}", [(part,)], "n int")
     sizes = []
 
-    def broken(df):
+    def broken(df, batch_id):
         raise OSError("down")
 
     events = stream(spark, source, "n int", maxFilesPerTrigger="1")
-    jobs.stream_deliver(events, [("a", broken), ("b", lambda d: sizes.append(d.count()))], broken, str(tmp_path / "offsets"),
+    jobs.stream_deliver(events, [("a", broken), ("b", lambda d, n: sizes.append(d.count()))], broken, str(tmp_path / "offsets"),
                         once=True).awaitTermination()
     assert sizes == [1, 1, 1]
 
