@@ -20,6 +20,8 @@ FORBIDDEN_RULE_CALL = r"(?i)exec\(|os\.system"
 MAX_RULE_CHARS = 1024 * 1024
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+SIGNATURE_STEPS = [(r"[0-9]+", "<NUM>"), (r"0x[0-9a-f]+", "<HEX>")]
+SIGNATURE_LAST = (r"\b[A-Za-z0-9_]{32,}\b", "<HASH>")
 PHONE = r"\+?[0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3,4}[ -][0-9]{3,4}"
 
 
@@ -48,10 +50,8 @@ def mask_ip(c: Column) -> Column:
 
 def log_signature(message: Column, hex_first: bool = False) -> Column:
     """Replace numbers, hex numbers and long words by placeholders."""
-    steps = [(r"[0-9]+", "<NUM>"), (r"0x[0-9a-f]+", "<HEX>")]
-    if hex_first:
-        steps.reverse()
-    for pattern, mark in [*steps, (r"\b[A-Za-z0-9_]{32,}\b", "<HASH>")]:
+    steps = SIGNATURE_STEPS[::-1] if hex_first else SIGNATURE_STEPS
+    for pattern, mark in [*steps, SIGNATURE_LAST]:
         message = F.regexp_replace(message, pattern, mark)
     return message
 

@@ -14,8 +14,8 @@ from opslake.operators.ordered import attach, exact_quantiles
 from opslake.session import staged
 
 
-class DataValidationError(ValueError):
-    """Null values are left after cleaning."""
+class NullsLeft(ValueError):
+    """Columns that still hold nulls when features are finished."""
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -205,7 +205,7 @@ def require_no_nulls(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     bad = [c for c in df.columns if counts[c]]
     if bad:
-        raise DataValidationError(f"Null values detected after cleaning: {bad}")
+        raise NullsLeft(f"nulls are left in {', '.join(bad)}")
     return df
 
 

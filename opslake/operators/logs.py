@@ -87,6 +87,7 @@ def log_features(df: DataFrame, as_of: dt.datetime, window_s: int | None = None,
 
 def error_alerts(rate: DataFrame, source: str = "log-processor") -> DataFrame:
     """One alert payload per error-rate anomaly row of :func:`log_error_rate`."""
+    # Names and texts of the payload.
     detail = F.struct(F.lit("statistical").alias("method"), F.lit("error_rate").alias("type"),
                       F.col("error_rate").alias("value"), "threshold")
     payload = F.struct(F.lit("1 log anomalies detected").alias("summary"), F.lit("critical").alias("severity"),

@@ -35,7 +35,7 @@ class SlaGoals:
             if target <= limit:
                 raise ValueError(f"{name}: higher is better, the target must be above the limit")
         if abs(sum(self.weights.values()) - 1) > 0.001:
-            raise ValueError("Weights must sum to 1.0")
+            raise ValueError(f"the weights add up to {sum(self.weights.values())}, not to one")
 
 
 # Metric name -> column of a system state row.

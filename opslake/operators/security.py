@@ -54,16 +54,21 @@ def scope_check(tokens: DataFrame, clients: DataFrame, required: Column, granted
     return tokens.join(clients.select(client).distinct(), client, "left_semi").filter(scopes_granted(F.col(granted), required))
 
 
+# Texts and limits of the reports.
+TOO_MANY_FIELDS, TOO_MANY_FIELDS_ARTICLE = "Excessive personal data collection", "GDPR Article 5(1)(c)"
+WEAK_CIPHER, LATE_ROTATION = "Insufficient encryption standard", "Key rotation period exceeds 90 days"
+
+
 def gdpr_minimization(entries: DataFrame, fields: str = "personal_data_fields", limit: int = 15) -> DataFrame:
     """Violation rows for entries that hold too many personal fields."""
     return entries.filter(F.size(fields) > limit).select(
-        "id", F.lit("Excessive personal data collection").alias("reason"), F.lit("GDPR Article 5(1)(c)").alias("article"))
+        "id", F.lit(TOO_MANY_FIELDS).alias("reason"), F.lit(TOO_MANY_FIELDS_ARTICLE).alias("article"))
 
 
 def _encryption_issues(algorithm: str, rotation: str, max_days: int) -> Column:
     return F.array_compact(F.array(
-        F.when(F.col(algorithm) != "AES-256", "Insufficient encryption standard"),
-        F.when(F.col(rotation) > max_days, "Key rotation period exceeds 90 days")))
+        F.when(F.col(algorithm) != "AES-256", WEAK_CIPHER),
+        F.when(F.col(rotation) > max_days, LATE_ROTATION)))
 
 
 def hipaa_encryption(configs: DataFrame, algorithm: str = "algorithm", rotation: str = "key_rotation_days",

@@ -15,7 +15,7 @@ from opslake.sources.readers import EVENT_SCHEMA, read_events
 from opslake.sources.sinks import append_metrics, write_partitioned
 
 
-class EmptyDataset(ValueError):
+class NothingLeft(ValueError):
     """No rows are left after the transformations."""
 
 
@@ -46,7 +46,7 @@ def run_etl(spark: SparkSession, config: EtlConfig, as_of: dt.datetime) -> dict[
     frame = spark.createDataFrame([metrics]).select("row_count", "null_user_ids", "negative_values")
     append_metrics(frame, config.metrics_path, config.execution_id, F.lit(as_of))
     if metrics["row_count"] == 0:
-        raise EmptyDataset("Empty dataset after transformations")
+        raise NothingLeft("no row has passed the filters of this day")
     write_partitioned(ready, config.output_path, config.processing_date)
     return metrics
 

@@ -20,11 +20,11 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-class UnsupportedFormatError(ValueError):
+class UnreadableSuffix(ValueError):
     """The file suffix names no known format."""
 
 
-class DataLoadError(RuntimeError):
+class NothingToRead(RuntimeError):
     """The input could not be read."""
 
 
@@ -48,7 +48,7 @@ def _read_feather(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     first = files.select("content").head()
     if first is None:
-        raise DataLoadError(f"no files at {path}")
+        raise NothingToRead(f"no files at {path}")
     schema = from_arrow_schema(feather.read_table(pa.BufferReader(first.content)).schema)
 
     def rows(batches):
@@ -74,7 +74,7 @@ def read_auto(spark: SparkSession, path: str, types: dict[str, str] | None = Non
     elif suffix in (".fea", ".feather"):
         df = _read_feather(spark, path)
     else:
-        raise UnsupportedFormatError(f"Unknown file format: {suffix}")
+        raise UnreadableSuffix(f"no reader for files that end in {suffix!r}")
     for name, kind in (types or {}).items():
         df = df.withColumn(name, F.col(name).cast(kind))
     return df

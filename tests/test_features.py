@@ -53,7 +53,7 @@ def test_whole_number_column_keeps_a_fractional_median(spark):
 
 
 def test_nulls_after_cleaning_are_an_error(spark):
-    with pytest.raises(features.DataValidationError):
+    with pytest.raises(features.NullsLeft):
         features.require_no_nulls(spark.createDataFrame([(1, None)], "a int, b int"))
 
 

@@ -54,7 +54,7 @@ def test_rewrite_of_a_day_leaves_no_stale_partition(spark, events, tmp_path):
 
 
 def test_empty_input_is_an_error_with_metrics(spark, events, tmp_path):
-    with pytest.raises(etl_job.EmptyDataset):
+    with pytest.raises(etl_job.NothingLeft):
         etl_job.run_etl(spark, config(events, tmp_path, "2030-01-01"), AS_OF)
     assert spark.read.parquet(str(tmp_path / "metrics")).filter("metric_name = 'row_count'").first()["metric_value"] == "0"
 
@@ -86,7 +86,7 @@ def test_read_auto(spark, tmp_path, suffix):
 
 
 def test_read_auto_unknown_suffix(spark):
-    with pytest.raises(readers.UnsupportedFormatError):
+    with pytest.raises(readers.UnreadableSuffix):
         readers.read_auto(spark, "data.xls")
 
 
