@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from opslake.llm.components import components
 from opslake.session import staged
 
-SKETCH_BITS, FILTER_BITS, SLICES = 25, 26, 64
+SKETCH_BITS, FILTER_BITS, SLICES = 23, 26, 64
 ROUND_HUBS, FEW_PAIRS = 8, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -280,7 +280,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         return ((100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
                 & ((100 + percent) * most >= percent * (F.col(n1) + F.col(n2))))
 
+    # A set is compared with the first two of its lists' hubs; lists that this leaves open are looked at below.
+    first = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y"), "y"))
     stars = live.where(fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
+    stars = stars.withColumn("first", first).where(F.col("first") <= 2).drop("first")
     tested = _compare(staged(stars), sets, percent)
     edges = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = staged(components(edges))
@@ -315,9 +318,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), sets, percent)
         done = done.unionByName(found.select(*pair))
         new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if 10 * new.count() < found.count():
-            break
         edges = edges.unionByName(new)
+        if 10 * new.count() <= found.count():  # also where no pair is left to ask for
+            break
         labels = staged(components(edges))
     blocks = staged(blocks.join(open_lists.select("token"), "token", "left_semi"))
     other = blocks.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "low", "high", "pos")])

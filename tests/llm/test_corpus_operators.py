@@ -511,9 +511,10 @@ def test_join_hard_cases(docs, no_docs, width, percent):
     assert ngram_join.link(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_families_of_near_copies(spark, seed):
-    """Families around the threshold, quotes of them, and texts that share passages."""
+@pytest.mark.parametrize(("seed", "few"), [(1, 8), (2, 0)])
+def test_join_families_of_near_copies(spark, seed, few, monkeypatch):
+    """Families around the threshold, quotes of them, and texts that share passages; few=0: hubs take turns."""
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
     rng = __import__("random").Random(seed)
     rows = []
     for family in range(4):
