@@ -308,6 +308,17 @@ def test_fuzzy_lines_groups_by_hand(spark):
     assert kept == want
 
 
+def test_fuzzy_lines_are_compared_where_the_hub_is_not_similar(spark, monkeypatch):
+    """Words in other orders have one SimHash; whichever line is the hub, copies of the others still meet."""
+    words = "compute measure weather mountain building electric absolute triangle".split()
+    orders = [words, words[::-1], words[4:] + words[:4], words[::2] + words[1::2]]
+    rows = [f"{' '.join(o)} no {n}" for o in orders for n in (12, 13, 14)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for few in (8, 0):  # 0: hubs take turns
+        monkeypatch.setattr(fuzzy_lines, "FEW_PAIRS", few, raising=False)
+        assert {r["doc_id"] for r in fuzzy_lines.dedup(df).where("text <> ''").collect()} == {0, 3, 6, 9}
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [
