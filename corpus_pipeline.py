@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of lines stays; documents left without a word go."""
-    kept = fuzzy_lines.dedup(docs)
+    kept = fuzzy_lines.dedup(docs, wide=True)
     return kept.where(F.col("text").rlike(mixing.WORD)).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -85,7 +85,7 @@ def op10_set_relations(spark, sf_dir):
 @query("op6_fuzzy_lines")
 def op6_fuzzy_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fuzzy_lines.dedup(docs, counts=("n_lines", "n_dropped")).select(
+    return fuzzy_lines.dedup(docs, wide=True, counts=("n_lines", "n_dropped")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -319,6 +319,25 @@ def test_fuzzy_lines_are_compared_where_the_hub_is_not_similar(spark, monkeypatc
         assert {r["doc_id"] for r in fuzzy_lines.dedup(df).where("text <> ''").collect()} == {0, 3, 6, 9}
 
 
+def test_wide_search_finds_a_changed_word(spark):
+    """Recall for lines of one to 80 words with one word replaced, or one character where no word is short enough."""
+    rng = __import__("random").Random(4)
+    rows, pairs = [], 0
+    for n in [1, 2, 3, 5, 8, 12, 13, 20, 30, 50, 80] * 8:
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9) if n > 2 else 12)) for _ in range(n)]
+        size, at = len(" ".join(words)), rng.randrange(n)
+        new = list(words)
+        new[at] = "xyz" + words[at][3:] if len(words[at]) * 10 > size else "z" * len(words[at])
+        if size < 30:
+            new[at] = "z" + words[at][1:]
+        if sum(a != b for a, b in zip(" ".join(words), " ".join(new), strict=True)) <= int(size * (1 - 0.9)):
+            pairs += 1
+            rows += [" ".join(words), " ".join(new)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    dropped = fuzzy_lines.dedup(df, wide=True, least_words=1).where("text = ''").count()
+    assert pairs > 70 and dropped >= 0.97 * pairs
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [
