@@ -334,10 +334,19 @@ def test_wide_search_finds_a_changed_word(spark):
             pairs += 1
             rows += [" ".join(words), " ".join(new)]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    dropped = fuzzy_lines.dedup(df, wide=True, least_words=1).where("text = ''").count()
+    dropped = fuzzy_lines.dedup(df, wide=True).where("text = ''").count()
     assert pairs > 70 and dropped >= 0.97 * pairs
 
 
+def test_lines_of_few_words_and_other_punctuation_are_copies(spark):
+    chinese = "\u6211\u4eec\u5728\u8fd9\u91cc\u8bf4\u660e\u5982\u4f55\u53bb\u6389\u91cd\u590d\u7684\u6bb5\u843d\u5e76\u4fdd\u7559\u7b2c\u4e00\u4e2a\u8bed\u53e5"
+    rows = ["Read more", "read more!", chinese, chinese, "at the end, of it we go so on", "At the end of it we go so on!",
+            "-----", "-----", "=====", chinese[:10] + "\u4e0d" + chinese[11:] * 2, chinese[:10] + "\u4e5f" + chinese[11:] * 2]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in fuzzy_lines.dedup(df, wide=True).where("text <> ''").collect()}
+    assert kept == {0, 2, 4, 6, 8, 9}
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [
