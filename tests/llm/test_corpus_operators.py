@@ -264,6 +264,17 @@ def test_simhash_is_the_majority_of_the_longer_words(spark, monkeypatch):
     assert fuzzy_lines.simhashes(df, "w").count() == len(words)
 
 
+def test_simhash_counts_every_word_of_a_long_line(spark):
+    rng = __import__("random").Random(6)
+    few = [f"word{i}" for i in range(9)]
+    words = [[f"word{rng.randint(0, 9999)}" for _ in range(40_000)], [rng.choice(few) for _ in range(33_000)]]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w array<string>")
+    hashes = {r["i"]: r["h"] for r in df.select("i", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).collect()}
+    for r in fuzzy_lines.simhashes(df, "w").collect():
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[r["i"]]) > len(hashes[r["i"]]))
+        assert r["simhash"] == want - (1 << 64 if want >> 63 else 0)
+
+
 def test_fuzzy_lines_groups_by_hand(spark):
     """Hundreds of variants of one line: the groups are those of all pairs that are close in SimHash and in edits."""
     rng = __import__("random").Random(11)
