@@ -33,8 +33,13 @@ class Kind:
     least: int = 1
     holds: tuple[str, ...] = ()
     base: bool = False
+    ignored: str = ""  # what is left out of the value before it is hashed
 
 
+# A whole key: header, fields, body and footer. Without a footer it ends where the base64 characters end.
+PRIVATE = (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----((?:\s*[A-Za-z-]{1,40}: ?[^\r\n]{0,200}[\r\n]+){0,8}"
+           r"(?:[A-Za-z0-9+/=\s\\]*+(?=-----END )|[A-Za-z0-9+/=\r\n\\]*+))(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+
 # The base patterns.
 KINDS = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6,
@@ -42,7 +47,7 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, base=True),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, base=True),
     # Further candidates.
-    Kind("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Kind("private", PRIVATE, 1, 0, ignored=r"\s|\\[rn]"),
     Kind("vendor", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|sk-|AIza|glpat-)[A-Za-z0-9_-]{16,}"),
     Kind("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Kind("random", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}", holds=("[0-9]", "[a-z]", "[A-Z]")),
@@ -67,7 +72,8 @@ def _spans(text: Column, at: int) -> Column:
         passes = F.length(m["value"]) >= kind.least
         for needed in kind.holds:
             passes &= m["value"].rlike(needed)
-        span = F.struct(start.alias("start"), F.lit(at).alias("kind"), end.alias("end"), F.xxhash64(m["value"]).alias("hash"))
+        value = F.regexp_replace(m["value"], kind.ignored, "") if kind.ignored else m["value"]
+        span = F.struct(start.alias("start"), F.lit(at).alias("kind"), end.alias("end"), F.xxhash64(value).alias("hash"))
         return F.struct(end.alias("at"), F.when(passes, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     parts = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), values.alias("value"))

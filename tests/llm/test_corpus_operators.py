@@ -114,6 +114,21 @@ def test_secrets_copied_examples_are_not_added(spark):
     assert got[99]["spans"] == "random:5:29" and got[99]["n_live"] == 1 and got[98]["spans"] == "random:3:27"
 
 
+def test_secrets_different_private_keys_are_not_one_example(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    block = lambda c, gap="\n": f"{begin}{gap}{gap.join([c * 12] * 3)}{gap}{end}"
+    bodies = ["MIIa", "MIIb", "MIIc", "MIId"]
+    rows = [(i, f"key {block(b)} ok", f"o{i}") for i, b in enumerate(bodies)]
+    rows += [(10 + i, block("MIIz", gap), f"o{i}") for i, gap in enumerate(["\n", "\r\n  ", "\\n"])]
+    rows += [(20, f"{begin}\nMIIq{'x' * 40}\n", "o0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string")
+    got = {r["doc_id"]: r for r in secrets.scan(df, F.col("owner"), F.lit("r"), max_owners=2).collect()}
+    for i, b in enumerate(bodies):
+        assert (got[i]["spans"], got[i]["n_live"], got[i]["n_example"]) == (f"private:4:{4 + len(block(b))}", 1, 0)
+    assert all((got[10 + i]["spans"], got[10 + i]["n_example"]) == ("", 1) for i in range(3))
+    assert got[20]["n_live"] == 1
+
+
 def test_secrets_hard_cases(docs, no_docs):
     got = secrets.scan(docs, F.col("owner"), F.col("source"))
     want = [(i, hashlib.sha256(named(base_spans(t or "")).encode()).hexdigest()) for i, t in cases.pairs(docs)]
