@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, fuzzy_lines, line_crf, mixing, ngram_join, packing, rules, secrets, topk, warc
+from opslake.llm import bpe, fuzzy_lines, line_crf, mixing, ngram_join, packing, rules, secrets, superminhash, topk, warc
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -82,6 +82,11 @@ def op10_set_relations(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+@query("op13_superminhash")
+def op13_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query("op6_fuzzy_lines")
 def op6_fuzzy_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
