@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opslake.llm import bpe, fuzzy_lines, line_crf, mixing, ngram_join, packing, rules, secrets, superminhash, topk, warc
+from opslake.llm import (
+    bpe, divergence, fuzzy_lines, interactions, line_crf, mixing, ngram_join, packing, rules, secrets, superminhash, topk,
+    warc,
+)
 from opslake.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _TOP_K_SQL = """
@@ -82,6 +85,83 @@ def op10_set_relations(spark, sf_dir):
     return ngram_join.link(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+_INTERACTIONS_SQL = """
+WITH d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM l a, l b, l c, l e, l g
+  WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5
+), s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+r AS (
+  SELECT m.*, filter_order, step, filter_order[step] AS x, contains(fails, filter_order[step]) AS hit,
+    len(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone FROM m, s
+)
+SELECT part, filter_order, step,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (fails = x), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(CASE WHEN hit THEN n * 120 // nullif(len(fails), 0) END), 0) AS BIGINT) AS shapley
+FROM r GROUP BY part, filter_order, step
+"""
+
+
+@query("op11_filter_interactions", _INTERACTIONS_SQL)
+def op11_filter_interactions(spark, sf_dir):
+    return interactions.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+_DIVERGENCE_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), o AS (SELECT lang, source, id, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(c.n), 0) AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS total FROM g GROUP BY ALL),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, lc.term, coalesce(c.n, 0) AS n,
+        1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p,
+        1 + CAST(1000000000 AS HUGEINT) * (lc.n + 1) // (l.total + g.v) AS q
+      FROM g JOIN l USING (lang) JOIN lc USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = lc.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_source_divergence", _DIVERGENCE_SQL)
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("op13_superminhash")
 def op13_superminhash(spark, sf_dir):
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
