@@ -600,4 +600,4 @@ def test_join_families_of_near_copies(spark, seed, few, monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
