@@ -84,45 +84,160 @@ def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Every direct and indirect dependency (group, node_id, depends_on).
 
-    Path lengths double each round, so a chain of n edges takes about log2(n) rounds: the pairs found
-    last are extended by all known ones.
+    The closure is formed over strongly connected components, with one answer for all nodes of a cycle, and written out for
+    their members at the end.
     """
     group = list(group)
-    pair = [*group, "node_id", "depends_on"]
-    fresh = staged(edges.select(*pair).distinct())
+    answers, members = condensed_closure(edges, group)
+    needs = members.select(*group, F.col("component").alias("needs"), F.col("node_id").alias("depends_on"))
+    return members.join(answers, [*group, "component"]).join(needs, [*group, "needs"]).select(*group, "node_id", "depends_on")
+
+
+def condensed_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> tuple[DataFrame, DataFrame]:
+    """(group, component, needs) for all pairs of components where one needs the other, and the members of components.
+
+    A component needs itself if it is a cycle. Path lengths double each round, so a chain of n components takes about
+    log2(n) rounds: the pairs found last are extended by all known ones.
+    """
+    group = list(group)
+    pair = [*group, "component", "needs"]
+    edges = staged(edges.select(*group, "node_id", "depends_on").distinct())
+    members = strong_components(edges, group)
+    on = members.select(*group, F.col("node_id").alias("depends_on"), F.col("component").alias("needs"))
+    condensed = staged(edges.join(members, [*group, "node_id"]).join(on, [*group, "depends_on"]).select(*pair).distinct())
+    loops = condensed.filter("component = needs")
+    fresh = condensed.filter("component <> needs")
     parts = [fresh]
     while True:
         known = _union(parts)
         longer = (
-            fresh.withColumnRenamed("depends_on", "_via")
-            .join(known.withColumnRenamed("node_id", "_via"), [*group, "_via"]).select(*pair).distinct()
+            fresh.withColumnRenamed("needs", "_via")
+            .join(known.withColumnRenamed("component", "_via"), [*group, "_via"]).select(*pair).distinct()
         )
         fresh = staged(longer.join(known, pair, "left_anti"))
         if fresh.isEmpty():
-            return known
+            return known.unionByName(loops), members
         parts.append(fresh)
 
 
 def dep_cycles(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
-    """Nodes that depend on themselves, directly or not."""
-    trimmed = _cyclic_core(edges, group)
-    return dep_closure(trimmed, group).filter(F.col("node_id") == F.col("depends_on")).select(
-        *group, "node_id")
+    """Nodes that depend on themselves, directly or not: those of components of several nodes, and of loops."""
+    group = list(group)
+    members = strong_components(edges, group)
+    several = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    loops = edges.filter(F.col("node_id") == F.col("depends_on")).select(*group, "node_id")
+    return members.join(several, [*group, "component"]).select(*group, "node_id").unionByName(loops).distinct()
 
 
-def _cyclic_core(edges: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: their dependency has none itself, or nobody needs their node."""
+def strong_components(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
+    """(group, node_id, component) of every node of the edges; a component is named by its smallest node.
+
+    Rounds of trimming, chain contraction and colouring, each with rows in proportion to the edges still open:
+
+    - edges that lead out of every cycle are dropped;
+    - nodes with one edge in and one out are passed over by pointers whose reach doubles, so a ring or a chain of n nodes
+      takes log2(n) rounds; they belong to the component of both ends of their chain, if that is the same;
+    - every node takes the smallest node that reaches it as its colour; what reaches that node within the colour is its
+      component; edges within what is left of a colour go on to the next round.
+    """
     group = list(group)
-    core = staged(edges.select(*group, "node_id", "depends_on").distinct())
-    size = core.count()
-    while True:
-        nodes = core.select(*group, F.col("node_id").alias("depends_on")).distinct()
-        needed = core.select(*group, F.col("depends_on").alias("node_id")).distinct()
-        core = staged(core.join(nodes, [*group, "depends_on"], "left_semi").join(needed, [*group, "node_id"], "left_semi"))
-        left = core.count()
-        if left == size:
-            return core
+    key = {c: F.struct(*group, F.col(c).alias("node_id")) for c in ("node_id", "depends_on")}
+    whole = edges.select(key["node_id"].alias("a"), key["depends_on"].alias("b"))
+    names = whole.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    open_edges = _trimmed(staged(whole.filter("a <> b").distinct()))
+    found: list[DataFrame] = []  # (v, component), components of several nodes
+    chains: list[DataFrame] = []  # (v, start, end), oldest first
+    while not open_edges.isEmpty():
+        passed, rings, open_edges = _contracted(open_edges)
+        chains.append(passed)
+        found.append(rings)
+        done, open_edges = _coloured(open_edges)
+        found.append(done)
+        open_edges = _trimmed(open_edges)
+    known = staged(_union(found)) if found else None
+    for passed in reversed(chains):
+        ends = known.select(F.col("v").alias("end"), F.col("component").alias("_end"))
+        inside = passed.join(known.withColumnRenamed("v", "start"), "start").join(ends, "end").filter(F.col("component") == F.col("_end"))
+        # A chain from a node back to itself is a cycle, though the node may be in no other.
+        alone = passed.filter("start = end").join(known.withColumnRenamed("v", "start"), "start", "left_anti")
+        loops = alone.select("v", F.col("start").alias("component")).unionByName(
+            alone.select(F.col("start").alias("v"), F.col("start").alias("component")).distinct())
+        known = staged(known.unionByName(inside.select("v", "component")).unionByName(loops))
+    if known is None:
+        return names.select("v.*", F.col("v.node_id").alias("component"))
+    least = known.groupBy("component").agg(F.min("v").alias("_least"))
+    named = known.join(least, "component").select("v", "_least")
+    return names.join(named, "v", "left").select("v.*", F.coalesce("_least", "v")["node_id"].alias("component"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Drop edges that cannot lie on a cycle, as long as a tenth of them goes: nothing leads to their start, or from their end."""
+    size = edges.count()
+    while size:
+        starts, ends = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
+        edges = staged(edges.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
+        left = edges.count()
+        if 10 * (size - left) < size:
+            break
         size = left
+    return edges
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pass over nodes with one edge in and one out: (v, start, end) of chains, (v, component) of whole rings, and the edges
+    between all other nodes, with one for each chain."""
+    degrees = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("v"), F.col("b").alias("end"), F.lit(None).cast(edges.schema["a"].dataType).alias("start")),
+        F.struct(F.col("b").alias("v"), F.lit(None).cast(edges.schema["a"].dataType).alias("end"), F.col("a").alias("start")))).alias("e"))
+    single = degrees.groupBy("e.v").agg(F.count("e.end").alias("outs"), F.count("e.start").alias("ins"),
+                                        F.min("e.end").alias("end"), F.min("e.start").alias("start")).filter("outs = 1 AND ins = 1")
+    links = staged(single.select("v", "start", "end", F.col("v").alias("low")))
+    size, reach = links.count(), 1
+    between = links.select("v")
+    while True:
+        # Both pointers of a node jump to those of the chain nodes that they point to.
+        ahead = links.select(F.col("v").alias("end"), F.col("end").alias("_end"), F.col("low").alias("_low"))
+        behind = links.select(F.col("v").alias("start"), F.col("start").alias("_start"))
+        going = links.join(ahead.select("end").distinct(), "end", "left_semi")
+        if reach >= size or going.isEmpty():
+            break
+        links = staged(links.join(ahead, "end", "left").join(behind, "start", "left").select(
+            "v", F.coalesce("_start", "start").alias("start"), F.coalesce("_end", "end").alias("end"),
+            F.coalesce(F.least("low", "_low"), "low").alias("low")))
+        reach *= 2
+    in_ring = links.join(between.withColumnRenamed("v", "end"), "end", "left_semi")
+    rings = staged(in_ring.select("v", F.col("low").alias("component")))
+    passed = staged(links.join(between.withColumnRenamed("v", "end"), "end", "left_anti").select("v", "start", "end"))
+    kept = edges.join(between.withColumnRenamed("v", "a"), "a", "left_anti").join(between.withColumnRenamed("v", "b"), "b", "left_anti")
+    across = passed.select(F.col("start").alias("a"), F.col("end").alias("b")).filter("a <> b")
+    return passed, rings, staged(kept.select("a", "b").unionByName(across).distinct())
+
+
+def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, component) of the components of all colours, and the edges within what is left of the colours."""
+    colours = staged(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("colour", F.col("v")))
+    while True:
+        taken = edges.join(colours.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("colour").alias("_by"))
+        # What reaches my colour reaches me as well.
+        above = colours.select(F.col("v").alias("colour"), F.col("colour").alias("_above"))
+        after = staged(colours.join(taken, "v", "left").join(above, "colour", "left").select(
+            "v", F.least("colour", F.coalesce("_by", "colour"), "_above").alias("colour"), F.col("colour").alias("_old")))
+        colours = after.drop("_old")
+        if after.filter("colour <> _old").isEmpty():
+            break
+    same = staged(edges.join(colours.withColumnRenamed("v", "a"), "a").join(
+        colours.select(F.col("v").alias("b"), F.col("colour").alias("_other")), "b").filter("colour = _other").select("a", "b", "colour"))
+    front = staged(colours.filter("v = colour"))
+    reached = [front]
+    while not front.isEmpty():
+        held = _union(reached)
+        front = staged(same.join(front.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v"), "colour").distinct()
+                       .join(held.select("v"), "v", "left_anti"))
+        reached.append(front)
+    held = staged(_union(reached))
+    several = held.groupBy("colour").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("colour")
+    rest = same.join(held.select(F.col("v").alias("a")), "a", "left_anti").join(held.select(F.col("v").alias("b")), "b", "left_anti")
+    return staged(held.join(several, "colour").select("v", F.col("colour").alias("component"))), staged(rest.select("a", "b"))
 
 
 def dependency_check(needs: DataFrame, available: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opslake.functions import scalars as S
-from opslake.operators import graph, ordered, registry, rules, versions
+from opslake.operators import graph, ordered, placement, registry, rules, versions
 from opslake.plans.catalog import query
 
 AS_OF = dt.datetime(2001, 8, 2)
@@ -249,6 +249,20 @@ def _(t):
     return registry.feasible_placement(proposals, _resource_nodes(t)).select("task_no", "node_id", "line_no", "feasible")
 
 
+@query("placement_search", """WITH free AS (SELECT node_id, max(capacity - allocated) FILTER (resource = 'cpu') AS c,
+  max(capacity - allocated) FILTER (resource = 'gpu') AS g, max(capacity - allocated) FILTER (resource = 'memory') AS m
+  FROM v_node_resources GROUP BY node_id),
+wants AS (SELECT DISTINCT cpu, gpu, memory FROM v_proposals),
+best AS (SELECT cpu, gpu, memory, node_id, CAST(c + g + m AS DOUBLE) AS slack,
+  CAST(row_number() OVER (PARTITION BY cpu, gpu, memory ORDER BY c + g + m, node_id) AS INT) AS rank
+  FROM wants JOIN free ON c >= cpu AND g >= gpu AND m >= memory)
+SELECT task_no, line_no, rank, b.node_id, slack FROM v_proposals p
+JOIN best b ON b.cpu = p.cpu AND b.gpu = p.gpu AND b.memory = p.memory WHERE rank <= 3""")
+def _(t):
+    tasks = t("v_proposals").select("task_no", "line_no", _demand().alias("demand"))
+    return placement.placement_search(tasks, _resource_nodes(t), ["cpu", "gpu", "memory"], task=["task_no", "line_no"])
+
+
 @query("task_features", """SELECT task_id, priority / 10 AS priority_norm,
 round((epoch_us(deadline) - epoch_us(TIMESTAMP '2001-08-02 00:00:00')) / 3.6e9, 6) AS hours_left, CAST(retries + 0.5 AS DOUBLE) AS total_demand
 FROM v_tasks""")
