@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from opslake.operators.ordered import fit_range, with_previous
 
 
-def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_id", version: str = "version",
+def versioned_writes(current: DataFrame, incoming: DataFrame, key: str = "agent_id", version: str = "version",
                      order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Optimistic locking. Returns (merged table, conflicting rows with the stored version).
+    """Optimistic locking. Returns (rows of the keys that change, conflicting rows with the stored version).
 
     A new key is inserted, a known key is updated when the incoming version equals the stored one;
     the version then grows by one. One write per key and batch is accepted: the lowest version, then
@@ -34,11 +34,16 @@ def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_
         "_wins", F.coalesce((F.col(version) == F.col(f"_win.{version}")) & (F.col(order) == F.col("_win._first"))
                             & (F.col("_copy") == 1), F.lit(False))).drop("_copy")
     conflicts = judged.filter(~F.col("_wins")).drop("_win", "_wins").withColumnRenamed("_stored", "stored_version")
+    grown = (F.coalesce("_stored", version) + 1).cast(current.schema[version].dataType).alias(version)
+    return judged.filter("_wins").select(*[grown if c == version else F.col(c) for c in current.columns]), conflicts
+
+
+def versioned_upsert(current: DataFrame, incoming: DataFrame, key: str = "agent_id", version: str = "version",
+                     order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(merged table, conflicting rows) of :func:`versioned_writes`."""
+    writes, conflicts = versioned_writes(current, incoming, key, version, order)
     fields = [c for c in current.columns if c != key]
-    writes = judged.filter("_wins").select(key, F.struct(
-        *[(F.coalesce("_stored", version) + 1).cast(current.schema[c].dataType).alias(c) if c == version else F.col(c)
-          for c in fields]).alias("_new"))
-    merged = current.join(writes, key, "full_outer").select(
+    merged = current.join(writes.select(key, F.struct(*fields).alias("_new")), key, "full_outer").select(
         key, *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields])
     return merged, conflicts
 

@@ -14,6 +14,7 @@ from opslake.plans.q_security import _CASE, _RULES, POLICIES
 from opslake.plans.q_tables import MERGED
 from opslake.session import shared_folder
 from opslake.sources import readers, sinks, snapshots
+from opslake.sources.keyed import KeyedTable
 from opslake.streaming import jobs
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -129,13 +130,15 @@ def _streamed(t, view):
 
 @query("stream_upsert", MERGED)
 def _(t):
-    folder = _folder(t)
-    t("v_state_current").write.parquet(f"{folder}/table/state=0")
-    job = jobs.stream_upsert(_streamed(t, "v_state_incoming"), f"{folder}/table", f"{folder}/conflicts", f"{folder}/offsets", once=True)
-    job.awaitTermination()
-    batches = t.spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table/state=*")
-    last = batches.agg(F.max("state")).first()[0]
-    return t.spark.read.parquet(f"{folder}/table/state={last}")
+    folder, incoming = _folder(t), t("v_state_incoming")
+    table = KeyedTable(t.spark, f"{folder}/table", "agent_id", buckets=8, most_changes=2)
+    table.create(t("v_state_current"))
+    # All writes of a key lie in one of three files, so that the batches together decide as one would.
+    incoming.repartition(3, "agent_id").write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(incoming.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_upsert(stream, table, f"{folder}/conflicts", f"{folder}/offsets", once=True).awaitTermination()
+    table.remove_dead()
+    return table.read()
 
 
 @query("stream_blocks", f"""WITH RECURSIVE j AS (SELECT *, epoch_us(ts) AS t_us, {_CASE.format(*_RULES)} AS rule,

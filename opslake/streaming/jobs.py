@@ -19,7 +19,8 @@ from opslake.operators import logs
 from opslake.operators.events import DEFAULT_METADATA, enrich_metadata, has_fields, parse_device_event
 from opslake.operators.rules import policy_match
 from opslake.operators.sla import availability_expr
-from opslake.operators.tables import versioned_upsert
+from opslake.operators.tables import versioned_writes
+from opslake.sources.keyed import KeyedTable
 from opslake.sources.sinks import dlq_envelope, failover_write
 
 
@@ -204,16 +205,20 @@ def stream_deliver(events: DataFrame, sinks: Sequence[tuple[str, Callable[[DataF
     return start(events, checkpoint, deliver, **options)
 
 
-def stream_upsert(incoming: DataFrame, table: str, conflicts: str, checkpoint: str, key: str = "agent_id",
-                  version: str = "version", order: str = "seq", **options) -> StreamingQuery:
-    """Versioned upsert of every batch. Batch n reads ``table/state=n`` and writes ``table/state=n+1``, so a
-    repeated batch starts from the same state; ``state=0`` is the table to begin with."""
+def stream_upsert(incoming: DataFrame, table: KeyedTable, conflicts: str, checkpoint: str, version: str = "version",
+                  order: str = "seq", **options) -> StreamingQuery:
+    """Versioned upsert of every batch. Batch n reads only the buckets of its keys as of batch n - 1 and writes the rows that change,
+    so a repeated batch starts from the same state and replaces what it wrote."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = batch.sparkSession.read.parquet(f"{table}/state={batch_id}")
-        merged, rejected = versioned_upsert(current, batch, key, version, order)
-        merged.write.mode("overwrite").parquet(f"{table}/state={batch_id + 1}")
-        rejected.write.mode("overwrite").parquet(_batch_folder(conflicts, batch_id))
+        batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(table.bucket()).distinct().collect()]
+            writes, rejected = versioned_writes(table.read(batch_id - 1, touched), batch, table.key, version, order)
+            rejected.write.mode("overwrite").parquet(_batch_folder(conflicts, batch_id))
+            table.write(writes, batch_id)
+        finally:
+            batch.unpersist()
 
     return start(incoming, checkpoint, merge, **options)
 
