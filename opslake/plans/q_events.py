@@ -39,6 +39,16 @@ def _stream(t):
     return t.spark.readStream.schema(_EVENTS).parquet(f"{t.folder}/events*.parquet")
 
 
+def in_turn(rows, order, folder, files=3):
+    """The rows as a stream of files that follow each other in ``order``, one for each batch."""
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(order), [i / files for i in range(1, files)])).first()[0] or []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        at = F.unix_micros(order)
+        part = rows.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.coalesce(1).write.parquet(f"{folder}/part={k}")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
+
+
 def _folder(t):
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
@@ -98,14 +108,16 @@ def _(t):
 
 @query("stream_history", _HISTORY)
 def _(t):
+    """Three files in order of time, one for each batch; the newest history of a device counts."""
     root = _folder(t)
-    out = jobs.stream_history(_device_events(_stream(t)), 100)
+    out = jobs.stream_history(in_turn(_device_events(t("events")), "ts", f"{root}/in"), 100)
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
     jobs.start(out, f"{root}/offsets", keep, mode="update", once=True).awaitTermination()
-    return jobs.read_written(t.spark, f"{root}/out").select("device_id", F.array_join("history", ",").alias("history"))
+    rows = t.spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    return rows.groupBy("device_id").agg(F.array_join(F.max_by("history", "batch"), ",").alias("history"))
 
 
 @query("stream_sla", """SELECT service, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start_us,

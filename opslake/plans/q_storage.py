@@ -10,6 +10,7 @@ from opslake.operators import features
 from opslake.plans import etl_job
 from opslake.plans.catalog import query
 from opslake.plans.q_etl import _DEDUPED
+from opslake.plans.q_events import in_turn
 from opslake.plans.q_security import _CASE, _RULES, POLICIES
 from opslake.plans.q_tables import MERGED
 from opslake.session import shared_folder
@@ -151,7 +152,8 @@ f AS (SELECT source_ip, n, event_id, rule = 'vault-hours' AS acted, false AS blo
 SELECT f.event_id, CASE WHEN acted OR blocked THEN 'BLOCK' ELSE act END AS decision,
   CASE WHEN blocked THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason FROM f JOIN j ON j.event_id = f.event_id""")
 def _(t):
-    out = jobs.stream_blocks(jobs.watermarked(_streamed(t, "v_access"), "ts"), POLICIES)
+    access = in_turn(t("v_access"), "ts", f"{_folder(t)}/in")
+    out = jobs.stream_blocks(jobs.watermarked(access, "ts"), POLICIES)
     return _run(t, out).select("event_id", "decision", "reason")
 
 

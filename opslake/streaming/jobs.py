@@ -7,13 +7,14 @@ one folder per batch id, so a batch that is repeated after a failure replaces it
 from __future__ import annotations
 
 import datetime as dt
+import heapq
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from opslake.operators import logs
 from opslake.operators.events import DEFAULT_METADATA, enrich_metadata, has_fields, parse_device_event
@@ -23,6 +24,13 @@ from opslake.operators.tables import versioned_writes
 from opslake.sources.keyed import KeyedTable
 from opslake.sources.sinks import dlq_envelope, failover_write
 
+# State lies in RocksDB, with changes alone written at each commit; without the fixed size of its files, which small states would fill.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def watermarked(df: DataFrame, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
     """Event time with the given lateness; no delay means timestamps that never go back."""
@@ -34,9 +42,17 @@ def start(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None
     """Start a query that commits every five seconds, or reads what is there and ends (``once``)."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    if batch is not None:
-        return writer.foreachBatch(batch).start()
-    return writer.format("parquet").option("path", path).start()
+    writer = writer.foreachBatch(batch) if batch is not None else writer.format("parquet").option("path", path)
+    # A query keeps the settings that it was started with.
+    conf = df.sparkSession.conf
+    old = {k: conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in old.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def _batch_folder(path: str, batch_id: int) -> str:
@@ -66,23 +82,87 @@ def stream_etl(messages: DataFrame, metadata: DataFrame, good: str, bad: str, ch
     return start(messages, checkpoint, write, **options)
 
 
+class _History(StatefulProcessor):
+    """The last ids of a device and its newest metadata. A batch's rows pass one by one through a heap of the newest."""
+
+    def __init__(self, key: str, last: int, event_id: str, order: str, named: bool):
+        self.key, self.last, self.event_id, self.order, self.named = key, last, event_id, order, named
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getListState("seen", "event_id string")
+        self._metadata = handle.getValueState("metadata", "location string, model string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest: list[tuple] = []  # (time, id, metadata), the oldest on top; rows without a time come first
+        at = None
+        for n, r in enumerate(rows):
+            entry = (r[self.order] if r[self.order] is not None else -(1 << 63), r[self.event_id] or "", n, r[self.event_id])
+            if self.named and (at is None or entry[:2] >= at[0]):
+                at = (entry[:2], (r["location"], r["model"]))
+            if len(newest) < self.last:
+                heapq.heappush(newest, entry)
+            else:
+                heapq.heappushpop(newest, entry)
+        metadata = at[1] if at else self._metadata.get() or (DEFAULT_METADATA["location"], DEFAULT_METADATA["model"])
+        seen = ([e[0] for e in self._seen.get()] if self._seen.exists() else []) + [e[3] for e in sorted(newest, key=lambda e: e[:3])]
+        seen = seen[-self.last:]
+        self._seen.put([(e,) for e in seen])
+        self._metadata.update(tuple(metadata))
+        yield Row(**{self.key: key[0]}, history=seen, location=metadata[0], model=metadata[1])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_history(events: DataFrame, last: int = 1000, key: str = "device_id", event_id: str = "event_id",
                    order: str = "ts") -> DataFrame:
     """Per device and batch: the last event ids seen so far and the device's cached metadata."""
-    location, model = DEFAULT_METADATA["location"], DEFAULT_METADATA["model"]
+    named = "location" in events.columns
+    rows = events.select(key, event_id, F.unix_micros(order).alias("_at"), *(["location", "model"] if named else []))
+    return rows.groupBy(key).transformWithState(
+        _History(key, last, event_id, "_at", named), f"{key} string, history array<string>, location string, model string", "Update", "None")
+
+
+class _Blocks(StatefulProcessor):
+    """The start of a source's block, until a timer ends it. Requests of a batch are held as a few numbers each, in time order."""
+
+    def __init__(self, length: int, source: str, tie: str):
+        self.length, self.source, self.tie = length, source, tie
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._since = handle.getValueState("since", "since long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        times, ties, kinds, names = array("q"), array("q"), array("l"), {}
+        for r in rows:
+            times.append(r["_at"])
+            ties.append(r[self.tie])
+            kinds.append(names.setdefault((r["rule_id"], r["action"]), len(names)))
+        known, state = list(names), self._since.get()
+        since = state[0] if state else None
+        before = since
+        for i in np.lexsort((np.frombuffer(ties, dtype=np.int64), np.frombuffer(times, dtype=np.int64))).tolist():
+            rule, action = known[kinds[i]]
+            if since is not None and times[i] - since < self.length:
+                decision = ("BLOCK", "Known threat", None)
+            elif action == "DENY" and rule is not None:
+                since, decision = times[i], ("BLOCK", "Policy", rule)
+            else:
+                decision = (action, None, rule)
+            yield Row(**{self.source: key[0], self.tie: ties[i]}, decision=decision[0], reason=decision[1], rule_id=decision[2])
+        if since is not None and since != before:
+            self._since.update((since,))
+            self._handle.registerTimer(max((since + self.length) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 
-    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        seen, where, what = state.get if state.exists else ([], location, model)
-        rows = pd.concat(list(batches)).sort_values([order, event_id], kind="stable")
-        seen = (list(seen) + rows[event_id].tolist())[-last:]
-        if "location" in rows:
-            where, what = rows["location"].iloc[-1], rows["model"].iloc[-1]
-        state.update((seen, where, what))
-        yield pd.DataFrame({key: [name[0]], "history": [seen], "location": [where], "model": [what]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self._since.get()
+        if state and (state[0] + self.length) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self._since.clear()
+        return iter([])
 
-    fields = "history array<string>, location string, model string"
-    return events.groupBy(key).applyInPandasWithState(
-        update, f"{key} string, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def stream_blocks(access: DataFrame, policies: list[dict], block_s: int = 3600, source: str = "source_ip", ts: str = "ts",
@@ -92,33 +172,45 @@ def stream_blocks(access: DataFrame, policies: list[dict], block_s: int = 3600,
     Needs a watermark on ``ts`` with a delay no shorter than the disorder of the requests, since rows
     behind the watermark are dropped.
     """
-    judged = policy_match(access, policies, ts)
-    length = pd.Timedelta(seconds=block_s)
+    judged = policy_match(access, policies, ts).select(source, ts, F.unix_micros(ts).alias("_at"), tie, "rule_id", "action")
+    return judged.groupBy(source).transformWithState(
+        _Blocks(block_s * 1_000_000, source, tie), f"{source} string, {tie} long, decision string, reason string, rule_id string", "Append", "EventTime")
+
 
-    def decide(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+class _Silence(StatefulProcessor):
+    """When a client was last seen; one timer per client, set anew if it fires too soon."""
+
+    def __init__(self, ttl: int, client: str):
+        self.ttl, self.client = ttl, client
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "last long")
+
+    def _wait(self, last: int, timerValues) -> None:
+        self._handle.registerTimer(max((last + self.ttl) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max((r["_at"] for r in rows if r["_at"] is not None), default=None)
+        state = self._last.get()
+        if newest is not None and (state is None or newest > state[0]):
+            self._last.update((newest,))
+        if newest is not None and state is None:
+            self._wait(newest, timerValues)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self._last.get()
+        if state is None:
             return
-        since = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([ts, tie], kind="stable")
-        out = []
-        for at, number, rule, action in zip(rows[ts], rows[tie], rows["rule_id"], rows["action"]):
-            if since is not None and at - since < length:
-                out.append((name[0], number, "BLOCK", "Known threat", None))
-            elif action == "DENY" and rule is not None:
-                since = at
-                out.append((name[0], number, "BLOCK", "Policy", rule))
-            else:
-                out.append((name[0], number, action, None, rule))
-        if since is not None:
-            state.update((int(since.value // 1000),))
-            ends = int((since + length).value // 1_000_000) + 1
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[source, tie, "decision", "reason", "rule_id"])
+        if (state[0] + self.ttl) // 1000 > expiredTimerInfo.getExpiryTimeInMs():
+            self._wait(state[0], timerValues)
+            return
+        self._last.clear()
+        yield Row(**{self.client: key[0]}, last=state[0], expired=True)
 
-    return judged.select(source, ts, tie, "rule_id", "action").groupBy(source).applyInPandasWithState(
-        decide, f"{source} string, {tie} long, decision string, reason string, rule_id string", "since long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
 def stream_heartbeats(beats: DataFrame, ttl_s: int = 30, client: str = "agent_id", ts: str = "ts") -> DataFrame:
@@ -126,21 +218,10 @@ def stream_heartbeats(beats: DataFrame, ttl_s: int = 30, client: str = "agent_id
 
     Needs a watermark on ``ts``; silence is measured in event time.
     """
-
-    def watch(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="us")
-            state.remove()
-            yield pd.DataFrame({client: [name[0]], "last_seen": [last], "expired": [True]})
-            return
-        newest = max(pdf[ts].max() for pdf in batches)
-        last = max(int(newest.value // 1000), state.get[0] if state.exists else 0)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return beats.groupBy(client).applyInPandasWithState(
-        watch, f"{client} string, last_seen timestamp, expired boolean", "last long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    rows = beats.select(client, ts, F.unix_micros(ts).alias("_at"))
+    silent = rows.groupBy(client).transformWithState(
+        _Silence(ttl_s * 1_000_000, client), f"{client} string, last long, expired boolean", "Append", "EventTime")
+    return silent.select(client, F.timestamp_micros("last").alias("last_seen"), "expired")
 
 
 def stream_sla(requests: DataFrame, window: str = "5 minutes", slide: str | None = None, keys: Sequence[str] = ("service",),

@@ -10,6 +10,7 @@ from opslake.operators import ordered, security
 from opslake.plans.q_security import POLICIES
 from opslake.plans.views import Tables
 from opslake.sources import readers
+from opslake.sources.keyed import KeyedTable
 from opslake.streaming import jobs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -163,11 +164,12 @@ def test_failed_batch_is_repeated_without_loss(spark, tmp_path):
 def test_upsert_over_batches(spark, tmp_path):
     shape = "agent_id string, status string, version int, seq long"
     source, table, offsets = (str(tmp_path / n) for n in ("in", "table", "offsets"))
-    spark.createDataFrame([("a", "old", 1)], "agent_id string, status string, version int").write.parquet(f"{table}/state=0")
+    table = KeyedTable(spark, table, "agent_id", buckets=4)
+    table.create(spark.createDataFrame([("a", "old", 1)], "agent_id string, status string, version int"))
     for part, rows in enumerate([[("a", "x", 1, 1), ("b", "new", 0, 2)], [("a", "y", 1, 3), ("a", "z", 2, 4), ("b", "n2", 1, 5)]]):
         put(spark, source, f"p{part}", rows, shape)
         jobs.stream_upsert(stream(spark, source, shape), table, str(tmp_path / "conflicts"), offsets, once=True).awaitTermination()
-    got = {r.agent_id: (r.status, r.version) for r in spark.read.parquet(f"{table}/state=2").collect()}
+    got = {r.agent_id: (r.status, r.version) for r in table.read().collect()}
     assert got == {"a": ("z", 3), "b": ("n2", 2)}
     rejected = jobs.read_written(spark, str(tmp_path / "conflicts")).collect()
     assert [(r.agent_id, r.status, r.stored_version) for r in rejected] == [("a", "y", 2)]
