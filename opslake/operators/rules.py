@@ -15,28 +15,63 @@ from opslake.session import staged
 TOPIC = r"^[a-zA-Z0-9\-_/]+$"
 
 
-def topic_regex(pattern: Column) -> Column:
-    """Regular expression of a topic pattern: ``+`` is one level, a final ``#`` one or more levels."""
-    quoted = F.transform(F.split(pattern, "/"), lambda s: F.when(s == "+", "[^/]+").when(s == "#", ".+").otherwise(s))
-    return F.concat(F.lit("^"), F.array_join(quoted, "/"), F.lit("$"))
-
-
-def topic_route(messages: DataFrame, rules: DataFrame, topic: str = "topic") -> DataFrame:
+def _trie(rules: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Nodes below the root (parent, token, child), the patterns' beginnings; the most levels of a pattern, and whether one has ``#``."""
+    levels = rules.select("pattern").distinct().withColumn("_levels", F.split("pattern", "/"))
+    steps = levels.select("_levels", F.posexplode("_levels").alias("_at", "token"), F.size("_levels").alias("_n"))
+    before = F.concat(F.concat_ws("/", F.slice("_levels", F.lit(1), F.col("_at"))), F.lit("/"))
+    parent = F.when(F.col("_at") == 0, F.lit("")).otherwise(before)
+    nodes = staged(steps.groupBy(parent.alias("parent"), "token").agg(F.max("_n").alias("_n")).withColumn(
+        "child", F.concat("parent", "token", F.lit("/"))))
+    found = nodes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.max(F.col("token") == "#"), F.lit(False))).first()
+    return nodes.select("parent", "token", "child"), found[0], found[1]
+
+
+def _walked(topics: DataFrame, nodes: DataFrame, depth: int, spread: int) -> DataFrame:
+    """(topic, pattern) of all patterns that match, walking all topics down the trie one level per join.
+
+    A walk at a node goes on by its next level, by ``+`` or by ``#``, as far as the trie has such a node, and stays at a ``#``
+    as long as it likes. Every node is there ``spread`` times, so that a wildcard below the root is not one key for all topics.
+    """
+    trie = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).select(
+        F.col("parent").alias("_parent"), F.col("token").alias("_token"), "_salt", F.col("child").alias("_child"))
+    walks = topics.select(
+        "topic", F.split("topic", "/").alias("levels"), F.lit("").alias("at"), F.lit(True).alias("filled"),
+        F.pmod(F.xxhash64("topic"), F.lit(spread)).cast("int").alias("salt"))
+    for i in range(depth):
+        level = F.get("levels", F.lit(i))
+        goes = F.size("levels") > i
+        # What # has taken must not be empty; a walk that has taken one empty level there has to take another.
+        moves = F.filter(F.array(
+            F.struct(level.alias("token"), F.lit(True).alias("filled"), (goes & F.col("filled")).alias("ok")),
+            F.struct(F.lit("+").alias("token"), F.lit(True).alias("filled"), (goes & F.col("filled") & (level != "")).alias("ok")),
+            F.struct(F.lit("#").alias("token"), (level != "").alias("filled"), (goes & F.col("filled")).alias("ok")),
+            F.struct(F.lit(None).cast("string").alias("token"), F.lit(True).alias("filled"), (~goes | F.col("at").endswith("#/")).alias("ok")),
+        ), lambda m: m["ok"])
+        moved = walks.withColumn("m", F.explode(moves)).join(
+            trie, (F.col("at") == F.col("_parent")) & (F.col("m.token") == F.col("_token")) & (F.col("salt") == F.col("_salt")), "left")
+        walks = moved.where("m.token IS NULL OR _child IS NOT NULL").select(
+            "topic", "levels", F.coalesce("_child", "at").alias("at"),
+            F.when(goes, F.col("m.filled")).otherwise(F.col("filled")).alias("filled"), "salt").distinct()
+    return walks.where("filled").select("topic", F.expr("substring(at, 1, length(at) - 1)").alias("pattern")).distinct()
+
+
+def topic_route(messages: DataFrame, rules: DataFrame, topic: str = "topic", spread: int = 8) -> DataFrame:
     """All matching rules of every message with a valid topic, numbered by priority (1 is highest).
 
-    Only distinct topics are matched, joined on the first level (or a wildcard there), and the small
-    result is joined back to the messages.
+    In a pattern ``+`` is one level that is not empty and ``#`` one or more levels, at the end or before further ones. Only
+    distinct topics walk down the trie of the patterns, and the small result is joined back to the messages.
     """
-    topics = messages.select(topic).filter(F.col(topic).rlike(TOPIC)).distinct()
-    heads = topics.withColumn("_head", F.explode(F.array(F.split(topic, "/")[0], F.lit("*"))))
-    first = F.split("pattern", "/")[0]
-    routes = rules.select(
-        "pattern", "priority", "qos", F.when(first.isin("+", "#"), F.lit("*")).otherwise(first).alias("_head"),
-        topic_regex(F.col("pattern")).alias("_regex"))
-    matched = heads.join(routes, (heads["_head"] == routes["_head"]) & F.expr(f"`{topic}` rlike _regex"))
+    topics = staged(messages.select(F.col(topic).alias("topic")).filter(F.col("topic").rlike(TOPIC)).distinct())
+    nodes, depth, hashes = _trie(rules)
+    levels = F.size(F.split("topic", "/"))
+    if hashes:
+        depth = topics.agg(F.coalesce(F.max(levels), F.lit(0))).first()[0]
+    topics = topics.filter(levels <= depth)
+    matched = _walked(topics, nodes, depth, spread).join(rules.select("pattern", "priority", "qos"), "pattern")
     order = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "pattern", "priority", "qos")))
-    per_topic = matched.groupBy(topic).agg(order.alias("_rules"))
-    numbered = per_topic.select(topic, F.posexplode("_rules").alias("_pos", "_rule")).select(
+    per_topic = matched.groupBy("topic").agg(order.alias("_rules"))
+    numbered = per_topic.select(F.col("topic").alias(topic), F.posexplode("_rules").alias("_pos", "_rule")).select(
         topic, F.col("_rule.pattern").alias("pattern"), F.col("_rule.priority").alias("priority"),
         F.col("_rule.qos").alias("qos"), (F.col("_pos") + 1).alias("rank"))
     return messages.join(staged(numbered), topic)

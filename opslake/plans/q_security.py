@@ -12,34 +12,36 @@ from opslake.plans.catalog import query
 EPOCH = 1706659200
 
 POLICIES = [
-    {"id": "vault-hours", "priority": 1, "enabled": True, "action": "DENY", "exceptions": ["on-call-7"],
-     "conditions": {"resource": "/vault/*", "auth_level": "< 3", "time": {"window": "08:30-18:15", "days": ["Mon-Thu"]}}},
-    {"id": "vault-watch", "priority": 2, "enabled": True, "action": "ALERT", "exceptions": [],
-     "conditions": {"resource": "/vault/*", "auth_level": "< 3"}},
-    {"id": "portal-open", "priority": 5, "enabled": True, "action": "ALLOW", "exceptions": [], "conditions": {"resource": "/portal/*"}},
-    {"id": "portal-shut", "priority": 5, "enabled": True, "action": "DENY", "exceptions": [], "conditions": {"resource": "/portal/*"}},
-    {"id": "all-shut", "priority": 0, "enabled": False, "action": "DENY", "exceptions": [], "conditions": {"resource": "*"}},
+    {"id": "closed", "priority": 1, "enabled": False, "action": "DENY", "conditions": {}},
+    {"id": "night-close", "priority": 2, "action": "DENY", "exceptions": ["crew-3", "crew-11", "crew-20"],
+     "conditions": {"resource": "/ledger/*/close", "time": {"window": "21:45-05:10"}}},
+    {"id": "far-views", "priority": 4, "action": "DENY", "conditions": {"region": ["r4", "r5"], "auth_level": ">= 2", "resource": "/maps/????"}},
+    {"id": "weekend-maps", "priority": 6, "action": "ALERT", "exceptions": ["crew-1"], "conditions": {"resource": "/maps/*", "time": {"days": ["Sat-Mon"]}}},
+    {"id": "low-port", "priority": 6, "action": "ALLOW", "conditions": {"port": "<= 8001"}},
 ]
-_CASE = """CASE WHEN starts_with(resource, '/vault/') AND auth_level < 3 AND strftime(ts, '%H:%M') BETWEEN '08:30' AND '18:15'
-  AND isodow(ts) <= 4 AND source_id <> 'on-call-7' THEN '{0}'
- WHEN starts_with(resource, '/vault/') AND auth_level < 3 THEN '{1}' WHEN starts_with(resource, '/portal/') THEN '{2}' ELSE {3} END"""
-_RULES = ("vault-hours", "vault-watch", "portal-open", "NULL")
+_CASE = """CASE WHEN resource LIKE '/ledger/%/close' AND (strftime(ts, '%H:%M') >= '21:45' OR strftime(ts, '%H:%M') <= '05:10')
+  AND source_id NOT IN ('crew-3', 'crew-11', 'crew-20') THEN '{0}'
+ WHEN region IN ('r4', 'r5') AND auth_level >= 2 AND resource LIKE '/maps/____' THEN '{1}'
+ WHEN resource LIKE '/maps/%' AND isodow(ts) IN (6, 7, 1) AND source_id <> 'crew-1' THEN '{2}' WHEN port <= 8001 THEN '{3}' ELSE {4} END"""
+_RULES = ("night-close", "far-views", "weekend-maps", "low-port", "NULL")
+_ACTS = ("DENY", "DENY", "ALERT", "ALLOW", "'DENY'")
+_DENIED = "rule IN ('night-close', 'far-views')"
 
 
 @query("policy_match", f"""SELECT event_id, {_CASE.format(*_RULES)} AS rule_id,
-{_CASE.format('DENY', 'ALERT', 'ALLOW', "'DENY'")} AS action FROM v_access""")
+{_CASE.format(*_ACTS)} AS action FROM v_access""")
 def _(t):
     return rules.policy_match(t("v_access"), POLICIES).select("event_id", "rule_id", "action")
 
 
 @query("firewall_blocks", f"""WITH RECURSIVE j AS (SELECT *, {_CASE.format(*_RULES)} AS rule,
-    {_CASE.format('DENY', 'ALERT', 'ALLOW', "'DENY'")} AS act FROM v_access),
-d AS (SELECT source_ip, epoch_us(ts) AS t_us, event_id FROM j WHERE rule = 'vault-hours'),
+    {_CASE.format(*_ACTS)} AS act FROM v_access),
+d AS (SELECT source_ip, epoch_us(ts) AS t_us, event_id FROM j WHERE {_DENIED}),
 nxt AS (SELECT a.source_ip, a.event_id, a.t_us, (SELECT min(b.t_us) FROM d b WHERE b.source_ip = a.source_ip AND b.t_us >= a.t_us + 3600000000) AS next_at FROM d a),
 b AS (SELECT source_ip, min(t_us) AS t_us FROM d GROUP BY source_ip
   UNION SELECT b.source_ip, n.next_at FROM b JOIN nxt n ON n.source_ip = b.source_ip AND n.t_us = b.t_us WHERE n.next_at IS NOT NULL),
 k AS (SELECT j.*, (SELECT max(b.t_us) FROM b WHERE b.source_ip = j.source_ip AND b.t_us < epoch_us(j.ts)) AS last_at,
-  EXISTS (SELECT 1 FROM b WHERE b.source_ip = j.source_ip AND b.t_us = epoch_us(j.ts)) AND rule = 'vault-hours' AS acted FROM j)
+  EXISTS (SELECT 1 FROM b WHERE b.source_ip = j.source_ip AND b.t_us = epoch_us(j.ts)) AND {_DENIED} AS acted FROM j)
 SELECT event_id, CASE WHEN acted OR coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN 'BLOCK' ELSE act END AS decision,
   CASE WHEN coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason,
   CASE WHEN NOT coalesce(epoch_us(ts) - last_at < 3600000000, false) THEN rule END AS rule_id FROM k""")

@@ -11,7 +11,7 @@ from opslake.plans import etl_job
 from opslake.plans.catalog import query
 from opslake.plans.q_etl import _DEDUPED
 from opslake.plans.q_events import in_turn
-from opslake.plans.q_security import _CASE, _RULES, POLICIES
+from opslake.plans.q_security import _ACTS, _CASE, _DENIED, _RULES, POLICIES
 from opslake.plans.q_tables import MERGED
 from opslake.session import shared_folder
 from opslake.sources import readers, sinks, snapshots
@@ -143,11 +143,11 @@ def _(t):
 
 
 @query("stream_blocks", f"""WITH RECURSIVE j AS (SELECT *, epoch_us(ts) AS t_us, {_CASE.format(*_RULES)} AS rule,
-    {_CASE.format('DENY', 'ALERT', 'ALLOW', "'DENY'")} AS act, row_number() OVER (PARTITION BY source_ip ORDER BY ts, event_id) AS n FROM v_access),
-f AS (SELECT source_ip, n, event_id, rule = 'vault-hours' AS acted, false AS blocked, CASE WHEN rule = 'vault-hours' THEN t_us END AS since FROM j WHERE n = 1
-  UNION ALL SELECT j.source_ip, j.n, j.event_id, coalesce(rule = 'vault-hours', false) AND coalesce(t_us - since >= 3600000000, true),
+    {_CASE.format(*_ACTS)} AS act, row_number() OVER (PARTITION BY source_ip ORDER BY ts, event_id) AS n FROM v_access),
+f AS (SELECT source_ip, n, event_id, {_DENIED} AS acted, false AS blocked, CASE WHEN {_DENIED} THEN t_us END AS since FROM j WHERE n = 1
+  UNION ALL SELECT j.source_ip, j.n, j.event_id, coalesce({_DENIED}, false) AND coalesce(t_us - since >= 3600000000, true),
     coalesce(t_us - since < 3600000000, false),
-    CASE WHEN coalesce(rule = 'vault-hours', false) AND coalesce(t_us - since >= 3600000000, true) THEN t_us ELSE since END
+    CASE WHEN coalesce({_DENIED}, false) AND coalesce(t_us - since >= 3600000000, true) THEN t_us ELSE since END
   FROM f JOIN j ON j.source_ip = f.source_ip AND j.n = f.n + 1)
 SELECT f.event_id, CASE WHEN acted OR blocked THEN 'BLOCK' ELSE act END AS decision,
   CASE WHEN blocked THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason FROM f JOIN j ON j.event_id = f.event_id""")

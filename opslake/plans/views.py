@@ -46,18 +46,21 @@ SELECT event_id AS span_id, event_id - event_id % 4 AS trace_id,
 FROM @events""",
     "v_access": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, concat('10.0.0.', CAST(user_id % 20 AS STRING)) AS source_ip,
-       CASE WHEN event_id % 50 = 0 THEN 'on-call-7' ELSE concat('user-', CAST(user_id AS STRING)) END AS source_id,
-       CASE WHEN event_type = 'error' THEN '/vault/main' ELSE concat('/portal/', event_type) END AS resource,
-       CAST(event_id % 4 AS INT) AS auth_level
+       concat('crew-', CAST(user_id % 30 AS STRING)) AS source_id,
+       CASE event_type WHEN 'error' THEN concat('/ledger/', CAST(user_id % 3 AS STRING), '/close') WHEN 'purchase' THEN '/ledger/open'
+                       ELSE concat('/maps/', event_type) END AS resource,
+       CAST(event_id % 4 AS INT) AS auth_level, CAST(8000 + event_id % 3 AS INT) AS port, concat('r', CAST(user_id % 6 AS STRING)) AS region
 FROM @events""",
     "v_topics": """
-SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'bad topic!'
-                      WHEN event_id % 2 = 0 THEN concat('site/system/', event_type, '/', CAST(user_id % 7 AS STRING))
-                      ELSE concat('site/analytics/', event_type) END AS topic
+SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'not a topic?'
+                      WHEN event_id % 3 = 0 THEN concat('z', CAST(user_id % 4 AS STRING), '/', event_type, '/', CAST(event_id % 5 AS STRING))
+                      WHEN event_id % 3 = 1 THEN concat('z', CAST(user_id % 4 AS STRING), '/', event_type, '/', CAST(event_id % 5 AS STRING), '/raw/temp')
+                      ELSE concat('z', CAST(user_id % 4 AS STRING), '/', event_type, '/', CAST(event_id % 5 AS STRING), '/raw/', CAST(user_id % 7 AS STRING), '/hum')
+                 END AS topic
 FROM @events""",
     "v_topic_rules": """
-SELECT * FROM (VALUES ('site/system/#', 100, 2), ('site/analytics/+', 50, 1), ('site/+/error', 70, 1),
-                      ('site/system/click/3', 10, 0)) AS r(pattern, priority, qos)""",
+SELECT * FROM (VALUES ('z1/+/3/#', 7, 0), ('+/click/+/raw/temp', 31, 2), ('z2/view/#', 7, 1), ('z0/purchase/4', 12, 1),
+                      ('+/+/2/+/+/hum', 20, 0), ('z3/+/+', 31, 1), ('#', 1, 0)) AS r(pattern, priority, qos)""",
     "v_tasks": """
 SELECT concat('t', CAST(o_orderkey AS STRING)) AS task_id, CAST(substr(o_orderpriority, 1, 1) AS INT) * 10 AS priority,
        CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'processing' ELSE 'completed' END AS status,

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
@@ -14,20 +15,32 @@ from opslake.plans.q_security import POLICIES
 
 
 def requests(spark, rows):
-    return spark.createDataFrame(rows, "event_id long, ts timestamp, source_ip string, source_id string, resource string, auth_level int")
+    """Rows (event_id, ts, source_ip, source_id, resource, auth_level[, port, region])."""
+    return spark.createDataFrame([(*r, *[9000, "r0"][len(r) - 6:]) for r in rows],
+                                 "event_id long, ts timestamp, source_ip string, source_id string, resource string, auth_level int, port int, region string")
 
 
 MONDAY = dt.datetime(2024, 1, 1, 10)
+NIGHT = MONDAY.replace(hour=23)
 
 
 def test_policy_sample(spark):
-    df = requests(spark, [(1, MONDAY, "ip", "kim", "/vault/main", 1), (2, MONDAY, "ip", "on-call-7", "/vault/x", 1),
-                          (3, MONDAY.replace(hour=20), "ip", "u", "/vault/x", 0), (4, MONDAY - dt.timedelta(days=1), "ip", "u", "/vault/x", 0),
-                          (5, MONDAY, "ip", "u", "/vault/x", 3), (6, MONDAY, "ip", "u", "/portal/x", None), (7, MONDAY, "ip", None, "/vault/x", 1)])
+    wednesday = MONDAY + dt.timedelta(days=2)
+    rows = {
+        (NIGHT, "crew-4", "/ledger/2/close", 0): ("night-close", "DENY"),
+        (NIGHT, "crew-11", "/ledger/2/close", 0): (None, "DENY"),
+        (NIGHT, None, "/ledger/a/b/close", None): ("night-close", "DENY"),
+        (MONDAY.replace(hour=5, minute=10), "u", "/ledger//close", 0): ("night-close", "DENY"),
+        (MONDAY.replace(hour=5, minute=11), "u", "/ledger//close", 0, 8001): ("low-port", "ALLOW"),
+        (wednesday, "u", "/maps/view", 2, 8000, "r5"): ("far-views", "DENY"),
+        (wednesday, "u", "/maps/view", 1, 8000, "r5"): ("low-port", "ALLOW"),
+        (wednesday, "u", "/maps/click", 3, 9000, "r5"): (None, "DENY"),
+        (MONDAY, "u", "/maps/click", 3, 8000, "r5"): ("weekend-maps", "ALERT"),
+        (MONDAY, "crew-1", "/maps/click", 3, 8000, "r5"): ("low-port", "ALLOW"),
+    }
+    df = requests(spark, [(i, at, "ip", *rest) for i, (at, *rest) in enumerate(rows)])
     got = {r.event_id: (r.rule_id, r.action) for r in rules.policy_match(df, POLICIES).collect()}
-    watch = ("vault-watch", "ALERT")
-    assert got == {1: ("vault-hours", "DENY"), 2: watch, 3: watch, 4: watch, 5: (None, "DENY"), 6: ("portal-open", "ALLOW"),
-                   7: ("vault-hours", "DENY")}
+    assert got == dict(enumerate(rows.values()))
 
 
 def test_first_listed_policy_wins_a_tie(spark):
@@ -52,11 +65,12 @@ def test_policy_condition_kinds(spark):
 
 def test_firewall_block_does_not_extend(spark):
     def at(minutes):
-        return MONDAY + dt.timedelta(minutes=minutes)
+        return NIGHT + dt.timedelta(minutes=minutes)
 
-    df = requests(spark, [(1, at(0), "a", "u", "/vault/x", 1), (2, at(30), "a", "u", "/vault/x", 1), (3, at(59), "a", "u", "/portal/x", 9),
-                          (4, at(60), "a", "u", "/portal/x", 9), (5, at(61), "a", "u", "/vault/x", 1), (6, at(62), "b", "u", "/portal/x", 9),
-                          (7, at(63), "c", "u", "/other", 9), (8, at(64), "c", "u", "/portal/x", 9)])
+    shut, open_ = "/ledger/1/close", "/ledger/open"
+    df = requests(spark, [(1, at(0), "a", "u", shut, 1), (2, at(30), "a", "u", shut, 1), (3, at(59), "a", "u", open_, 9, 8000),
+                          (4, at(60), "a", "u", open_, 9, 8000), (5, at(61), "a", "u", shut, 1), (6, at(62), "b", "u", open_, 9, 8000),
+                          (7, at(63), "c", "u", "/other", 9), (8, at(64), "c", "u", open_, 9, 8000)])
     for seconds in (600, 10 ** 6):
         out = security.firewall_blocks(df, POLICIES, bucket=ordered.by_time("ts", seconds))
         assert {r.event_id: (r.decision, r.reason) for r in out.collect()} == {
@@ -64,42 +78,57 @@ def test_firewall_block_does_not_extend(spark):
             6: ("ALLOW", None), 7: ("DENY", None), 8: ("ALLOW", None)}
 
 
-def test_topic_sample(spark):
-    table = spark.createDataFrame([("plant/press/#", 90, 2), ("plant/oven/+", 40, 1), ("#", 2, 0), ("+/press/heat", 90, 1)],
-                                  "pattern string, priority int, qos int")
-    sent = spark.createDataFrame([(t,) for t in ("plant/press/heat", "plant/oven/door", "plant/press/belt/speed",
-                                                 "plant/oven/door/3", "plant/press", "no topic")], "topic string")
+def route_by_hand(topic, pattern):
+    """Levels of the pattern against levels of the topic; # takes one or more."""
+    def goes(p, t):
+        if not p:
+            return not t
+        if p[0] == "#":
+            return any(goes(p[1:], t[k:]) for k in range(1, len(t) + 1) if "/".join(t[:k]))
+        return bool(t) and (p[0] == t[0] or p[0] == "+" and t[0] != "") and goes(p[1:], t[1:])
+    return bool(re.fullmatch("[a-zA-Z0-9_/-]+", topic)) and goes(pattern.split("/"), topic.split("/"))
+
+
+def test_topics_of_several_levels(spark):
+    rng = np.random.default_rng(8)
+    names = ["z0", "z1", "z2", "hum", ""]
+    topics = sorted({"/".join(rng.choice(names, rng.integers(1, 6))) or "/" for _ in range(60)} | {"bad topic", "z0/hum/z1"})
+    patterns = sorted({"/".join(rng.choice([*names, "+", "+"], rng.integers(1, 5))) + rng.choice(["", "/#"]) for _ in range(50)}
+                      | {"#", "+", "+/#", "z0/#/hum", "#/z1", "+/+/#/+", "z0/#/#"})
+    table = spark.createDataFrame([(p, len(p) % 4, i) for i, p in enumerate(patterns)], "pattern string, priority int, qos int")
     got = {}
-    for r in rules.topic_route(sent, table).orderBy("rank").collect():
-        got.setdefault(r.topic, []).append(r.pattern)
-    assert got == {"plant/press/heat": ["+/press/heat", "plant/press/#", "#"], "plant/oven/door": ["plant/oven/+", "#"],
-                   "plant/press/belt/speed": ["plant/press/#", "#"], "plant/oven/door/3": ["#"], "plant/press": ["#"]}
-
-
-def test_message_samples(spark):
-    beat = {"agent_id": "pump-9", "timestamp": "2023-11-02T07:15:30.25", "status": "active", "metrics": {"heat": 0.75, "load": 2}}
-    rows = [("heartbeat", json.dumps(beat)), ("task", json.dumps({"task_id": "job-31", "priority": "high"})),
-            ("task", json.dumps({"task_id": "t", "payload": {}, "priority": 3, "dependencies": ["a"]})),
-            ("task", json.dumps({"task_id": "t", "payload": [], "priority": 3.5, "dependencies": [1]})),
-            ("broadcast", json.dumps({"message_type": "alert", "scope": "system", "content": {"a": [1]}})),
-            ("broadcast", "oops"), ("other", "{}"), ("heartbeat", json.dumps({**beat, "timestamp": "soon", "metrics": {"cpu": "x"}, "more": 1}))]
-    df = spark.createDataFrame([(i, k, b) for i, (k, b) in enumerate(rows)], "i int, kind string, body string")
-    got = {r.i: (r.valid, sorted(r.errors)) for r in security.message_validate(df).collect()}
-    assert got == {0: (True, []), 1: (False, ["payload: required", "priority: type"]), 2: (True, []),
-                   3: (False, ["dependencies: type", "payload: type", "priority: type"]), 4: (True, []),
-                   5: (False, ["body: not an object"]), 6: (False, ["kind: unsupported"]),
-                   7: (False, ["metrics: type", "more: unexpected", "timestamp: type"])}
+    for r in rules.topic_route(spark.createDataFrame([(t,) for t in topics], "topic string"), table).orderBy("rank").collect():
+        got.setdefault(r.topic, []).append((r.pattern, r.priority))
+    want = {t: sorted(((p, len(p) % 4) for p in patterns if route_by_hand(t, p)), key=lambda x: (-x[1], x[0])) for t in topics}
+    assert got == {t: w for t, w in want.items() if w}
+
+
+def test_messages_made_from_the_schema(spark):
+    """Of each kind: the whole message, and one with each field missing, of another type, or beside a field too many."""
+    good = {"string": "s", "date-time": "2021-06-05 04:03:02", "integer": 4, "object": {"a": [1]}, "map<number>": {"x": 0.5, "y": 2},
+            "array<string>": ["p", "q"]}
+    bad = {"string": 7, "date-time": "noon", "integer": 1.5, "object": "o", "map<number>": {"x": "y"}, "array<string>": [1]}
+    rows = [("note", "{}", ["kind: unsupported"])]
+    for kind, fields in security.MESSAGE_FIELDS.items():
+        whole = {f: good[shape] for f, shape in fields.items()}
+        rows += [(kind, json.dumps(whole), []), (kind, "[1", ["body: not an object"]), (kind, json.dumps({**whole, "zz": 0}), ["zz: unexpected"])]
+        for f, shape in fields.items():
+            rows.append((kind, json.dumps({k: v for k, v in whole.items() if k != f}), [] if f in security.OPTIONAL_FIELDS else [f"{f}: required"]))
+            rows.append((kind, json.dumps({**whole, f: bad[shape]}), [f"{f}: type"]))
+    df = spark.createDataFrame([(i, k, b) for i, (k, b, _) in enumerate(rows)], "i int, kind string, body string")
+    got = {r.i: (r.valid, r.errors) for r in security.message_validate(df).collect()}
+    assert got == {i: (not errors, errors) for i, (_, _, errors) in enumerate(rows)}
 
 
 def test_inference_chain(spark):
-    facts = spark.createDataFrame([("agent_status", "agent1", "overloaded"), ("agent_status", "agent2", "idle")],
+    facts = spark.createDataFrame([("heat", "kiln", "high"), ("heat", "vat", "low"), ("shift", "kiln", "night")],
                                   "relation string, subject string, value string")
-    chain = [{"if": [{"relation": "agent_status", "value": "overloaded"}], "then": {"relation": "workflow_escalate"}},
-             {"if": [{"relation": "workflow_escalate"}, {"relation": "agent_status"}], "then": {"relation": "requires_approval", "value": 1}}]
+    chain = [{"if": [{"relation": "heat", "value": "high"}, {"relation": "shift", "value": "night"}], "then": {"relation": "watched"}},
+             {"if": [{"relation": "watched"}, {"relation": "heat"}], "then": {"relation": "visits", "value": 3}}]
     got = {tuple(r) for r in rules.infer_forward(facts, chain).collect()} - {tuple(r) for r in facts.collect()}
-    assert got == {("workflow_escalate", "agent1", "agent1"), ("requires_approval", "agent1", "1")}
-    asked = spark.createDataFrame([("requires_approval", "agent1", "1"), ("requires_approval", "agent2", "1")], facts.schema)
-    assert [r.subject for r in rules.infer_backward(facts, chain, asked).collect()] == ["agent1"]
+    assert got == {("watched", "kiln", "kiln"), ("visits", "kiln", "3")}
+    asked = spark.createDataFrame([("visits", "kiln", "3"), ("visits", "vat", "3")], facts.schema)
+    assert [r.subject for r in rules.infer_backward(facts, chain, asked).collect()] == ["kiln"]
 
 
 def dag(spark, edges, extra=()):
