@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from opslake.session import staged
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalpha())  # what TERM leaves out
 SCALE = 1_000_000_000
 PAIRS_AT_ONCE = 1 << 20
 
@@ -43,23 +44,26 @@ def _divided(a: Column, b: Column) -> Column:
 
 
 def _term_counts(docs: DataFrame, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (lang, source) of all groups, and (lang, source, term, count, docs)."""
+    """Rows (lang, source, code) of all groups, and (code, term, count, docs); the upper half of a code is the language's."""
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     rows = rows.withColumn("mark", F.sha2("text", 256))
     copies = staged(rows.groupBy("lang", "mark", "source").agg(F.count(F.lit(1)).alias("n")))
-    shares = copies.groupBy("lang", "mark").agg(F.collect_list(F.struct("source", "n")).alias("shares"))
+    numbered = Window.orderBy("lang", "source")  # over groups, of which the answer holds all pairs
+    groups = staged(copies.select("lang", "source").distinct().withColumn("code", F.shiftleft(
+        F.dense_rank().over(Window.orderBy("lang")).cast("long"), 32) + F.row_number().over(numbered)))
+    shares = copies.join(groups, ["lang", "source"]).groupBy("lang", "mark").agg(F.collect_list(F.struct("code", "n")).alias("shares"))
     texts = rows.groupBy("lang", "mark").agg(F.first("text").alias("text"))
-    terms = F.regexp_extract_all(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), F.lit(TERM), F.lit(0))
-    split = texts.join(shares, ["lang", "mark"]).select("lang", "shares", terms.alias("terms"))
+    terms = F.array_remove(F.split(F.translate("text", _BREAKS + string.ascii_uppercase, " " * len(_BREAKS) + string.ascii_lowercase), " "), "")
+    split = texts.join(shares, ["lang", "mark"]).select("shares", terms.alias("terms"))
     # First every occurrence of a term, then every term of the text once.
-    each = split.select("lang", "shares", F.size("terms").alias("length"),
+    each = split.select("shares", F.size("terms").alias("length"),
                         F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
-    each = each.select("lang", "term", (F.col("at") < F.col("length")).alias("occurs"), F.explode("shares").alias("share"))
+    each = each.select("term", (F.col("at") < F.col("length")).alias("occurs"), F.explode("shares").alias("share"))
     weight = F.col("share.n")
-    counts = each.groupBy("lang", "term", F.col("share.source").alias("source")).agg(
+    counts = each.groupBy(F.col("share.code").alias("code"), "term").agg(
         F.sum(F.when(F.col("occurs"), weight).otherwise(0)).alias("count"),
         F.sum(F.when(F.col("occurs"), 0).otherwise(weight)).alias("docs"))
-    return copies.select("lang", "source").distinct(), counts
+    return groups, counts
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -112,15 +116,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """Rows (lang, source, part, item, value, rank): every other source of the language by its divergence (part ``pair``),
     and the ``top`` terms that the source uses more than its language (part ``term``)."""
     groups, counts = _term_counts(docs, text, lang, source)
-    lists = staged(counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("count").alias("all"), F.collect_list(F.struct("source", "count")).alias("held"))
-        .where(F.col("docs") >= min_docs).select("lang", "term", "all", "held"))
-    by_lang = lists.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
-    held = lists.select("lang", "term", "all", F.explode("held").alias("h")).select("lang", "term", "all", "h.source", "h.count")
-    totals = held.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("own"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0)
+    lists = staged(counts.groupBy(F.shiftright("code", 32).alias("lang_code"), "term").agg(
+        F.sum("docs").alias("docs"), F.sum("count").alias("all"), F.collect_list(F.struct("code", "count")).alias("held"))
+        .where(F.col("docs") >= min_docs).select("lang_code", "term", "all", "held"))
+    by_lang = lists.groupBy("lang_code").agg(F.count(F.lit(1)).alias("terms"), F.sum("all").alias("lang_total"))
+    held = lists.select("term", "all", F.explode("held").alias("h")).select("term", "all", "h.code", "h.count")
+    totals = held.groupBy("code").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("own"))
+    groups = groups.join(totals, "code", "left").withColumn("lang_code", F.shiftright("code", 32)).join(by_lang, "lang_code", "left").na.fill(0)
     groups = staged(groups.withColumn("rest", _price(F.lit(0).cast("long"), F.col("total"), F.col("terms"))))
-    priced = staged(held.join(groups, ["lang", "source"]).select(
+    priced = staged(held.join(groups, "code").select(
         "lang", "term", "source", "count", "rest", _price(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
         _price(F.col("all"), F.col("lang_total"), F.col("terms")).alias("q")))
 
