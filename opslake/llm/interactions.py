@@ -22,6 +22,7 @@ the least; of several labels of one id a 1 in any counts; an empty table gives a
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -37,13 +38,15 @@ COPY = "E"
 HELD_TEXTS = 200_000
 _COUNTED = "part string, fails string, good boolean, toxic boolean, n long"
 _ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else 4 MB for each partition, however small
           "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
           "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
 
 
 def failing(text: Column) -> Column:
     """The letters of filters A to D that a text fails, joined."""
-    words = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     return F.concat(
         F.when(F.size(words) < 50, "A").otherwise(""),
         F.when(100 * F.size(F.array_distinct(words)) < 65 * F.size(words), "B").otherwise(""),
@@ -52,22 +55,22 @@ def failing(text: Column) -> Column:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mark, fails, part, good, toxic, id, n, above): see step 2. Rows without an id keep none."""
-    names = ["mark", "fails", "part", "good", "toxic", "id", "n", "above"]
-    types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
+    """Rows (mark, fails, group, id, n): see step 2. Rows above the least id fail E, rows without an id keep none."""
+    names = ["mark", "fails", "group", "id", "n"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     held: dict[str, list] = {}  # text: [its filters, least id, counts at it, counts above it, counts without an id]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(mark, fails, *key, where, n, above)
+        rows = [(mark, which, group, where, n)
                 for mark, (fails, least, at, over, none) in held.items()
-                for counts, where, above in ((at, least, False), (over, None, True), (none, None, False))
-                for key, n in counts.items()]
+                for counts, where, which in ((at, least, fails), (over, None, fails + COPY), (none, None, fails))
+                for group, n in counts.items()]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         held.clear()
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
 
     for batch in batches:
-        for mark, fails, part, good, toxic, row in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+        for mark, fails, group, row in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
             text = held.setdefault(mark, [fails, None, {}, {}, {}])
             if row is None:
                 counts = text[4]
@@ -78,7 +81,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts = text[2]
             else:
                 counts = text[2] if row == text[1] else text[3]
-            counts[part, good, toxic] = counts.get((part, good, toxic), 0) + 1
+            counts[group] = counts.get(group, 0) + 1
         if len(held) >= HELD_TEXTS:
             yield from flush()
     yield from flush()
@@ -88,37 +91,32 @@ class _LeastId(StatefulProcessor):
     """For each text its least id, and signed counts of the rows whose mask has become known or has changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._least = handle.getValueState(
-            "least", "id long, held array<struct<part: string, good: boolean, toxic: boolean, n: long>>")
+        self._least = handle.getValueState("least", "id long, held string")  # held: JSON of counts by group
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self._least.get() if self._least.exists() else None
-        least = before[0] if before else None
-        held = {(h[0], h[1], h[2]): h[3] for h in before[1]} if before else {}
-        fails, kept, changed = "", {}, False  # kept: rows of this batch with the least id, not yet counted
-        for r in rows:
-            fails, at = r["fails"], (r["part"], r["good"], r["toxic"])
-            if r["above"]:
-                yield Row(part=at[0], fails=fails + COPY, good=at[1], toxic=at[2], n=r["n"])
-            elif r["id"] is None:
-                yield Row(part=at[0], fails=fails, good=at[1], toxic=at[2], n=r["n"])
-            elif least is not None and r["id"] > least:
-                yield Row(part=at[0], fails=fails + COPY, good=at[1], toxic=at[2], n=r["n"])
+        before = self._least.get()
+        least, held = (before[0], json.loads(before[1])) if before else (None, {})
+        own, kept, changed = "", {}, False  # kept: rows of this batch with the least id, not yet counted
+        for _, fails, group, at, n in rows:
+            if at is None:
+                yield Row(fails=fails, group=group, n=n)
+            elif least is not None and at > least:
+                yield Row(fails=fails + COPY, group=group, n=n)
             else:
-                if least is None or r["id"] < least:
-                    for (part, good, toxic), n in held.items():
-                        yield Row(part=part, fails=fails, good=good, toxic=toxic, n=-n)
+                if least is None or at < least:
+                    for old, n_old in held.items():
+                        yield Row(fails=fails, group=old, n=-n_old)
                     for counts in (held, kept):
-                        for (part, good, toxic), n in counts.items():
-                            yield Row(part=part, fails=fails + COPY, good=good, toxic=toxic, n=n)
-                    least, held, kept = r["id"], {}, {}
-                kept[at] = kept.get(at, 0) + r["n"]
-                changed = True
-        for (part, good, toxic), n in kept.items():
-            yield Row(part=part, fails=fails, good=good, toxic=toxic, n=n)
-            held[part, good, toxic] = held.get((part, good, toxic), 0) + n
+                        for old, n_old in counts.items():
+                            yield Row(fails=fails + COPY, group=old, n=n_old)
+                    least, held, kept = at, {}, {}
+                kept[group] = kept.get(group, 0) + n
+                own, changed = fails, True
+        for group, n in kept.items():
+            yield Row(fails=own, group=group, n=n)
+            held[group] = held.get(group, 0) + n
         if changed:
-            self._least.update((least, [(*k, n) for k, n in held.items()]))
+            self._least.update((least, json.dumps(held)))
 
     def close(self) -> None:
         pass
@@ -137,13 +135,15 @@ def count_stream(docs: DataFrame, labels: DataFrame, run: str, id_col: str = "do
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
         F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     rows = rows.join(staged(marked), ["known", "key"], "left").select(
-        "mark", "fails", "part", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"), "id")
-    combined = rows.mapInArrow(_combined, "mark string, fails string, part string, good boolean, toxic boolean, id long, n long, above boolean")
+        "mark", "fails", F.concat(*[F.when(F.col(c), "1").otherwise("0") for c in ("good", "toxic")], "part").alias("group"), "id")
+    combined = rows.mapInArrow(_combined, "mark string, fails string, group string, id long, n long")
     changes = combined.groupBy("mark").transformWithState(
-        statefulProcessor=_LeastId(), outputStructType=_COUNTED, outputMode="append", timeMode="none")
+        statefulProcessor=_LeastId(), outputStructType="fails string, group string, n long", outputMode="append", timeMode="none")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        summed = batch.groupBy("part", "fails", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
+        summed = batch.groupBy("fails", "group").agg(F.sum("n").alias("n")).where("n <> 0").select(
+            F.expr("substring(group, 3)").alias("part"), "fails", F.col("group").startswith("1").alias("good"),
+            (F.substring("group", 2, 1) == "1").alias("toxic"), "n")
         summed.write.mode("overwrite").parquet(f"{run}/counters/batch={batch_id}")
 
     old = {k: spark.conf.get(k, None) for k in _ROCKS}
@@ -181,7 +181,7 @@ def report(counted: DataFrame) -> DataFrame:
         F.sum(F.when(fails, F.expr(f"n * {count} div greatest(length(fails), 1)")).otherwise(0)).cast("long").alias("shapley"))
 
 
-def audit(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int = 4, run: str | None = None, **columns: str) -> DataFrame:
+def audit(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int = 8, run: str | None = None, **columns: str) -> DataFrame:
     """Rows (part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley) of the Parquet files at ``path``."""
     run = run or f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     spark.createDataFrame([], _COUNTED).write.mode("overwrite").parquet(f"{run}/counters/batch=none")
