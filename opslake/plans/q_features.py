@@ -1,12 +1,14 @@
 """Feature, vector and model queries."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from opslake.functions.scalars import time_features
-from opslake.operators import anomaly, features, logs, vectors
+from opslake.operators import anomaly, features, logs, search, vectors
 from opslake.plans.catalog import query
+from opslake.session import shared_folder
 
 AS_OF = dt.datetime(2024, 1, 31)
 
@@ -180,6 +182,28 @@ def _(t):
     return out.select("doc_id", "lang", "n_chars")
 
 
+@query("doc_search_index", """SELECT doc_id AS id FROM documents WHERE n_chars BETWEEN 100 AND 100000 AND lang IN ('en', 'de')
+AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'the')""")
+def _(t):
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    docs = t("documents").withColumns({"chars_num": F.col("n_chars"), "lang_tag": F.col("lang")})
+    search.index_write(docs, path, ["chars_num", "lang_tag", "text"], "doc_id")
+    return search.DocumentIndex(t.spark, path).search({"chars_num": (100, 100_000), "lang_tag": ["en", "de"], "text": "The"}, limit=None)
+
+
+@query("doc_search_many", """WITH words AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) AS term FROM documents),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')[2:4])) AS term FROM benchmark)
+SELECT q.query_id, w.doc_id AS id FROM q JOIN words w ON w.term = q.term AND q.term <> '' GROUP BY q.query_id, w.doc_id
+HAVING count(*) = (SELECT count(*) FROM q c WHERE c.query_id = q.query_id AND c.term <> '')""")
+def _(t):
+    """Documents that hold the second to fourth word of a benchmark item."""
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    search.index_write(t("documents"), path, ["text"], "doc_id")
+    words = F.slice(F.split(F.lower("text"), search.BREAKS), 2, 3)
+    wanted = t("benchmark").select(F.col("item_id").alias("query_id"), F.lit("text").alias("field"), F.explode(words).alias("term")).where("term <> ''")
+    return search.DocumentIndex(t.spark, path).search_many(wanted)
+
+
 _FEATURES = ["length", "words", "special", "level_code", "age_s"]
 
 
