@@ -94,6 +94,18 @@ def _(t):
     return snapshots.snapshot_read(t.spark, folder, "v1.0.0")
 
 
+@query("snapshot_diff", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 7 = 0 OR o_orderstatus = 'P'
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def _(t):
+    folder = _folder(t)
+    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    later = rows.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + (F.col("o_orderstatus") == "P").cast("int")).unionByName(
+        rows.where("o_orderpriority = '1-URGENT'").withColumn("o_orderkey", -F.col("o_orderkey")))
+    for version, df in (("v1", rows), ("v2", later)):
+        snapshots.snapshot_write(df, folder, version, AS_OF, key=["o_orderkey"])
+    return snapshots.snapshot_diff(t.spark, folder, "v1", "v2", ["o_orderkey"])
+
+
 @query("partitioned_collection", "SELECT CAST(vec_id AS VARCHAR) AS id, label FROM embeddings WHERE label IN (2, 4)")
 def _(t):
     folder = _folder(t)

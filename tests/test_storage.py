@@ -182,3 +182,22 @@ def test_collection_partitions_backup_and_restore(spark, tmp_path):
     snapshots.collection_backup(spark, root, "c", str(tmp_path / "bak"), AS_OF)
     assert snapshots.collection_restore(spark, str(tmp_path / "bak"), "c", root, "d") == "d"
     assert snapshots.read_collection(spark, root, "d").count() == 2
+
+
+def test_snapshot_diff_reads_only_unequal_folders(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(500).withColumns({"v": F.col("id") % 7, "m": F.create_map(F.lit("a"), F.col("id"))})
+    one = snapshots.snapshot_write(rows, root, "a", AS_OF, key=["id"])
+    same = snapshots.snapshot_write(rows.repartition(5), root, "b", AS_OF, key=["id"])
+    assert one["checksum"] == same["checksum"] == snapshots.content_checksum(rows)[1] and one["row_count"] == 500
+    assert one["leaf_checksums"] == same["leaf_checksums"] and sum(map(int, one["leaf_checksums"])) == int(one["checksum"])
+    assert snapshots.snapshot_diff(spark, root, "a", "b", ["id"]).count() == 0
+    other = rows.where("id <> 3").withColumn("v", F.when(F.col("id") == 8, 99).otherwise(F.col("v"))).unionByName(rows.where("id = 5").withColumn("id", F.lit(900)))
+    three = snapshots.snapshot_write(other, root, "c", AS_OF, key=["id"])
+    found = snapshots.snapshot_diff(spark, root, "a", "c", ["id"])
+    assert {(r.id, r.change) for r in found.collect()} == {(3, "removed"), (8, "changed"), (900, "added")}
+    unequal = snapshots.unequal_leaves(one["leaf_checksums"], three["leaf_checksums"])
+    assert unequal == [i for i, (x, y) in enumerate(zip(one["leaf_checksums"], three["leaf_checksums"])) if x != y] and len(unequal) <= 3
+    assert snapshots.snapshot_read(spark, root, "c").count() == 500
+    with pytest.raises(FileNotFoundError):
+        snapshots.snapshot_diff(spark, root, "a", "z", ["id"])
