@@ -220,10 +220,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quant
     keys = list(keys)
     rows = df.select(*keys, _col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     rows = rows.withColumn("_band", value_band(F.col("_v"), per_octave))
+    held = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    return histogram_quantiles(rows.groupBy(*keys, "_band").agg(*held), lambda found: rows, keys, quantiles, fine)
+
+
+def histogram_quantiles(bands: DataFrame, rows_of: Callable[[DataFrame], DataFrame], keys: Sequence[str], quantiles: dict[str, tuple],
+                        fine: int = 50_000) -> DataFrame:
+    """The quantiles of :func:`exact_quantiles` from counts by value band (keys, _band, _n, _low, _high).
+
+    ``rows_of`` gets the bands that hold a wanted rank (keys, _band) and returns at least their rows (keys, _band, _v).
+    """
+    keys = list(keys)
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     held = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
-    histogram = rows.groupBy(*keys, "_band").agg(*held).select(
+    histogram = bands.select(
         "*", F.sum("_n").over(running).alias("_cum"), F.sum("_n").over(per_key).alias("_total"))
     total, before = F.col("_total"), F.col("_cum") - F.col("_n")
     wanted = F.array(*[F.struct(F.lit(f"{name}#{i}").alias("slot"), r.alias("rank"))
@@ -236,6 +247,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, quant
 
     path = [*keys, "_band"]
     found = targets(histogram, path, wanted)
+    rows = rows_of(found.select(*path))
 
     def finite(c: str) -> Column:
         return F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.operators.folds import cooldown_replay
-from opslake.operators.ordered import attach, exact_quantiles, fit_time, ranked, rolling
+from opslake.operators.ordered import attach, exact_quantiles, fit_time, ranked, rolling, value_band
 from opslake.session import staged
 
 
@@ -136,54 +137,49 @@ def autoscale_replay(states: DataFrame, keys: Sequence[str], ts: str, tie: str,
     return out.withColumn("direction", F.when(F.col("acted"), F.when(F.col(desired) > F.col(current), "up").otherwise("down")))
 
 
-def cost_plan(instances: DataFrame, scenarios: DataFrame, spot_below: float = 0.9, at_once: int = 50) -> DataFrame:
-    """Greedy purchase per scenario (scenario, max_budget, reliability, min_performance).
+def cost_plan(instances: DataFrame, scenarios: DataFrame, spot_below: float = 0.9, block: int = 64) -> DataFrame:
+    """Greedy purchase per scenario (scenario, max_budget, reliability, min_performance), for any number of scenarios.
 
     Instance types go by price per vCPU, then name. The first one whose price is over the rest of the
     budget ends the plan; otherwise as many as fit are bought, at spot price if the scenario allows it.
 
-    Scenarios are configuration and held on the driver. After a purchase less than its price is left,
-    so a plan has few purchases; each round finds the next one of every open scenario with a single
-    aggregation over the catalogue, ``at_once`` scenarios together.
+    The catalogue is numbered in that order and cut into blocks; every round takes all open scenarios through their next block,
+    one join and one fold over at most ``block`` offers. A purchase leaves less than its price, so most plans end in the first block.
     """
-    offers = instances.select("instance_type", "price", "spot_price", "vcpus", (F.col("price") / F.col("vcpus")).alias("rate"))
-    plans = [{**r.asDict(), "spent": 0.0, "vcpus": 0, "plan": [], "at": (-1.0, "")} for r in scenarios.select(
-        "scenario", "max_budget", "reliability", "min_performance").collect()]
-    still_open = list(plans)
-    while still_open:
-        following = []
-        for first in range(0, len(still_open), at_once):
-            group = still_open[first:first + at_once]
-            found = offers.agg(*[c for i, p in enumerate(group) for c in _next_purchase(p, i, spot_below)]).first()
-            for i, p in enumerate(group):
-                stop, buy = found[f"stop{i}"], found[f"buy{i}"]
-                if buy is None or (stop is not None and tuple(stop) <= tuple(buy["at"])):
-                    continue
-                count = math.floor((p["max_budget"] - p["spent"]) / buy["pays"])
-                p["plan"].append((buy["at"]["name"], count, buy["pays"]))
-                p["spent"] += buy["pays"] * count
-                p["vcpus"] += buy["vcpus"] * count
-                p["at"] = tuple(buy["at"])
-                following.append(p)
-        still_open = following
-    rows = [(p["scenario"], p["max_budget"], p["spent"], p["vcpus"], p["vcpus"] >= p["min_performance"], p["plan"]) for p in plans]
-    return instances.sparkSession.createDataFrame(
-        rows, "scenario string, max_budget double, spent double, vcpus long, meets_performance boolean, "
-              "plan array<struct<instance_type:string,count:long,price:double>>")
-
-
-def _next_purchase(plan: dict, number: int, spot_below: float) -> list[Column]:
-    """Aggregates over the catalogue: where the plan would stop, and what it would buy next."""
-    rate, name = plan["at"]
-    later = (F.col("rate") > rate) | ((F.col("rate") == rate) & (F.col("instance_type") > name))
-    pays = F.col("price")
-    if plan["reliability"] < spot_below:
-        pays = F.when(F.col("spot_price") > 0, F.col("spot_price")).otherwise(F.col("price"))
-    at = F.struct("rate", F.col("instance_type").alias("name"))
-    over = F.col("price") + plan["spent"] > plan["max_budget"]
-    fits = F.floor(F.lit(plan["max_budget"] - plan["spent"]) / pays) >= 1
-    return [F.min(F.when(later & over, at)).alias(f"stop{number}"),
-            F.min(F.when(later & fits, F.struct(at.alias("at"), pays.alias("pays"), "vcpus"))).alias(f"buy{number}")]
+    offers = instances.select("instance_type", "price", "spot_price", "vcpus", (F.col("price") / F.col("vcpus")).alias("rate"), F.lit(1).alias("_all"))
+    numbered = ranked(offers, ["_all"], [F.col("rate"), F.col("instance_type")], value_band(F.col("rate")), "_at")
+    offer = F.struct("_at", "instance_type", "price", "spot_price", "vcpus")
+    blocks = staged(numbered.groupBy(F.floor((F.col("_at") - 1) / block).cast("long").alias("_block")).agg(
+        F.array_sort(F.collect_list(offer)).alias("_offers")))
+
+    def step(acc: Column, o: Column) -> Column:
+        rest = F.col("max_budget") - acc["spent"]
+        pays = F.when((F.col("reliability") < spot_below) & (o["spot_price"] > 0), o["spot_price"]).otherwise(o["price"])
+        over = acc["done"] | F.coalesce(acc["spent"] + o["price"] > F.col("max_budget"), F.lit(False))
+        number = F.when(over, 0).otherwise(F.coalesce(F.floor(rest / pays), F.lit(0))).cast("long")
+        bought = F.struct(o["instance_type"].alias("instance_type"), number.alias("count"), pays.alias("price"))
+        buys = number >= 1
+        return F.struct(
+            F.when(buys, acc["spent"] + pays * number).otherwise(acc["spent"]).alias("spent"),
+            F.when(buys, acc["vcpus"] + o["vcpus"] * number).otherwise(acc["vcpus"]).cast("long").alias("vcpus"),
+            over.alias("done"), F.when(buys, F.array_append(acc["plan"], bought)).otherwise(acc["plan"]).alias("plan"))
+
+    empty = F.array().cast("array<struct<instance_type:string,count:bigint,price:double>>")
+    start = F.struct(F.lit(0.0).alias("spent"), F.lit(0).cast("long").alias("vcpus"), F.lit(False).alias("done"), empty.alias("plan"))
+    names = ["scenario", "max_budget", "reliability", "min_performance"]
+    still_open = staged(scenarios.select(*names, start.alias("_s")))
+    finished = []
+    for number in count():
+        joined = still_open.withColumn("_block", F.lit(number).cast("long")).join(blocks, "_block", "left").drop("_block")
+        went = staged(joined.select(*names, F.when(F.col("_offers").isNull(), F.col("_s").withField("done", F.lit(True))).otherwise(
+            F.aggregate(F.coalesce("_offers", F.array().cast(blocks.schema["_offers"].dataType)), F.col("_s"), step)).alias("_s")))
+        finished.append(went.filter("_s.done"))
+        still_open = went.filter("NOT _s.done")
+        if still_open.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, finished).select(
+        "scenario", F.col("max_budget").cast("double").alias("max_budget"), "_s.spent", "_s.vcpus",
+        (F.col("_s.vcpus") >= F.col("min_performance")).alias("meets_performance"), "_s.plan")
 
 
 def spot_price_summary(prices: DataFrame, keys: Sequence[str], price: str = "price", seen_at: str = "seen_at") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.operators.ordered import attach, exact_quantiles
+from opslake.operators.ordered import attach, exact_quantiles, histogram_quantiles, value_band
 from opslake.session import staged
 
 # Slice lengths in seconds.
@@ -83,9 +84,36 @@ def sla_report(df: DataFrame, as_of: dt.datetime, range_s: int, granularity: str
 
 
 def sla_sliding(df: DataFrame, window_s: int = 300, every_s: int = 60, keys: Sequence[str] = ("service",)) -> DataFrame:
-    """Metrics of a trailing window, evaluated every ``every_s`` seconds."""
-    spread = df.withColumn("window_start", F.window("ts", f"{window_s} seconds", f"{every_s} seconds")["start"])
-    return sla_metrics(spread, [*keys, "window_start"], window_s)
+    """Metrics of a trailing window, evaluated every ``every_s`` seconds.
+
+    Every row is counted in one pane, by band of its latency; windows are put together from the counts of their panes. Only
+    rows of the bands that hold the wanted rank of a window are looked up again to find the exact latency.
+    """
+    keys, pane_s = list(keys), math.gcd(window_s, every_s)
+    start = F.floor(F.unix_seconds("ts") / pane_s).cast("long") * pane_s
+    number = F.col("latency").cast("double")
+    known = number.isNotNull() & ~F.isnan(number)
+    rows = df.select(*keys, start.alias("_pane"), "success", F.when(known, number).alias("_v")).withColumn(
+        "_band", F.when(F.col("_v").isNotNull(), value_band(F.col("_v"))))
+    panes = staged(rows.groupBy(*keys, "_pane", "_band").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("success").alias("_ok"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+    first = F.ceil((F.col("_pane") + pane_s - window_s) / every_s).cast("long") * every_s
+    last = F.floor(F.col("_pane") / every_s).cast("long") * every_s
+    spread = panes.withColumn("_start", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(every_s).cast("long")))))
+    windows = [*keys, "_start"]
+    rates = staged(spread.groupBy(*windows).agg(
+        (F.sum("_ok") / F.sum("_n") * 100).alias("availability"), (F.sum("_n") / F.lit(window_s)).alias("throughput")))
+    bands = spread.filter("_band IS NOT NULL").groupBy(*windows, "_band").agg(
+        F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+
+    def wanted_rows(found: DataFrame) -> DataFrame:
+        its = F.sequence(F.col("_start"), F.col("_start") + window_s - pane_s, F.lit(pane_s).cast("long"))
+        asked = found.select(*windows, "_band", F.explode(its).alias("_pane"))
+        return attach(rows.select(*keys, "_pane", "_band", "_v"), asked, [*keys, "_pane", "_band"], "inner").select(*windows, "_band", "_v")
+
+    slow = staged(histogram_quantiles(bands, wanted_rows, windows, {"latency_p99": (0.99, "desc")}))
+    out = attach(rates, slow, windows).withColumn("latency_p99", F.coalesce("latency_p99", F.lit(0.0)))
+    return out.withColumn("window_start", F.timestamp_seconds("_start")).select(*keys, "window_start", "availability", "throughput", "latency_p99")
 
 
 def throughput_anomalies(samples: DataFrame, keys: Sequence[str], value: str = "rps", sensitivity: float = 3.0,

@@ -178,14 +178,16 @@ def test_reconstruction_error_is_the_projection_residual(spark):
     assert got.id[got.anomaly].tolist() == [0]
 
 
-def test_cost_plan_follows_the_greedy_rule(spark):
+@pytest.mark.parametrize("block", [64, 4])
+def test_cost_plan_follows_the_greedy_rule(spark, block):
     rng = np.random.default_rng(9)
     kinds = [(f"i{i}", float(np.round(rng.uniform(.5, 30), 2)), float(np.round(rng.uniform(.2, 10), 2)) if i % 3 else None,
               int(rng.integers(1, 64))) for i in range(60)]
     df = spark.createDataFrame(kinds, "instance_type string, price double, spot_price double, vcpus int")
-    scenarios = [(f"s{i}", float(b), r, 100) for i, (b, r) in enumerate([(50, .95), (50, .8), (3, .95), (.1, .8), (500, .8)])]
+    scenarios = [(f"s{i}", float(b), r, 100) for i, (b, r) in enumerate([(50, .95), (50, .8), (3, .95), (.1, .8), (500, .8), (1e6, .95)])]
     got = {r.scenario: r for r in planning.cost_plan(df, spark.createDataFrame(
-        scenarios, "scenario string, max_budget double, reliability double, min_performance int")).collect()}
+        scenarios, "scenario string, max_budget double, reliability double, min_performance int"), block=block).collect()}
+    assert len(got) == len(scenarios)
     for name, budget, reliability, need in scenarios:
         spent, cpus, plan = 0.0, 0, []
         for kind, price, spot, v in sorted(kinds, key=lambda k: (k[1] / k[3], k[0])):

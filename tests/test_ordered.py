@@ -1,13 +1,14 @@
 """The ordered toolbox on skewed keys, with buckets small enough to cut them."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from opslake.operators import folds, ordered
+from opslake.operators import folds, ordered, sla
 
 
 @pytest.fixture(scope="module")
@@ -244,3 +245,24 @@ def test_a_hot_key_is_spread_over_tasks(spark):
             assert len(tasks) > 4 and max(r["count"] for r in tasks) < 8_000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("window, every", [(300, 60), (90, 60), (60, 120)])
+def test_sliding_windows_from_panes(spark, window, every):
+    rng = random.Random(window)
+    rows = [("hot" if i % 3 else rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randint(0, 1500)), rng.random() < 0.9,
+             rng.choice([None, float("nan"), 0.5, rng.random() * 9])) for i in range(900)]
+    df = spark.createDataFrame(rows, "service string, ts timestamp, success boolean, latency double")
+    got = {(r.service, r.window_start): (round(r.availability, 9), round(r.throughput, 9), r.latency_p99)
+           for r in sla.sla_sliding(df, window, every).collect()}
+    want, origin = {}, dt.datetime(1970, 1, 1)
+    for name in "hot a b".split():
+        mine = [(int((t - origin).total_seconds()), ok, v) for s, t, ok, v in rows if s == name]
+        for start in {(t // every - k) * every for t, _, _ in mine for k in range(window // every + 1)}:
+            held = [(ok, v) for t, ok, v in mine if start <= t < start + window]
+            if held:
+                values = sorted((v for _, v in held if v is not None and v == v), reverse=True)
+                slow = values[int(len(values) * (1 - 0.99))] if values else 0.0
+                want[name, origin + dt.timedelta(seconds=start)] = (
+                    round(sum(ok for ok, _ in held) / len(held) * 100, 9), round(len(held) / window, 9), slow)
+    assert got == want
