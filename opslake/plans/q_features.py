@@ -6,9 +6,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from opslake.functions.scalars import time_features
-from opslake.operators import anomaly, features, logs, search, vectors
+from opslake.operators import anomaly, features, ivf, logs, search, vectors
 from opslake.plans.catalog import query
-from opslake.session import shared_folder
+from opslake.session import shared_folder, staged
 
 AS_OF = dt.datetime(2024, 1, 31)
 
@@ -146,6 +146,19 @@ def _(t):
     return vectors.knn_ivf(_collection(t), _prototypes(t), nprobe=10 ** 6, nlist=20).select("query_id", "id", _r("distance"), "rank")
 
 
+@query("ivf_maintained", _KNN.format("WHERE x.label <> 5"))
+def _(t):
+    """Built from some labels, the others inserted, one of them deleted again, overfull lists split; then every list is probed."""
+    rows = _collection(t)
+    index = ivf.IvfIndex(t.spark, f"{shared_folder(t.spark)}/ivf-{uuid.uuid4().hex}")
+    first = staged(rows.where("label < 4"))
+    index.create(first, vectors.ivf_centres(first, 6))
+    index.insert(rows.where("label >= 4"), 1)
+    index.delete(rows.where("label = 5"), 2)
+    index.split(60, 3)
+    return index.search(_prototypes(t), nprobe=10 ** 6).select("query_id", "id", _r("distance"), "rank")
+
+
 def _lsh_sql(width, tables, projections):
     """The same buckets in SQL: the directions are written out."""
     directions, shifts = vectors.lsh_directions(64, width, tables, projections, 1)
