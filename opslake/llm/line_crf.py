@@ -4,9 +4,9 @@ Every line with a word is one position of the chain. Its score comes from a few
 adds a score for each change of label, and Viterbi decoding picks the best labelling of the whole text. The
 share of word characters in content lines decides whether the text stays.
 
-The weights are fitted by maximum likelihood on a bounded sample of labelled texts (``max_docs``, at most
-``max_lines`` lines each). Lines carry no labels of their own, so the sample is labelled by distant
-supervision: lines of texts marked bad, and lines that a share ``shared`` of the sample has, are boilerplate.
+The weights are fitted by maximum likelihood on all lines of a bounded sample of labelled texts (``max_docs``). Lines
+carry no labels of their own, so the sample is labelled by distant supervision: lines of texts marked bad, and lines
+that a share ``shared`` of all different texts of the table has, are boilerplate.
 
 Defined results: a null or empty text has no words and fails; repeated rows get equal results; an empty table
 gives an empty result; without labels of both kinds the weights are ``PRIOR``. Other columns are passed through.
@@ -14,7 +14,6 @@ gives an empty result; without labels of both kinds the weights are ``PRIOR``. O
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslake.session import staged
+
 FEATURES = ("bias", "log_words", "symbols", "marks", "upper", "digits", "repeated", "distinct", "stop")
 # Subtracted from each line's score for boilerplate: losing content costs more than keeping boilerplate.
 CAUTION = 0.7
@@ -168,34 +169,40 @@ def fit_chain(rows: np.ndarray, labels: np.ndarray, lengths: list[int], steps: i
     return {"emit": (weight / scale).tolist(), "move": move.tolist()}
 
 
+def common_lines(docs: DataFrame, text_col: str, share: float, least: int = 3) -> DataFrame:
+    """Rows (line), the hashes of lines that at least ``share`` of all different texts hold, and no fewer than ``least`` texts."""
+    split = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text"), F.explode(F.split(text_col, "\n")).alias("line"))
+    held = split.select("text", F.regexp_replace("line", r"[\x20\x09-\x0D]+$", "").alias("line")).where("line <> ''").select(
+        "text", F.xxhash64("line").alias("line")).distinct()
+    texts = docs.select(F.xxhash64(text_col)).distinct().count()
+    return held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(least, share * texts)).select("line")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_docs: int = 1000, max_lines: int = 32, shared: float = 0.008) -> dict:
-    """Weights fitted on the ``max_docs`` labelled texts with the smallest hashes; ``PRIOR`` without both labels."""
+        max_docs: int = 1000, piece: int = 256, shared: float = 0.008) -> dict:
+    """Weights fitted on all lines of the ``max_docs`` labelled texts with the smallest hashes; ``PRIOR`` without both labels.
+
+    A line of a good text counts as boilerplate if it is common among all texts of ``docs``. Chains of more than ``piece`` lines are
+    laid out in pieces of that length.
+    """
     marked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col)
         .agg(F.min(label_col).cast("int").alias("label"))
         .orderBy(F.xxhash64(F.lit(7), id_col), id_col).limit(max_docs)
     )
-    schema = "id string, label int, hashes array<long>, rows array<double>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.strip()][:max_lines]
-                if lines:
-                    out.append((key, label, [hash(x) for x in lines], _line_features(lines).ravel().tolist()))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            types = [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)],
-                                             ["id", "label", "hashes", "rows"])
-
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]+$", "") != "")
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(marked), id_col)
-    got = texts.select(F.col(id_col).cast("string"), "_text", "label").mapInArrow(run, schema).collect()
+    sample = staged(texts.select(F.col(id_col).cast("string").alias("id"), "label", lines.alias("lines")).where(F.size("lines") > 0))
+    hashes = F.transform("lines", lambda x: F.xxhash64(F.regexp_replace(x, r"[\x20\x09-\x0D]+$", "")))
+    asked = sample.select(F.explode(hashes).alias("line")).distinct()
+    common = {r["line"] for r in common_lines(docs, text_col, shared).join(asked, "line", "left_semi").collect()}  # of the sample alone
+    got = sample.select("id", "label", "lines", hashes.alias("hashes")).collect()
     got = list({r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["hashes"]))}.values())
     if len({r["label"] for r in got}) < 2:
         return PRIOR
-    spread = Counter(h for r in got if r["label"] for h in set(r["hashes"]))
-    y = np.array([1.0 if r["label"] == 0 or spread[h] >= max(3, shared * len(got)) else 0.0 for r in got for h in r["hashes"]])
-    x = np.array([v for r in got for v in r["rows"]]).reshape(-1, len(FEATURES))
-    return fit_chain(x, y, [len(r["hashes"]) for r in got])
+    x, y, lengths = [], [], []
+    for r in got:
+        x.append(_line_features([line.encode("utf-8", "surrogatepass") for line in r["lines"]]))
+        y += [1.0 if r["label"] == 0 or h in common else 0.0 for h in r["hashes"]]
+        lengths += [min(piece, len(r["hashes"]) - i) for i in range(0, len(r["hashes"]), piece)]
+    return fit_chain(np.concatenate(x), np.array(y), lengths)
