@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,13 +83,13 @@ class Codec:
     """The merge table and vocabulary in a DuckDB connection of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, rounds: int = 24, batch_words: int = 50_000,
-                 memory_words: int = 300_000):
+                 memory_words: int = 600_000):
         import duckdb
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.batch_words, self.memory_words, self.rounds = batch_words, memory_words, rounds
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids of 4 bytes each
         parts = [(ranks[a], ranks[b], rank) for token, rank in ranks.items() for i in range(1, len(token))
                  if (a := token[:i]) in ranks and (b := token[i:]) in ranks]
         least: dict[int, int] = {}
@@ -111,7 +110,7 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[str], long: bool) -> Iterator[tuple[str, tuple[int, ...]]]:
+    def _contract(self, words: list[str], long: bool) -> Iterator[tuple[str, bytes]]:
         raw = [w.encode() for w in words]
         sizes = np.array([len(r) for r in raw])
         word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
@@ -124,10 +123,10 @@ class Codec:
             word, pos, tok = (np.asarray(got[c]) for c in ("word", "pos", "tok"))
             done = np.asarray(got["step"]) < self.rounds if long else np.ones(len(word), dtype=bool)
             ends = np.flatnonzero(np.diff(word[done], append=-1)) + 1
-            ids, names = tok[done].tolist(), word[done][ends - 1].tolist() if len(ends) else []
+            ids, names = tok[done].astype("<i4").tobytes(), word[done][ends - 1].tolist() if len(ends) else []
             begin = 0
-            for name, end in zip(names, ends.tolist(), strict=True):
-                yield words[name], tuple(ids[begin:end])
+            for name, end in zip(names, (4 * ends).tolist(), strict=True):
+                yield words[name], ids[begin:end]
                 begin = end
             word, pos, tok = word[~done], pos[~done], tok[~done]
 
@@ -141,14 +140,14 @@ class Codec:
         for w in new:
             raw = w.encode()
             if (rank := self.ranks.get(raw)) is not None:  # a word of the vocabulary is one token, however it would merge
-                self.known[w] = (rank,)
+                self.known[w] = rank.to_bytes(4, "little")
             else:
                 (short if len(raw) <= SHORT_BYTES else long).append(w)
         for words in (short, long):
             for at in range(0, len(words), self.batch_words):
                 self.known.update(self._contract(words[at:at + self.batch_words], words is long))
         known = self.known
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4") for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of token ids."""
