@@ -9,8 +9,8 @@ only nodes are joined; copies of any number cost nothing further.
    at a time, and a text stops at the first rank that cannot lower any of its places: long texts end after one or two.
 2. Banding. ``rows`` neighbouring places make a band; nodes that agree in one are members of its bucket. The chance
    that two sets of similarity s share no bucket is (1 - s ** rows) ** bands: 5e-8 at 0.8 with the defaults.
-3. Verification. Members are compared with hubs of their bucket on full sets, never all with all: a node first meets
-   the two hubs that it shares most buckets with. Later turns take up buckets that still hold several groups. There,
+3. Verification. Members are compared with hubs of their bucket on full sets, never all with all: the hub is the member
+   whose buckets are fullest, and a node first meets the two hubs that it shares most buckets with. Later turns take up buckets that still hold several groups. There,
    members outside of the bucket's largest group are hubs in their turn and meet the members of other groups, until
    all of them have been; a pair of one group is never compared again.
 4. Grouping. Each task joins its links by union-find before they are shuffled; stars join what is left.
@@ -24,6 +24,7 @@ an empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.llm.components import components
-from opslake.llm.ngram_join import _ODD, Shingles, _compare, _fingerprint, _in_groups, _mix, _pack
+from opslake.llm.ngram_join import _ODD, Shingles, _fingerprint, _hinted, _in_groups, _mix, _pack, _unpack
 from opslake.session import staged
 
 BANDS, ROWS = 32, 4
 FIRST_HUBS, TURN_HUBS = 2, 4
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+BATCH_ROWS = 1000  # of Arrow batches, which hold whole texts or sets
 _RANK = 48  # bits of the fraction below the rank
 
 
@@ -86,7 +88,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seen = Shingles(width), set()
         for batch in batches:
-            for at, texts in _in_groups(batch.column(1)):
+            for at, texts in _in_groups(batch.column(1), 60_000):
                 sets = maker.sets(texts)
                 nodes = [_fingerprint(s) for s in sets]
                 new = []
@@ -107,6 +109,23 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
     return staged(made.mapInArrow(run, f"id {kind}, n long, node long, hashes binary, bands array<long>"))
 
 
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Rows (x, y, linked) of distinct pairs (x, y), compared on the full sets ``held``."""
+    one = held.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
+    two = held.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = np.array([len(np.intersect1d(_unpack(a.as_py()), _unpack(b.as_py()), assume_unique=True))
+                               for a, b in zip(batch.column("hx"), batch.column("hy"), strict=True)], dtype=np.int64)
+            union = batch.column("nx").to_numpy() + batch.column("ny").to_numpy() - shared
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(100 * shared >= percent * union)],
+                                             ["x", "y", "linked"])
+
+    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "hx", "hy")
+    return staged(joined.mapInArrow(run, "x long, y long, linked boolean"))
+
+
 def joined_in_tasks(edges: DataFrame) -> DataFrame:
     """The links of each task as stars (a, b) by union-find, so that no more than a tree is shuffled."""
 
@@ -135,44 +154,66 @@ def _grouped(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumn("comp", F.coalesce("comp", "node"))
 
 
+@contextmanager
+def _short_batches(docs: DataFrame) -> Iterator[None]:
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(name, old)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one per input row."""
+    with _short_batches(docs):
+        return _near_duplicates(docs, id_col, text_col, width, percent, bands, rows)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     sets = _signed(docs, id_col, text_col, width, bands, rows)
     postings = sets.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = postings.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    members = staged(postings.join(shared.select("bucket", "hub"), "bucket").distinct())
+    shared = postings.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size"))
+    members = staged(postings.join(shared.where("least < most").select("bucket", "size"), "bucket").distinct())
+    # The text that a family was copied from shares most buckets with most others, so it comes first as a hub.
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = staged(members.join(weights, "node").select("bucket", "node", "n", "weight"))
+    # Sets that no other shares a bucket with are left behind here.
+    wanted = staged(weights.select("node"))
+    held = staged(_hinted(sets, wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    sizes = members.where("node = hub").select("bucket", F.col("n").alias("hub_n"))
-    met = members.where("node <> hub").join(sizes, "bucket").where(alike).groupBy(
-        F.col("hub").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
-    most = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("shared"), "x"))
-    first = met.withColumn("place", most).where(F.col("place") <= FIRST_HUBS).select("x", "y")
-    tested = _compare(staged(first), sets, percent)
+    pair = [F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")]
+    leading = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select(
+        "bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.weight").alias("hub_weight"))
+    met = members.join(leading, "bucket").where((F.col("node") != F.col("hub")) & alike).groupBy("node", "hub").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("hub_weight").alias("hub_weight"))
+    most = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), F.desc("hub_weight"), "hub"))
+    first = met.withColumn("place", most).where(F.col("place") <= FIRST_HUBS).select(*pair).distinct()
+    tested = _verified(staged(first), held, percent)
     links = [tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))]
-    done, served = tested.select("x", "y"), None  # x < y, since a bucket's first hub is its least node
-    members = members.drop("hub")
+    done, served = tested.select("x", "y"), None
     for turn in count():
         edges = joined_in_tasks(links[-1] if len(links) == 1 else links[0].unionByName(links[-1]))
         labels = staged(components(edges))
         # Buckets of several groups; the members outside of the largest have to be hubs, all others need not.
         placed = _grouped(members, labels)
-        held = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
-        largest = held.groupBy("bucket").agg(F.max_by("comp", F.struct("held", "comp")).alias("main"),
+        sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
                                              F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", "main")
         unsettled = staged(placed.join(largest, "bucket"))
         waiting = unsettled.where("comp <> main")
         if served is not None:
             waiting = waiting.join(served, ["bucket", "node"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-        hubs = staged(waiting.withColumn("place", place).where(F.col("place") <= (TURN_HUBS << turn)).select(
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
+        hubs = staged(waiting.withColumn("place", place).where(F.col("place") <= (TURN_HUBS << 2 * turn)).select(
             "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")))
         if hubs.isEmpty():
             break
-        pair = [F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")]
         asked = unsettled.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike).select(*pair).distinct()
-        found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), sets, percent)
+        found = _verified(staged(asked.join(done, ["x", "y"], "left_anti")), held, percent)
         done = done.unionByName(found.select("x", "y"))
         now = hubs.select("bucket", F.col("hub").alias("node"))
         served = now if served is None else served.unionByName(now)
