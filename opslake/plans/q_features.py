@@ -70,6 +70,12 @@ def _(t):
     return features.onehot(t("v_features").select("l_orderkey", "l_linenumber", "flag"), "flag")
 
 
+@query("onehot_sparse", """SELECT p_partkey, code AS p_type FROM part JOIN (SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) - 1 AS BIGINT) AS code
+FROM (SELECT DISTINCT p_type FROM part)) USING (p_type)""")
+def _(t):
+    return features.onehot_sparse(t("part").select("p_partkey", "p_type"), "p_type")
+
+
 @query("time_features", """SELECT l_orderkey, l_linenumber, CAST(year(shipped) AS INT) AS shipped_year, CAST(isodow(shipped) - 1 AS INT) AS shipped_dayofweek,
 CAST(hour(shipped) AS INT) AS shipped_hour FROM v_features""")
 def _(t):

@@ -41,15 +41,22 @@ def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str = "par
 
 
 def _read_feather(spark: SparkSession, path: str) -> DataFrame:
+    import pandas as pd
     import pyarrow as pa
     import pyarrow.feather as feather
     from pyspark.sql.pandas.types import from_arrow_schema
 
     files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").head()
+
+    def shape(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield pd.DataFrame({"schema": [feather.read_table(io.BytesIO(content)).schema.serialize().to_pybytes()]})
+
+    first = files.select("content").limit(1).mapInPandas(shape, "schema binary").head()  # a schema comes to the driver, no rows
     if first is None:
         raise NothingToRead(f"no files at {path}")
-    schema = from_arrow_schema(feather.read_table(pa.BufferReader(first.content)).schema)
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(bytes(first["schema"]))))
 
     def rows(batches):
         for pdf in batches:
