@@ -21,6 +21,7 @@ from opslake.operators.events import DEFAULT_METADATA, enrich_metadata, has_fiel
 from opslake.operators.rules import policy_match
 from opslake.operators.sla import availability_expr
 from opslake.operators.tables import versioned_writes
+from opslake.session import staged
 from opslake.sources.keyed import KeyedTable
 from opslake.sources.sinks import dlq_envelope, failover_write
 
@@ -238,35 +239,40 @@ def stream_sla(requests: DataFrame, window: str = "5 minutes", slide: str | None
 
 
 def stream_log_anomalies(lines: DataFrame, out: str, checkpoint: str, as_of: Callable[[], dt.datetime], window_s: int = 300,
-                         error_rate: float = 0.05, frequency: int = 1000, **options) -> StreamingQuery:
+                         error_rate: float = 0.05, frequency: int = 1000, buckets: int = 32, **options) -> StreamingQuery:
     """Evaluate error rate and pattern counts of all logs so far after every batch and write the anomalies found.
 
-    The state is a table of counts: one row per pattern, one per time of an error inside the window, one total.
-    Batch n reads ``state=n`` and writes ``state=n+1``, so a repeated batch starts from the same state, and
-    results do not depend on how logs fall into batches. A frequent pattern is reported by the batches that it occurs in.
+    The state is two tables of counts that change by key: by pattern, and by time of an error inside the window, with the number of all
+    lines under time -1. A batch reads and writes the buckets of its own patterns and times only, starting from the batch
+    before, so a repeated batch starts from the same state and results do not depend on how logs fall into batches. Errors
+    before the window go when their bucket is written anew. A frequent pattern is reported by the batches that it occurs in.
     """
-    shape = "kind string, name string, n long"
+    spark = lines.sparkSession
+
+    def added(table: KeyedTable, fresh: DataFrame, batch_id: int) -> DataFrame:
+        """New counts of the keys of this batch."""
+        if not batch_id:
+            table.create(fresh.where("false"))
+        touched = [r[0] for r in fresh.select(table.bucket()).distinct().collect()]
+        old = table.read(batch_id - 1, touched).withColumnRenamed("n", "_old")
+        changes = staged(fresh.join(old, table.key, "left").select(table.key, (F.col("n") + F.coalesce("_old", F.lit(0))).alias("n")))
+        table.write(changes, batch_id)
+        return changes
 
     def detect(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, as_of()
+        now = as_of()
         first = int((now - dt.timedelta(seconds=window_s)).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
-        parsed = logs.log_parse(batch).select("ts", "level", logs.log_signature(F.col("message")).alias("pattern"))
-        fresh = parsed.select(F.explode(F.array_compact(F.array(
-            F.struct(F.lit("pattern").alias("kind"), F.col("pattern").alias("name")),
-            F.struct(F.lit("total").alias("kind"), F.lit("").alias("name")),
-            F.when(F.col("level") == "ERROR", F.struct(F.lit("error").alias("kind"), F.unix_micros("ts").cast("string").alias("name")))))).alias("x"))
-        fresh = fresh.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
-        state = spark.read.schema(shape).parquet(f"{out}-state/state={batch_id}") if batch_id else spark.createDataFrame([], shape)
-        kept = (F.col("kind") != "error") | (F.col("name").cast("long") >= first)
-        merged = state.withColumn("here", F.lit(False)).unionByName(fresh.withColumn("here", F.lit(True))).groupBy("kind", "name").agg(
-            F.sum("n").alias("n"), F.bool_or("here").alias("here")).filter(kept)
-        merged.write.mode("overwrite").parquet(f"{out}-state/state={batch_id + 1}")
-        merged = spark.read.parquet(f"{out}-state/state={batch_id + 1}")
-        errors = F.sum(F.when((F.col("kind") == "error") & (F.col("name").cast("long") <= first + window_s * 1_000_000), F.col("n")))
-        rate = F.coalesce(errors, F.lit(0)) / F.sum(F.when(F.col("kind") == "total", F.col("n")))
-        often = merged.filter((F.col("kind") == "pattern") & F.col("here") & (F.col("n") > frequency)).select(
-            F.lit("frequency").alias("type"), F.col("name").alias("pattern"), F.col("n").cast("double").alias("value"))
-        high = merged.agg(rate.alias("value")).filter(F.col("value") > error_rate).select(
+        parsed = staged(logs.log_parse(batch).select("ts", "level", logs.log_signature(F.col("message")).alias("pattern")))
+        patterns = KeyedTable(spark, f"{out}-state/patterns", "pattern", buckets)
+        times = KeyedTable(spark, f"{out}-state/times", "at", buckets, expired=(F.col("at") >= 0) & (F.col("at") < first))
+        counted = added(patterns, parsed.where("pattern IS NOT NULL").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), batch_id)
+        errors = parsed.where("level = 'ERROR' AND ts IS NOT NULL").select(F.unix_micros("ts").alias("at")).where("at >= 0")
+        added(times, errors.unionByName(parsed.select(F.lit(-1).cast("long").alias("at"))).groupBy("at").agg(F.count(F.lit(1)).alias("n")), batch_id)
+        inside = F.sum(F.when(F.col("at").between(first, first + window_s * 1_000_000) & (F.col("at") >= 0), F.col("n")))
+        rate = F.coalesce(inside, F.lit(0)) / F.sum(F.when(F.col("at") == -1, F.col("n")))
+        often = counted.filter(F.col("n") > frequency).select(
+            F.lit("frequency").alias("type"), "pattern", F.col("n").cast("double").alias("value"))
+        high = times.read(batch_id).agg(rate.alias("value")).filter(F.col("value") > error_rate).select(
             F.lit("error_rate").alias("type"), F.lit(None).cast("string").alias("pattern"), "value")
         high.unionByName(often).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
