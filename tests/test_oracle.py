@@ -6,6 +6,8 @@ import __spark_entry__ as entry_point
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
+# Conditions that no row of the smallest data set meets.
+NO_ROWS = {"key_rotation_due", "key_versions_to_disable"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 def test_query(spark, con, name):
     sql = entry_point.oracle_sql().get(name)
     found = difference(spark, con, FOLDER, entry_point.queries()[name], sql)
-    assert found in (None, "both empty")
+    assert found == ("both empty" if name in NO_ROWS else None)
 
 
 def test_entry(spark):
