@@ -145,8 +145,12 @@ def batch_predict(df: DataFrame, inputs: Sequence[str], load_model: Callable[[],
 
 
 def inference_metrics(batches: DataFrame, keys: Sequence[str], order: Sequence[str], bucket=None) -> DataFrame:
-    """Per served batch (size, latency_ms): running mean latency (0.9 / 0.1, from zero) and items per second."""
+    """Per served batch (size, latency_ms): running mean latency (0.9 / 0.1, from zero) and items per second.
+
+    A batch served in no measured time has an infinite throughput (an empty one has none: NaN).
+    """
     from opslake.operators.folds import ewma
 
     timed = ewma(batches, keys, order, "latency_ms", bucket, decay=0.9, seed_with_first=False, name="avg_latency")
-    return timed.withColumn("throughput", F.col("size") / (F.col("latency_ms") / 1000))
+    instant = F.col("size") * F.lit(float("inf"))
+    return timed.withColumn("throughput", F.when(F.col("latency_ms") == 0, instant).otherwise(F.col("size") / (F.col("latency_ms") / 1000)))

@@ -259,3 +259,12 @@ def test_search_without_queries_or_vectors(space, spark):
     assert vectors.knn_exact(base.limit(0), queries, 3).count() == 0
     holes = base.limit(5).unionByName(spark.createDataFrame([("none", None)], "id string, embedding array<float>"))
     assert vectors.knn_exact(holes, queries.limit(1), 10).count() == 5
+
+
+def test_batches_served_in_no_time(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, "m", 32, 0.0), (2, at + dt.timedelta(seconds=1), "m", 32, 16.0), (3, at + dt.timedelta(seconds=2), "m", 0, 0.0)]
+    served = spark.createDataFrame(rows, "no long, ts timestamp, model string, size int, latency_ms double")
+    got = {r.no: (r.avg_latency, r.throughput) for r in anomaly.inference_metrics(served, ["model"], ["ts", "no"]).collect()}
+    assert got[1] == (0.0, np.inf) and got[2] == (pytest.approx(1.6), 2000.0)
+    assert got[3][0] == pytest.approx(1.44) and np.isnan(got[3][1])
