@@ -6,8 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opslake.functions.scalars import semver_bounds, semver_bucket, semver_key
 from opslake.operators.ordered import last_seen
@@ -17,6 +20,9 @@ from opslake.session import staged
 TASK_TYPE = r"^[a-z0-9_]+$"
 MAX_MEMORY = 1024
 MAX_TOTAL_TIMEOUT = 86_400
+# Groups of at most so many edges are closed in one task, many at a time up to so many steps; others go by rounds of joins.
+SMALL = 256
+STEPS = 1 << 20
 
 
 def dag_validate(nodes: DataFrame, edges: DataFrame, strict: bool = True, max_memory: int = MAX_MEMORY,
@@ -81,6 +87,11 @@ def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             *names, (F.col("_open") - F.coalesce("_closed", F.lit(0))).alias("_open")))
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join within rounds. Rounds are many, so none of them sends a table through the driver to broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Every direct and indirect dependency (group, node_id, depends_on).
 
@@ -93,6 +104,79 @@ def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFra
     return members.join(answers, [*group, "component"]).join(needs, [*group, "needs"]).select(*group, "node_id", "depends_on")
 
 
+def _by_size(edges: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of groups with at most ``SMALL`` of them, and those of all others (None without any). A null leads nowhere."""
+    edges = edges.select(*group, "node_id", "depends_on").dropna()
+    if not group:
+        return edges.limit(0), edges
+    edges = staged(edges)
+    above = staged(edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL).select(*group))
+    if above.isEmpty():
+        return edges, None
+    return _joined(edges, above, group, "left_anti"), staged(_joined(edges, above, group, "left_semi"))
+
+
+def _closed(edges: DataFrame, group: list[str], cycles: bool = False) -> DataFrame:
+    """All (group, node_id, depends_on) where edges lead from one node to the other, or with ``cycles`` those from a node to itself.
+
+    For groups of few edges: each is one row on its way to a task, which closes many groups together.
+    """
+    if not group:
+        return edges
+    rows = edges.groupBy(*group).agg(F.collect_set(F.struct("node_id", "depends_on")).alias("_edges"))
+
+    def close(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_edges")
+            count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(count)), count)
+            names = pa.concat_arrays(lists.flatten().flatten()).dictionary_encode()
+            known = len(names.dictionary)
+            nodes, ends = np.unique(np.tile(row, 2) * known + names.indices.to_numpy(), return_inverse=True)
+            size = np.bincount(nodes // known, minlength=len(count))
+            first = np.cumsum(size) - size  # the nodes of a row are numbered one after the other
+            part = np.cumsum(size * np.maximum(size, count)) // STEPS
+            for at in np.split(np.arange(len(count)), np.flatnonzero(np.diff(part)) + 1):
+                low, high = np.searchsorted(row, [at[0], at[-1] + 1])
+                base = first[at[0]]
+                start, end = _followed(ends[low:high] - base, ends[len(row):][low:high] - base, size[at])
+                if cycles:
+                    start, end = start[start == end], end[start == end]
+                if len(start):
+                    start, end = nodes[start + base], nodes[end + base]
+                    of = pa.array(start // known)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(of) for c in group), *(names.dictionary.take(pa.array(v % known)) for v in (start, end))],
+                        names=[*group, "node_id", "depends_on"])
+
+    return rows.mapInArrow(close, T.StructType([rows.schema[c] for c in group] + [edges.schema[c] for c in ("node_id", "depends_on")]))
+
+
+def _followed(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (start, end) that edges a -> b lead from and to. Nodes are numbered group by group, ``size`` in each."""
+    width = np.repeat(size, size)
+    first = np.repeat(np.cumsum(size) - size, size)
+    table = np.repeat(np.cumsum(size ** 2) - size ** 2, size) + (np.arange(len(width)) - first) * width - first
+    seen = np.zeros(int((size ** 2).sum()), dtype=bool)
+    targets, outs = b[np.argsort(a, kind="stable")], np.bincount(a, minlength=len(width))
+    begin = np.cumsum(outs) - outs
+    seen[table[a] + b] = True
+    found = [(a, b)]
+    while len(found[-1][0]):
+        start, via = found[-1]
+        many = outs[via]
+        start = np.repeat(start, many)
+        end = targets[np.repeat(begin[via] - np.cumsum(many) + many, many) + np.arange(len(start))]
+        cell = table[start] + end
+        cell, once = np.unique(np.where(seen[cell], -1, cell), return_index=True)
+        once = once[cell >= 0]
+        seen[cell[cell >= 0]] = True
+        found.append((start[once], end[once]))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
 def condensed_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> tuple[DataFrame, DataFrame]:
     """(group, component, needs) for all pairs of components where one needs the other, and the members of components.
 
@@ -104,17 +188,14 @@ def condensed_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> t
     edges = staged(edges.select(*group, "node_id", "depends_on").distinct())
     members = strong_components(edges, group)
     on = members.select(*group, F.col("node_id").alias("depends_on"), F.col("component").alias("needs"))
-    condensed = staged(edges.join(members, [*group, "node_id"]).join(on, [*group, "depends_on"]).select(*pair).distinct())
+    condensed = staged(_joined(_joined(edges, members, [*group, "node_id"]), on, [*group, "depends_on"]).select(*pair).distinct())
     loops = condensed.filter("component = needs")
     fresh = condensed.filter("component <> needs")
     parts = [fresh]
     while True:
         known = _union(parts)
-        longer = (
-            fresh.withColumnRenamed("needs", "_via")
-            .join(known.withColumnRenamed("component", "_via"), [*group, "_via"]).select(*pair).distinct()
-        )
-        fresh = staged(longer.join(known, pair, "left_anti"))
+        longer = _joined(fresh.withColumnRenamed("needs", "_via"), known.withColumnRenamed("component", "_via"), [*group, "_via"])
+        fresh = staged(_joined(longer.select(*pair).distinct(), known, pair, "left_anti"))
         if fresh.isEmpty():
             return known.unionByName(loops), members
         parts.append(fresh)
@@ -123,10 +204,14 @@ def condensed_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> t
 def dep_cycles(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Nodes that depend on themselves, directly or not: those of components of several nodes, and of loops."""
     group = list(group)
-    members = strong_components(edges, group)
-    several = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     loops = edges.filter(F.col("node_id") == F.col("depends_on")).select(*group, "node_id")
-    return members.join(several, [*group, "component"]).select(*group, "node_id").unionByName(loops).distinct()
+    small, large = _by_size(edges.filter(F.col("node_id") != F.col("depends_on")), group)
+    loops = loops.unionByName(_closed(small, group, cycles=True).select(*group, "node_id"))
+    if large is None:
+        return loops.distinct()
+    members = strong_components(large, group)
+    several = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return _joined(members, several, [*group, "component"]).select(*group, "node_id").unionByName(loops).distinct()
 
 
 def strong_components(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
@@ -157,17 +242,18 @@ def strong_components(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> D
     known = staged(_union(found)) if found else None
     for passed in reversed(chains):
         ends = known.select(F.col("v").alias("end"), F.col("component").alias("_end"))
-        inside = passed.join(known.withColumnRenamed("v", "start"), "start").join(ends, "end").filter(F.col("component") == F.col("_end"))
+        starts = known.withColumnRenamed("v", "start")
+        inside = _joined(_joined(passed, starts, "start"), ends, "end").filter(F.col("component") == F.col("_end"))
         # A chain from a node back to itself is a cycle, though the node may be in no other.
-        alone = passed.filter("start = end").join(known.withColumnRenamed("v", "start"), "start", "left_anti")
+        alone = _joined(passed.filter("start = end"), starts, "start", "left_anti")
         loops = alone.select("v", F.col("start").alias("component")).unionByName(
             alone.select(F.col("start").alias("v"), F.col("start").alias("component")).distinct())
         known = staged(known.unionByName(inside.select("v", "component")).unionByName(loops))
     if known is None:
         return names.select("v.*", F.col("v.node_id").alias("component"))
     least = known.groupBy("component").agg(F.min("v").alias("_least"))
-    named = known.join(least, "component").select("v", "_least")
-    return names.join(named, "v", "left").select("v.*", F.coalesce("_least", "v")["node_id"].alias("component"))
+    named = _joined(known, least, "component").select("v", "_least")
+    return _joined(names, named, "v", "left").select("v.*", F.coalesce("_least", "v")["node_id"].alias("component"))
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -175,7 +261,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     size = edges.count()
     while size:
         starts, ends = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
-        edges = staged(edges.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
+        edges = staged(_joined(_joined(edges, starts, "b", "left_semi"), ends, "a", "left_semi").select("a", "b"))
         left = edges.count()
         if 10 * (size - left) < size:
             break
@@ -198,17 +284,17 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         # Both pointers of a node jump to those of the chain nodes that they point to.
         ahead = links.select(F.col("v").alias("end"), F.col("end").alias("_end"), F.col("low").alias("_low"))
         behind = links.select(F.col("v").alias("start"), F.col("start").alias("_start"))
-        going = links.join(ahead.select("end").distinct(), "end", "left_semi")
+        going = _joined(links, ahead.select("end").distinct(), "end", "left_semi")
         if reach >= size or going.isEmpty():
             break
-        links = staged(links.join(ahead, "end", "left").join(behind, "start", "left").select(
+        links = staged(_joined(_joined(links, ahead, "end", "left"), behind, "start", "left").select(
             "v", F.coalesce("_start", "start").alias("start"), F.coalesce("_end", "end").alias("end"),
             F.coalesce(F.least("low", "_low"), "low").alias("low")))
         reach *= 2
-    in_ring = links.join(between.withColumnRenamed("v", "end"), "end", "left_semi")
+    in_ring = _joined(links, between.withColumnRenamed("v", "end"), "end", "left_semi")
     rings = staged(in_ring.select("v", F.col("low").alias("component")))
-    passed = staged(links.join(between.withColumnRenamed("v", "end"), "end", "left_anti").select("v", "start", "end"))
-    kept = edges.join(between.withColumnRenamed("v", "a"), "a", "left_anti").join(between.withColumnRenamed("v", "b"), "b", "left_anti")
+    passed = staged(_joined(links, between.withColumnRenamed("v", "end"), "end", "left_anti").select("v", "start", "end"))
+    kept = _joined(_joined(edges, between.withColumnRenamed("v", "a"), "a", "left_anti"), between.withColumnRenamed("v", "b"), "b", "left_anti")
     across = passed.select(F.col("start").alias("a"), F.col("end").alias("b")).filter("a <> b")
     return passed, rings, staged(kept.select("a", "b").unionByName(across).distinct())
 
@@ -217,27 +303,27 @@ def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(v, component) of the components of all colours, and the edges within what is left of the colours."""
     colours = staged(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("colour", F.col("v")))
     while True:
-        taken = edges.join(colours.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("colour").alias("_by"))
+        taken = _joined(edges, colours.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("colour").alias("_by"))
         # What reaches my colour reaches me as well.
         above = colours.select(F.col("v").alias("colour"), F.col("colour").alias("_above"))
-        after = staged(colours.join(taken, "v", "left").join(above, "colour", "left").select(
+        after = staged(_joined(_joined(colours, taken, "v", "left"), above, "colour", "left").select(
             "v", F.least("colour", F.coalesce("_by", "colour"), "_above").alias("colour"), F.col("colour").alias("_old")))
         colours = after.drop("_old")
         if after.filter("colour <> _old").isEmpty():
             break
-    same = staged(edges.join(colours.withColumnRenamed("v", "a"), "a").join(
-        colours.select(F.col("v").alias("b"), F.col("colour").alias("_other")), "b").filter("colour = _other").select("a", "b", "colour"))
+    other = colours.select(F.col("v").alias("b"), F.col("colour").alias("_other"))
+    same = staged(_joined(_joined(edges, colours.withColumnRenamed("v", "a"), "a"), other, "b").filter("colour = _other").select("a", "b", "colour"))
     front = staged(colours.filter("v = colour"))
     reached = [front]
     while not front.isEmpty():
         held = _union(reached)
-        front = staged(same.join(front.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v"), "colour").distinct()
-                       .join(held.select("v"), "v", "left_anti"))
+        behind = _joined(same, front.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v"), "colour").distinct()
+        front = staged(_joined(behind, held.select("v"), "v", "left_anti"))
         reached.append(front)
     held = staged(_union(reached))
     several = held.groupBy("colour").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("colour")
-    rest = same.join(held.select(F.col("v").alias("a")), "a", "left_anti").join(held.select(F.col("v").alias("b")), "b", "left_anti")
-    return staged(held.join(several, "colour").select("v", F.col("colour").alias("component"))), staged(rest.select("a", "b"))
+    rest = _joined(_joined(same, held.select(F.col("v").alias("a")), "a", "left_anti"), held.select(F.col("v").alias("b")), "b", "left_anti")
+    return staged(_joined(held, several, "colour").select("v", F.col("colour").alias("component"))), staged(rest.select("a", "b"))
 
 
 def dependency_check(needs: DataFrame, available: DataFrame) -> DataFrame:
