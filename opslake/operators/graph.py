@@ -95,13 +95,17 @@ def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFr
 def dep_closure(edges: DataFrame, group: Sequence[str] = ("dag_id",)) -> DataFrame:
     """Every direct and indirect dependency (group, node_id, depends_on).
 
-    The closure is formed over strongly connected components, with one answer for all nodes of a cycle, and written out for
-    their members at the end.
+    Groups of few edges are closed whole. In others the closure is formed over strongly connected components, with one answer for
+    all nodes of a cycle, and written out for their members at the end.
     """
     group = list(group)
-    answers, members = condensed_closure(edges, group)
+    small, large = _by_size(edges, group)
+    if large is None:
+        return _closed(small, group)
+    answers, members = condensed_closure(large, group)
     needs = members.select(*group, F.col("component").alias("needs"), F.col("node_id").alias("depends_on"))
-    return members.join(answers, [*group, "component"]).join(needs, [*group, "needs"]).select(*group, "node_id", "depends_on")
+    written = _joined(_joined(answers, members, [*group, "component"]), needs, [*group, "needs"])
+    return _closed(small, group).unionByName(written.select(*group, "node_id", "depends_on"))
 
 
 def _by_size(edges: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:

@@ -88,7 +88,7 @@ def test_a_long_ring_with_a_long_tail(spark):
 
 
 def test_groups_of_any_size_close_without_broadcasts(spark, monkeypatch):
-    """Small groups close in tasks and large ones by rounds, to the same nodes; neither sends tables through the driver."""
+    """Small groups close in tasks and large ones by rounds, to the same pairs; neither sends tables through the driver."""
     rng = random.Random(5)
     dags = {f"g{i}": {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(rng.randrange(1, 30))} for i in range(40)}
     df = spark.createDataFrame([(g, a, b) for g, edges in dags.items() for a, b in edges] + [("g0", None, "n1"), (None, "n1", "n1")],
@@ -97,12 +97,15 @@ def test_groups_of_any_size_close_without_broadcasts(spark, monkeypatch):
     want = sorted((g, v, w) for g, ends in far.items() for v in ends for w in ends[v])
     for small in (15, graph.SMALL):
         monkeypatch.setattr(graph, "SMALL", small)
-        found = graph.dep_cycles(df)
-        assert {tuple(r) for r in found.collect()} == {(g, v) for g, v, w in want if v == w} | {(None, "n1")}
+        found = graph.dep_closure(df)
+        assert sorted(map(tuple, found.collect())) == want
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in graph.dep_cycles(df).collect()} == {(g, v) for g, v, w in want if v == w} | {(None, "n1")}
 
 
 def test_small_groups_take_no_rounds(spark, monkeypatch):
     df = graph_of(spark, [(f"n{i}", f"n{i + 1}") for i in range(200)] + [("n200", "n0")]).unionByName(graph_of(spark, [("a", "b")], "other"))
-    monkeypatch.setattr(graph, "strong_components", None)
+    for name in ("strong_components", "condensed_closure"):
+        monkeypatch.setattr(graph, name, None)
+    assert graph.dep_closure(df).count() == 201 * 201 + 1
     assert graph.dep_cycles(df).count() == 201
