@@ -10,7 +10,7 @@ from opslake.operators import features
 from opslake.plans import etl_job
 from opslake.plans.catalog import query
 from opslake.plans.q_etl import _DEDUPED
-from opslake.plans.q_events import in_turn
+from opslake.plans.q_events import by_time, in_turn
 from opslake.plans.q_security import _ACTS, _CASE, _DENIED, _RULES, POLICIES
 from opslake.plans.q_tables import MERGED
 from opslake.session import shared_folder
@@ -124,13 +124,16 @@ def _(t):
     return snapshots.read_collection(t.spark, folder, name).select("id", F.size("embedding").cast("long").alias("dim"))
 
 
-def _run(t, out, mode="append"):
-    folder = _folder(t)
-
+def _job(out, folder, mode="append"):
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    jobs.start(out, f"{folder}/offsets", keep, mode=mode, once=True).awaitTermination()
+    return jobs.start(out, f"{folder}/offsets", keep, mode=mode, once=True)
+
+
+def _run(t, out, mode="append"):
+    folder = _folder(t)
+    _job(out, folder, mode).awaitTermination()
     return jobs.read_written(t.spark, f"{folder}/out")
 
 
@@ -164,9 +167,10 @@ f AS (SELECT source_ip, n, event_id, {_DENIED} AS acted, false AS blocked, CASE
 SELECT f.event_id, CASE WHEN acted OR blocked THEN 'BLOCK' ELSE act END AS decision,
   CASE WHEN blocked THEN 'Known threat' WHEN acted THEN 'Policy' END AS reason FROM f JOIN j ON j.event_id = f.event_id""")
 def _(t):
-    access = in_turn(t("v_access"), "ts", f"{_folder(t)}/in")
-    out = jobs.stream_blocks(jobs.watermarked(access, "ts"), POLICIES)
-    return _run(t, out).select("event_id", "decision", "reason")
+    folder = _folder(t)
+    in_turn(by_time(t("v_access"), "ts"), f"{folder}/in",
+            lambda access: _job(jobs.stream_blocks(jobs.watermarked(access, "ts"), POLICIES), folder))
+    return jobs.read_written(t.spark, f"{folder}/out").select("event_id", "decision", "reason")
 
 
 @query("stream_log_anomalies", r"""WITH e AS (SELECT count(*) FILTER (level = 'ERROR' AND ts >= TIMESTAMP '2024-01-24' AND ts <= TIMESTAMP '2024-01-31') / count(*) AS rate FROM v_logs)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslake.operators import ordered, security
+from opslake.plans.q_events import by_time, in_turn
 from opslake.plans.q_security import POLICIES
 from opslake.plans.views import Tables
 from opslake.sources import readers
@@ -173,3 +174,43 @@ def test_upsert_over_batches(spark, tmp_path):
     assert got == {"a": ("z", 3), "b": ("n2", 2)}
     rejected = jobs.read_written(spark, str(tmp_path / "conflicts")).collect()
     assert [(r.agent_id, r.status, r.stored_version) for r in rejected] == [("a", "y", 2)]
+
+
+def test_history_reads_and_writes_its_state_once_a_batch():
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    processor = jobs._History("device_id", 3, "event_id", "_at", False)
+    processor.init(Handle())
+    for first, want in ((0, ["e0", "e1"]), (2, ["e1", "e2", "e3"])):
+        rows = [{"_at": n, "event_id": f"e{n}"} for n in (first + 1, first)]
+        assert [r.history for r in processor.handleInputRows(("d",), iter(rows), None)] == [want]
+    assert calls == ["get", "update"] * 2
+
+
+def test_parts_in_turn_are_batches_of_many_files(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 4).select("id", F.timestamp_seconds("id").alias("ts"))
+    seen = []
+
+    def count(batch, batch_id):
+        named = batch.select("id", F.input_file_name().alias("file"))
+        seen.append(named.agg(F.min("id"), F.max("id"), F.count("id"), F.countDistinct("file")).first()[:])
+
+    in_turn(by_time(rows.repartition(4), "ts"), str(tmp_path / "in"), lambda part: jobs.start(part, str(tmp_path / "offsets"), count, once=True))
+    assert [n for _, _, n, _ in seen] == [last - first + 1 for first, last, _, _ in seen] and sum(n for _, _, n, _ in seen) == 300
+    assert len(seen) == 3 and [first for first, *_ in seen] == sorted(first for first, *_ in seen)
+    assert min(files for *_, files in seen) > 1
