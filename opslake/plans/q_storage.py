@@ -149,10 +149,9 @@ def _(t):
     folder, incoming = _folder(t), t("v_state_incoming")
     table = KeyedTable(t.spark, f"{folder}/table", "agent_id", buckets=8, most_changes=2)
     table.create(t("v_state_current"))
-    # All writes of a key lie in one of three files, so that the batches together decide as one would.
-    incoming.repartition(3, "agent_id").write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(incoming.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    jobs.stream_upsert(stream, table, f"{folder}/conflicts", f"{folder}/offsets", once=True).awaitTermination()
+    # All writes of a key lie in one of three parts, so that the batches together decide as one would.
+    parts = [incoming.filter(F.pmod(F.hash("agent_id"), F.lit(3)) == k) for k in range(3)]
+    in_turn(parts, f"{folder}/in", lambda rows: jobs.stream_upsert(rows, table, f"{folder}/conflicts", f"{folder}/offsets", once=True))
     table.remove_dead()
     return table.read()
 

@@ -57,7 +57,13 @@ class KeyedTable:
         rows where ``deleted`` holds take their key away."""
         before = batch - 1 if before is None else before
         live = self.listed(before)
-        changes = changes.withColumn("_deleted", F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False))
+        changes = changes.withColumn("_deleted", F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)).persist()
+        try:
+            self._merge(changes, batch, before, live)
+        finally:
+            changes.unpersist()
+
+    def _merge(self, changes: DataFrame, batch: int, before: int, live: dict[int, list[int]]) -> None:
         touched = {r[0] for r in changes.select(self.bucket()).distinct().collect()}
         full = {k for k in touched if len(live.get(k, [])) >= self.most_changes}
         if full:
@@ -95,7 +101,8 @@ class KeyedTable:
             shape = rows.where("false").withColumns({"bucket": F.lit(0), "batch": F.lit(0)})
             shape.write.mode("overwrite").parquet(f"{self.path}/schema")
         where = f"{self.path}/data/batch={batch}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
+        # One file for a small bucket, several written beside each other for a large one.
+        rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(where)
         stored = self.spark.read.schema(rows.schema).option("basePath", where).parquet(where)
         touched = {r[0] for r in stored.select("bucket").distinct().collect()}
         lists = dict(live) | {k: [batch] for k in anew} | {k: [*live.get(k, []), batch] for k in touched - anew}

@@ -60,3 +60,15 @@ def test_an_empty_table_and_an_empty_batch(spark, tmp_path):
     assert held(table.read()) == {} and table.last() == 0
     table.write(rows(spark, {"a": 1}), 1)
     assert held(table.read()) == {"a": 1} and table.read(buckets=[]).count() == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        table = KeyedTable(spark, str(tmp_path), "k", buckets=1)
+        table.create(spark.range(0, 100_000, 1, 8).select(F.col("id").alias("k"), F.lit(0).alias("v")))
+        table.write(spark.range(0, 50_000, 1, 8).select(F.col("id").alias("k"), F.lit(1).alias("v")), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert all(len(list((tmp_path / "data" / f"batch={n}" / "bucket=0").glob("*.parquet"))) > 1 for n in (-1, 0))
+    assert table.read().groupBy().agg(F.count("k"), F.sum("v")).first()[:] == (100_000, 50_000)
