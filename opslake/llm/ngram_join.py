@@ -26,7 +26,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -163,10 +164,16 @@ def _unpack(raw: bytes, most: int | None = None) -> np.ndarray:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, n, node, hashes), written once: node names the set, hashes (48 bits each) run from rare to frequent.
+def _probe(n, percent: int):
+    """How many of a set's rarest shingles a linked set shares at least one of."""
+    return n - -(-percent * n // 100) + 1
 
-    Of equal sets only the first that a task meets carries its hashes.
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Rows (id, mark, n, node, prefix), written once: mark is a hash of the text, node names the set, prefix holds its
+    rarest hashes (48 bits each) in order. Whole sets are as large as the texts, so they are not written.
+
+    Of equal sets only the first that a task meets carries its prefix.
     """
     levels = _sketch(docs, text_col, width)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -174,7 +181,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seen = Shingles(width), set()
         for batch in batches:
-            for at, texts in _in_groups(batch.column(1)):
+            for at, texts in _in_groups(batch.column(2)):
                 sets = maker.sets(texts)
                 nodes, packed = [_fingerprint(s) for s in sets], []
                 for s, node in zip(sets, nodes, strict=True):
@@ -183,13 +190,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                         continue
                     seen.add(node)
                     order = np.lexsort((s, levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    packed.append(_pack(s[order] & np.uint64((1 << 48) - 1)))
+                    packed.append(_pack(s[order[:_probe(len(s), percent)]] & np.uint64((1 << 48) - 1)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array(nodes, type=pa.int64()), pa.array(packed, type=pa.binary())], ["id", "n", "node", "hashes"])
+                    batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)),
+                    pa.array([len(s) for s in sets], type=pa.int64()), pa.array(nodes, type=pa.int64()),
+                    pa.array(packed, type=pa.binary())], ["id", "mark", "n", "node", "prefix"])
 
-    made = docs.select(F.col(id_col).alias("id"), text_col)
-    return staged(made.mapInArrow(run, f"id {kind}, n long, node long, hashes binary"))
+    made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), text_col)
+    return staged(made.mapInArrow(run, f"id {kind}, mark long, n long, node long, prefix binary"))
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -198,9 +206,8 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            probe = sizes - -(-percent * sizes // 100) + 1
             index = sizes - -(-2 * percent * sizes // (100 + percent)) + 1
-            tokens = [_unpack(h.as_py(), p) for h, p in zip(batch.column("hashes"), probe.tolist(), strict=True)]
+            tokens = [_unpack(h.as_py()) for h in batch.column("prefix")]
             lengths = np.array([len(t) for t in tokens], dtype=np.int64)
             pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             yield pa.RecordBatch.from_arrays([
@@ -208,40 +215,54 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(pos.astype(np.int32)),
                 pa.array(pos < np.repeat(index, lengths))], ["token", "node", "n", "pos", "indexed"])
 
-    return sets.select("node", "n", "hashes").where(F.col("hashes").isNotNull()).mapInArrow(
+    return sets.select("node", "n", "prefix").where(F.col("prefix").isNotNull()).mapInArrow(
         run, "token long, node long, n int, pos int, indexed boolean")
 
 
-def _hinted(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets whose node can be among the wanted ones, by a bit filter of bounded size, before they are shuffled."""
+def _held(docs: DataFrame, text_col: str, width: int, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, n, hashes) of the wanted nodes (node), written once, each made again from one of its texts.
+
+    Texts are passed over by a bit filter of bounded size over the marks of the wanted, before any set is made.
+    """
     low = FILTER_BITS - 6
 
-    def mark(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << low, dtype=bool)
         for batch in batches:
-            bits[batch.column("node").to_numpy() & ((1 << low) - 1)] = True
+            bits[batch.column("mark").to_numpy() & ((1 << low) - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int64()), pa.array([np.packbits(bits).tobytes()])],
                                          ["slice", "bits"])
 
-    part = F.shiftright(F.col("node"), low).bitwiseAND(F.lit(SLICES - 1)).cast("long")
+    texts = sets.where(F.col("n") > 0).select("node", "mark").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    part = F.shiftright(F.col("mark"), low).bitwiseAND(F.lit(SLICES - 1)).cast("long")
     marked = np.zeros((SLICES, 1 << low - 3), dtype=np.uint8)
-    for row in wanted.select("node", part.alias("slice")).groupBy("slice").applyInArrow(mark, "slice long, bits binary").collect():
+    for row in texts.select("mark", part.alias("slice")).groupBy("slice").applyInArrow(bits, "slice long, bits binary").collect():
         marked[row["slice"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     marked = marked.ravel()
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker, seen = Shingles(width), set()
         for batch in batches:
-            place = batch.column("node").to_numpy() & ((1 << FILTER_BITS) - 1)
-            yield batch.filter(pa.array((marked[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
+            place = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+            kept = batch.filter(pa.array((marked[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
+            for _, group in _in_groups(kept.column(1)):
+                new = {}
+                for s in maker.sets(group):
+                    if len(s) and (node := _fingerprint(s)) not in seen:
+                        seen.add(node)
+                        new[node] = s
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(new), type=pa.int64()), pa.array([len(s) for s in new.values()], type=pa.int64()),
+                    pa.array([_pack(s & np.uint64((1 << 48) - 1)) for s in new.values()], type=pa.binary())], ["node", "n", "hashes"])
 
-    return sets.where(F.col("hashes").isNotNull()).select("node", "n", "hashes").mapInArrow(
-        keep, "node long, n long, hashes binary")
+    made = docs.select(F.xxhash64(text_col).alias("mark"), text_col).where(F.col(text_col).isNotNull())
+    made = made.mapInArrow(run, "node long, n long, hashes binary")
+    return staged(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (x, y, shared, linked, distance) of distinct pairs (x, y)."""
-    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
-    held = staged(_hinted(sets, wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+def _compare(pairs: DataFrame, held_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Rows (x, y, shared, linked, distance) of distinct pairs (x, y); held_of gives the sets of nodes."""
+    held = held_of(staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()))
     one = held.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
     two = held.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
 
@@ -267,13 +288,17 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Rows (id, n_shingles, component_id), one per input row."""
-    sets = _sets(docs, id_col, text_col, width)
+    sets = _sets(docs, id_col, text_col, width, percent)
+    held_of = partial(_held, docs, text_col, width, sets)
     postings = _postings(sets, percent)
 
-    # The hub of a list is its indexed member with the smallest hash, so the same sets are hubs of many lists.
-    key = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
-    hubs = postings.where("indexed").groupBy("token").agg(F.min(key).alias("k")).select("token", "k.hub", "k.hub_n", "k.hub_pos")
-    live = staged(postings.join(hubs, "token").where(F.col("node") != F.col("hub")))
+    # The hub of a list is its smallest indexed member (names are hashes), so the same sets are hubs of many lists.
+    hubs = postings.groupBy("token").agg(F.min(F.when(F.col("indexed"), F.col("node"))).alias("hub"), F.max("node").alias("most"),
+                                         F.min("node").alias("least")).where("least < most AND hub IS NOT NULL").select("token", "hub")
+    listed = staged(postings.join(hubs, "token"))
+    first = listed.where(F.col("node") == F.col("hub")).select("token", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos")).distinct()
+    live = listed.where(F.col("node") != F.col("hub")).join(first, "token")
+    listed = listed.distinct()
 
     def fits(n1: str, p1: str, n2: str, p2: str):
         most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
@@ -284,16 +309,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     first = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y"), "y"))
     stars = live.where(fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     stars = stars.withColumn("first", first).where(F.col("first") <= 2).drop("first")
-    tested = _compare(staged(stars), sets, percent)
+    tested = _compare(staged(stars), held_of, percent)
     edges = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = staged(components(edges))
 
     # Members of each list with their component; a list is finished when it holds only one.
-    listed = (
-        live.select("token", "node", "n", "pos", "indexed", "hub")
-        .unionByName(live.select("token", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos"),
-                                 F.lit(True).alias("indexed"), "hub")).distinct()
-    )
     pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     done = tested.select(*pair)
     for turn in count(1):
@@ -315,7 +335,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             unfinished.select("token", "comp", F.col("node").alias("x"), "n", "pos").join(chosen, "token")
             .where((F.col("comp") != F.col("comp2")) & fits("n", "pos", "ny", "py")).select(*pair).distinct()
         )
-        found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), sets, percent)
+        found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), held_of, percent)
         done = done.unionByName(found.select(*pair))
         new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = edges.unionByName(new)
@@ -353,7 +373,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                    | ((F.col("nx") == F.col("ny")) & F.col("iy")))
             .select(*pair).distinct()
         )
-        more = _compare(staged(rest.join(done, ["x", "y"], "left_anti")), sets, percent)
+        more = _compare(staged(rest.join(done, ["x", "y"], "left_anti")), held_of, percent)
         final = components(edges.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     named = sets.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))

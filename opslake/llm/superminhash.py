@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.llm.components import components
-from opslake.llm.ngram_join import _ODD, Shingles, _fingerprint, _hinted, _in_groups, _mix, _pack, _unpack
+from opslake.llm.ngram_join import _ODD, Shingles, _fingerprint, _held, _in_groups, _mix, _unpack
 from opslake.session import staged
 
 BANDS, ROWS = 32, 4
@@ -82,13 +82,16 @@ def band_keys(best: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """Rows (id, n, node, hashes, bands), written once. Of equal sets only the first that a task meets is signed."""
+    """Rows (id, mark, n, node, bands), written once; mark is a hash of the text.
+
+    Of equal sets only the first that a task meets is signed.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seen = Shingles(width), set()
         for batch in batches:
-            for at, texts in _in_groups(batch.column(1), 60_000):
+            for at, texts in _in_groups(batch.column(2), 60_000):
                 sets = maker.sets(texts)
                 nodes = [_fingerprint(s) for s in sets]
                 new = []
@@ -96,17 +99,17 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int,
                     if len(s) and node not in seen:
                         seen.add(node)
                         new.append(i)
-                packed, keys = [None] * len(sets), [None] * len(sets)
+                keys = [None] * len(sets)
                 signed = band_keys(signatures([sets[i] for i in new], bands * rows), bands) if new else []
                 for i, key in zip(new, signed, strict=True):
-                    packed[i], keys[i] = _pack(sets[i] & np.uint64((1 << 48) - 1)), key
+                    keys[i] = key
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array(nodes, type=pa.int64()), pa.array(packed, type=pa.binary()),
-                    pa.array(keys, type=pa.list_(pa.int64()))], ["id", "n", "node", "hashes", "bands"])
+                    batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)),
+                    pa.array([len(s) for s in sets], type=pa.int64()), pa.array(nodes, type=pa.int64()),
+                    pa.array(keys, type=pa.list_(pa.int64()))], ["id", "mark", "n", "node", "bands"])
 
-    made = docs.select(F.col(id_col).alias("id"), text_col)
-    return staged(made.mapInArrow(run, f"id {kind}, n long, node long, hashes binary, bands array<long>"))
+    made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), text_col)
+    return staged(made.mapInArrow(run, f"id {kind}, mark long, n long, node long, bands array<long>"))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +185,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     members = staged(members.join(weights, "node").select("bucket", "node", "n", "weight"))
     # Sets that no other shares a bucket with are left behind here.
     wanted = staged(weights.select("node"))
-    held = staged(_hinted(sets, wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    held = _held(docs, text_col, width, sets, wanted)
 
     alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     pair = [F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")]
