@@ -1,4 +1,4 @@
-"""What the joins write does not grow with the texts."""
+"""What the joins write and compare does not grow with the texts or with the pairs of a family."""
 
 import os
 import random
@@ -6,7 +6,7 @@ import string
 
 import pytest
 
-from opslake.llm import ngram_join, superminhash
+from opslake.llm import fuzzy_lines, ngram_join, superminhash
 
 
 def word(rng):
@@ -32,3 +32,21 @@ def test_whole_sets_of_unlinked_texts_are_not_written(spark, module, run, monkey
     got = {r["doc_id"]: r["component_id"] for r in run(df).collect()}
     assert got == {i: i % 40 for i in range(41)}
     assert sum(written) < 0.5 * sum(map(len, texts))
+
+
+def test_variants_meet_the_line_that_they_were_made_from(spark, monkeypatch):
+    rng = random.Random(4)
+    line = [word(rng) for _ in range(60)]
+    rows = [" ".join(line)] * 4
+    for i in range(0, 60, 5):  # each within a tenth of the line, two of them not
+        rows.append(" ".join([*line[:i], *(word(rng) for _ in range(4)), *line[i + 4:]]))
+    asked, compare = [], fuzzy_lines._similar
+
+    def noted(pairs, *rest):
+        asked.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(fuzzy_lines, "_similar", noted)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    assert [r["doc_id"] for r in fuzzy_lines.dedup(df, wide=True).where("text <> ''").collect()] == [0]
+    assert sum(asked) <= 12
