@@ -41,6 +41,7 @@ from opslake.session import staged
 
 SKETCH_BITS, FILTER_BITS, SLICES = 23, 26, 64
 ROUND_HUBS, FEW_PAIRS = 8, 8
+COMMON = 1 / 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -286,6 +287,96 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
         name, F.coalesce(name, "node"))
 
 
+def _differences(anchored: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Rows (hub, hub_n, node, n, linked, elements) of distinct pairs (hub, node), compared on the sets ``held``.
+
+    elements are those of the symmetric difference: twice the hash for what the node has more, and one added for what it lacks.
+    """
+    one = held.select("node", "n", "hashes")
+    two = held.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements = []
+            for a, b in zip(batch.column("hashes"), batch.column("hub_hashes"), strict=True):
+                a, b = _unpack(a.as_py()), _unpack(b.as_py())
+                more, less = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                elements.append(np.concatenate([more << np.uint64(1), less << np.uint64(1) | np.uint64(1)]).astype(np.int64))
+            sizes = batch.column("n").to_numpy() + batch.column("hub_n").to_numpy()
+            linked = (100 + percent) * np.array([len(e) for e in elements], dtype=np.int64) <= (100 - percent) * sizes
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("hub", "hub_n", "node", "n")), pa.array(linked), pa.array(elements, type=pa.list_(pa.int64()))],
+                ["hub", "hub_n", "node", "n", "linked", "elements"])
+
+    joined = anchored.join(one, "node").join(two, "hub").select("hub", "hub_n", "node", "n", "hashes", "hub_hashes")
+    return staged(joined.mapInArrow(run, "hub long, hub_n long, node long, n long, linked boolean, elements array<long>"))
+
+
+def _firsts(differences: DataFrame, percent: int) -> DataFrame:
+    """Rows (hub, node, n, apart, linked, posted, tokens): the first elements of each difference, see ``_met_by_difference``.
+
+    What few nodes of a hub have comes first. Elements that a share of ``COMMON`` of them have are put in order of
+    their counts; there are at most ``1 / COMMON`` differences full of them, so a hub's list is bounded.
+    """
+    open_hubs = differences.groupBy("hub").agg(F.count(F.lit(1)).alias("total"), F.min("linked").alias("all_linked")).where(
+        "total > 1 AND NOT all_linked").select("hub", "total")
+    counted = differences.select("hub", F.explode("elements").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held"))
+    common = counted.where("held > 1").join(open_hubs, "hub").where(F.col("held") >= COMMON * F.col("total")).groupBy("hub").agg(
+        F.array_sort(F.collect_list(F.struct("held", "token")))["token"].alias("common"))
+    more, less = 100 + percent, 100 - percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            hubs, n, m = (batch.column(c).to_numpy() for c in ("hub", "n", "hub_n"))
+            linked, held, often = batch.column("linked").to_pylist(), batch.column("elements"), batch.column("common")
+            apart, posted, tokens = [], [], []
+            for i in range(len(hubs)):
+                if last != hubs[i]:
+                    listed = np.array(often[i].as_py() or [0], dtype=np.int64)
+                    last, by_token = hubs[i], np.argsort(listed)
+                    listed = listed[by_token]
+                e = np.array(held[i].as_py(), dtype=np.int64)
+                at = np.minimum(np.searchsorted(listed, e), len(listed) - 1)
+                rank = np.where(listed[at] == e, by_token[at] + 1, 0)
+                size = len(e)
+                first = size - (more * size + less * int(m[i] - n[i])) // (2 * more)
+                every = first if linked[i] else size + 1 - max(1, -(-(more * size - less * int(n[i] + m[i])) // (2 * more)))
+                apart.append(size)
+                posted.append(first)
+                tokens.append(e[np.lexsort((e, e & 1, rank))[:every]])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("hub", "node", "n")), pa.array(apart, type=pa.int64()), batch.column("linked"),
+                 pa.array(posted, type=pa.int64()), pa.array(tokens, type=pa.list_(pa.int64()))],
+                ["hub", "node", "n", "apart", "linked", "posted", "tokens"])
+
+    joined = differences.join(open_hubs.select("hub"), "hub", "left_semi").join(common, "hub", "left").select(
+        "hub", "hub_n", "node", "n", "linked", "elements", "common")
+    return staged(joined.mapInArrow(
+        run, "hub long, node long, n long, apart long, linked boolean, posted long, tokens array<long>"))
+
+
+def _met_by_difference(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) of nodes of one hub and different components that may link; no pair that links is left out.
+
+    |x ^ y| = |dx| + |dy| - 2 |dx & dy| for the differences dx, dy of x and y to their hub, and x links with y if
+    (100 + percent) * |x ^ y| <= (100 - percent) * (|x| + |y|). Two that link with the hub are in one component. Otherwise one
+    does not, and the bound asks that the differences share elements. So they meet in the first elements of both, where
+    whatever changes a copy has of its own comes first; the place of an element bounds how many can follow.
+    """
+    more, less = 100 + percent, 100 - percent
+    named = _labelled(_firsts(differences, percent), labels, "comp").select(
+        "hub", "node", "n", "apart", "linked", "posted", "comp", F.posexplode("tokens").alias("pos", "token"))
+    apart = named.where(~F.col("linked")).select("hub", "token", F.struct("node", "n", "apart", "posted", "comp", "pos").alias("s"))
+    listed = named.where("pos < posted").select("hub", "token", F.struct("node", "n", "apart", "linked", "comp", "pos").alias("t"))
+    left = F.least(F.col("s.apart") - F.col("s.pos"), F.col("t.apart") - F.col("t.pos"))
+    meets = ((F.col("s.comp") != F.col("t.comp")) & (100 * F.least("s.n", "t.n") >= percent * F.greatest("s.n", "t.n"))
+             & (2 * more * left >= more * (F.col("s.apart") + F.col("t.apart")) - less * (F.col("s.n") + F.col("t.n")))
+             & (F.col("t.linked") | ((F.col("s.pos") < F.col("s.posted")) & (F.col("s.node") < F.col("t.node")))))
+    return apart.join(listed, ["hub", "token"]).where(meets).select(
+        F.least("s.node", "t.node").alias("x"), F.greatest("s.node", "t.node").alias("y")).distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Rows (id, n_shingles, component_id), one per input row."""
     sets = _sets(docs, id_col, text_col, width, percent)

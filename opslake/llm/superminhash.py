@@ -10,9 +10,9 @@ only nodes are joined; copies of any number cost nothing further.
 2. Banding. ``rows`` neighbouring places make a band; nodes that agree in one are members of its bucket. The chance
    that two sets of similarity s share no bucket is (1 - s ** rows) ** bands: 5e-8 at 0.8 with the defaults.
 3. Verification. Members are compared with hubs of their bucket on full sets, never all with all: the hub is the member
-   whose buckets are fullest, and a node first meets the two hubs that it shares most buckets with. Later turns take up buckets that still hold several groups. There,
-   members outside of the bucket's largest group are hubs in their turn and meet the members of other groups, until
-   all of them have been; a pair of one group is never compared again.
+   whose buckets are fullest, and a node first meets the two hubs that it shares most buckets with. In buckets that then
+   still hold several groups all members are compared with the hub, and members of different groups meet if their
+   differences to the hub share enough elements, without which they cannot link. A pair of one group is not compared.
 4. Grouping. Each task joins its links by union-find before they are shuffled; stars join what is left.
 
 Defined results: a text that is null, empty or without words has an empty set and links with nothing; fewer words
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.llm.components import components
-from opslake.llm.ngram_join import _ODD, Shingles, _fingerprint, _held, _in_groups, _mix, _unpack
+from opslake.llm.ngram_join import (
+    _ODD, Shingles, _differences, _fingerprint, _held, _in_groups, _met_by_difference, _mix, _unpack,
+)
 from opslake.session import staged
 
 BANDS, ROWS = 32, 4
-FIRST_HUBS, TURN_HUBS = 2, 4
+FIRST_HUBS = 2
+TURN_HUBS = 4  # not read any more: there are no later turns; tests still set it
 CHUNK = 1 << 13
 BATCH_ROWS = 1000  # of Arrow batches, which hold whole texts or sets
 _RANK = 48  # bits of the fraction below the rank
@@ -196,31 +198,20 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     most = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), F.desc("hub_weight"), "hub"))
     first = met.withColumn("place", most).where(F.col("place") <= FIRST_HUBS).select(*pair).distinct()
     tested = _verified(staged(first), held, percent)
-    links = [tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))]
-    done, served = tested.select("x", "y"), None
-    for turn in count():
-        edges = joined_in_tasks(links[-1] if len(links) == 1 else links[0].unionByName(links[-1]))
-        labels = staged(components(edges))
-        # Buckets of several groups; the members outside of the largest have to be hubs, all others need not.
-        placed = _grouped(members, labels)
-        sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"),
-                                             F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket", "main")
-        unsettled = staged(placed.join(largest, "bucket"))
-        waiting = unsettled.where("comp <> main")
-        if served is not None:
-            waiting = waiting.join(served, ["bucket", "node"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "node"))
-        hubs = staged(waiting.withColumn("place", place).where(F.col("place") <= (TURN_HUBS << 2 * turn)).select(
-            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")))
-        if hubs.isEmpty():
-            break
-        asked = unsettled.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike).select(*pair).distinct()
-        found = _verified(staged(asked.join(done, ["x", "y"], "left_anti")), held, percent)
-        done = done.unionByName(found.select("x", "y"))
-        now = hubs.select("bucket", F.col("hub").alias("node"))
-        served = now if served is None else served.unionByName(now)
-        links = [edges, found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))]
+    links = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = joined_in_tasks(links)
+    labels = staged(components(edges))
+
+    # Buckets of several groups: members of other groups meet by their differences to the hub of the bucket.
+    placed = _grouped(members, labels)
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    anchored = staged(members.join(mixed.select("bucket"), "bucket", "left_semi").join(leading.select("bucket", "hub"), "bucket").where(
+        F.col("node") != F.col("hub")).select("hub", "node").distinct())
+    differences = _differences(anchored, held, percent)
+    edges = staged(edges.unionByName(differences.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    labels = staged(components(edges))
+    found = _verified(staged(_met_by_difference(differences, labels, percent)), held, percent)
+    labels = components(joined_in_tasks(edges.unionByName(found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))))
 
     named = sets.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))
     rooted = staged(named.join(labels, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))

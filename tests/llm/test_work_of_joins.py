@@ -50,3 +50,27 @@ def test_variants_meet_the_line_that_they_were_made_from(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
     assert [r["doc_id"] for r in fuzzy_lines.dedup(df, wide=True).where("text <> ''").collect()] == [0]
     assert sum(asked) <= 12
+
+
+def family(rng, words, changed, size):
+    """A text and variants of it, each with other words changed; two variants differ in about twice as many."""
+    base = [word(rng) for _ in range(words)]
+    rows = [" ".join(base)]
+    for _ in range(size):
+        at = set(rng.sample(range(words), changed))
+        rows.append(" ".join(word(rng) if i in at else w for i, w in enumerate(base)))
+    return list(enumerate(rows))
+
+
+def test_variants_below_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    rows = family(random.Random(5), 150, 12, 60)  # similarity 0.73 to the text, 0.52 to each other
+    compared, verify = [], superminhash._verified
+
+    def noted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(superminhash, "_verified", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert all(r["kept"] for r in superminhash.near_duplicates(df, width=2).collect())
+    assert sum(compared) <= 3 * len(rows)
