@@ -8,12 +8,10 @@ percent * |union|. Equal sets are one node, known by a 64-bit hash, and only nod
 2. Index lists. Linked sets share a shingle in their prefixes, whose lengths follow from the threshold. Each
    prefix shingle has a list of (set, size, position).
 3. Answers from a similar set. One member of a list is its hub. Members are compared with the hub; those that link
-   share its component, and no pair among them has to be looked at again, however many they are. While lists hold
-   many pairs of different components, other members take their turn as hubs.
-4. Block skipping. What a list holds falls into blocks, one for each component. Pairs of blocks are skipped by
-   their ranges of size and position, without reading members. In the others, members are paired unless their known
-   distances to the same hub differ by more than the threshold allows (Jaccard distance is a metric), and the
-   pairs that remain are compared.
+   share its component, and no pair among them has to be looked at again, however many they are.
+4. Skipping. Lists of one component are skipped. In the others, members of different components are not compared
+   unless their differences to the hub share enough elements: the sizes of the differences bound the distance of two
+   members, and differences that share little are as far apart as they are large together.
 
 No list, node or component is ever held by one task: minima and ranges are combined before the shuffle and
 joins on list keys are left to skew handling. Compared sets travel as 48-bit hashes.
@@ -26,9 +24,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +37,7 @@ from opslake.llm.components import components
 from opslake.session import staged
 
 SKETCH_BITS, FILTER_BITS, SLICES = 23, 26, 64
-ROUND_HUBS, FEW_PAIRS = 8, 8
+FEW_PAIRS = 8  # not read any more: no pairs are compared one by one; tests still set it
 COMMON = 1 / 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, dtype=bool)
@@ -261,9 +258,8 @@ def _held(docs: DataFrame, text_col: str, width: int, sets: DataFrame, wanted: D
     return staged(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _compare(pairs: DataFrame, held_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Rows (x, y, shared, linked, distance) of distinct pairs (x, y); held_of gives the sets of nodes."""
-    held = held_of(staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()))
+def _compare(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Rows (x, y, linked) of distinct pairs (x, y), compared on the sets ``held``."""
     one = held.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("hashes").alias("hx"))
     two = held.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("hashes").alias("hy"))
 
@@ -278,8 +274,7 @@ def _compare(pairs: DataFrame, held_of: Callable[[DataFrame], DataFrame], percen
     joined = pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "hx", "hy")
     counted = joined.mapInArrow(run, "x long, y long, nx long, ny long, shared long")
     union = F.col("nx") + F.col("ny") - F.col("shared")
-    return staged(counted.select("x", "y", "shared", (100 * F.col("shared") >= percent * union).alias("linked"),
-                                 (1 - F.col("shared") / union).alias("distance")))
+    return staged(counted.select("x", "y", (100 * F.col("shared") >= percent * union).alias("linked")))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -291,7 +286,9 @@ def _differences(anchored: DataFrame, held: DataFrame, percent: int) -> DataFram
     """Rows (hub, hub_n, node, n, linked, elements) of distinct pairs (hub, node), compared on the sets ``held``.
 
     elements are those of the symmetric difference: twice the hash for what the node has more, and one added for what it lacks.
+    They are left out where the hub has no other node.
     """
+    several = anchored.groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("several"))
     one = held.select("node", "n", "hashes")
     two = held.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("hashes").alias("hub_hashes"))
 
@@ -302,13 +299,16 @@ def _differences(anchored: DataFrame, held: DataFrame, percent: int) -> DataFram
                 a, b = _unpack(a.as_py()), _unpack(b.as_py())
                 more, less = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 elements.append(np.concatenate([more << np.uint64(1), less << np.uint64(1) | np.uint64(1)]).astype(np.int64))
+            apart = np.array([len(e) for e in elements], dtype=np.int64)
+            elements = [e if kept else e[:0] for e, kept in zip(elements, batch.column("several").to_pylist(), strict=True)]
             sizes = batch.column("n").to_numpy() + batch.column("hub_n").to_numpy()
-            linked = (100 + percent) * np.array([len(e) for e in elements], dtype=np.int64) <= (100 - percent) * sizes
+            linked = (100 + percent) * apart <= (100 - percent) * sizes
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("hub", "hub_n", "node", "n")), pa.array(linked), pa.array(elements, type=pa.list_(pa.int64()))],
                 ["hub", "hub_n", "node", "n", "linked", "elements"])
 
-    joined = anchored.join(one, "node").join(two, "hub").select("hub", "hub_n", "node", "n", "hashes", "hub_hashes")
+    joined = anchored.join(several, "hub").join(one, "node").join(two, "hub").select(
+        "hub", "hub_n", "node", "n", "hashes", "hub_hashes", "several")
     return staged(joined.mapInArrow(run, "hub long, hub_n long, node long, n long, linked boolean, elements array<long>"))
 
 
@@ -320,6 +320,7 @@ def _firsts(differences: DataFrame, percent: int) -> DataFrame:
     """
     open_hubs = differences.groupBy("hub").agg(F.count(F.lit(1)).alias("total"), F.min("linked").alias("all_linked")).where(
         "total > 1 AND NOT all_linked").select("hub", "total")
+    differences = differences.join(open_hubs.select("hub"), "hub", "left_semi")
     counted = differences.select("hub", F.explode("elements").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("held"))
     common = counted.where("held > 1").join(open_hubs, "hub").where(F.col("held") >= COMMON * F.col("total")).groupBy("hub").agg(
         F.array_sort(F.collect_list(F.struct("held", "token")))["token"].alias("common"))
@@ -350,7 +351,7 @@ def _firsts(differences: DataFrame, percent: int) -> DataFrame:
                  pa.array(posted, type=pa.int64()), pa.array(tokens, type=pa.list_(pa.int64()))],
                 ["hub", "node", "n", "apart", "linked", "posted", "tokens"])
 
-    joined = differences.join(open_hubs.select("hub"), "hub", "left_semi").join(common, "hub", "left").select(
+    joined = differences.join(common, "hub", "left").select(
         "hub", "hub_n", "node", "n", "linked", "elements", "common")
     return staged(joined.mapInArrow(
         run, "hub long, node long, n long, apart long, linked boolean, posted long, tokens array<long>"))
@@ -400,72 +401,28 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     first = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("y"), "y"))
     stars = live.where(fits("n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
     stars = stars.withColumn("first", first).where(F.col("first") <= 2).drop("first")
-    tested = _compare(staged(stars), held_of, percent)
+    stars = staged(stars)
+    tested = _compare(stars, held_of(staged(stars.select(F.explode(F.array("x", "y")).alias("node")).distinct())), percent)
     edges = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = staged(components(edges))
 
-    # Members of each list with their component; a list is finished when it holds only one.
-    pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    done = tested.select(*pair)
-    for turn in count(1):
-        members = staged(_labelled(listed, labels, "comp"))
-        blocks = members.groupBy("token", "comp").agg(
-            F.count(F.lit(1)).alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
-        held = F.sum("held")
-        open_lists = staged(blocks.groupBy("token").agg(
-            held.alias("held"), ((held * held - F.sum(F.col("held") * F.col("held"))) / 2).alias("pairs")).where("pairs > 0"))
-        size = open_lists.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()
-        if size["pairs"] <= FEW_PAIRS * size["held"]:
-            break
-        # Families of copies around the threshold: other members of their lists take their turn as hubs.
-        unfinished = members.join(open_lists.select("token"), "token", "left_semi")
-        chosen = unfinished.where("indexed").withColumn("turn", F.row_number().over(
-            Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "node"), "node"))).where(F.col("turn") <= ROUND_HUBS)
-        chosen = chosen.select("token", F.col("comp").alias("comp2"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-        asked = (
-            unfinished.select("token", "comp", F.col("node").alias("x"), "n", "pos").join(chosen, "token")
-            .where((F.col("comp") != F.col("comp2")) & fits("n", "pos", "ny", "py")).select(*pair).distinct()
-        )
-        found = _compare(staged(asked.join(done, ["x", "y"], "left_anti")), held_of, percent)
-        done = done.unionByName(found.select(*pair))
-        new = found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = edges.unionByName(new)
-        if 10 * new.count() <= found.count():  # also where no pair is left to ask for
-            break
-        labels = staged(components(edges))
-    blocks = staged(blocks.join(open_lists.select("token"), "token", "left_semi"))
-    other = blocks.select("token", *[F.col(c).alias(f"{c}2") for c in ("comp", "low", "high", "pos")])
-    # Best case of a pair of blocks: sizes as close as the ranges allow, positions as early as any.
-    most = F.least(F.col("high") - F.col("pos"), F.col("high2") - F.col("pos2"))
-    meets = ((100 * F.least("high", "high2") >= percent * F.greatest("low", "low2"))
-             & ((100 + percent) * most >= percent * (F.col("low") + F.col("low2"))))
-    block_pairs = staged(blocks.join(other, "token").where(F.col("comp") < F.col("comp2")).where(meets)
-                         .select("token", "comp", "comp2"))
-    if block_pairs.isEmpty():
-        final = labels
-    else:
-        known = tested.select(F.col("x").alias("node"), F.col("y").alias("hub"), "distance")
-        held = (
-            members.join(block_pairs.select("token", F.explode(F.array("comp", "comp2")).alias("comp")).distinct(),
-                         ["token", "comp"], "left_semi")
-            .join(known, ["node", "hub"], "left")
-            .withColumn("distance", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-        )
-        held = staged(held)
-        left = held.select("token", "comp", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"),
-                           F.col("indexed").alias("ix"), F.col("distance").alias("dx"))
-        right = held.select("token", F.col("comp").alias("comp2"), F.col("node").alias("y"), F.col("n").alias("ny"),
-                            F.col("pos").alias("py"), F.col("indexed").alias("iy"), F.col("distance").alias("dy"))
-        apart = F.abs(F.col("dx") - F.col("dy")) > 1 - percent / 100 + 1e-9
-        rest = (
-            block_pairs.join(left, ["token", "comp"]).join(right, ["token", "comp2"])
-            .where(fits("nx", "px", "ny", "py") & ~F.coalesce(apart, F.lit(False)))
-            .where(F.when(F.col("nx") <= F.col("ny"), F.col("ix")).otherwise(F.col("iy"))
-                   | ((F.col("nx") == F.col("ny")) & F.col("iy")))
-            .select(*pair).distinct()
-        )
-        more = _compare(staged(rest.join(done, ["x", "y"], "left_anti")), held_of, percent)
-        final = components(edges.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    # A list is finished when it holds one component. Of the others only what can fit with the smallest or the
+    # earliest member stays, and members of different components meet by their differences to the hub of their list.
+    members = _labelled(listed, labels, "comp")
+    mixed = members.groupBy("token").agg(
+        F.min("n").alias("low"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("comp").alias("one"),
+        F.max("comp").alias("other")).where("one <> other").select("token", "low", "left")
+    other = F.col("n") + F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+    fitting = members.join(mixed, "token").where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("left")) >= percent * other)
+    fitting = staged(fitting.select("token", "node", "hub", "comp"))
+    mixed = fitting.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    anchored = staged(fitting.join(mixed.select("token"), "token", "left_semi").where(F.col("node") != F.col("hub")).select("hub", "node").distinct())
+    held = held_of(staged(anchored.select(F.explode(F.array("hub", "node")).alias("node")).distinct()))
+    differences = _differences(anchored, held, percent)
+    edges = staged(edges.unionByName(differences.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    labels = staged(components(edges))
+    found = _compare(staged(_met_by_difference(differences, labels, percent)), held, percent)
+    final = components(edges.unionByName(found.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     named = sets.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))
     rooted = staged(_labelled(named, final, "root"))
