@@ -5,6 +5,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from opslake.llm import fuzzy_lines, ngram_join, superminhash
 
@@ -74,3 +75,36 @@ def test_variants_below_the_threshold_are_not_compared_in_pairs(spark, monkeypat
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert all(r["kept"] for r in superminhash.near_duplicates(df, width=2).collect())
     assert sum(compared) <= 3 * len(rows)
+
+
+def test_lines_apart_by_their_distances_to_the_hub_are_not_compared(spark, monkeypatch):
+    rng = random.Random(6)
+    line = [word(rng) for _ in range(60)]
+    rows = [" ".join(line)] * 4
+    for i in range(60):  # each near the line
+        rows.append(" ".join([*line[:i], word(rng), *line[i + 1:]]))
+    for i in range(0, 45, 9):  # each further from the line than is similar
+        rows.append(" ".join([*line[:i], *(word(rng) for _ in range(14)), *line[i + 14:]]))
+    asked, compare = [], fuzzy_lines._similar
+
+    def noted(pairs, *rest):
+        asked.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(fuzzy_lines, "_similar", noted)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    left = [r["doc_id"] for r in fuzzy_lines.dedup(df, wide=True).where("text <> ''").collect()]
+    assert sorted(left) == [0, *range(64, 69)]
+    assert sum(asked) <= 100
+
+
+def test_edits_of_long_texts_are_those_of_what_differs(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choices("ab\u00e9\u4e2d", k=1500))
+    rows = [(text, text[:700] + "x" + text[700:]), (text, "x" + text[1:] + "y"), (text, text[:-1]), (text, text[1:]),
+            (text, text[:10] + text[40:]), (text + text, text), ("", text), (text[:500] + text[900:], text[:499] + text[899:])]
+    bounds = [F.lit(0), F.lit(2), F.lit(50)]
+    df = spark.createDataFrame(rows, "a string, b string").select(
+        fuzzy_lines._edits(F.col("a"), F.col("b"), bounds).alias("edits"), F.levenshtein("a", "b", 50).alias("all"))
+    got = df.collect()
+    assert [r["edits"] for r in got] == [r["all"] for r in got]
