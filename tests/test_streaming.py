@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslake.operators import ordered, security
+from opslake.plans import catalog
 from opslake.plans.q_events import by_time, in_turn
 from opslake.plans.q_security import POLICIES
 from opslake.plans.views import Tables
@@ -214,3 +215,12 @@ def test_parts_in_turn_are_batches_of_many_files(spark, tmp_path):
     assert [n for _, _, n, _ in seen] == [last - first + 1 for first, last, _, _ in seen] and sum(n for _, _, n, _ in seen) == 300
     assert len(seen) == 3 and [first for first, *_ in seen] == sorted(first for first, *_ in seen)
     assert min(files for *_, files in seen) > 1
+
+
+def test_history_query_keeps_a_thousand_ids_and_events_without_a_time(spark, tmp_path):
+    at = [None if n < 12 else DAY + dt.timedelta(seconds=n // 3) for n in range(1030)]  # three of one time each
+    rows = [(n, at[n], 1, "click", 1.0, None) for n in range(1030)] + [(2000 + n, at[n], 2, "click", 1.0, None) for n in range(300)]
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, shape).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["device_id"]: r["history"] for r in catalog.QUERIES["stream_history"](spark, str(tmp_path)).collect()}
+    assert got == {"d1": ",".join(f"e{n}" for n in range(30, 1030)), "d2": ",".join(f"e{2000 + n}" for n in range(300))}
